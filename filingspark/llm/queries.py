@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .chat import format_chat, read_chat
 from .common import table
+from .langid import predict, train
 from .mixing import mix_sources
 from .pii import BASE_KINDS, find_pii, joined_spans, of_kind
 from .quality import quality
+from .topk import top_k
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,17 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("llr").alias("llr_score"), "kept")
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    dictionaries = train(docs.where(~held_out))
+    return predict(docs.select("doc_id", held_out.alias("held_out"), "text"), dictionaries)
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     base = F.filter("pii_spans", lambda s: s["kind"].isin(*BASE_KINDS))
@@ -52,6 +65,22 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op8_pii": op8_pii, "op9_chat": op9_chat}
+QUERIES = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op6_langid": op6_langid, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_topk": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as c
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id as vec_id,
+    cast(list_sum(list_transform(list_zip(q.c, c.c), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+), r as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+)
+select query_id, rank, vec_id, score from r where rank <= 5
+""",
+}
