@@ -7,7 +7,9 @@ score is the log-likelihood ratio of its features, divided by their number, and
 the document is kept if the score reaches ``threshold``, without any sampling.
 Bucket ratios are shrunk to 1 by ``prior`` pseudo-counts, so that features which
 were rarely seen say little. The model has ``buckets`` numbers whatever the
-corpus, and reaches the rows as a scalar subquery.
+corpus, and reaches the rows as a scalar subquery. The raw corpus is counted
+whole; the trusted target is at most ``TARGET_DOCS`` labelled documents, those
+of smallest id hash, so that their ids can be broadcast and no text is shuffled.
 
 Defined cases: null text has no words and fails the base rules; without any
 labelled document every ratio is 1 and the base rules decide; repeated rows
@@ -24,6 +26,7 @@ from .common import durable, let, words
 
 BUCKETS = 1 << 14
 PRIOR = 20.0
+TARGET_DOCS = 1 << 16
 THRESHOLD = -0.5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -98,7 +101,8 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def ratio_model(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
     """One row: ``llr``, the bucket log-ratios of trusted target to raw corpus."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct()
-    marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_good"), "left")
+    good = good.orderBy(F.xxhash64("_good"), "_good").limit(TARGET_DOCS)
+    marked = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("_good"), "left")
     counts = (
         marked.select(F.col("_good").isNotNull().cast("int").alias("t"), F.explode(let(words(F.col("text")), lambda w: _features(w, buckets))).alias("b"))
         .groupBy("b", "t")
