@@ -11,6 +11,7 @@ from .langid import predict, train
 from .mixing import mix_sources
 from .pii import BASE_KINDS, find_pii, joined_spans, of_kind
 from .quality import quality
+from .simhash import hex_fingerprint, near_duplicates
 from .topk import top_k
 
 
@@ -25,6 +26,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("llr").alias("llr_score"), "kept")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
@@ -65,7 +71,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op6_langid": op6_langid, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat}
+QUERIES = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op4_simhash": op4_simhash, "op6_langid": op6_langid, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_topk": """
