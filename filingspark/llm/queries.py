@@ -13,6 +13,7 @@ from .pii import BASE_KINDS, find_pii, joined_spans, of_kind
 from .quality import quality
 from .simhash import hex_fingerprint, near_duplicates
 from .topk import top_k
+from .warc import archive
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
@@ -71,7 +77,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op4_simhash": op4_simhash, "op6_langid": op6_langid, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat}
+QUERIES = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op4_simhash": op4_simhash, "op5_warc": op5_warc, "op6_langid": op6_langid, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_topk": """
