@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from .chat import format_chat, read_chat
 from .common import table
 from .langid import predict, train
+from .licenses import find_licenses
 from .mixing import mix_sources
 from .pii import BASE_KINDS, find_pii, joined_spans, of_kind
 from .quality import quality
+from .sentencepiece import decode, encode
 from .simhash import hex_fingerprint, near_duplicates
 from .topk import top_k
 from .warc import archive
@@ -27,6 +29,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("llr").alias("llr_score"), "kept")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("restored"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
@@ -77,7 +84,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op4_simhash": op4_simhash, "op5_warc": op5_warc, "op6_langid": op6_langid, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_sentencepiece": op3_sentencepiece, "op4_simhash": op4_simhash, "op5_warc": op5_warc, "op6_langid": op6_langid, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_licenses": op10_licenses}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_topk": """

@@ -17,7 +17,8 @@ each group asks for its distinct units and gets their ids back, so that neither
 tokens nor the dictionary, both growing with the corpus, meet in one place.
 
 Defined cases: null text has no ids (null array, decodes to null); empty text
-has none; repeated rows get a row each; other columns are kept; an empty table
+has none; a space mark in a text decodes to a space, as it does in the library;
+repeated rows get a row each; other columns are kept; an empty table
 gives an empty result.
 """
 
@@ -36,6 +37,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 DOCS_PER_GROUP = 5_000
 EDGES = "array<struct<stop:int,start:int,score:float,id:int>>"
+RANKED = "struct<rank:float,start:int,stop:int>"
 _UNITS = rf"{SPACE}*[\p{{L}}\p{{M}}]+|{SPACE}*[^\p{{L}}\p{{M}}{SPACE}]+|{SPACE}+"
 
 
@@ -95,7 +97,14 @@ def _viterbi(edges: Column, n: Column) -> Column:
 
 def _merges(edges: Column, n: Column) -> Column:
     """Edges left when the best edge over two neighbouring symbols is taken until
-    there is none. ``ends`` are the symbols' ends, from 0 on."""
+    there is none."""
+    long = F.filter(edges, lambda e: e["stop"] > e["start"] + 1)
+    ranked = F.array_sort(F.transform(long, lambda e: F.struct((-e["score"]).alias("rank"), e["start"].alias("start"), e["stop"].alias("stop"))))
+    return let(ranked, lambda r: _merged(edges, r, n))
+
+
+def _merged(edges: Column, ranked: Column, n: Column) -> Column:
+    """The merging itself. ``ends`` are the symbols' ends, from 0 on."""
 
     def step(acc, _):
         ends = acc["ends"]
@@ -107,15 +116,13 @@ def _merges(edges: Column, n: Column) -> Column:
         def take(e):
             return F.struct(F.when(e.isNull(), ends).otherwise(F.filter(ends, lambda x: (x <= e["start"]) | (x >= e["stop"]))).alias("ends"), e.isNull().alias("done"))
 
-        best = F.aggregate(
-            edges,
-            F.lit(None).cast("struct<stop:int,start:int,score:float,id:int>"),
-            lambda b, e: F.when((b.isNull() | (e["score"] > b["score"]) | ((e["score"] == b["score"]) & (e["start"] < b["start"]))) & joins(e), e).otherwise(b),
-        )
+        # Candidates come best first, so the first that fits is taken.
+        best = F.aggregate(ranked, F.lit(None).cast(RANKED), lambda b, e: F.when(b.isNull() & joins(e), e).otherwise(b))
         return F.when(acc["done"], acc).otherwise(let(best, take))
 
     zero = F.struct(F.sequence(F.lit(0), n).alias("ends"), F.lit(False).alias("done"))
-    ends = F.aggregate(F.sequence(F.lit(1), n), zero, step, lambda acc: acc["ends"])
+    ends = F.aggregate(F.sequence(F.lit(2), n), zero, step, lambda acc: acc["ends"])
+    ends = F.when((n < 2) | (F.size(ranked) == 0), F.sequence(F.lit(0), n)).otherwise(ends)
     is_symbol = lambda s, e: F.get(s, F.array_position(s, e["start"]).cast("int")) == e["stop"]
     return let(ends, lambda s: F.filter(edges, lambda e: F.array_contains(s, e["start"]) & is_symbol(s, e)))
 
@@ -127,10 +134,9 @@ def segment(distinct: DataFrame, vocab: DataFrame, *, longest: int, byte_zero: i
     n = F.length(text)
     # Single characters are always edges, so that every unit has a path; those
     # without a piece have a null id and the worst score.
-    spans = F.flatten(
-        F.transform(F.sequence(F.lit(0), n - 1), lambda a: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - a)), lambda m: F.struct(a.alias("start"), (a + m).alias("stop"))))
-    )
-    subs = distinct.select("unit", *others, F.explode(spans).alias("s")).select("unit", *others, "s.start", "s.stop", F.substring(text, F.col("s.start") + 1, F.col("s.stop") - F.col("s.start")).alias("piece"))
+    starts = distinct.select("unit", *others, F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    stops = starts.select("*", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, n))).alias("stop"))
+    subs = stops.withColumn("piece", F.substring(text, F.col("start") + 1, F.col("stop") - F.col("start")))
     met = subs.join(F.broadcast(vocab), "piece", "left").where("id is not null or stop = start + 1")
     edge = F.struct("stop", "start", F.coalesce("score", F.lit(-1e30)).cast("float").alias("score"), "id")
     lattice = met.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"), *[F.first(c).alias(c) for c in others])

@@ -223,5 +223,13 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """The row of the smallest doc_id of each component of ``docs`` (doc_id, text,
+    ...); where several rows have that id, one of them."""
+    kept = near_duplicates(docs, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
