@@ -12,7 +12,7 @@ from .licenses import find_licenses
 from .mixing import mix_sources
 from .pii import BASE_KINDS, find_pii, joined_spans, of_kind
 from .quality import quality
-from .sentencepiece import decode, encode
+from .sentencepiece import encode
 from .simhash import hex_fingerprint, near_duplicates
 from .topk import top_k
 from .warc import archive
@@ -30,8 +30,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("restored"))
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), restored_col="restored")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "restored")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

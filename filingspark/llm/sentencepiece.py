@@ -24,6 +24,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,9 +36,14 @@ from .common import let
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-DOCS_PER_GROUP = 5_000
-EDGES = "array<struct<stop:int,start:int,score:float,id:int>>"
-RANKED = "struct<rank:float,start:int,stop:int>"
+DOCS_PER_GROUP = 1_000
+#: Units up to this length go through the lattice; a mask of ends fits a long.
+#: Longer ones, runs of one character mostly, are merged where they occur.
+LONGEST_UNIT = 60
+UNKNOWN = (1 << 31) - 1
+UNKNOWN_SCORE = -1e30
+_BITS = 6
+_MASK = (1 << _BITS) - 1
 _UNITS = rf"{SPACE}*[\p{{L}}\p{{M}}]+|{SPACE}*[^\p{{L}}\p{{M}}{SPACE}]+|{SPACE}+"
 
 
@@ -50,9 +56,11 @@ def _model(path: str):
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str = MODEL) -> tuple[list[tuple[str, int, float]], int]:
-    """(piece, id, score) of the pieces that match text, and the id of byte 0."""
+    """(piece, id, score) of the pieces that match text, best score first, and the
+    id of byte 0."""
     m = _model(path)
     plain = [i for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))]
+    plain.sort(key=lambda i: (-m.get_score(i), i))
     return [(m.id_to_piece(i), i, m.get_score(i)) for i in plain], m.piece_to_id("<0x00>")
 
 
@@ -77,117 +85,199 @@ def check_units(path: str = MODEL) -> None:
 
 
 def pieces(spark: SparkSession, path: str = MODEL) -> DataFrame:
-    rows = pd.DataFrame(vocabulary(path)[0], columns=["piece", "id", "score"])
-    return spark.createDataFrame(rows, "piece string, id int, score float")
+    """The piece table: (piece, rank by score)."""
+    rows = pd.DataFrame([(p, r) for r, (p, _, _) in enumerate(vocabulary(path)[0])], columns=["piece", "rank"])
+    return spark.createDataFrame(rows, "piece string, rank int")
 
 
-def _viterbi(edges: Column, n: Column) -> Column:
-    """Edges (sorted by stop) of the path with the greatest sum of scores."""
-    path = F.array().cast(EDGES)
-    zero = F.array(F.struct(F.lit(0.0).alias("score"), path.alias("path")))
+def _field(edge: Column, shift: int) -> Column:
+    return F.call_function("shiftright", edge, F.lit(shift)).bitwiseAND(F.lit(_MASK)).cast("int")
+
+
+def _start(edge: Column) -> Column:
+    return _field(edge, _BITS)
+
+
+def _stop(edge: Column) -> Column:
+    return _field(edge, 0)
+
+
+def _rank(edge: Column) -> Column:
+    return F.call_function("shiftright", edge, F.lit(2 * _BITS))
+
+
+def _ones(below: Column) -> Column:
+    """A mask of the bits under ``below``."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), below) - F.lit(1)
+
+
+def _viterbi(edges: Column, n: Column, scores: Column) -> Column:
+    """Edges of the path with the greatest sum of scores (by rank)."""
+    by_stop = F.sort_array(F.transform(edges, lambda e: F.struct(_stop(e).alias("stop"), _start(e).alias("start"), e.alias("e"))))
+    zero = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<long>").alias("path")))
 
     def step(best, e):
         start, at = F.get(best, e["start"]), F.size(best) - 1
-        reached = F.struct((start["score"] + e["score"]).alias("score"), F.concat(start["path"], F.array(e)).alias("path"))
+        worth = F.coalesce(F.get(scores, _rank(e["e"]).cast("int")), F.lit(UNKNOWN_SCORE))
+        reached = F.struct((start["score"] + worth).alias("score"), F.concat(start["path"], F.array(e["e"])).alias("path"))
         better = F.when((e["stop"] > at) | (reached["score"] > F.get(best, at)["score"]), reached).otherwise(F.get(best, at))
         return F.concat(F.slice(best, 1, F.least(e["stop"], F.size(best))), F.array(better))
 
-    return F.aggregate(edges, zero, step, lambda best: F.get(best, n)["path"])
+    return F.aggregate(by_stop, zero, step, lambda best: F.get(best, n)["path"])
 
 
 def _merges(edges: Column, n: Column) -> Column:
     """Edges left when the best edge over two neighbouring symbols is taken until
-    there is none."""
-    long = F.filter(edges, lambda e: e["stop"] > e["start"] + 1)
-    ranked = F.array_sort(F.transform(long, lambda e: F.struct((-e["score"]).alias("rank"), e["start"].alias("start"), e["stop"].alias("stop"))))
-    return let(ranked, lambda r: _merged(edges, r, n))
-
+    there is none. A bit mask holds the symbols' ends; edges sort best first."""
 
-def _merged(edges: Column, ranked: Column, n: Column) -> Column:
-    """The merging itself. ``ends`` are the symbols' ends, from 0 on."""
+    def between(e):  # the mask of the ends inside an edge
+        return _ones(_stop(e)) - _ones(_start(e) + 1)
 
-    def step(acc, _):
-        ends = acc["ends"]
+    def has(mask, at):
+        return F.call_function("shiftright", mask, at).bitwiseAND(F.lit(1)) == 1
 
-        def joins(e):
-            i = F.array_position(ends, e["start"])
-            return (i > 0) & (F.get(ends, (i + 1).cast("int")) == e["stop"])
+    def whole(mask, e):
+        return has(mask, _start(e)) & has(mask, _stop(e))
 
-        def take(e):
-            return F.struct(F.when(e.isNull(), ends).otherwise(F.filter(ends, lambda x: (x <= e["start"]) | (x >= e["stop"]))).alias("ends"), e.isNull().alias("done"))
+    def merged(ranked):
+        def step(mask, _):
+            fits = lambda e: (F.bit_count(mask.bitwiseAND(between(e))) == 1) & whole(mask, e)
+            best = F.aggregate(ranked, F.lit(-1).cast("long"), lambda b, e: F.when(b >= 0, b).when(fits(e), e).otherwise(b))
+            return let(best, lambda e: F.when(e < 0, mask).otherwise(mask - mask.bitwiseAND(between(e))))
 
-        # Candidates come best first, so the first that fits is taken.
-        best = F.aggregate(ranked, F.lit(None).cast(RANKED), lambda b, e: F.when(b.isNull() & joins(e), e).otherwise(b))
-        return F.when(acc["done"], acc).otherwise(let(best, take))
+        return F.aggregate(F.sequence(F.lit(2), n), _ones(n + 1), step)
 
-    zero = F.struct(F.sequence(F.lit(0), n).alias("ends"), F.lit(False).alias("done"))
-    ends = F.aggregate(F.sequence(F.lit(2), n), zero, step, lambda acc: acc["ends"])
-    ends = F.when((n < 2) | (F.size(ranked) == 0), F.sequence(F.lit(0), n)).otherwise(ends)
-    is_symbol = lambda s, e: F.get(s, F.array_position(s, e["start"]).cast("int")) == e["stop"]
-    return let(ends, lambda s: F.filter(edges, lambda e: F.array_contains(s, e["start"]) & is_symbol(s, e)))
+    long = F.sort_array(F.filter(edges, lambda e: _stop(e) > _start(e) + 1))
+    ends = let(long, lambda r: F.when((n < 2) | (F.size(r) == 0), _ones(n + 1)).otherwise(merged(r)))
+    return let(ends, lambda m: F.filter(edges, lambda e: (m.bitwiseAND(between(e)) == 0) & whole(m, e)))
 
 
-def segment(distinct: DataFrame, vocab: DataFrame, *, longest: int, byte_zero: int, fold: str = "merges") -> DataFrame:
-    """``distinct`` (unit, ...), partitioned by unit, with ids: array<int>."""
+def segment(distinct: DataFrame, vocab: DataFrame, *, longest: int, fold: str = "merges", scores: list[float] | None = None) -> DataFrame:
+    """``distinct`` (unit, ...), partitioned by unit, with ranks: the ranks of its
+    pieces in order, the vocabulary's size where a character has no piece."""
     others = [c for c in distinct.columns if c != "unit"]
     text = F.col("unit")
     n = F.length(text)
-    # Single characters are always edges, so that every unit has a path; those
-    # without a piece have a null id and the worst score.
+    # Single characters are always edges, so that every unit has a path.
     starts = distinct.select("unit", *others, F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     stops = starts.select("*", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, n))).alias("stop"))
     subs = stops.withColumn("piece", F.substring(text, F.col("start") + 1, F.col("stop") - F.col("start")))
-    met = subs.join(F.broadcast(vocab), "piece", "left").where("id is not null or stop = start + 1")
-    edge = F.struct("stop", "start", F.coalesce("score", F.lit(-1e30)).cast("float").alias("score"), "id")
-    lattice = met.groupBy("unit").agg(F.array_sort(F.collect_list(edge)).alias("edges"), *[F.first(c).alias(c) for c in others])
-    folds = {"merges": _merges, "viterbi": _viterbi}
-    chosen = F.array_sort(F.transform(let(F.struct("edges", n.alias("n")), lambda x: folds[fold](x["edges"], x["n"])), lambda e: F.struct(e["start"], e["stop"], e["id"])))
+    met = subs.join(F.broadcast(vocab), "piece", "left").where("rank is not null or stop = start + 1")
+    rank = F.coalesce(F.col("rank"), F.lit(UNKNOWN)).cast("long")
+    # An edge is one long that sorts by rank and start: rank, start, stop.
+    edge = (rank * (1 << 2 * _BITS)) + (F.col("start") * (1 << _BITS)) + F.col("stop")
+    lattice = met.select("unit", *others, edge.alias("e")).groupBy("unit").agg(F.collect_list("e").alias("edges"), *[F.first(c).alias(c) for c in others])
+    folds = {"merges": lambda e, m: _merges(e, m), "viterbi": lambda e, m: _viterbi(e, m, F.lit(scores))}
+    chosen = let(F.struct("edges", n.alias("n")), lambda x: folds[fold](x["edges"], x["n"]))
+    in_order = F.sort_array(F.transform(chosen, lambda e: _start(e).cast("long") * (1 << 32) + _rank(e)))
+    return lattice.select("unit", *others, F.transform(in_order, lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("ranks"))
+
+
+def merge_long(unit: str, ranks: dict[str, int]) -> list[int]:
+    """Ranks of a unit's pieces by merging, for units too long for a mask."""
+    n = len(unit)
+    after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    alive = [True] * n
+    queue = [(ranks[unit[i : i + 2]], i, i + 2) for i in range(n - 1) if unit[i : i + 2] in ranks]
+    heapq.heapify(queue)
+    while queue:
+        _, i, stop = heapq.heappop(queue)
+        j = after[i] if alive[i] else n
+        if j >= n or end[j] != stop or not alive[j]:
+            continue
+        alive[j], end[i], after[i] = False, stop, after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for x, y in ((before[i], i), (i, after[i])):
+            if x >= 0 and y < n and (r := ranks.get(unit[x : end[y]])) is not None:
+                heapq.heappush(queue, (r, x, end[y]))
+    return [ranks.get(unit[i : end[i]], UNKNOWN) for i in range(n) if alive[i]]
+
+
+class _Coder:
+    """Ids of units from ranks, and texts of ids; one per model and process."""
+
+    def __init__(self, path: str):
+        known, byte_zero = vocabulary(path)
+        self.ranks = {p: r for r, (p, _, _) in enumerate(known)}
+        self.id_of = [i for _, i, _ in known]
+        self.byte_zero = byte_zero
+        self.piece: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for p, i, _ in known}
+        self.piece |= {byte_zero + b: bytes([b]) for b in range(256)}
+
+    def ids(self, unit: str, ranks) -> list[int]:
+        if UNKNOWN not in ranks:
+            return [self.id_of[r] for r in ranks]
+        out, at = [], 0
+        for r in ranks:
+            if r == UNKNOWN:
+                out += [self.byte_zero + b for b in unit[at].encode("utf-8", "surrogatepass")]
+                at += 1
+            else:
+                out.append(self.id_of[r])
+                at += len(self.piece[out[-1]].decode())
+        return out
+
+    def text(self, ids) -> str:
+        # The space in front belongs to the encoding, not to the text.
+        return b"".join(map(self.piece.__getitem__, ids))[1:].decode("utf-8", "replace")
 
-    def ids(e):
-        raw = F.encode(F.substring(text, e["start"] + 1, 1), "UTF-8")
-        fallback = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.conv(F.hex(F.substring(raw, i, 1)), 16, 10).cast("int") + byte_zero)
-        return F.when(e["id"].isNull(), fallback).otherwise(F.array(e["id"]))
 
-    return lattice.select("unit", *others, F.flatten(F.transform(chosen, ids)).alias("ids"))
+@lru_cache(maxsize=2)
+def _coder(path: str) -> _Coder:
+    return _Coder(path)
 
 
-def encode(docs: DataFrame, text_col: str = "text", *, model: str = MODEL, fold: str = "merges", docs_per_group: int = DOCS_PER_GROUP) -> DataFrame:
-    """``docs`` with ids, the piece ids of the text column."""
+def encode(docs: DataFrame, text_col: str = "text", *, model: str = MODEL, fold: str = "merges", docs_per_group: int = DOCS_PER_GROUP, restored_col: str | None = None) -> DataFrame:
+    """``docs`` with ids, the piece ids of the text column, and where a name is
+    given for it, whether decoding them gives the text back."""
     check_units(model)
     spark = docs.sparkSession
-    known, byte_zero = vocabulary(model)
+    known, _ = vocabulary(model)
     longest = max(len(p) for p, _, _ in known)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // docs_per_group))
-    dealt = docs.withColumn("_g", F.pmod(F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith(("map", "variant"))]), F.lit(4 * parts)).cast("int")).repartition(parts, "_g")
+    groups = max(1, -(-docs.count() // docs_per_group))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-groups // 8))
+    dealt = docs.withColumn("_g", F.pmod(F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith(("map", "variant"))]), F.lit(max(groups, parts))).cast("int")).repartition(parts, "_g")
 
     def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted: dict[int, set] = {}
         for batch in batches:
             for g, text in zip(batch["_g"], batch[text_col], strict=True):
                 wanted.setdefault(g, set()).update(units(text))
-            if sum(map(len, wanted.values())) > 500_000:
+            if sum(map(len, wanted.values())) > 200_000:
                 yield from given(wanted)
         yield from given(wanted)
 
     def given(wanted: dict[int, set]) -> Iterator[pd.DataFrame]:
         for g in list(wanted):
-            found = list(wanted.pop(g))
+            found = [u for u in wanted.pop(g) if len(u) <= LONGEST_UNIT]
             for at in range(0, len(found), 50_000):
                 yield pd.DataFrame({"unit": found[at : at + 50_000], "g": g})
 
-    wanted = dealt.mapInPandas(asked, "unit string, g int")
+    # More partitions than usual: a unit's lattice is some thirty times its row.
+    wanted = dealt.mapInPandas(asked, "unit string, g int").repartition(4 * parts, "unit")
     distinct = wanted.groupBy("unit").agg(F.collect_set("g").alias("gs"))
-    done = segment(distinct, pieces(spark, model), longest=longest, byte_zero=byte_zero, fold=fold)
-    answers = done.select(F.explode("gs").alias("_g"), "unit", "ids")
+    done = segment(distinct, pieces(spark, model), longest=longest, fold=fold, scores=[s for _, _, s in known] if fold == "viterbi" else None)
+    answers = done.select(F.explode("gs").alias("_g"), "unit", "ranks")
 
     def apply(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        ids = dict(zip(answers["unit"], (x.tolist() for x in answers["ids"]), strict=True))
+        coder = _coder(model)
+        ids = {u: coder.ids(u, r.tolist()) for u, r in zip(answers["unit"], answers["ranks"], strict=True)}
+
+        def of(unit: str) -> list[int]:
+            if (found := ids.get(unit)) is None:
+                found = ids[unit] = coder.ids(unit, merge_long(unit, coder.ranks))
+            return found
+
         out = texts.drop(columns=["_g"])
-        out["ids"] = [None if t is None else [i for u in units(t) for i in ids[u]] for t in texts[text_col]]
+        out["ids"] = [None if t is None else [i for u in units(t) for i in of(u)] for t in texts[text_col]]
+        if restored_col:
+            out[restored_col] = [x is None or coder.text(x) == t for x, t in zip(out["ids"], texts[text_col], strict=True)]
         return out
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return dealt.groupBy("_g").cogroup(answers.groupBy("_g")).applyInPandas(apply, f"{schema}, ids array<int>")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", ids array<int>"
+    schema += f", `{restored_col}` boolean" if restored_col else ""
+    return dealt.groupBy("_g").cogroup(answers.groupBy("_g")).applyInPandas(apply, schema)
 
 
 def decode(encoded: DataFrame, out_col: str = "decoded", *, model: str = MODEL) -> DataFrame:
@@ -195,11 +285,7 @@ def decode(encoded: DataFrame, out_col: str = "decoded", *, model: str = MODEL)
 
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
-        known, byte_zero = vocabulary(model)
-        table: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for p, i, _ in known}
-        table |= {byte_zero + b: bytes([b]) for b in range(256)}
-        one = table.__getitem__
-        # The space in front belongs to the encoding, not to the text.
-        return ids.map(lambda x: None if x is None else b"".join(map(one, x.tolist()))[1:].decode("utf-8", "replace"))
+        coder = _coder(model)
+        return ids.map(lambda x: None if x is None else coder.text(x.tolist()))
 
     return encoded.withColumn(out_col, text("ids"))
