@@ -6,14 +6,11 @@ small id lists that an issue reports.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingspark import dims
 from filingspark.functions import numbers
-from filingspark.operators.facts import fact_values
 from filingspark.operators.statements import find_totals, named
 
 TOLERANCE = 0.02
@@ -74,23 +71,21 @@ def validate_statements(items: DataFrame, totals: DataFrame, tolerance: float =
     return issues, metrics
 
 
-def _issue(df: DataFrame, code: str, severity: str, statement_type, n_facts, detail) -> DataFrame:
-    return df.select("doc_id", F.lit(code).alias("code"), F.lit(severity).alias("severity"), statement_type.alias("statement_type"), n_facts.cast("long").alias("n_facts"), detail.alias("detail"))
-
-
 def validate_facts(docs: DataFrame, facts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, code, severity, statement_type, n_facts, detail) for all twelve
-    codes; a document without facts has facts_missing alone."""
-    k, c = F.col("statement_type"), dims.canonical(F.col("concept"))
-    known = facts.where(k.isin(*dims.CRITICAL))
-    none = F.lit(None).cast("string")
-    out = [_issue(docs.select("doc_id").join(facts.select("doc_id"), "doc_id", "left_anti"), "facts_missing", "high", none, F.lit(0), none)]
+    codes; a document without facts has facts_missing alone.
 
+    Every other check looks at one statement, so one aggregation on (doc_id,
+    statement_type) serves them all; what it collects are a statement's concepts.
+    """
+    k, c = F.col("statement_type"), dims.canonical(F.col("concept"))
     expected = F.lit(None).cast("array<string>")
     for kind, concepts in dims.CRITICAL.items():
         expected = F.when(k == kind, F.array(*map(F.lit, concepts))).otherwise(expected)
-    per_kind = known.groupBy("doc_id", "statement_type").agg(
-        F.collect_set(c).alias("held"),
+    known = facts.withColumn("_canonical", c)
+    first = lambda concept: F.min_by(F.when((c == concept) & F.col("value").isNotNull(), F.col("value")), F.when((c == concept) & F.col("value").isNotNull(), F.col("fact_ord")))
+    s = known.groupBy("doc_id", "statement_type").agg(
+        F.collect_set("_canonical").alias("held"),
         F.count_distinct("period_end").alias("n_ends"),
         F.count_if((F.col("period_type") != "unknown") & (F.col("period_type") != F.when(k == "balance", "instant").otherwise("duration"))).alias("n_wrong"),
         F.array_sort(F.collect_set(F.nullif("currency", F.lit("")))).alias("currencies"),
@@ -98,33 +93,41 @@ def validate_facts(docs: DataFrame, facts: DataFrame, tolerance: float = TOLERAN
         F.count_distinct("scale").alias("n_scales"),
         F.count("scale").alias("n_scale"),
         F.count("*").alias("n"),
+        F.collect_list(F.struct("_canonical", "period_start", "period_end")).alias("keys"),
+        F.collect_list(F.struct("_canonical", (F.size("source_refs") > 0).alias("cited"))).alias("refs"),
+        *[first(concept).alias(concept) for concept in ("total_assets", "total_liabilities", "total_equity", "operating_cash_flow", "capex")],
     )
-    missing = F.array_except(expected, "held")
-    out += [
-        _issue(per_kind.withColumn("m", missing).where("size(m) > 0"), "missing_critical_facts", "high", k, F.lit(0), F.array_join("m", ",")),
-        _issue(per_kind.where("n_ends > 1"), "period_inconsistency", "high", k, F.col("n"), none),
-        _issue(per_kind.where("n_wrong > 0"), "period_type_inconsistency", "high", k, F.col("n_wrong"), none),
-        _issue(per_kind.where("size(currencies) > 1"), "currency_inconsistency", "medium", k, F.col("n_currency"), F.array_join("currencies", ",")),
-        _issue(per_kind.where("n_scales > 1"), "scale_inconsistency", "medium", k, F.col("n_scale"), none),
-    ]
-    twins = facts.groupBy("doc_id", "statement_type", c.alias("canonical"), "period_start", "period_end").agg(F.count("*").alias("n")).where("n > 1")
-    out.append(_issue(twins, "duplicate_concepts", "medium", k, F.col("n"), F.col("canonical")))
-    critical = reduce(lambda a, b: a | b, [(k == kind) & c.isin(*names) for kind, names in dims.CRITICAL.items()])
-    bare = known.where(critical).groupBy("doc_id", "statement_type", c.alias("canonical")).agg(F.count("*").alias("n"), F.bool_or(F.size("source_refs") > 0).alias("cited")).where("not cited")
-    out.append(_issue(bare, "missing_source_refs", "high", k, F.col("n"), F.col("canonical")))
-
-    v = fact_values(facts, _FACTS).join(facts.groupBy("doc_id").agg(F.bool_or(k == "balance").alias("has_balance"), F.bool_or(k == "cashflow").alias("has_cashflow")), "doc_id")
-    whole = F.col("assets").isNotNull() & F.col("liabilities").isNotNull() & F.col("equity").isNotNull()
-    off = F.abs(F.col("assets") - (F.col("liabilities") + F.col("equity"))) / F.greatest(F.abs("assets"), F.lit(1.0))
-    balance, cash = v.where("has_balance"), v.where("has_cashflow")
-    both = F.col("ocf").isNotNull() & F.col("capex").isNotNull()
-    out += [
-        _issue(balance.where(~whole), "balance_equation_missing_facts", "high", F.lit("balance"), F.lit(0), none),
-        _issue(balance.where(whole & (off >= tolerance)), "balance_equation_failed", "high", F.lit("balance"), F.lit(0), none),
-        _issue(cash.where(~both), "cashflow_reconciliation_missing_facts", "medium", F.lit("cashflow"), F.lit(0), none),
-        _issue(cash.where(both & (F.col("capex") > 0)), "cashflow_reconciliation_failed", "medium", F.lit("cashflow"), F.lit(0), none),
-    ]
-    return reduce(DataFrame.unionByName, out)
+    s = s.withColumn("expected", expected).withColumn("missing", F.array_except("expected", "held"))
+    row = lambda code, severity, n, detail: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), n.cast("long").alias("n_facts"), detail.alias("detail"))
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+    whole = F.col("total_assets").isNotNull() & F.col("total_liabilities").isNotNull() & F.col("total_equity").isNotNull()
+    off = F.abs(F.col("total_assets") - (F.col("total_liabilities") + F.col("total_equity"))) / F.greatest(F.abs("total_assets"), F.lit(1.0))
+    both = F.col("operating_cash_flow").isNotNull() & F.col("capex").isNotNull()
+    of_kind = F.col("expected").isNotNull()
+    single = F.array(
+        F.when(of_kind & (F.size("missing") > 0), row("missing_critical_facts", "high", zero, F.array_join("missing", ","))),
+        F.when(of_kind & (F.col("n_ends") > 1), row("period_inconsistency", "high", F.col("n"), none)),
+        F.when(of_kind & (F.col("n_wrong") > 0), row("period_type_inconsistency", "high", F.col("n_wrong"), none)),
+        F.when(of_kind & (F.size("currencies") > 1), row("currency_inconsistency", "medium", F.col("n_currency"), F.array_join("currencies", ","))),
+        F.when(of_kind & (F.col("n_scales") > 1), row("scale_inconsistency", "medium", F.col("n_scale"), none)),
+        F.when((k == "balance") & ~whole, row("balance_equation_missing_facts", "high", zero, none)),
+        F.when((k == "balance") & whole & (off >= tolerance), row("balance_equation_failed", "high", zero, none)),
+        F.when((k == "cashflow") & ~both, row("cashflow_reconciliation_missing_facts", "medium", zero, none)),
+        F.when((k == "cashflow") & both & (F.col("capex") > 0), row("cashflow_reconciliation_failed", "medium", zero, none)),
+    )
+    twins = F.filter(
+        F.transform(F.array_distinct("keys"), lambda x: F.struct(x["_canonical"].alias("c"), F.size(F.filter("keys", lambda y: y.eqNullSafe(x))).alias("n"))),
+        lambda t: t["n"] > 1,
+    )
+    about = F.filter("expected", lambda e: F.exists("refs", lambda r: r["_canonical"] == e) & ~F.exists("refs", lambda r: (r["_canonical"] == e) & r["cited"]))
+    found = F.concat(
+        F.array_compact(single),
+        F.transform(twins, lambda t: row("duplicate_concepts", "medium", t["n"], t["c"])),
+        F.coalesce(F.transform(about, lambda e: row("missing_source_refs", "high", F.size(F.filter("refs", lambda r: r["_canonical"] == e)), e)), F.array()),
+    )
+    issues = s.select("doc_id", "statement_type", F.explode(found).alias("i")).select("doc_id", "i.code", "i.severity", "statement_type", "i.n_facts", "i.detail")
+    bare = docs.select("doc_id").join(facts.select("doc_id"), "doc_id", "left_anti")
+    return issues.unionByName(bare.select("doc_id", F.lit("facts_missing").alias("code"), F.lit("high").alias("severity"), none.alias("statement_type"), F.lit(0).cast("long").alias("n_facts"), none.alias("detail")))
 
 
 def fact_metrics(docs: DataFrame, facts: DataFrame) -> DataFrame:
