@@ -12,9 +12,10 @@ of its lattice, and Spark's higher-order ``aggregate`` folds them to pieces:
   leftmost first, until there is none, for BPE models, whose scores are merge
   ranks: sums of ranks would prefer many short pieces to what the model means.
 
-Characters without a piece become byte pieces. Texts are grouped by hash once;
-each group asks for its distinct units and gets their ids back, so that neither
-tokens nor the dictionary, both growing with the corpus, meet in one place.
+Characters without a piece become byte pieces. Texts travel in compressed packs
+of bounded size; each pack asks for its distinct units and gets their pieces
+back, so that neither tokens nor the dictionary, both growing with the corpus,
+meet in one place.
 
 Defined cases: null text has no ids (null array, decodes to null); empty text
 has none; a space mark in a text decodes to a space, as it does in the library;
@@ -31,12 +32,16 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import let
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-DOCS_PER_GROUP = 1_000
+PACK_ROWS = 5_000
+PACK_BYTES = 1 << 24
+PACK_LEVEL = 6
 #: Units up to this length go through the lattice; a mask of ends fits a long.
 #: Longer ones, runs of one character mostly, are merged where they occur.
 LONGEST_UNIT = 60
@@ -228,56 +233,91 @@ def _coder(path: str) -> _Coder:
     return _Coder(path)
 
 
-def encode(docs: DataFrame, text_col: str = "text", *, model: str = MODEL, fold: str = "merges", docs_per_group: int = DOCS_PER_GROUP, restored_col: str | None = None) -> DataFrame:
+def _packs(batch) -> Iterator:
+    """(number, slice) of an Arrow batch: bounded slices of rows, numbered by
+    their content, so that every pass over the table numbers them alike."""
+    import xxhash
+
+    at = 0
+    sizes = batch.column("_text_bytes").to_pylist()
+    while at < batch.num_rows:
+        stop, held = at, 0
+        while stop < batch.num_rows and stop - at < PACK_ROWS and (held == 0 or held + sizes[stop] <= PACK_BYTES):
+            held += sizes[stop] + 1
+            stop += 1
+        piece = batch.slice(at, stop - at)
+        digest = xxhash.xxh64()
+        for value in piece.column("_text").to_pylist():
+            digest.update(b"\0" if value is None else value.encode("utf-8", "surrogatepass"))
+        yield digest.intdigest() - (1 << 63), piece
+        at = stop
+
+
+def encode(docs: DataFrame, text_col: str = "text", *, model: str = MODEL, fold: str = "merges", restored_col: str | None = None) -> DataFrame:
     """``docs`` with ids, the piece ids of the text column, and where a name is
     given for it, whether decoding them gives the text back."""
+    import pyarrow as pa
+
     check_units(model)
     spark = docs.sparkSession
     known, _ = vocabulary(model)
     longest = max(len(p) for p, _, _ in known)
-    groups = max(1, -(-docs.count() // docs_per_group))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-groups // 8))
-    dealt = docs.withColumn("_g", F.pmod(F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith(("map", "variant"))]), F.lit(max(groups, parts))).cast("int")).repartition(parts, "_g")
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sized = docs.withColumn("_text", F.col(text_col)).withColumn("_text_bytes", F.coalesce(F.octet_length(text_col), F.lit(0)))
+    own = list(docs.columns)
 
-    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted: dict[int, set] = {}
+    def asked(batches: Iterator) -> Iterator:
+        """The distinct units of every pack, sorted, as they pack better so."""
+        for batch in batches:
+            for g, piece in _packs(batch):
+                found = sorted({u for t in piece.column("_text").to_pylist() for u in units(t or "") if len(u) <= LONGEST_UNIT})
+                for at in range(0, len(found), 50_000):
+                    part = found[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([g] * len(part), pa.int64())], ["unit", "g"])
+
+    def packed(batches: Iterator) -> Iterator:
+        """Every pack as one compressed row."""
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", PACK_LEVEL))
         for batch in batches:
-            for g, text in zip(batch["_g"], batch[text_col], strict=True):
-                wanted.setdefault(g, set()).update(units(text))
-            if sum(map(len, wanted.values())) > 200_000:
-                yield from given(wanted)
-        yield from given(wanted)
-
-    def given(wanted: dict[int, set]) -> Iterator[pd.DataFrame]:
-        for g in list(wanted):
-            found = [u for u in wanted.pop(g) if len(u) <= LONGEST_UNIT]
-            for at in range(0, len(found), 50_000):
-                yield pd.DataFrame({"unit": found[at : at + 50_000], "g": g})
+            for g, piece in _packs(batch):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, piece.select(own).schema, options=options) as out:
+                    out.write_batch(piece.select(own))
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["g", "payload"])
 
     # More partitions than usual: a unit's lattice is some thirty times its row.
-    wanted = dealt.mapInPandas(asked, "unit string, g int").repartition(4 * parts, "unit")
+    wanted = sized.mapInArrow(asked, "unit string, g long").repartition(parts, "unit")
     distinct = wanted.groupBy("unit").agg(F.collect_set("g").alias("gs"))
     done = segment(distinct, pieces(spark, model), longest=longest, fold=fold, scores=[s for _, _, s in known] if fold == "viterbi" else None)
-    answers = done.select(F.explode("gs").alias("_g"), "unit", "ranks")
+    answers = done.select(F.explode("gs").alias("g"), "unit", "ranks")
+    payloads = sized.mapInArrow(packed, "g long, payload binary")
 
-    def apply(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    def apply(payloads, answers):
         coder = _coder(model)
-        ids = {u: coder.ids(u, r.tolist()) for u, r in zip(answers["unit"], answers["ranks"], strict=True)}
+        ranks = answers.column("ranks").to_pylist()
+        ids = {u: coder.ids(u, r) for u, r in zip(answers.column("unit").to_pylist(), ranks, strict=True)}
+        del ranks
 
         def of(unit: str) -> list[int]:
-            if (found := ids.get(unit)) is None:
+            if (found := ids.get(unit)) is None:  # too long for the lattice
                 found = ids[unit] = coder.ids(unit, merge_long(unit, coder.ranks))
             return found
 
-        out = texts.drop(columns=["_g"])
-        out["ids"] = [None if t is None else [i for u in units(t) for i in of(u)] for t in texts[text_col]]
-        if restored_col:
-            out[restored_col] = [x is None or coder.text(x) == t for x, t in zip(out["ids"], texts[text_col], strict=True)]
-        return out
+        tables = []
+        for payload in payloads.column("payload"):
+            table = pa.ipc.open_stream(payload.as_buffer()).read_all()
+            texts = table.column(text_col).to_pylist()
+            coded = [None if t is None else [i for u in units(t) for i in of(u)] for t in texts]
+            table = table.append_column("ids", pa.array(coded, pa.list_(pa.int32())))
+            if restored_col:
+                table = table.append_column(restored_col, pa.array([x is None or coder.text(x) == t for x, t in zip(coded, texts, strict=True)]))
+            tables.append(table)
+        return pa.concat_tables(tables) if tables else target.empty_table()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", ids array<int>"
     schema += f", `{restored_col}` boolean" if restored_col else ""
-    return dealt.groupBy("_g").cogroup(answers.groupBy("_g")).applyInPandas(apply, schema)
+    target = to_arrow_schema(T._parse_datatype_string(schema))
+    return payloads.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(apply, schema)
 
 
 def decode(encoded: DataFrame, out_col: str = "decoded", *, model: str = MODEL) -> DataFrame:
