@@ -77,7 +77,7 @@ def estimated_tokens(text: Column) -> Column:
     return ((F.length(text) - other) / 1.5 + other / 4).cast("int")
 
 
-def truncated(text: Column, max_tokens: int, steps: int = 60) -> Column:
+def truncated(text: Column, max_tokens, steps: int = 60) -> Column:
     """The text, else its longest cut of 0.9**k of its length that fits."""
     cuts = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: F.left(text, F.floor(F.length(text) * F.pow(F.lit(0.9), k)).cast("int")))
     return F.filter(cuts, lambda c: estimated_tokens(c) <= max_tokens)[0]
