@@ -45,13 +45,18 @@ def first_word(text: Column, needles) -> Column:
     return F.coalesce(*[F.when(text.contains(n), F.lit(n)) for n in needles])
 
 
+def stripped(x: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def is_heading(line: Column) -> Column:
     return F.trim(line).rlike(HEADING)
 
 
 def is_sparse_page(text: Column, n_images: Column) -> Column:
     """A page of images with next to no text, for character recognition."""
-    return (F.length(F.trim(F.coalesce(text, F.lit("")))) < 20) & (n_images > 0)
+    return (F.length(stripped(F.coalesce(text, F.lit("")))) < 20) & (n_images > 0)
 
 
 def safe_id(x: Column) -> Column:
@@ -64,7 +69,7 @@ def safe_filename(x: Column) -> Column:
 
 def quote(text: Column) -> Column:
     """First line of a text, at most 200 characters."""
-    return F.left(F.split(F.trim(text), "\n")[0], F.lit(200))
+    return F.left(F.split(stripped(text), "\n")[0], F.lit(200))
 
 
 def label_key(label: Column) -> Column:

@@ -57,7 +57,9 @@ def markdown(grid: Column) -> Column:
 
 
 def grids(cells: DataFrame) -> DataFrame:
-    """(doc_id, table_ord, n_rows, n_cols, grid): dense, empty cells as ''."""
+    """(doc_id, table_ord, n_rows, n_cols, grid): dense, empty cells as ''; of
+    several texts for one place the greatest."""
+    cells = cells.groupBy("doc_id", "table_ord", "row", "col").agg(F.max("text").alias("text"))
     rows = cells.groupBy("doc_id", "table_ord", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m"), F.max("col").alias("c"))
     t = rows.groupBy("doc_id", "table_ord").agg(F.map_from_entries(F.collect_list(F.struct("row", "m"))).alias("rows"), (F.max("row") + 1).alias("n_rows"), (F.max("c") + 1).alias("n_cols"))
     dense = F.transform(F.sequence(F.lit(0), F.col("n_rows") - 1), lambda r: F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda c: F.coalesce(F.element_at(F.element_at("rows", r), c), F.lit(""))))

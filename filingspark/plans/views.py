@@ -78,12 +78,13 @@ select d.doc_id, cast(n.page_number as int) as page_number, substring(d.text, ca
 from {documents} d join (select 1 as page_number union all select 2 union all select 3 union all select 4) n
   on d.text is not null and length(d.text) > (n.page_number - 1) * 700""",
     "v_cells": """
-select cast(l_orderkey as string) as doc_id, 0 as table_ord, cast(l_linenumber - 1 as int) as row, c.col,
-  case c.col when 0 then case l_linenumber when 1 then 'Revenue' when 2 then 'Cost of sales' when 3 then '净利润' else l_returnflag end
-    when 1 then case l_linenumber % 4 when 0 then concat('(', cast(cast(l_quantity as int) as string), ',000)') when 1 then concat('$', cast(cast(l_quantity as int) as string), '万')
+select cast(l_orderkey as string) as doc_id, 0 as table_ord, cast(n - 1 as int) as row, c.col,
+  case c.col when 0 then case n when 1 then 'Revenue' when 2 then 'Cost of sales' when 3 then '净利润' else l_returnflag end
+    when 1 then case n % 4 when 0 then concat('(', cast(cast(l_quantity as int) as string), ',000)') when 1 then concat('$', cast(cast(l_quantity as int) as string), '万')
       when 2 then concat(cast(cast(l_quantity as int) as string), '.5%') else concat('△', cast(cast(l_quantity as int) as string)) end
     else l_linestatus end as text
-from {lineitem} cross join (select 0 as col union all select 1 union all select 2) c""",
+from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_returnflag, l_linestatus) as n from {lineitem}) l
+cross join (select 0 as col union all select 1 union all select 2) c""",
     "v_corrections": """
 select event_id as corr_ord, user_id, case event_type when 'click' then 'value' when 'view' then 'label' when 'purchase' then 'evidence' else 'colour' end as field_name,
   event_type, value, ts from {events}""",

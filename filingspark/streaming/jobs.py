@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,6 +62,20 @@ def run_metrics(log: DataFrame, delay: str = "10 minutes", window: str = "1 day"
     return agg.select(F.col("w.start").alias("start"), "label", "n", F.col("total").cast("double").alias("total"))
 
 
+def finished(stream: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over what is there and gives its output as a table, written
+    beside the session's checkpoints."""
+    spark = stream.sparkSession
+    home = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stream-")).rstrip("/")
+    folder = f"{home}/stream-{uuid.uuid4().hex}"
+    if mode == "complete":
+        out = stream.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{folder}/out"))
+    else:
+        out = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out")
+    out.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def follow_status(events: DataFrame, read, write, checkpoint: str):
     """Starts the stream that keeps task status: each batch is merged with what
     ``read()`` gives and handed to ``write(df)``."""
