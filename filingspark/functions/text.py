@@ -142,5 +142,5 @@ def json_candidate(text: Column) -> Column:
     """JSON inside model text: the text, a fenced block, the outermost object or list."""
     fence = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     tried = [text, fence, F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.regexp_extract(text, r"(?s)(\[.*\])", 1)]
-    container = [F.when(F.trim(t).rlike(r"^[\[{]") & F.call_function("try_parse_json", t).isNotNull(), F.trim(t)) for t in tried]
+    container = [F.when(stripped(t).rlike(r"^[\[{]") & F.call_function("try_parse_json", t).isNotNull(), stripped(t)) for t in tried]
     return F.coalesce(*container)

@@ -46,8 +46,10 @@ def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_records(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(valid, quarantined) rows of JSON lines under a declared schema."""
-    raw = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("mode", "PERMISSIVE").json(path)
-    return raw.where("_corrupt is null").drop("_corrupt"), raw.where("_corrupt is not null").select("_corrupt")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    raw = spark.read.text(path).select("value", F.from_json("value", f"{schema}, _corrupt string", options).alias("r"))
+    bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    return raw.where(~bad).select("r.*").drop("_corrupt"), raw.where(bad).select(F.col("value").alias("_corrupt"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict[str, DataFrame]:
