@@ -112,7 +112,7 @@ def ratio_model(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prio
     )
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").fillna(0.0)
     rows = F.array_sort(F.collect_list(F.struct("b", "raw", "target")))
-    model = every.agg(rows.alias("rows"), (F.sum("target") / F.sum("raw")).alias("share"))
+    model = every.agg(rows.alias("rows"), F.try_divide(F.sum("target"), F.sum("raw")).alias("share"))
 
     def ratios(m):
         share = m["share"]
