@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import durable, small_side
+
 DOCS_PER_LANG = 400
 SAMPLE_CHARS = 4000
 DICT_BYTES = 1 << 17
@@ -40,13 +42,22 @@ def letters(text: str | None) -> str:
 def train(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG, sample_chars: int = SAMPLE_CHARS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Language to dictionary content, from (text, lang). What reaches the driver
     is bounded by ``docs_per_lang * sample_chars`` per language."""
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    labelled = docs.where("lang is not null").select("lang", "text")
+    counts = small_side(durable(labelled.groupBy("lang").agg(F.count("*").alias("n"))), 10_000)
+    # Only texts of small hash can be among the first; what is shuffled is some
+    # four times the sample, however large the table.
+    space = 1 << 30
+    cut = F.least(F.lit(float(space)), F.lit(4.0 * docs_per_lang * space) / F.col("n"))
+    rank = Window.partitionBy("lang").orderBy("h", "text")
     sample = (
-        docs.where("lang is not null and text is not null")
-        .select("lang", "text")
+        labelled.where("text is not null")
+        .withColumn("h", F.pmod(F.xxhash64("text"), F.lit(space)))
+        .join(counts, "lang")
+        .where(F.col("h") < cut)
+        .select("lang", "h", F.substring("text", 1, sample_chars).alias("text"))
         .withColumn("rank", F.row_number().over(rank))
         .where(F.col("rank") <= docs_per_lang)
-        .select("lang", "rank", F.substring("text", 1, sample_chars).alias("text"))
+        .select("lang", "text")
     )
     texts: dict[str, list[str]] = {}
     for row in sample.collect():
