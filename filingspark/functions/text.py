@@ -17,7 +17,7 @@ AUDIT_MEDIUM = ("强调事项", "going concern", "material uncertainty")
 HEADING = r"^(\d+\.|[IVX]+\.|[A-Z][A-Za-z\s]{2,}|[一二三四五六七八九十]+[、.]|（[一二三四五六七八九十]+）|第[一二三四五六七八九十\d]+[章节篇部分条])"
 COMPANY_SUFFIX = r"(?i)\b(Inc\.|Corporation|Corp\.|Company|Co\.|Limited|Ltd\.|Holdings|Group|PLC|S\.A\.)(?=$|[\s,])"
 FILENAME_NOISE = r"(?i)\b(FY\d{2,4}|FY|Q[1-4]|\d{2,4}|annual|quarterly|report|financial|statements|consolidated)\b"
-CJK = r"[一-鿿]"
+CJK = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}]"
 SAFE_ID = r"^[a-zA-Z0-9_\-]+$"
 
 

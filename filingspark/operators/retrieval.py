@@ -26,15 +26,15 @@ def token_search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     included, over log10 of the passage's length; ties to the smaller id. A query
     that nothing matches gets the first k passages with score 0."""
     q = queries.select("query_id", F.explode(text.tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    q = F.broadcast(q.limit(MAX_QUERIES * 1_000))
     tokens = text.tokens(F.col("text"))
     d = corpus.select("doc_id", tokens.alias("t")).select("doc_id", F.size("t").alias("n"), F.explode(F.array_distinct("t")).alias("token"))
     hits = d.join(q, "token").groupBy("query_id", "doc_id").agg(F.sum("times").alias("overlap"), F.first("n").alias("n"))
     scored = hits.select("query_id", "doc_id", (F.col("overlap") / F.greatest(F.log10(F.col("n") + 1), F.lit(1.0))).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    first = corpus.select("doc_id").orderBy("doc_id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy("doc_id")))
-    lost = queries.select("query_id").join(top.select("query_id").distinct(), "query_id", "left_anti").crossJoin(F.broadcast(first))
+    first = corpus.select("doc_id").orderBy("doc_id").limit(k).agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).scalar()
+    lost = queries.select("query_id").join(top.select("query_id").distinct(), "query_id", "left_anti").withColumn("ids", first)
+    lost = lost.select("query_id", F.posexplode("ids").alias("pos", "doc_id")).withColumn("rank", F.col("pos") + 1)
     return top.select("query_id", "rank", "doc_id", "score").unionByName(lost.select("query_id", "rank", "doc_id", F.lit(0.0).alias("score")))
 
 
@@ -43,7 +43,8 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     exact; the query set reaches the rows as one array."""
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.greatest(norm(c), F.lit(1e-12)))
-    q = queries.limit(MAX_QUERIES).select("query_id", unit(F.col("embedding")).alias("v")).agg(F.collect_list(F.struct("query_id", "v")).alias("q"))
+    q = queries.select("query_id", unit(F.col("embedding")).alias("v")).agg(F.collect_list(F.struct("query_id", "v")).alias("q"))
+    q = q.select(F.when(F.size("q") <= MAX_QUERIES, F.col("q")).otherwise(F.raise_error(F.lit("too many queries for one array")).cast(dict(q.dtypes)["q"])).alias("q"))
     v = vectors.select("doc_id", unit(F.col("embedding")).alias("v")).withColumn("q", q.scalar())
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     scored = v.select("doc_id", "v", F.explode("q").alias("q")).select("doc_id", F.col("q.query_id").alias("query_id"), dot(F.col("v"), F.col("q.v")).alias("score"))

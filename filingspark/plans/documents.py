@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingspark.functions import text
-from filingspark.operators import chunks, evaluate, listing, page_sets, retrieval, signals, statements, tables
+from filingspark.operators import chunks, evaluate, listing, page_sets, records, retrieval, signals, statements, tables
 from filingspark.plans import filings
 from filingspark.plans.views import line_items, oracle, view
 from filingspark.streaming import jobs
@@ -43,7 +43,7 @@ def page_quotes(spark, d):
     return view(spark, d, "v_pages").select("doc_id", "page_number", text.quote(F.col("text")).alias("quote"))
 
 
-@query("token_estimates", oracle("select doc_id, cast(sum(cast(trunc((length(text) - length(o)) / 1.5::double + length(o) / 4::double) as int)) as bigint) as tokens from (select *, regexp_replace(text, '[一-鿿]', '', 'g') as o from v_pages) p group by doc_id", "v_pages"))
+@query("token_estimates", oracle("select doc_id, cast(sum(cast(trunc((length(text) - length(o)) / 1.5::double + length(o) / 4::double) as int)) as bigint) as tokens from (select *, regexp_replace(text, '[\\x{4e00}-\\x{9fff}\\x{3400}-\\x{4dbf}\\x{f900}-\\x{faff}]', '', 'g') as o from v_pages) p group by doc_id", "v_pages"))
 def token_estimates(spark, d):
     return view(spark, d, "v_pages").groupBy("doc_id").agg(F.sum(text.estimated_tokens(F.col("text"))).alias("tokens"))
 
@@ -475,3 +475,36 @@ def limitations(spark, d):
 @query("reports")
 def reports(spark, d):
     return listing.markdown_report(filings._docs(spark, d), filings.core_metrics(spark, d), filings._signals(spark, d))
+
+
+def _model_text(c: DataFrame) -> DataFrame:
+    """Conversations as model text: bundles of notes, some of them invalid."""
+    kind = F.when(F.col("turn") % 2 == 0, "other").otherwise("gossip")
+    note = F.struct(kind.alias("note_type"), F.coalesce("text", F.lit("")).alias("summary"))
+    as_list = F.to_json(F.array(note, F.struct(F.lit("guidance").alias("note_type"), F.lit("x").alias("summary"))))
+    as_object = F.to_json(F.struct(F.array(note).alias("notes")))
+    return c.select("conv_id", "turn", F.when(F.col("conv_id") % 2 == 0, as_list).otherwise(F.concat(F.lit("```json\n"), as_object, F.lit("\n```"))).alias("raw"))
+
+
+@query("note_bundles", "select conv_id, turn, case when conv_id % 2 = 0 then case when turn % 2 = 0 then 2 else 1 end else case when turn % 2 = 0 then 1 else 0 end end as n_notes from conversations")
+def note_bundles(spark, d):
+    return _model_text(_read(spark, d, "conversations")).select("conv_id", "turn", F.size(records.notes_of(F.col("raw"))).alias("n_notes"))
+
+
+@query("repaired_statements", oracle(f"{filings.ITEMS}, k as (select doc_id, statement_type, count(*) as n from items where supplier % 4 > 0 or statement_type <> 'cashflow' group by all) select s.doc_id, s.statement_type, coalesce(n, 1) as n_items, coalesce(n, 0) = 0 as placeholder from v_statements s left join k on s.doc_id = k.doc_id and s.statement_type = k.statement_type", "v_line_items", "v_statements"))
+def repaired_statements(spark, d):
+    items = line_items(spark, d).where("supplier % 4 > 0 or statement_type <> 'cashflow'")
+    pages = view(spark, d, "v_pages").withColumn("doc_id", F.col("doc_id").cast("string"))
+    r = records.repaired(view(spark, d, "v_statements"), items, pages)
+    return r.groupBy("doc_id", "statement_type").agg(F.count("*").alias("n_items"), F.bool_or(F.col("name_raw") == "unknown").alias("placeholder"))
+
+
+@query("high_signals", oracle(f"{filings.SIGNALS} select * from sig where severity = 'high'", "v_line_items"))
+def high_signals(spark, d):
+    return records.filtered_signals(filings.risk_signals(spark, d), severity="high")
+
+
+@query("safe_names", "select doc_id, regexp_matches(source, '^[a-zA-Z0-9_\\-]+$') as safe, substr(regexp_replace(concat(source, ' ', lang, '.pdf'), '[^\\w.\\-]', '_', 'g'), 1, 128) as filename from documents")
+def safe_names(spark, d):
+    docs = _read(spark, d, "documents")
+    return docs.select("doc_id", text.safe_id(F.col("source")).alias("safe"), text.safe_filename(F.concat("source", F.lit(" "), "lang", F.lit(".pdf"))).alias("filename"))
