@@ -8,7 +8,7 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, kept = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF).localCheckpoint()
+        docs = stage(spark, docs, SF).checkpoint()
         assert docs.columns == columns, name
         kept[name] = docs.collect()
     ids = [r.doc_id for r in kept["near dedup"]]
