@@ -28,7 +28,9 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -206,6 +208,7 @@ class _Coder:
         known, byte_zero = vocabulary(path)
         self.ranks = {p: r for r, (p, _, _) in enumerate(known)}
         self.id_of = [i for _, i, _ in known]
+        self.id_array = np.array(self.id_of, "i4")
         self.byte_zero = byte_zero
         self.piece: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for p, i, _ in known}
         self.piece |= {byte_zero + b: bytes([b]) for b in range(256)}
@@ -228,11 +231,43 @@ class _Coder:
         return b"".join(map(self.piece.__getitem__, ids))[1:].decode("utf-8", "replace")
 
 
+class _Known(dict):
+    """Ids by unit; those too long for the lattice are merged when first met."""
+
+    def __init__(self, coder: _Coder):
+        super().__init__()
+        self.coder = coder
+
+    def learn(self, answers) -> None:
+        """Takes in answered units (unit, ranks)."""
+        units_, ranks = answers.column("unit").to_pylist(), answers.column("ranks").combine_chunks()
+        flat, ends = ranks.values.to_numpy(), ranks.offsets.to_numpy()
+        known = flat != UNKNOWN
+        ids = self.coder.id_array[np.where(known, flat, 0)].tolist()
+        self.update({u: ids[a:b] for u, a, b in zip(units_, ends[:-1].tolist(), ends[1:].tolist(), strict=True)})
+        for row in np.unique(np.searchsorted(ends, np.flatnonzero(~known), side="right") - 1):
+            self[units_[row]] = self.coder.ids(units_[row], flat[ends[row] : ends[row + 1]].tolist())
+
+    def __missing__(self, unit: str) -> list[int]:
+        found = self[unit] = self.coder.ids(unit, merge_long(unit, self.coder.ranks))
+        return found
+
+
 @lru_cache(maxsize=2)
 def _coder(path: str) -> _Coder:
     return _Coder(path)
 
 
+def _frozen(rows) -> bytes:
+    """An Arrow batch or table as one compressed stream."""
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", PACK_LEVEL))) as out:
+        out.write(rows)
+    return sink.getvalue().to_pybytes()
+
+
 def _packs(batch) -> Iterator:
     """(number, slice) of an Arrow batch: bounded slices of rows, numbered by
     their content, so that every pass over the table numbers them alike."""
@@ -257,6 +292,7 @@ def encode(docs: DataFrame, text_col: str = "text", *, model: str = MODEL, fold:
     """``docs`` with ids, the piece ids of the text column, and where a name is
     given for it, whether decoding them gives the text back."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     check_units(model)
     spark = docs.sparkSession
@@ -270,45 +306,57 @@ def encode(docs: DataFrame, text_col: str = "text", *, model: str = MODEL, fold:
         """The distinct units of every pack, sorted, as they pack better so."""
         for batch in batches:
             for g, piece in _packs(batch):
-                found = sorted({u for t in piece.column("_text").to_pylist() for u in units(t or "") if len(u) <= LONGEST_UNIT})
+                seen: set[str] = set()
+                for text in piece.column("_text").to_pylist():
+                    seen.update(units(text or ""))
+                found = sorted(u for u in seen if len(u) <= LONGEST_UNIT)
                 for at in range(0, len(found), 50_000):
                     part = found[at : at + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([g] * len(part), pa.int64())], ["unit", "g"])
 
     def packed(batches: Iterator) -> Iterator:
         """Every pack as one compressed row."""
-        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", PACK_LEVEL))
         for batch in batches:
             for g, piece in _packs(batch):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, piece.select(own).schema, options=options) as out:
-                    out.write_batch(piece.select(own))
-                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["g", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([_frozen(piece.select(own))], pa.binary())], ["g", "payload"])
 
     # More partitions than usual: a unit's lattice is some thirty times its row.
     wanted = sized.mapInArrow(asked, "unit string, g long").repartition(parts, "unit")
-    distinct = wanted.groupBy("unit").agg(F.collect_set("g").alias("gs"))
+    distinct = wanted.groupBy("unit").agg(F.collect_list("g").alias("gs"))
     done = segment(distinct, pieces(spark, model), longest=longest, fold=fold, scores=[s for _, _, s in known] if fold == "viterbi" else None)
-    answers = done.select(F.explode("gs").alias("g"), "unit", "ranks")
+
+    def dealt(batches: Iterator) -> Iterator:
+        """What a partition answers, as one compressed row for each pack."""
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        held = pa.Table.from_batches(held).combine_chunks()
+        gs = held.column("gs").combine_chunks()
+        parent, g = pc.list_parent_indices(gs).to_numpy(), pc.list_flatten(gs).to_numpy()
+        order = np.argsort(g, kind="stable")
+        cuts = np.flatnonzero(np.diff(g[order])) + 1
+        for part in np.split(order, cuts):
+            rows = held.select(["unit", "ranks"]).take(pa.array(parent[part])).combine_chunks()
+            yield pa.RecordBatch.from_arrays([pa.array([int(g[part[0]])], pa.int64()), pa.array([_frozen(rows)], pa.binary())], ["g", "answers"])
+
+    answers = done.select("unit", "gs", "ranks").mapInArrow(dealt, "g long, answers binary")
     payloads = sized.mapInArrow(packed, "g long, payload binary")
 
     def apply(payloads, answers):
         coder = _coder(model)
-        ranks = answers.column("ranks").to_pylist()
-        ids = {u: coder.ids(u, r) for u, r in zip(answers.column("unit").to_pylist(), ranks, strict=True)}
-        del ranks
-
-        def of(unit: str) -> list[int]:
-            if (found := ids.get(unit)) is None:  # too long for the lattice
-                found = ids[unit] = coder.ids(unit, merge_long(unit, coder.ranks))
-            return found
-
+        ids = _Known(coder)
+        for frozen in answers.column("answers"):
+            ids.learn(pa.ipc.open_stream(frozen.as_buffer()).read_all())
         tables = []
         for payload in payloads.column("payload"):
             table = pa.ipc.open_stream(payload.as_buffer()).read_all()
             texts = table.column(text_col).to_pylist()
-            coded = [None if t is None else [i for u in units(t) for i in of(u)] for t in texts]
-            table = table.append_column("ids", pa.array(coded, pa.list_(pa.int32())))
+            of = ids.__getitem__
+            coded = [None if t is None else list(chain.from_iterable(map(of, units(t)))) for t in texts]
+            ends = np.cumsum([0] + [len(x or ()) for x in coded])
+            values = np.fromiter(chain.from_iterable(x or () for x in coded), "i4", int(ends[-1]))
+            none = pa.array([x is None for x in coded], pa.bool_())
+            table = table.append_column("ids", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values), mask=none))
             if restored_col:
                 table = table.append_column(restored_col, pa.array([x is None or coder.text(x) == t for x, t in zip(coded, texts, strict=True)]))
             tables.append(table)
