@@ -224,11 +224,25 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The row of the smallest doc_id of each component of ``docs`` (doc_id, text,
-    ...); where several rows have that id, one of them."""
-    kept = near_duplicates(docs, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of ``docs`` (doc_id, text, ...) for each component, that of the
+    smallest doc_id, null ids last, then of the smallest ``row_key``."""
+    fps = fingerprints(docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), "text"))
+    distinct = durable(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("keep")))
+    rooted = distinct.join(components(links(distinct, max_bits)), F.col("fp") == F.col("node"), "left")
+    return first_rows(docs, rooted.select("keep", F.coalesce("root", "fp").alias("root")))
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A row's hash of id and text; null and empty differ."""
+    return F.xxhash64(doc_id.isNull(), doc_id, text.isNull(), text)
+
+
+def first_rows(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each root of ``rooted`` (root, keep: struct<none,
+    doc_id, key>), that of the smallest keep."""
+    kept = rooted.groupBy("root").agg(F.min("keep").alias("keep")).select(F.col("keep.key").alias("_key"))
+    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -109,6 +109,14 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.deduplicate(df.limit(0)).count() == 0
 
 
+def test_deduplicate_keeps_a_row_of_each_component(spark):
+    texts = [f"{x} " + " ".join(f"{x}{k}" for k in range(40)) for x in "pqrstu"]
+    rows = [(None, t) for t in texts[:4]] + [(5, texts[4]), (5, texts[5]), (5, texts[5]), (7, texts[0]), (8, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id or 0, r.text) for r in simhash.deduplicate(df).collect()))
+    assert kept == sorted([(0, t) for t in texts[1:4]] + [(7, texts[0]), (5, texts[4]), (5, texts[5])])
+
+
 def test_fingerprint_by_definition():
     import xxhash
 
