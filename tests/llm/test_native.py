@@ -164,6 +164,14 @@ def test_added_kinds_and_redaction(spark):
     assert pii.redact(df).columns == df.columns and pii.redact(df.limit(0)).count() == 0
 
 
+def test_iban_ends_where_it_does(spark):
+    iban = "DE89 3704 0044 0532 0130 00"
+    texts = [f"{x} {after}" for x in (iban, iban.replace(" ", ""), "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947") for after in ("BIC COBADEFFXXX", "1234 56", "AND SO ON", "A", "", ".")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [r.text for r in pii.redact(df).orderBy("doc_id").collect()]
+    assert got == [f"[IBAN] {after}" for _ in range(4) for after in ("BIC COBADEFFXXX", "1234 56", "AND SO ON", "A", "", ".")]
+
+
 def conversations():
     random.seed(2)
     rows = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|>\n<|im_start|>assistant ok")]
