@@ -159,7 +159,8 @@ def mix_sources(
     shard_slots: int = SHARD_SLOTS,
     groups: int = GROUPS,
 ) -> DataFrame:
-    """One row per document: id, ``key`` (hash of id and text), source, size,
+    """One row per document: id, ``key`` (hash of id and text), ``copy`` (number
+    among the rows of equal source, id and key, from 1), source, size,
     source_size, target, taken, and ``pieces``, the word ranges [lo, hi) that the
     mix takes in each pass (epoch)."""
     sized = durable(
@@ -181,11 +182,12 @@ def mix_sources(
     inside = Window.partitionBy("source", "grp").orderBy("doc_id", "key")
     placed = (
         sized.withColumn("rn", F.row_number().over(inside))
+        .withColumn("copy", F.col("rn") - F.rank().over(inside) + 1)
         .withColumn("inner", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .join(sums, F.col("source").eqNullSafe(F.col("g_source")) & (F.col("grp") == F.col("g_grp")))
         .withColumn("start", F.col("group_start") + F.col("inner"))
     )
-    keep = ["sid", "grp", "rn", "doc_id", "key", "source", "size", "source_size", "target", "start"]
+    keep = ["sid", "grp", "rn", "doc_id", "key", "copy", "source", "size", "source_size", "target", "start"]
     placed = placed.select(*keep)
     spans = F.when(F.col("size") > 0, F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})"))
     parts = placed.select(*keep, F.explode_outer(spans).alias("block"))
@@ -211,15 +213,17 @@ def mixed_texts(docs: DataFrame, **parameters) -> DataFrame:
     is, else the taken words are joined by spaces; n_chars follows the text."""
     mixed = mix_sources(docs, **parameters)
     passes = (
-        mixed.select("doc_id", "key", "size", F.explode("pieces").alias("p"))
-        .groupBy("doc_id", "key", "size", "p.epoch")
+        mixed.select("source", "doc_id", "key", "copy", "size", F.explode("pieces").alias("p"))
+        .groupBy("source", "doc_id", "key", "copy", "size", "p.epoch")
         .agg(F.array_sort(F.collect_list(F.struct("p.lo", "p.hi"))).alias("ranges"))
     )
     whole = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["hi"] - r["lo"]) >= F.col("size")
     columns = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text")).dropDuplicates(["doc_id", "_key"])
-    passes = passes.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key2"), "ranges", whole.alias("_whole"))
-    joined = keyed.join(passes, keyed["doc_id"].eqNullSafe(passes["_doc"]) & (F.col("_key") == F.col("_key2")))
+    same = Window.partitionBy("source", "doc_id", "_key").orderBy(F.xxhash64(*columns))
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text")).withColumn("_copy", F.row_number().over(same))
+    passes = passes.select(F.col("source").alias("_source"), F.col("doc_id").alias("_doc"), F.col("key").alias("_key2"), F.col("copy").alias("_copy2"), "ranges", whole.alias("_whole"))
+    row = keyed["source"].eqNullSafe(passes["_source"]) & keyed["doc_id"].eqNullSafe(passes["_doc"])
+    joined = keyed.join(passes, row & (F.col("_key") == F.col("_key2")) & (F.col("_copy") == F.col("_copy2")))
     cut = let(words(F.col("text")), lambda w: F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(w, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), " "))
     text = F.when(F.col("_whole"), F.col("text")).otherwise(cut)
     out = joined.withColumn("text", text)

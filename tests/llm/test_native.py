@@ -78,6 +78,18 @@ def test_mixed_texts_hold_the_taken_words(spark):
     assert +words == +texts
 
 
+def test_mixed_texts_of_repeated_rows(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, text, "a"), (1, text, "a"), (1, text, "b"), (None, text, None), (None, text, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    words, texts = Counter(), Counter()
+    for r in mixing.mix_sources(df, block_words=16).collect():
+        words[r.doc_id, r.source] += r.taken
+    for r in mixing.mixed_texts(df, block_words=16).collect():
+        texts[r.doc_id, r.source] += len(r.text.split())
+    assert +words == +texts and len(+texts) == 3
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 31, 64, 1000])
 def test_permutation(spark, n):
     df = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(7)).alias("p"))
