@@ -170,6 +170,15 @@ def test_language_edges(spark):
     assert langid.train(train.limit(0)) == {}
 
 
+def test_language_sample_is_of_distinct_texts(spark):
+    texts = {lang: [f"{lang} {w} text" for w in ("one", "two", "three", "four", "five", "six")] for lang in ("aa", "bb", "cc", "dd")}
+    rows = [(t, lang) for lang, some in texts.items() for t in some for _ in range(50)] + [(t, lang) for lang in texts for t in [None, "12"] * 300]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    for k in (2, 400):
+        taught = langid.train(df, docs_per_lang=k)
+        assert [sum(t in taught[lang].decode() for t in some) for lang, some in texts.items()] == [min(k, 6)] * 4
+
+
 def test_topk_matches_sql(spark):
     matches(spark, SF, queries.op7_topk, queries.ORACLE_SQL["op7_topk"])
 
