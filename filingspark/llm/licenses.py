@@ -1,7 +1,10 @@
 """License scans by patience alignment.
 
-A template's rarest words (by the templates themselves) are its keys. Around
-every occurrence of a key a window of the text is aligned with the template:
+A template's rarest words (by the templates themselves) are its keys, so many
+that a text without any of them misses more than ``min_coverage`` allows. Around
+every occurrence of a key behind the last span found a window of the text, as
+long on either side as the longest span, is aligned with the template; first
+one that holds the key once, so that adjacent copies stay apart:
 words that occur once in both are anchors, the longest increasing subsequence of
 the anchors holds the order, equal words beside them extend the match, and the
 gaps between anchors are aligned in the same way. ``coverage`` is the share of
@@ -19,11 +22,13 @@ empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,11 +128,37 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
-def prepared(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> list[tuple[str, list[str], set[str]]]:
+def _least(words: list[str], share: float) -> int:
+    """The least whole number of words that is ``share`` of them or more."""
+    return next(n for n in range(max(0, math.floor(share * len(words)) - 1), len(words) + 2) if n >= share * len(words))
+
+
+def _keys(words: list[str], spread: Counter, min_coverage: float) -> set[str]:
+    """Words that fill more places than may go missing, the rarest first."""
+    times, spare = Counter(words), len(words) - _least(words, min_coverage)
+    keys: set[str] = set()
+    for w in sorted(times, key=lambda w: (spread[w], -len(w), w)):
+        if len(keys) >= KEYS_PER_TEMPLATE and sum(times[k] for k in keys) > spare:
+            break
+        keys.add(w)
+    return keys
+
+
+def prepared(templates: dict[str, tuple[str, ...]] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> list[tuple[str, list[str], set[str]]]:
     """(name, words, keys) of every template."""
     cut = [(name, [w.lower() for w in _WORD.findall(t)]) for name, texts in templates.items() for t in texts]
     spread = Counter(w for _, ws in cut for w in set(ws))
-    return [(name, ws, set(sorted(set(ws), key=lambda w: (spread[w], -len(w), w))[:KEYS_PER_TEMPLATE])) for name, ws in cut]
+    return [(name, ws, _keys(ws, spread, min_coverage)) for name, ws in cut]
+
+
+def _possible(ws: list[str], template: list[str], reach: int, least: int) -> np.ndarray:
+    """For every place, if a run of ``reach`` words around it has ``least`` words
+    of the template's, in whatever order."""
+    n, vocabulary = len(ws), set(template)
+    upto = np.concatenate([[0], np.cumsum(np.fromiter((w in vocabulary for w in ws), bool, n))])
+    at = np.arange(n)
+    enough = np.concatenate([[0], np.cumsum(upto[np.minimum(at + reach, n)] - upto[:n] >= least)])
+    return enough[1:] > enough[np.maximum(at - reach + 1, 0)]
 
 
 def scan(text: str | None, templates, min_coverage: float = MIN_COVERAGE, min_density: float = MIN_DENSITY) -> list[tuple[str, float, int, int]]:
@@ -142,15 +173,27 @@ def scan(text: str | None, templates, min_coverage: float = MIN_COVERAGE, min_de
     found = []
     for name, template, own in templates:
         seen = -1
-        reach = len(template) + len(template) // 4
-        for i in sorted(x for k in own for x in keyed.get(k, ())):
-            if i <= seen:
+        reach = math.ceil(len(template) / min_density)
+        tries = sorted((x, n, k) for k in own for n, x in enumerate(keyed.get(k, ())))
+        possible = _possible(ws, template, reach, _least(template, min_coverage)) if tries else []
+        for i, n, key in tries:
+            if i <= seen or not possible[i]:
                 continue
-            lo, hi = max(0, i - reach), min(len(ws), i + reach)
-            pairs = [(x + lo, y) for x, y in align(ws[lo:hi], template)]
-            # Stray matches at the ends are cut where they thin the span out.
-            pairs = _dense(pairs, min_density)
-            if len(pairs) >= min_coverage * len(template):
+            lo, hi = max(seen + 1, i - reach), min(len(ws), i + reach)
+            windows = [(lo, hi)]
+            if template.count(key) == 1:
+                same = keyed[key]
+                left, right = same[n - 1] + 1 if n else 0, same[n + 1] if n + 1 < len(same) else hi
+                windows = [(max(lo, left), min(hi, right)), *windows]
+            pairs: list[tuple[int, int]] = []
+            for a, b in dict.fromkeys(windows):
+                if len(pairs) == len(template):
+                    break
+                # Stray matches at the ends are cut where they thin the span out.
+                tried = _dense([(x + a, y) for x, y in align(ws[a:b], template)], min_density)
+                if len(tried) > len(pairs) and tried[0][0] <= i <= tried[-1][0]:
+                    pairs = tried
+            if pairs and len(pairs) >= min_coverage * len(template):
                 first, last = pairs[0][0], pairs[-1][0]
                 found.append((name, len(pairs) / len(template), places[first][1], places[last][2], len(template)))
                 seen = last
@@ -177,9 +220,12 @@ def _dense(pairs: list[tuple[int, int]], least: float) -> list[tuple[int, int]]:
 def find_licenses(docs: DataFrame, text_col: str = "text", *, templates: dict[str, tuple[str, ...]] = TEMPLATES, min_coverage: float = MIN_COVERAGE, min_density: float = MIN_DENSITY) -> DataFrame:
     """``docs`` without the text, with n_licenses, license (that of the greatest
     coverage), coverage and license_spans (name:start:end, comma-joined)."""
-    ready = prepared(templates)
-    keys = "|".join(sorted(map(re.escape, set().union(*(k for _, _, k in ready)))))
-    keyed = F.coalesce(F.col(text_col), F.lit("")).rlike(rf"(?i)(?:{keys})")
+    ready = prepared(templates, min_coverage)
+    heads: dict[str, list[str]] = {}
+    for k in sorted(set().union(*(k for _, _, k in ready))):
+        heads.setdefault(k[0], []).append(re.escape(k[1:]))
+    keys = "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in heads.items())
+    keyed = F.coalesce(F.col(text_col), F.lit("")).rlike(rf"(?i)(?<![a-z0-9])(?:{keys})")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -224,3 +225,21 @@ def test_licenses(spark):
     got = {r.doc_id: r for r in licenses.find_licenses(df).collect()}
     assert [got[i].license for i in range(6)] == [None, None, "MIT", "CC-BY-NC-4.0", "MIT", None] and got[3].n_licenses == 2
     assert got[0].coverage == 0.0 and got[0].license_spans == "" and licenses.find_licenses(df.limit(0)).count() == 0
+
+
+def test_adjacent_licenses():
+    ready = licenses.prepared()
+    for line, name in ((licenses.TEMPLATES["Apache-2.0"][0], "Apache-2.0"), (licenses.TEMPLATES["MIT"][1], "MIT"), (licenses.TEMPLATES["ISC"][0], "ISC")):
+        for between in ("\n", "\nx ", "\nfile a b\n"):
+            text = "x y " + between.join([line] * 7) + " z"
+            spans = licenses.scan(text, ready)
+            assert [(n, c, text[a:b] in (line, line.rstrip("."))) for n, c, a, b in spans] == [(name, 1.0, True)] * 7, (name, between)
+
+
+def test_licenses_without_their_rarest_words():
+    ready = licenses.prepared()
+    name, words, _ = next(r for r in ready if r[0] == "MIT" and len(r[1]) > 50)
+    spread = Counter(w for _, ws, _ in ready for w in set(ws))
+    lost = set(sorted(set(words), key=lambda w: (spread[w], -len(w), w))[:3])
+    ((found, coverage, _, _),) = licenses.scan(" ".join("other" if w in lost else w for w in words), ready)
+    assert found == name and coverage >= 0.8
