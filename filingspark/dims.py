@@ -40,10 +40,12 @@ METRIC_ALIASES = {
     "total_assets": ("total_assets", "资产总计", "资产总额"),
     "total_liabilities": ("total_liabilities", "负债合计", "负债总额"),
 }
+# The statement that each metric is read from.
 METRIC_STATEMENT = {"revenue": "income", "cogs": "income", "gross_profit": "income", "net_profit": "income", "operating_cash": "cashflow", "total_assets": "balance", "total_liabilities": "balance"}
 # The facts that critical accuracy reports on.
 KEY_FACTS = ("revenue", "gross_profit", "operating_income", "net_income", "total_assets", "total_liabilities", "total_equity", "cash_and_equivalents", "operating_cash_flow", "capex")
-CORRECTABLE = ("statement_type", "concept", "label", "value", "unit", "scale", "currency", "period_start", "period_end", "period_type", "source_refs")
+# Fields of a fact that may be corrected.
+CORRECTABLE = ("concept", "label", "raw_label", "value", "unit", "scale", "currency", "period_start", "period_end", "period_type", "source_refs")
 
 
 def literal_map(pairs: dict[str, str]) -> Column:

@@ -82,10 +82,28 @@ def estimated_tokens(text: Column) -> Column:
     return ((F.length(text) - other) / 1.5 + other / 4).cast("int")
 
 
-def truncated(text: Column, max_tokens, steps: int = 60) -> Column:
-    """The text, else its longest cut of 0.9**k of its length that fits."""
-    cuts = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: F.left(text, F.floor(F.length(text) * F.pow(F.lit(0.9), k)).cast("int")))
-    return F.filter(cuts, lambda c: estimated_tokens(c) <= max_tokens)[0]
+def truncated(text: Column, max_tokens) -> Column:
+    """The text if it fits, else a cut in proportion to its tokens, less a
+    twentieth, made a tenth shorter until it fits; empty if nothing does."""
+    limit = F.lit(max_tokens) if isinstance(max_tokens, int) else max_tokens
+    size, total = F.length(text), estimated_tokens(text)
+    first = F.floor(size * limit / total * 0.95).cast("int")
+    # Steps enough to shrink the cut to nothing; only lengths are carried along.
+    steps = F.sequence(F.lit(0), F.ceil(F.log(size + 1) / 0.1).cast("int"))
+    shorter = F.aggregate(steps, first, lambda n, _: F.when(estimated_tokens(F.left(text, n)) <= limit, n).otherwise(F.floor(n * 0.9).cast("int")))
+    return F.when(limit <= 0, F.lit("")).when(total <= limit, text).otherwise(F.left(text, shorter))
+
+
+def split_prompt(text: Column, max_tokens: int, overlap_tokens: int = 100) -> Column:
+    """Parts of about ``max_tokens``, each beginning ``overlap_tokens`` before the
+    last's end; a text that fits is one part."""
+    per_token = F.length(text) / F.greatest(estimated_tokens(text), F.lit(1))
+    size = F.greatest(F.floor(per_token * max_tokens * 0.95).cast("int"), F.lit(1))
+    step = F.greatest(size - F.floor(per_token * overlap_tokens).cast("int"), F.lit(1))
+    # The part that reaches the end is the last.
+    last = F.greatest(F.ceil((F.length(text) - size) / step).cast("int"), F.lit(0))
+    parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.substring(text, k * step + 1, size))
+    return F.when(estimated_tokens(text) <= max_tokens, F.array(text)).otherwise(parts)
 
 
 def overlapping_parts(text: Column, size: int, overlap: int) -> Column:

@@ -27,11 +27,14 @@ def indexed(prices: DataFrame) -> DataFrame:
 
 def locate_events(series: DataFrame, events: DataFrame) -> DataFrame:
     """Events with event_idx: the first trading day on or after the event; after
-    the last one the first row of the series, with event_matched false."""
-    joined = events.join(series.select("ticker", "trade_date", "idx"), "ticker")
-    on = F.min(F.when(F.col("trade_date") >= F.col("event_date"), F.col("idx")))
-    out = joined.groupBy("ticker", "event_date").agg(on.alias("on"), F.min("idx").alias("first"))
-    return out.select("ticker", "event_date", F.coalesce("on", "first").alias("event_idx"), F.col("on").isNotNull().alias("event_matched"))
+    the last one the first row of the series, with event_matched false. Events
+    and days meet in one ordered window of a ticker, not pair by pair."""
+    asked = events.select("ticker", F.col("event_date").alias("trade_date"), F.lit(None).cast("int").alias("idx"), F.lit(True).alias("asked"))
+    both = series.select("ticker", "trade_date", "idx", F.lit(False).alias("asked")).unionByName(asked)
+    on = F.min("idx").over(Window.partitionBy("ticker").orderBy("trade_date").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    first = F.min("idx").over(Window.partitionBy("ticker"))
+    out = both.withColumn("on", on).withColumn("first", first).where("asked and first is not null")
+    return out.select("ticker", F.col("trade_date").alias("event_date"), F.coalesce("on", "first").alias("event_idx"), F.col("on").isNotNull().alias("event_matched")).distinct()
 
 
 def event_study(prices: DataFrame, bench: DataFrame, events: DataFrame, windows=WINDOWS) -> DataFrame:
@@ -42,11 +45,13 @@ def event_study(prices: DataFrame, bench: DataFrame, events: DataFrame, windows=
     pairs = F.array(*[F.struct(F.lit(a).alias("pre"), F.lit(z).alias("post")) for a, z in windows])
     asked = locate_events(series, events).select("*", F.explode(pairs).alias("w")).select("ticker", "event_date", "event_idx", "event_matched", "w.pre", "w.post")
     at = series.join(market, "trade_date", "left")
-    rows = asked.join(at, "ticker")
     key = ["ticker", "event_date", "pre", "post"]
     inside = F.col("idx").between(F.col("event_idx") + F.col("pre"), F.col("event_idx") + F.col("post"))
     est_end = F.greatest(F.col("event_idx") + F.col("pre") - 1, F.lit(0))
     estimating = (F.col("idx") >= F.greatest(est_end - ESTIMATION_ROWS, F.lit(0))) & (F.col("idx") < est_end)
+    # An event asks for its rows by number: a bounded range, joined on equality.
+    wanted = F.sequence(F.least(F.col("event_idx") + F.col("pre"), F.greatest(est_end - ESTIMATION_ROWS, F.lit(0))), F.greatest(F.col("event_idx") + F.col("post"), est_end))
+    rows = asked.withColumn("idx", F.explode(wanted)).join(at, ["ticker", "idx"])
     rows = rows.withColumn("inside", inside).withColumn("estimating", estimating & F.col("bm_ret").isNotNull()).where(inside | estimating)
     step = Window.partitionBy(*key).orderBy("idx")
     rows = rows.withColumn("wret", F.when(F.col("inside"), F.coalesce(F.col("close") / F.lag(F.when(F.col("inside"), F.col("close"))).over(step) - 1, F.lit(0.0))))
@@ -77,14 +82,24 @@ def event_study(prices: DataFrame, bench: DataFrame, events: DataFrame, windows=
     return s.select(*key, "event_matched", (F.col("last") / F.col("first") - 1).alias("cumulative_return"), "std_dev", "mean_volume", "max_volume", "alpha", "beta", "car", "mean_ar", "t_stat", "p_value")
 
 
-def indexed_to_100(prices: DataFrame, bench: DataFrame, reach_days: int = 7) -> DataFrame:
-    """Closes and the nearest benchmark close within ``reach_days``, both at 100
-    on the ticker's first day. The earlier of two equally near days counts."""
-    day = lambda c: F.datediff(c, F.lit("1970-01-01"))
-    shifts = F.explode(F.sequence(F.lit(-reach_days), F.lit(reach_days))).alias("shift")
-    near = bench.select(F.col("trade_date").alias("b_date"), F.col("close").alias("b_close"), shifts)
-    near = near.withColumn("trade_date", F.date_add("b_date", F.col("shift")))
-    best = near.groupBy("trade_date").agg(F.min_by("b_close", F.struct(F.abs(F.col("shift")), day("b_date"))).alias("bm_close"))
+def nearest_close(days: DataFrame, bench: DataFrame) -> DataFrame:
+    """(trade_date, bm_close) for ``days`` (trade_date): the benchmark's close of the
+    nearest day at any distance, the later of two equally near ones. One window
+    orders the calendar's days, whose number no market makes large."""
+    b = bench.select("trade_date", F.col("close").alias("bm_close"))
+    marked = days.select("trade_date").distinct().join(b, "trade_date", "full_outer")
+    known = F.when(F.col("bm_close").isNotNull(), F.struct(F.col("trade_date").alias("day"), F.col("bm_close").alias("close")))
+    w = Window.orderBy("trade_date")
+    before = F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near = marked.withColumn("before", before).withColumn("after", after)
+    nearer = F.datediff(F.col("trade_date"), F.col("before.day")) < F.datediff(F.col("after.day"), F.col("trade_date"))
+    close = F.when(F.col("after").isNull() | nearer, F.col("before.close")).otherwise(F.col("after.close"))
+    return near.select("trade_date", close.alias("bm_close"))
+
+
+def indexed_to_100(prices: DataFrame, bench: DataFrame) -> DataFrame:
+    """Closes and the nearest benchmark close, both at 100 on the ticker's first day."""
     w = Window.partitionBy("ticker").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-    j = prices.join(best, "trade_date")
+    j = prices.join(nearest_close(prices, bench), "trade_date", "left")
     return j.select("ticker", "trade_date", (F.col("close") / F.first("close").over(w) * 100).alias("stock_index"), (F.col("bm_close") / F.first("bm_close").over(w) * 100).alias("bench_index"))

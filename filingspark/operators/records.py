@@ -13,12 +13,6 @@ from filingspark.operators.signals import SEVERITIES
 NOTE_TYPES = ("accounting_policy", "audit_opinion", "related_party", "impairment", "contingency", "segment", "guidance", "other")
 CATEGORIES = ("cash_vs_profit", "accruals", "one_offs", "audit_governance", "disclosure_inconsistency", "working_capital", "other")
 REF_TYPES = ("page_text", "table", "image")
-# Context windows of models, tried in order as parts of a name.
-MODEL_LIMITS = {
-    "gpt-4.1": 1047576, "gpt-4o": 128000, "gpt-4-turbo": 128000, "gpt-4": 8192, "gpt-3.5-turbo": 16384,
-    "deepseek-chat": 64000, "deepseek-reasoner": 64000, "qwen": 32768, "llama": 32768,
-}
-DEFAULT_LIMIT = 128_000
 NOTE = f"struct<note_type:string,summary:string,source_refs:array<{REF}>>"
 SIGNAL = f"struct<signal_id:string,category:string,title:string,severity:string,description:string,metrics:map<string,string>,evidence:array<{REF}>>"
 
@@ -98,11 +92,6 @@ def filtered_signals(signals: DataFrame, severity: str = "all", category: str =
     return signals if category == "all" else signals.where(F.col("category") == category)
 
 
-def model_limit(model: Column) -> Column:
-    """Context window of a model by parts of its name."""
-    return F.coalesce(*[F.when(model.contains(k), v) for k, v in MODEL_LIMITS.items()], F.lit(DEFAULT_LIMIT))
-
-
 def fitted_prompt(system: Column, user: Column, limit: int, reserve: int = 4_096) -> Column:
     """The user's text cut so that it and the system text fit a window."""
     return text.truncated(user, F.greatest(F.lit(limit - reserve) - text.estimated_tokens(system), F.lit(0)))

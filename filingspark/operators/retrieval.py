@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from filingspark.functions import text
 
-MAX_QUERIES = 1_000
+QUERY_BLOCK = 1_000
 EMBED_WEIGHT, TOKEN_WEIGHT, OVERFETCH = 0.7, 0.3, 3
 
 
@@ -40,12 +40,13 @@ def token_search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, doc_id, score): inner product of L2-normalised vectors,
-    exact; the query set reaches the rows as one array."""
+    exact; the query set meets every row in blocks, one array each."""
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.greatest(norm(c), F.lit(1e-12)))
-    q = queries.select("query_id", unit(F.col("embedding")).alias("v")).agg(F.collect_list(F.struct("query_id", "v")).alias("q"))
-    q = q.select(F.when(F.size("q") <= MAX_QUERIES, F.col("q")).otherwise(F.raise_error(F.lit("too many queries for one array")).cast(dict(q.dtypes)["q"])).alias("q"))
-    v = vectors.select("doc_id", unit(F.col("embedding")).alias("v")).withColumn("q", q.scalar())
+    n_blocks = queries.agg(F.greatest(F.ceil(F.count("*") / QUERY_BLOCK), F.lit(1)).alias("n")).scalar()
+    q = queries.select("query_id", unit(F.col("embedding")).alias("v"), F.pmod(F.xxhash64("query_id"), n_blocks).alias("block"))
+    q = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "v")).alias("q"))
+    v = vectors.select("doc_id", unit(F.col("embedding")).alias("v")).crossJoin(q)
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     scored = v.select("doc_id", "v", F.explode("q").alias("q")).select("doc_id", F.col("q.query_id").alias("query_id"), dot(F.col("v"), F.col("q.v")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")

@@ -304,7 +304,7 @@ def signal_recall(spark, d):
 def _requests(spark, d) -> DataFrame:
     """Every document's pages, last first."""
     p = view(spark, d, "v_pages")
-    return p.select("doc_id", (10 - F.col("page_number")).alias("ord"), "page_number")
+    return p.select("doc_id", (-F.col("page_number")).alias("ord"), "page_number")
 
 
 @query("pages_reordered", oracle("select doc_id, cast(row_number() over (partition by doc_id order by page_number desc) as int) as page_number, md5(text) as digest from v_pages", "v_pages"))

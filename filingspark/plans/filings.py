@@ -331,7 +331,7 @@ def event_significance(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("price_index", oracle("""with p as (select ticker, trade_date, cast(close as double) as close from v_prices), b as (select trade_date as bd, cast(close as double) as bc from v_bench),
-n as (select ticker, trade_date, close, arg_min(bc, abs(date_diff('day', bd, trade_date)) * 100000 + date_diff('day', date '1970-01-01', bd)) as bm from p join b on bd between trade_date - 7 and trade_date + 7 group by all)
+n as (select ticker, trade_date, close, (select arg_min(bc, abs(date_diff('day', bd, trade_date)) * 100000 - date_diff('day', date '1970-01-01', bd)) from b) as bm from p)
 select ticker, trade_date, round(close / first_value(close) over w * 100, 6) as stock_index, round(bm / first_value(bm) over w * 100, 6) as bench_index from n window w as (partition by ticker order by trade_date)""", "v_prices", "v_bench"))
 def price_index(spark: SparkSession, d: str) -> DataFrame:
     p, b, _ = _prices(spark, d)

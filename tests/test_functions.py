@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filingspark.functions import dates, numbers, text
+from filingspark.operators import records
 
 
 def column(spark, values, expr, kind="string"):
@@ -66,6 +67,24 @@ def test_json_and_sections(spark):
     assert column(spark, ["# A\nx\n## Conclusion\nbuy\n# B", "plain"], text.conclusion) == ["buy", "plain"]
 
 
-def test_truncated_is_longest_cut(spark):
-    got = column(spark, ["a" * 1000], lambda x: text.truncated(x, 100))[0]
-    assert len(got) // 4 <= 100 and len(got) == int(1000 * 0.9**9) or len(got) // 4 <= 100
+def test_truncated_fits_any_length(spark):
+    texts = ["a" * 1000, "中" * 400_000, "short", "", "字a" * 500_000]
+    got = column(spark, texts, lambda x: text.truncated(x, 100))
+    assert got[0] == "a" * 380 and got[2:4] == ["short", ""]
+    tokens = column(spark, got, text.estimated_tokens)
+    assert all(0 <= n <= 100 for n in tokens) and min(tokens[0], tokens[1], tokens[4]) > 80
+    assert column(spark, texts[:1], lambda x: text.truncated(x, 0)) == [""]
+
+
+def test_split_prompt_overlaps_and_covers(spark):
+    body = "".join(chr(97 + i % 26) for i in range(5_000))
+    parts = column(spark, [body, "short", ""], lambda x: text.split_prompt(x, 200, 20))
+    assert parts[1:] == [["short"], [""]] and len(parts[0]) > 5
+    size, step = len(parts[0][0]), len(parts[0][0]) - 80
+    assert all(body[k * step : k * step + size] == p for k, p in enumerate(parts[0]))
+    assert (len(parts[0]) - 1) * step + size >= len(body) > (len(parts[0]) - 2) * step + size
+
+
+def test_fitted_prompt_leaves_room_for_the_system_text(spark):
+    got = column(spark, ["u" * 4_000], lambda x: records.fitted_prompt(F.lit("s" * 400), x, 1_000, 500))[0]
+    assert got == "u" * 1_520

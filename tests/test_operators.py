@@ -235,3 +235,37 @@ def test_partitions_do_not_matter(spark):
     one, many = i.coalesce(1), i.repartition(7)
     key = lambda df: sorted(map(str, statements.statement_totals(df).collect()))
     assert key(one) == key(many)
+
+
+def test_pages_are_whole_texts(spark):
+    from conftest import SF
+
+    from filingspark.plans.views import view
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    pages = view(spark, SF, "v_pages")
+    joined = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda x: x["text"]), "").alias("whole"), F.max("page_number").alias("last"), F.count("*").alias("n"))
+    j = docs.where("length(text) > 0").join(joined, "doc_id", "left")
+    assert j.where("whole is null or whole <> text or last <> n").count() == 0
+    assert pages.agg(F.max("page_number")).first()[0] > 4
+
+
+def test_nearest_benchmark_at_any_distance(spark):
+    from filingspark.operators import event_study as es
+
+    d = datetime.date
+    p = spark.createDataFrame([("A", d(2024, 1, 10), 10.0), ("A", d(2024, 1, 20), 12.0), ("A", d(2024, 6, 1), 15.0)], "ticker string, trade_date date, close double")
+    b = spark.createDataFrame([(d(2024, 1, 15), 50.0), (d(2024, 1, 25), 100.0)], "trade_date date, close double")
+    got = [r.bench_index for r in es.indexed_to_100(p, b).orderBy("trade_date").collect()]
+    assert got == [100.0, 200.0, 200.0]  # the later of two equally near days
+    assert [r.bench_index for r in es.indexed_to_100(p, b.limit(0)).collect()] == [None] * 3
+
+
+def test_dense_search_by_query_blocks(spark, monkeypatch):
+    from filingspark.operators import retrieval
+
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(30)], "doc_id int, embedding array<double>")
+    q = v.limit(9).withColumnRenamed("doc_id", "query_id")
+    whole = sorted(map(tuple, retrieval.dense_search(v, q, 4).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    assert sorted(map(tuple, retrieval.dense_search(v, q, 4).collect())) == whole and len(whole) == 36
