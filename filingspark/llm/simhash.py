@@ -55,11 +55,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     if not w:
         return 0
     spans = [b" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))]
+    return bits_of(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in spans), "<u8", len(spans))) & (1 << 64) - 1
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes, as a signed number: the bits that more
+    than half of them have; 0 of none."""
     ones = np.zeros(64, "int64")
-    for at in range(0, len(spans), 65_536):
-        h = np.array([xxhash.xxh64_intdigest(s, 42) for s in spans[at : at + 65_536]], "<u8")
-        ones += np.unpackbits(h.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="int64")
-    return int(np.packbits(2 * ones > len(spans), bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), 65_536):
+        ones += np.unpackbits(hashes[at : at + 65_536].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="int64")
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -105,8 +110,9 @@ def _near(segment: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([own[:, None], found[:, :width]], axis=1)
 
 
-def _keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, side) of fingerprints; pairs meet across sides 1 and 2, or in 3."""
+def _keys(fps: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, side) of fingerprints; pairs meet across sides 1 and 2, or in 3.
+    Two errors leave a segment without any, so they need no keys of all three."""
     u = fps.view("u8")
     cut = [(u >> np.uint64(at) & np.uint64((1 << n) - 1)).astype("u4") for at, n in SEGMENTS]
     near = [_near(s, n) for s, (_, n) in zip(cut, SEGMENTS, strict=True)]
@@ -121,6 +127,8 @@ def _keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if i != j:
                 tag = np.int64(8 + 3 * i + j) << 40
                 put(tag | cut[i].astype("i8")[:, None] << 12 | near[j], near[j] >= 0, 3)
+    if max_bits <= 2:
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
     a, b, c = (n.astype("i8") for n in near)
 
     def triple(x, y, z):
@@ -164,7 +172,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
             fps = batch["fp"].to_numpy()
             for at in range(0, len(fps), 2_000):
                 part = fps[at : at + 2_000]
-                row, key, side = _keys(part)
+                row, key, side = _keys(part, max_bits)
                 yield pd.DataFrame({"key": key, "fp": part[row], "side": side})
 
     keys = distinct.select("fp").mapInPandas(keyed, "key long, fp long, side byte")

@@ -50,3 +50,41 @@ def test_rows_without_ids(spark):
     kept = sorted((r.doc_id or "", r.text or "") for r in corpus_pipeline.near_dedup(spark, df, "").collect())
     assert kept == sorted([("", t) for _, t in rows[:5]] + [("7", ""), rows[7], rows[8]])
     assert corpus_pipeline.near_dedup(spark, df.limit(0), "").count() == 0
+
+
+def test_alike_sets_share_a_part_key():
+    import numpy as np
+
+    from filingspark.llm.jaccard import part_keys
+
+    rng, tried = np.random.default_rng(3), 0
+    for n in [*range(4, 40), 64, 150, 400, 1_500]:
+        for _ in range(20):
+            pool = rng.integers(0, 2**63, size=3 * n).astype("u8")
+            lost = int(rng.integers(0, n // 5 + 1))
+            more = int((n - lost) / 0.8 - n)  # as many new ones as 0.8 allows
+            if more < 0 or lost + more == 0:
+                continue
+            a, b = pool[:n], np.concatenate([pool[lost:n], pool[n : n + more]])
+            tried += 1
+            assert len(np.intersect1d(part_keys(np.unique(a)), part_keys(np.unique(b)))), (n, lost, more)
+    assert tried > 300
+
+
+def test_hot_keys_and_blocks_change_nothing(spark, monkeypatch):
+    from filingspark.llm import jaccard as near
+
+    rng = random.Random(9)
+    base = [f"v{i}" for i in range(120)]
+    texts = []
+    for i in range(40):  # copies alike to the base, not to each other
+        w = list(base)
+        for at in rng.sample(range(0, 120, 8), 2):
+            w[at] = f"x{i}-{at}"
+        texts.append(" ".join(w))
+    texts.append(" ".join(base))
+    df = spark.createDataFrame([(f"{i:04d}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    for name, value in (("HOT", 2), ("SALTS", 3), ("SMALL_KEY", 2), ("BLOCK", 2)):
+        monkeypatch.setattr(near, name, value)
+    kept = sorted(int(r.doc_id) for r in near.deduplicate(df).collect())
+    assert kept == sorted(set(groups(texts)))
