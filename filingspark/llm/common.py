@@ -41,6 +41,13 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def without(df: DataFrame, *names: str | None) -> DataFrame:
+    """``df`` without columns of these names, whatever their case: results replace
+    input columns of the same name."""
+    taken = {n.lower() for n in names if n}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")

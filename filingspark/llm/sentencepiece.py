@@ -15,12 +15,19 @@ of its lattice, and Spark's higher-order ``aggregate`` folds them to pieces:
 Characters without a piece become byte pieces. Texts travel in compressed packs
 of bounded size; each pack asks for its distinct units and gets their pieces
 back, so that neither tokens nor the dictionary, both growing with the corpus,
-meet in one place.
+meet in one place. Units of more than ``LONGEST_UNIT`` characters (runs without a
+space mostly) are folded where they occur, by the same rules: a mask of ends must
+fit a long, and arrays grow too slowly for them.
+
+The dealt method is the Viterbi fold. The given model is a BPE model, for which
+it finds the best path of ranks, not the model's pieces; so ``merges`` is the
+default, a departure that the README states.
 
 Defined cases: null text has no ids (null array, decodes to null); empty text
 has none; a space mark in a text decodes to a space, as it does in the library;
-repeated rows get a row each; other columns are kept; an empty table
-gives an empty result.
+repeated rows get a row each; other columns are kept, those named like a result
+(``ids``, the restored column) are replaced by it; an empty table gives an empty
+result; texts and units may be of any length.
 """
 
 from __future__ import annotations
@@ -28,7 +35,6 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,15 +43,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import let
+from .common import let, without
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-PACK_ROWS = 5_000
-PACK_BYTES = 1 << 24
+PACK_ROWS = 20_000
+PACK_BYTES = 1 << 25
 PACK_LEVEL = 6
 #: Units up to this length go through the lattice; a mask of ends fits a long.
-#: Longer ones, runs of one character mostly, are merged where they occur.
 LONGEST_UNIT = 60
 UNKNOWN = (1 << 31) - 1
 UNKNOWN_SCORE = -1e30
@@ -137,47 +142,52 @@ def _merges(edges: Column, n: Column) -> Column:
     """Edges left when the best edge over two neighbouring symbols is taken until
     there is none. A bit mask holds the symbols' ends; edges sort best first."""
 
-    def between(e):  # the mask of the ends inside an edge
-        return _ones(_stop(e)) - _ones(_start(e) + 1)
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
+    between = lambda e: bit(_stop(e)) - bit(_start(e) + 1)  # the mask of the ends inside an edge
+    ends = lambda e: bit(_stop(e)).bitwiseOR(bit(_start(e)))
+
+    def merged(ranked):
+        zero = F.struct(_ones(n + 1).alias("mask"), ranked.alias("left"))
 
-    def has(mask, at):
-        return F.call_function("shiftright", mask, at).bitwiseAND(F.lit(1)) == 1
+        def step(acc, _):
+            # One end lies inside: two neighbouring symbols. The best such edge comes first.
+            best = F.get(F.filter(acc["left"], lambda e: F.bit_count(acc["mask"].bitwiseAND(e["inner"])) == 1), F.lit(0))["inner"]
 
-    def whole(mask, e):
-        return has(mask, _start(e)) & has(mask, _stop(e))
+            def after(mask):  # edges stay while both ends stand and some lie inside
+                able = lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (mask.bitwiseAND(e["inner"]) != 0)
+                return F.struct(mask.alias("mask"), F.filter(acc["left"], able).alias("left"))
 
-    def merged(ranked):
-        def step(mask, _):
-            fits = lambda e: (F.bit_count(mask.bitwiseAND(between(e))) == 1) & whole(mask, e)
-            best = F.aggregate(ranked, F.lit(-1).cast("long"), lambda b, e: F.when(b >= 0, b).when(fits(e), e).otherwise(b))
-            return let(best, lambda e: F.when(e < 0, mask).otherwise(mask - mask.bitwiseAND(between(e))))
+            taken = let(F.coalesce(best, F.lit(0).cast("long")), lambda inner: F.when(inner == 0, F.struct(acc["mask"].alias("mask"), F.slice(acc["left"], 1, 0).alias("left"))).otherwise(let(acc["mask"] - acc["mask"].bitwiseAND(inner), after)))
+            return F.when(F.size(acc["left"]) == 0, acc).otherwise(taken)
 
-        return F.aggregate(F.sequence(F.lit(2), n), _ones(n + 1), step)
+        return F.aggregate(F.sequence(F.lit(2), n), zero, step, lambda acc: acc["mask"])
 
-    long = F.sort_array(F.filter(edges, lambda e: _stop(e) > _start(e) + 1))
-    ends = let(long, lambda r: F.when((n < 2) | (F.size(r) == 0), _ones(n + 1)).otherwise(merged(r)))
-    return let(ends, lambda m: F.filter(edges, lambda e: (m.bitwiseAND(between(e)) == 0) & whole(m, e)))
+    def chosen(r):
+        left = let(F.filter(r, lambda x: x["inner"] != 0), lambda long: F.when(F.size(long) == 0, _ones(n + 1)).otherwise(merged(long)))
+        stands = lambda m: lambda x: (m.bitwiseAND(x["inner"]) == 0) & (m.bitwiseAND(x["ends"]) == x["ends"])
+        return let(left, lambda m: F.transform(F.filter(r, stands(m)), lambda x: x["e"]))
+
+    return let(F.transform(F.sort_array(edges), lambda e: F.struct(between(e).alias("inner"), ends(e).alias("ends"), e.alias("e"))), chosen)
 
 
 def segment(distinct: DataFrame, vocab: DataFrame, *, longest: int, fold: str = "merges", scores: list[float] | None = None) -> DataFrame:
-    """``distinct`` (unit, ...), partitioned by unit, with ranks: the ranks of its
-    pieces in order, the vocabulary's size where a character has no piece."""
-    others = [c for c in distinct.columns if c != "unit"]
+    """``distinct`` (unit), partitioned by unit, with ranks: the ranks of its pieces
+    in order, ``UNKNOWN`` where a character has no piece."""
     text = F.col("unit")
     n = F.length(text)
     # Single characters are always edges, so that every unit has a path.
-    starts = distinct.select("unit", *others, F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    starts = distinct.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     stops = starts.select("*", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, n))).alias("stop"))
     subs = stops.withColumn("piece", F.substring(text, F.col("start") + 1, F.col("stop") - F.col("start")))
     met = subs.join(F.broadcast(vocab), "piece", "left").where("rank is not null or stop = start + 1")
     rank = F.coalesce(F.col("rank"), F.lit(UNKNOWN)).cast("long")
     # An edge is one long that sorts by rank and start: rank, start, stop.
     edge = (rank * (1 << 2 * _BITS)) + (F.col("start") * (1 << _BITS)) + F.col("stop")
-    lattice = met.select("unit", *others, edge.alias("e")).groupBy("unit").agg(F.collect_list("e").alias("edges"), *[F.first(c).alias(c) for c in others])
+    lattice = met.select("unit", edge.alias("e")).groupBy("unit").agg(F.collect_list("e").alias("edges"))
     folds = {"merges": lambda e, m: _merges(e, m), "viterbi": lambda e, m: _viterbi(e, m, F.lit(scores))}
     chosen = let(F.struct("edges", n.alias("n")), lambda x: folds[fold](x["edges"], x["n"]))
     in_order = F.sort_array(F.transform(chosen, lambda e: _start(e).cast("long") * (1 << 32) + _rank(e)))
-    return lattice.select("unit", *others, F.transform(in_order, lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("ranks"))
+    return lattice.select("unit", F.transform(in_order, lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("ranks"))
 
 
 def merge_long(unit: str, ranks: dict[str, int]) -> list[int]:
@@ -201,58 +211,132 @@ def merge_long(unit: str, ranks: dict[str, int]) -> list[int]:
     return [ranks.get(unit[i : end[i]], UNKNOWN) for i in range(n) if alive[i]]
 
 
+def best_path_long(unit: str, ranks: dict[str, int], scores: list[float], longest: int) -> list[int]:
+    """Ranks along the path of the greatest sum of scores, for units too long for
+    a mask; of equal sums that with the longer last piece counts."""
+    best, back = [0.0], [0]
+    for stop in range(1, len(unit) + 1):
+        top, at = -np.inf, stop - 1
+        for start in range(max(0, stop - longest), stop):
+            r = ranks.get(unit[start:stop])
+            if r is None and start < stop - 1:
+                continue
+            if (worth := best[start] + (UNKNOWN_SCORE if r is None else scores[r])) > top:
+                top, at = worth, start
+        best.append(top)
+        back.append(at)
+    out, stop = [], len(unit)
+    while stop:
+        out.append(ranks.get(unit[back[stop] : stop], UNKNOWN))
+        stop = back[stop]
+    return out[::-1]
+
+
 class _Coder:
     """Ids of units from ranks, and texts of ids; one per model and process."""
 
     def __init__(self, path: str):
+        import pyarrow as pa
+
         known, byte_zero = vocabulary(path)
         self.ranks = {p: r for r, (p, _, _) in enumerate(known)}
-        self.id_of = [i for _, i, _ in known]
-        self.id_array = np.array(self.id_of, "i4")
+        self.scores = [s for _, _, s in known]
+        self.longest = max(len(p) for p, _, _ in known)
+        self.id_array = np.array([i for _, i, _ in known], "<i4")
         self.byte_zero = byte_zero
         self.piece: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for p, i, _ in known}
         self.piece |= {byte_zero + b: bytes([b]) for b in range(256)}
+        self.table = pa.array([self.piece.get(i, b"") for i in range(max(self.piece) + 1)], pa.large_binary())
 
-    def ids(self, unit: str, ranks) -> list[int]:
-        if UNKNOWN not in ranks:
-            return [self.id_of[r] for r in ranks]
+    def ids(self, unit: str, ranks) -> bytes:
+        """Packed ids of a unit; characters without a piece become their bytes."""
         out, at = [], 0
         for r in ranks:
             if r == UNKNOWN:
                 out += [self.byte_zero + b for b in unit[at].encode("utf-8", "surrogatepass")]
                 at += 1
             else:
-                out.append(self.id_of[r])
+                out.append(int(self.id_array[r]))
                 at += len(self.piece[out[-1]].decode())
-        return out
+        return np.array(out, "<i4").tobytes()
+
+    def folded(self, unit: str, fold: str) -> bytes:
+        return self.ids(unit, merge_long(unit, self.ranks) if fold == "merges" else best_path_long(unit, self.ranks, self.scores, self.longest))
 
-    def text(self, ids) -> str:
+    def texts(self, ids, ends: np.ndarray) -> list[bytes]:
+        """The texts of packed ids, cut behind each of ``ends``."""
+        import pyarrow as pa
+
+        joined = self.table.take(pa.array(ids))
+        at = np.frombuffer(joined.buffers()[1], "<i8", len(joined) + 1, 8 * joined.offset)[ends]
+        data = memoryview(joined.buffers()[2] or b"")
         # The space in front belongs to the encoding, not to the text.
-        return b"".join(map(self.piece.__getitem__, ids))[1:].decode("utf-8", "replace")
+        return [bytes(data[a + 1 : b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-class _Known(dict):
-    """Ids by unit; those too long for the lattice are merged when first met."""
+class _Units(dict):
+    """Packed ids by unit. Those too long for the lattice are folded when first
+    met; every other one must have been answered."""
 
-    def __init__(self, coder: _Coder):
+    def __init__(self, coder: _Coder, fold: str):
         super().__init__()
-        self.coder = coder
+        self.coder, self.fold = coder, fold
 
     def learn(self, answers) -> None:
         """Takes in answered units (unit, ranks)."""
         units_, ranks = answers.column("unit").to_pylist(), answers.column("ranks").combine_chunks()
         flat, ends = ranks.values.to_numpy(), ranks.offsets.to_numpy()
         known = flat != UNKNOWN
-        ids = self.coder.id_array[np.where(known, flat, 0)].tolist()
-        self.update({u: ids[a:b] for u, a, b in zip(units_, ends[:-1].tolist(), ends[1:].tolist(), strict=True)})
+        ids = self.coder.id_array[np.where(known, flat, 0)].tobytes()
+        at = (4 * ends).tolist()
+        self.update({u: ids[a:b] for u, a, b in zip(units_, at[:-1], at[1:], strict=True)})
         for row in np.unique(np.searchsorted(ends, np.flatnonzero(~known), side="right") - 1):
             self[units_[row]] = self.coder.ids(units_[row], flat[ends[row] : ends[row + 1]].tolist())
 
-    def __missing__(self, unit: str) -> list[int]:
-        found = self[unit] = self.coder.ids(unit, merge_long(unit, self.coder.ranks))
+    def __missing__(self, unit: str) -> bytes:
+        if len(unit) <= LONGEST_UNIT:
+            raise RuntimeError(f"no answer for a unit of {len(unit)} characters")
+        found = self[unit] = self.coder.folded(unit, self.fold)
         return found
 
 
+class _Words(dict):
+    """Packed ids by what stands between spaces."""
+
+    def __init__(self, known: _Units):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = b"".join(map(self.known.__getitem__, _splitter()(SPACE + word)))
+        return found
+
+    def ids(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if _plain(text):
+            return b"".join(map(self.__getitem__, text.split(" ")))
+        return b"".join(map(self.known.__getitem__, units(text)))
+
+
+def _plain(text: str) -> bool:
+    """Whether the units of a text are those of its words, one by one."""
+    return "  " not in text and SPACE not in text
+
+
+def _units_of(texts) -> set[str]:
+    seen: set[str] = set()
+    words: set[str] = set()
+    for text in texts:
+        if text and _plain(text):
+            words.update(text.split(" "))
+        else:
+            seen.update(units(text or ""))
+    for word in words:
+        seen.update(_splitter()(SPACE + word))
+    return seen
+
+
 @lru_cache(maxsize=2)
 def _coder(path: str) -> _Coder:
     return _Coder(path)
@@ -268,104 +352,121 @@ def _frozen(rows) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _packs(batch) -> Iterator:
-    """(number, slice) of an Arrow batch: bounded slices of rows, numbered by
-    their content, so that every pass over the table numbers them alike."""
+def _packs(batches: Iterator, own: list[str]) -> Iterator:
+    """(number, table): bounded packs of rows, numbered by their content, so that
+    every pass over the table numbers them alike."""
+    import pyarrow as pa
     import xxhash
 
-    at = 0
-    sizes = batch.column("_text_bytes").to_pylist()
-    while at < batch.num_rows:
-        stop, held = at, 0
-        while stop < batch.num_rows and stop - at < PACK_ROWS and (held == 0 or held + sizes[stop] <= PACK_BYTES):
-            held += sizes[stop] + 1
-            stop += 1
-        piece = batch.slice(at, stop - at)
-        digest = xxhash.xxh64()
-        for value in piece.column("_text").to_pylist():
-            digest.update(b"\0" if value is None else value.encode("utf-8", "surrogatepass"))
-        yield digest.intdigest() - (1 << 63), piece
-        at = stop
+    def numbered(parts):
+        table, digest = pa.Table.from_batches(parts), xxhash.xxh64()
+        for name in table.column_names:
+            for value in table.column(name).to_pylist():
+                digest.update(b"\0" if value is None else value.encode("utf-8", "surrogatepass") if isinstance(value, str) else repr(value).encode())
+        return digest.intdigest() - (1 << 63), table.select(own)
+
+    parts, rows, held = [], 0, 0
+    for batch in batches:
+        at, sizes = 0, batch.column(0).to_pylist()
+        batch = batch.select(batch.schema.names[1:])
+        for k, size in enumerate(sizes):
+            if rows + k - at and (rows + k - at >= PACK_ROWS or held + size > PACK_BYTES):
+                yield numbered([*parts, batch.slice(at, k - at)])
+                parts, rows, held, at = [], 0, 0, k
+            held += size + 1
+        if len(sizes) > at:
+            parts.append(batch.slice(at))
+            rows += len(sizes) - at
+    if parts:
+        yield numbered(parts)
 
 
 def encode(docs: DataFrame, text_col: str = "text", *, model: str = MODEL, fold: str = "merges", restored_col: str | None = None) -> DataFrame:
     """``docs`` with ids, the piece ids of the text column, and where a name is
     given for it, whether decoding them gives the text back."""
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     check_units(model)
     spark = docs.sparkSession
+    docs = without(docs, *({"ids", restored_col} - {text_col}))
     known, _ = vocabulary(model)
     longest = max(len(p) for p, _, _ in known)
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sized = docs.withColumn("_text", F.col(text_col)).withColumn("_text_bytes", F.coalesce(F.octet_length(text_col), F.lit(0)))
     own = list(docs.columns)
+    at = own.index(text_col)
+    # Arrow columns go by place: a table may have a column of any name.
+    sized = docs.select(F.coalesce(F.octet_length(text_col), F.lit(0)).alias("_bytes"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(own)])
+    places = [f"c{k}" for k in range(len(own))]
 
     def asked(batches: Iterator) -> Iterator:
-        """The distinct units of every pack, sorted, as they pack better so."""
-        for batch in batches:
-            for g, piece in _packs(batch):
-                seen: set[str] = set()
-                for text in piece.column("_text").to_pylist():
-                    seen.update(units(text or ""))
-                found = sorted(u for u in seen if len(u) <= LONGEST_UNIT)
-                for at in range(0, len(found), 50_000):
-                    part = found[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([g] * len(part), pa.int64())], ["unit", "g"])
+        """The distinct units of every pack."""
+        for g, pack in _packs(batches, places):
+            found = sorted(u for u in _units_of(pack.column(at).to_pylist()) if len(u) <= LONGEST_UNIT)
+            for lo in range(0, len(found), 50_000):
+                part = found[lo : lo + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), g), pa.int64())], ["unit", "g"])
 
     def packed(batches: Iterator) -> Iterator:
         """Every pack as one compressed row."""
-        for batch in batches:
-            for g, piece in _packs(batch):
-                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([_frozen(piece.select(own))], pa.binary())], ["g", "payload"])
+        for g, pack in _packs(batches, places):
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([_frozen(pack)], pa.binary())], ["g", "payload"])
 
     # More partitions than usual: a unit's lattice is some thirty times its row.
     wanted = sized.mapInArrow(asked, "unit string, g long").repartition(parts, "unit")
-    distinct = wanted.groupBy("unit").agg(F.collect_list("g").alias("gs"))
-    done = segment(distinct, pieces(spark, model), longest=longest, fold=fold, scores=[s for _, _, s in known] if fold == "viterbi" else None)
+    done = segment(wanted.select("unit").distinct(), pieces(spark, model), longest=longest, fold=fold, scores=[s for _, _, s in known] if fold == "viterbi" else None)
+    # Only now do units meet those who ask, so that one in every pack is one row while it is cut.
+    dealt = wanted.join(done.hint("shuffle_hash"), "unit").select("g", "unit", "ranks").sortWithinPartitions("g")
 
-    def dealt(batches: Iterator) -> Iterator:
+    def gathered(batches: Iterator) -> Iterator:
         """What a partition answers, as one compressed row for each pack."""
-        held = list(batches)
-        if not sum(b.num_rows for b in held):
-            return
-        held = pa.Table.from_batches(held).combine_chunks()
-        gs = held.column("gs").combine_chunks()
-        parent, g = pc.list_parent_indices(gs).to_numpy(), pc.list_flatten(gs).to_numpy()
-        order = np.argsort(g, kind="stable")
-        cuts = np.flatnonzero(np.diff(g[order])) + 1
-        for part in np.split(order, cuts):
-            rows = held.select(["unit", "ranks"]).take(pa.array(parent[part])).combine_chunks()
-            yield pa.RecordBatch.from_arrays([pa.array([int(g[part[0]])], pa.int64()), pa.array([_frozen(rows)], pa.binary())], ["g", "answers"])
-
-    answers = done.select("unit", "gs", "ranks").mapInArrow(dealt, "g long, answers binary")
+        held, of = [], None
+        for batch in batches:
+            g = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if held and g[a] != of:
+                    yield answered(of, held)
+                    held = []
+                of = int(g[a])
+                held.append(batch.slice(a, b - a).select(["unit", "ranks"]))
+        if held:
+            yield answered(of, held)
+
+    def answered(g: int, held: list):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        return pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([_frozen(rows)], pa.binary())], ["g", "answers"])
+
+    answers = dealt.mapInArrow(gathered, "g long, answers binary")
     payloads = sized.mapInArrow(packed, "g long, payload binary")
 
     def apply(payloads, answers):
         coder = _coder(model)
-        ids = _Known(coder)
+        known_units = _Units(coder, fold)
         for frozen in answers.column("answers"):
-            ids.learn(pa.ipc.open_stream(frozen.as_buffer()).read_all())
-        tables = []
+            known_units.learn(pa.ipc.open_stream(frozen.as_buffer()).read_all())
+        words, tables = _Words(known_units), []
         for payload in payloads.column("payload"):
             table = pa.ipc.open_stream(payload.as_buffer()).read_all()
-            texts = table.column(text_col).to_pylist()
-            of = ids.__getitem__
-            coded = [None if t is None else list(chain.from_iterable(map(of, units(t)))) for t in texts]
-            ends = np.cumsum([0] + [len(x or ()) for x in coded])
-            values = np.fromiter(chain.from_iterable(x or () for x in coded), "i4", int(ends[-1]))
-            none = pa.array([x is None for x in coded], pa.bool_())
-            table = table.append_column("ids", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values), mask=none))
+            texts = table.column(at).to_pylist()
+            coded = [b"" if t is None else words.ids(t) for t in texts]
+            ends = np.cumsum([0] + [len(x) // 4 for x in coded])
+            values = np.frombuffer(b"".join(coded), "<i4")
+            none = pa.array([t is None for t in texts], pa.bool_())
+            columns = [*table.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values), mask=none)]
             if restored_col:
-                table = table.append_column(restored_col, pa.array([x is None or coder.text(x) == t for x, t in zip(coded, texts, strict=True)]))
-            tables.append(table)
+                back = coder.texts(values, ends)
+                columns.append(pa.array([t is None or b == t.encode("utf-8", "surrogatepass") for b, t in zip(back, texts, strict=True)]))
+            tables.append(pa.Table.from_arrays(columns, names=out_names))
         return pa.concat_tables(tables) if tables else target.empty_table()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", ids array<int>"
-    schema += f", `{restored_col}` boolean" if restored_col else ""
+    out_names = [*places, "ids", *(["restored"] if restored_col else [])]
+    schema = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema)) + ", ids array<int>"
+    schema += ", restored boolean" if restored_col else ""
     target = to_arrow_schema(T._parse_datatype_string(schema))
-    return payloads.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(apply, schema)
+    out = payloads.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(apply, schema)
+    return out.toDF(*own, "ids", *([restored_col] if restored_col else []))
 
 
 def decode(encoded: DataFrame, out_col: str = "decoded", *, model: str = MODEL) -> DataFrame:
@@ -374,6 +475,10 @@ def decode(encoded: DataFrame, out_col: str = "decoded", *, model: str = MODEL)
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
         coder = _coder(model)
-        return ids.map(lambda x: None if x is None else coder.text(x.tolist()))
+
+        def of(x):
+            return None if x is None else coder.texts(np.asarray(x, "<i4"), np.array([0, len(x)]))[0].decode("utf-8", "replace")
+
+        return ids.map(of)
 
     return encoded.withColumn(out_col, text("ids"))

@@ -31,12 +31,36 @@ def test_sentencepiece_equals_the_library(spark):
     assert sentencepiece.encode(df.limit(0)).count() == 0
 
 
+def test_sentencepiece_clashing_columns_and_packs(spark, monkeypatch):
+    monkeypatch.setattr(sentencepiece, "PACK_ROWS", 3)
+    texts = ["one two", None, "", "two  three", " x ", "one two", "y" * 70, "▁ a ▁", "one two"]
+    rows = [(i, t, "own", "kept", [1], "c") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, ids string, _text string, c0 array<int>, restored string").repartition(2)
+    got = {r.doc_id: r for r in sentencepiece.encode(df, restored_col="restored").collect()}
+    library = sentencepiece._model(sentencepiece.MODEL)
+    assert len(got) == len(rows)
+    for i, t in enumerate(texts):
+        assert got[i].ids == (None if t is None else library.encode(t)) and got[i]._text == "kept" and got[i].c0 == [1] and got[i].text == t
+        assert got[i].restored == (t is None or "▁" not in t)
+    with pytest.raises(RuntimeError):
+        sentencepiece._Units(sentencepiece._coder(sentencepiece.MODEL), "merges")["lost"]
+
+
 def test_viterbi_fold_is_best_path(spark):
     known, _ = sentencepiece.vocabulary()
     score = {p: s for p, _, s in known}
     units = sorted({u for t in ("the market rose sharply", "Zukeitpf ach éôç 123") for u in sentencepiece.units(t)})
     df = spark.createDataFrame([(u,) for u in units], "unit string").repartition(2, "unit")
     got = {r.unit: r.ranks for r in sentencepiece.segment(df, sentencepiece.pieces(spark), longest=16, fold="viterbi", scores=[s for _, _, s in known]).collect()}
+    # Units too long for a mask, as encode folds them.
+    rng = random.Random(2)
+    long = ["".join(rng.choices("abceinorst", k=n)) for n in (61, 81, 200, 500)] + ["=" * 90, "é中" * 60]
+    rank = {p: r for r, (p, _, _) in enumerate(known)}
+    got |= {u: sentencepiece.best_path_long(u, rank, [s for _, _, s in known], 16) for u in long}
+    whole = sentencepiece.encode(spark.createDataFrame([(i, u) for i, u in enumerate(long)], DOCS), fold="viterbi", restored_col="ok")
+    ids = {known[r][1] for u in long for r in got[u] if r < len(known)}
+    assert all(r.ok and any(i in ids for i in r.ids) for r in whole.collect())
+    units += long
     for u in units:
         best = [0.0] + [None] * len(u)
         for stop in range(1, len(u) + 1):
