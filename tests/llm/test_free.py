@@ -262,8 +262,45 @@ def test_adjacent_licenses():
 
 def test_licenses_without_their_rarest_words():
     ready = licenses.prepared()
-    name, words, _ = next(r for r in ready if r[0] == "MIT" and len(r[1]) > 50)
-    spread = Counter(w for _, ws, _ in ready for w in set(ws))
+    name, words, *_ = next(r for r in ready if r[0] == "MIT" and len(r[1]) > 50)
+    spread = Counter(w for _, ws, *_ in ready for w in set(ws))
     lost = set(sorted(set(words), key=lambda w: (spread[w], -len(w), w))[:3])
     ((found, coverage, _, _),) = licenses.scan(" ".join("other" if w in lost else w for w in words), ready)
     assert found == name and coverage >= 0.8
+
+
+def test_licenses_and_their_neighbours():
+    ready = licenses.prepared()
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            found = licenses.scan(f"Words before. {t.replace('*', '')} And words behind.", ready)
+            assert [(n, c) for n, c, _, _ in found] == [(name, 1.0)], (name, t[:40], found)
+    for other in ("Licensed under CC BY 5.0", "licensed under the GNU Lesser Public License", "Licensed under the Apache License, Version 3.0", "Released under the WTF License"):
+        assert licenses.scan(other, ready) == [], other
+    bsd4 = licenses.TEMPLATES["BSD-3-Clause"][2].replace("*", "")
+    assert [n for n, *_ in licenses.scan(bsd4.replace("Neither", "No part of"), ready)] == ["BSD-2-Clause"]
+
+
+def test_alignment_against_brute_force():
+    """Words that occur once in both align along a longest increasing subsequence."""
+    rng = random.Random(6)
+    for n in (1, 5, 30, 200):
+        for _ in range(10):
+            a = [f"w{i}" for i in range(n)]
+            b = rng.sample(a, n)
+            at = {w: i for i, w in enumerate(b)}
+            best = [1] * n
+            for i in range(n):
+                best[i] = 1 + max((best[j] for j in range(i) if at[a[j]] < at[a[i]]), default=0)
+            found = licenses._longest_increasing([(i, at[w]) for i, w in enumerate(a)])
+            assert len(found) == max(best) and all(x < y for x, y in zip(found, found[1:]))
+            mixed = [w for w in a if rng.random() < 0.7] + ["z"] * rng.randrange(3)
+            pairs = licenses.align(mixed, a)
+            assert all(mixed[x] == a[y] for x, y in pairs) and len(pairs) == len([w for w in mixed if w != "z"])
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_licenses_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "Released under the MIT License.", "x", 5, "y"), (1, "Released under the MIT License.", "x", 5, "y")], "doc_id int, text string, license string, n_licenses int, other string")
+    got = licenses.find_licenses(df).collect()
+    assert [(r.license, r.n_licenses, r.other) for r in got] == [("MIT", 1, "y")] * 2
