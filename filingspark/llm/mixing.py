@@ -2,8 +2,8 @@
 
 The words of a source form one stream, packed into blocks of ``block_words``.
 Targets are word counts by weight, capped at ``cap`` times a source and reshared
-(water filling). Every output shard draws the source of each of its slots, a
-multinomial draw by target share; a source's slots, numbered over the shards,
+(water filling). Every output shard, the last short one too, draws the source of
+each of its slots, a multinomial draw by target share; a source's slots, numbered over the shards,
 go through a pseudorandom permutation of its block indices, one for each pass
 over the source; blocks are then joined by (source, index).
 
@@ -13,11 +13,13 @@ last slot ends at the word that meets the target. Passes before the last take
 every block once, so no document is taken more than ``cap`` times.
 
 Prefix sums never put a source into one task: documents are numbered within
-(source, hash group) and groups within a source.
+(source, hash group) and groups, whose number grows with the rows, within a
+source. What reaches every task is two numbers a source.
 
 Defined cases: null text has size 0, null source is a source of its own and
 comes last; documents of size 0 are never taken; repeated rows count each;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; long texts take part in many blocks; other
+columns are ignored, and kept by ``mixed_texts``, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from .common import durable, let, small_side, words
 BLOCK_WORDS = 512
 SHARD_SLOTS = 4096
 GROUPS = 1024
+GROUP_ROWS = 1 << 16
 CAP = 3
 WEIGHTS = (5.0, 2.0, 1.0)
 SEED = 20240
@@ -93,6 +96,22 @@ def source_targets(groups: DataFrame, weights=WEIGHTS, cap: float = CAP) -> Data
     )
 
 
+def draws(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(sid, shard, n): how many slots of each shard fall to a source, by one draw
+    a slot in proportion to quotas (sid, quota, upto: their running sum)."""
+    bounds = sources.agg(F.array_sort(F.collect_list(F.struct("upto", "sid"))).alias("b"), F.coalesce(F.sum("quota"), F.lit(0)).alias("n"))
+    bounds = bounds.select(F.transform("b", lambda x: x["upto"]).alias("upto"), F.transform("b", lambda x: x["sid"]).alias("sids"), "n")
+    shards = bounds.where("n > 0").select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {shard_slots}"))).alias("shard"))
+    slots = F.sequence(F.lit(0), (F.least(F.lit(shard_slots), F.col("n") - F.col("shard") * shard_slots) - 1).cast("int"))
+    each = shards.repartition("shard").select("shard", "n", F.explode(slots).alias("slot"))
+    each = each.withColumn("u", F.pmod(F.xxhash64("shard", "slot", F.lit(SEED)), F.col("n")))
+    each = each.withColumn("upto", bounds.select("upto").scalar()).withColumn("sids", bounds.select("sids").scalar())
+    # The number of running sums up to u, by halving steps.
+    steps = F.transform(F.sequence(F.length(F.bin(F.size("upto").cast("long"))) - 1, F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    below = F.aggregate(steps, F.lit(0), lambda lo, p: F.when((lo + p <= F.size("upto")) & (F.get("upto", lo + p - 1) <= F.col("u")), lo + p).otherwise(lo))
+    return each.withColumn("sid", F.get("sids", below)).groupBy("sid", "shard").agg(F.count("*").alias("n"))
+
+
 def _slots(sources: DataFrame, block_words: int, shard_slots: int) -> DataFrame:
     """(sid, block, epoch, take): the drawn slots and the words each takes."""
     b = F.lit(block_words)
@@ -108,19 +127,7 @@ def _slots(sources: DataFrame, block_words: int, shard_slots: int) -> DataFrame:
         .withColumn("upto", F.sum("quota").over(Window.orderBy("sid")))
     )
     s = durable(s.select("sid", "source_size", "n_blocks", "epochs", "rest", "tail", "quota", "upto"))
-    bounds = s.agg(F.array_sort(F.collect_list(F.struct("upto", "sid"))).alias("b"), F.coalesce(F.sum("quota"), F.lit(0)).alias("n"))
-    bounds = bounds.select(F.transform("b", lambda x: x["upto"]).alias("upto"), F.transform("b", lambda x: x["sid"]).alias("sid"), "n")
-    upto, sids, total = bounds.select("upto").scalar(), bounds.select("sid").scalar(), bounds.select("n").scalar()
-    # Multinomial draws: whole shards of slots, each slot by cumulative quota.
-    shards = bounds.where(f"n >= {shard_slots}").select(F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"n div {shard_slots} - 1"))).alias("shard"))
-    draws = shards.repartition("shard").select("shard", F.explode(F.sequence(F.lit(0), F.lit(shard_slots - 1))).alias("slot"))
-    u = F.pmod(F.xxhash64("shard", "slot", F.lit(SEED)), total)
-    below = F.aggregate(
-        F.lit([1 << k for k in range(20, -1, -1)]),
-        F.lit(0),
-        lambda lo, p: F.when((lo + p <= F.size("upto")) & (F.get("upto", lo + p - 1) <= F.col("u")), lo + p).otherwise(lo),
-    )
-    counts = draws.withColumn("u", u).withColumn("upto", upto).withColumn("sids", sids).withColumn("sid", F.get("sids", below)).groupBy("sid", "shard").agg(F.count("*").alias("n"))
+    counts = draws(s, shard_slots)
     counts = counts.withColumn("offset", F.sum("n").over(Window.partitionBy("sid").orderBy("shard")) - F.col("n"))
     drawn = counts.groupBy("sid").agg(F.sum("n").alias("drawn"))
     few = small_side(s, 100_000)
@@ -157,7 +164,7 @@ def mix_sources(
     cap: float = CAP,
     block_words: int = BLOCK_WORDS,
     shard_slots: int = SHARD_SLOTS,
-    groups: int = GROUPS,
+    groups: int | None = None,
 ) -> DataFrame:
     """One row per document: id, ``key`` (hash of id and text), ``copy`` (number
     among the rows of equal source, id and key, from 1), source, size,
@@ -169,8 +176,10 @@ def mix_sources(
             F.col(source_col).alias("source"),
             F.xxhash64(id_col, text_col).alias("key"),
             F.size(words(F.col(text_col))).cast("long").alias("size"),
-        ).withColumn("grp", F.pmod("key", F.lit(groups)))
+        )
     )
+    groups = groups or max(GROUPS, sized.count() // GROUP_ROWS)
+    sized = sized.withColumn("grp", F.pmod("key", F.lit(groups)))
     sums = sized.groupBy("source", "grp").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("group_start", F.sum("words").over(Window.partitionBy("source").orderBy("grp")) - F.col("words"))
     sums = durable(sums)
@@ -218,15 +227,15 @@ def mixed_texts(docs: DataFrame, **parameters) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("p.lo", "p.hi"))).alias("ranges"))
     )
     whole = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["hi"] - r["lo"]) >= F.col("size")
-    columns = docs.columns
-    same = Window.partitionBy("source", "doc_id", "_key").orderBy(F.xxhash64(*columns))
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text")).withColumn("_copy", F.row_number().over(same))
-    passes = passes.select(F.col("source").alias("_source"), F.col("doc_id").alias("_doc"), F.col("key").alias("_key2"), F.col("copy").alias("_copy2"), "ranges", whole.alias("_whole"))
-    row = keyed["source"].eqNullSafe(passes["_source"]) & keyed["doc_id"].eqNullSafe(passes["_doc"])
-    joined = keyed.join(passes, row & (F.col("_key") == F.col("_key2")) & (F.col("_copy") == F.col("_copy2")))
+    # Rows travel as one column, so that no name of theirs can clash.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, "doc_id", "source", "text", F.xxhash64("doc_id", "text").alias("key"))
+    same = Window.partitionBy("source", "doc_id", "key").orderBy(F.xxhash64("row"))
+    keyed = keyed.withColumn("copy", F.row_number().over(same)).alias("d")
+    passes = passes.select("source", "doc_id", "key", "copy", "ranges", whole.alias("whole")).alias("p")
+    equal = [F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("source", "doc_id")] + [F.col(f"d.{c}") == F.col(f"p.{c}") for c in ("key", "copy")]
+    joined = keyed.join(passes, equal).select("row", "text", "ranges", "whole")
     cut = let(words(F.col("text")), lambda w: F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(w, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), " "))
-    text = F.when(F.col("_whole"), F.col("text")).otherwise(cut)
-    out = joined.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns)
+    joined = joined.select("row", F.when(F.col("whole"), F.col("text")).otherwise(cut).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return joined.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -59,6 +59,52 @@ def test_mix_meets_targets(spark, parameters):
     assert again == {(r.doc_id, r.key): r.taken for r in got}
 
 
+@pytest.mark.parametrize("quotas", [[10], [500, 0, 293], [4_000, 5_900, 100], list(range(1, 60))])
+def test_every_slot_is_drawn(spark, quotas):
+    rows, upto = [], 0
+    for sid, q in enumerate(quotas):
+        upto += q
+        rows.append((sid, q, upto))
+    got = mixing.draws(spark.createDataFrame(rows, "sid int, quota long, upto long")).collect()
+    per_shard = Counter()
+    for r in got:
+        per_shard[r.shard] += r.n
+    total = sum(quotas)
+    assert per_shard == {k: min(4096, total - 4096 * k) for k in range(-(-total // 4096))}
+    share = Counter()
+    for r in got:
+        share[r.sid] += r.n
+    assert all(abs(share[s] - q) <= 6 * max(q, 1) ** 0.5 + 2 for s, q in enumerate(quotas)) and all(quotas[s] for s in share)
+
+
+def test_taken_against_replay(spark):
+    """Slots laid over the words of each source, in order of group, id and key."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(rng.randrange(90))), f"s{i % 3}") for i in range(60)] + [(9, "same row twice", "s0")] * 2
+    df = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix_sources(df, block_words=16, shard_slots=8, groups=5).collect()
+    names = sorted({r.source for r in got})
+    sources = mixing.source_targets(spark.createDataFrame([(s, sum(r.size for r in got if r.source == s)) for s in names], "source string, words long"))
+    slots = defaultdict(list)
+    for s in mixing._slots(sources, 16, 8).collect():
+        slots[names[s.sid]].append((s.epoch, s.block * 16, s.block * 16 + s.take))
+    for name in names:
+        ordered, at, taken = sorted((r for r in got if r.source == name), key=lambda r: (r.key % 5, r.doc_id, r.key)), 0, []
+        for r in ordered:
+            taken.append(sum(max(0, min(hi, at + r.size) - max(lo, at)) for _, lo, hi in slots[name]))
+            at += r.size
+        assert taken == [r.taken for r in ordered]
+        once = [lo for e, lo, _ in slots[name] if e == 0]
+        assert len(once) == len(set(once))
+
+
+def test_mixed_texts_clashing_columns(spark):
+    rows = [(1, "one two three", "a", "x", 7, None), (2, None, None, "y", 8, 1), (1, "one two three", "a", "x", 7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, key string, copy int, taken int")
+    out = mixing.mixed_texts(df)
+    assert out.columns == df.columns and {(r.key, r.copy, r.taken) for r in out.collect()} == {("x", 7, None)}
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], DOCS)
     assert mixing.mix_sources(empty).count() == 0 and mixing.mixed_texts(empty).count() == 0
