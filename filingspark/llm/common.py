@@ -48,6 +48,14 @@ def without(df: DataFrame, *names: str | None) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with marks behind it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")

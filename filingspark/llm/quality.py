@@ -1,20 +1,21 @@
 """Quality rules (native): counting rules and a hashed n-gram likelihood ratio.
 
-Features of a text are its words and the pairs of endings of neighbouring words,
-hashed into ``buckets``. The trusted target (documents labelled good) and the
-raw corpus (all documents) give a multinomial over the buckets each; a document's
-score is the log-likelihood ratio of its features, divided by their number, and
-the document is kept if the score reaches ``threshold``, without any sampling.
+Features of a text are its words and the pairs of neighbouring words, hashed into
+``buckets``. The trusted target (documents labelled good) and the raw corpus (all
+documents) give a multinomial over the buckets each; a document's score is the
+log-likelihood ratio of its features, divided by their number, and the document
+is kept if the score reaches ``threshold``, without any sampling.
 Bucket ratios are shrunk to 1 by ``prior`` pseudo-counts, so that features which
 were rarely seen say little. The model has ``buckets`` numbers whatever the
 corpus, and reaches the rows as a scalar subquery. The raw corpus is counted
-whole; the trusted target is at most ``TARGET_DOCS`` labelled documents, those
+whole; the trusted target is at most ``target_docs`` labelled documents, those
 of smallest id hash, so that their ids can be broadcast and no text is shuffled.
 
 Defined cases: null text has no words and fails the base rules; without any
 labelled document every ratio is 1 and the base rules decide; repeated rows
-count each; labels for unknown documents and null labels are ignored; an empty
-table gives an empty result.
+count each; labels for unknown documents and null labels are ignored; other
+columns are kept, those named like a result are replaced by it; texts may be of
+any length that a row holds; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,23 +23,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, let, words
+from .common import durable, let, unused, without, words
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 PRIOR = 20.0
 TARGET_DOCS = 1 << 16
-THRESHOLD = -0.5
+THRESHOLD = -0.15
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def _features(w: Column, buckets: int) -> Column:
-    """Buckets of the words and of the pairs of neighbouring two-character endings."""
-    ends = F.transform(w, lambda x: F.right(x, F.lit(2)))
-    pairs = let(ends, lambda e: F.transform(e, lambda x, i: F.pmod(F.xxhash64(x, F.get(e, i + 1)), F.lit(buckets)).cast("int")))
-    return F.concat(F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int")), pairs)
+    """Buckets of the words, and of each word with the next one."""
+    of = lambda *x: F.pmod(F.xxhash64(*x), F.lit(buckets)).cast("int")
+    return F.concat(F.transform(w, lambda x: of(x)), F.transform(w, lambda x, i: of(x, F.get(w, i + 1))))
 
 
 def _repeated_words(w: Column) -> Column:
@@ -82,26 +83,27 @@ def _repeated_words(w: Column) -> Column:
     return F.when(n < 2, F.lit(0).cast("long")).otherwise(some)
 
 
-def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with _words, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words and base_failed."""
+def base_rules(docs: DataFrame, text_col: str = "text", words_col: str = "_words") -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, and ``words_col``: the words."""
+    docs = without(docs, *({*BASE, words_col} - {text_col}))
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counted = docs.withColumn("_words", words(F.col(text_col))).select(
+    counted = docs.withColumn(words_col, words(F.col(text_col))).select(
         "*",
-        F.size("_words").cast("long").alias("n_words"),
+        F.size(words_col).cast("long").alias("n_words"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        let(F.col("_words"), _repeated_words).alias("n_repeat_words"),
+        let(F.col(words_col), _repeated_words).alias("n_repeat_words"),
     )
     return counted.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def ratio_model(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> DataFrame:
+def ratio_model(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, target_docs: int = TARGET_DOCS) -> DataFrame:
     """One row: ``llr``, the bucket log-ratios of trusted target to raw corpus."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct()
-    good = good.orderBy(F.xxhash64("_good"), "_good").limit(TARGET_DOCS)
+    good = good.orderBy(F.xxhash64("_good"), "_good").limit(target_docs)
     marked = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("_good"), "left")
     counts = (
         marked.select(F.col("_good").isNotNull().cast("int").alias("t"), F.explode(let(words(F.col("text")), lambda w: _features(w, buckets))).alias("b"))
@@ -122,11 +124,14 @@ def ratio_model(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prio
     return model.select(let(F.struct("rows", "share"), ratios).alias("llr"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, prior: float = PRIOR, threshold: float = THRESHOLD) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, prior: float = PRIOR, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS) -> DataFrame:
     """``docs`` with the base counts, ``base_failed``, ``llr`` (mean log ratio of
     a feature, 0 without words) and ``kept``."""
-    model = durable(ratio_model(docs, labels, buckets, prior))
-    scored = base_rules(docs).withColumn("_llr", model.scalar())
-    total = let(F.struct(F.col("_llr").alias("r"), F.col("_words").alias("w")), lambda s: F.aggregate(_features(s["w"], buckets), F.lit(0.0), lambda acc, b: acc + F.get(s["r"], b)))
+    model = durable(ratio_model(docs, labels, buckets, prior, target_docs))
+    docs = without(docs, *BASE, "llr", "kept")
+    words_col, model_col = unused(docs, "_words"), unused(docs, "_model")
+    scored = base_rules(docs, words_col=words_col).withColumn(model_col, model.scalar())
+    both = F.struct(F.col(model_col).alias("r"), F.col(words_col).alias("w"))
+    total = let(both, lambda s: F.aggregate(_features(s["w"], buckets), F.lit(0.0), lambda acc, b: acc + F.get(s["r"], b)))
     scored = scored.withColumn("llr", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words"))).otherwise(0.0))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("_words", "_llr")
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop(words_col, model_col)

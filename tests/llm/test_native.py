@@ -175,6 +175,43 @@ def test_likelihood_ratio_parts_junk_from_prose(spark):
     assert quality.quality(spark.createDataFrame([], "doc_id long, text string"), labels).count() == 0
 
 
+def test_likelihood_ratio_against_brute_force(spark):
+    import math
+
+    import xxhash
+
+    rng, buckets, prior = random.Random(12), 64, 3.0
+    texts = {i: " ".join(rng.choices(["ä", "b", "cc", "d\u00a0e", "f"], k=rng.randrange(40))) for i in range(60)} | {60: None, 61: ""}
+    good = {i for i in texts if i % 4 == 0}
+
+    def features(text):
+        w = WORD.findall(text or "")
+        signed = lambda h: (h - (1 << 64) if h >> 63 else h) % buckets
+        one = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+        two = [xxhash.xxh64_intdigest(w[i + 1].encode(), one[i]) if i + 1 < len(w) else one[i] for i in range(len(w))]
+        return [signed(h) for h in one + two]
+
+    raw, target = Counter(), Counter()
+    for i, t in texts.items():
+        raw.update(features(t))
+        if i in good:
+            target.update(features(t))
+    share = sum(target.values()) / sum(raw.values())
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in good)) for i in range(0, 62, 2)] + [(0, 1)], "doc_id long, quality int")
+    for r in quality.quality(df, labels, buckets=buckets, prior=prior, threshold=0.01).collect():
+        f = features(texts[r.doc_id])
+        want = sum(math.log((target[b] + prior * share) / ((raw[b] + prior) * share)) for b in f) / len(f) if f else 0.0
+        assert r.llr == pytest.approx(want, abs=1e-9) and (r.kept == (not r.base_failed and r.llr >= 0.01))
+
+
+def test_quality_clashing_columns(spark):
+    rows = [(1, "a b c d e f g h i j k l", "x", False, 2.0, "own"), (1, "a b c d e f g h i j k l", "x", False, 2.0, "own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words string, kept boolean, llr double, _words string")
+    got = quality.quality(df, spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert [(r.n_words, r.kept, r.llr, r._words) for r in got] == [(12, True, 0.0, "own")] * 2
+
+
 def luhn(d):
     total = 0
     for i, c in enumerate(reversed(d)):
