@@ -12,7 +12,9 @@ same spans, so that long runs cost linear time and no stack.
 
 Defined cases: null text counts as empty, without spans; offsets are code
 points, ends exclusive; kinds may overlap each other; redaction joins
-overlapping spans and writes the first one's kind; repeated rows count each.
+overlapping spans and writes the first one's kind; repeated rows count each; other
+columns are kept, an input column named like the spans is replaced by them (never by
+``redact``); empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, unused
 
 CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.2
@@ -120,10 +122,10 @@ def _spans(text: Column, kind: str) -> Column:
     return F.coalesce(F.when(tried, spans), F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>"))
 
 
-def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with pii_spans: kind by kind in order, then by start."""
+def find_pii(docs: DataFrame, text_col: str = "text", spans_col: str = "pii_spans") -> DataFrame:
+    """``docs`` with ``spans_col``: kind by kind in order, then by start."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("pii_spans", F.concat(*[_spans(text, kind) for kind in PATTERNS]))
+    return docs.withColumn(spans_col, F.concat(*[_spans(text, kind) for kind in PATTERNS]))
 
 
 def joined_spans(spans: Column) -> Column:
@@ -137,7 +139,8 @@ def of_kind(spans: Column, kind: str) -> Column:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; n_chars, where
     there is such a column, follows the text."""
-    found = find_pii(docs, text_col).withColumn("pii_spans", F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"], s["end"], s["kind"]))))
+    spans = unused(docs, "pii_spans")
+    found = find_pii(docs, text_col, spans).withColumn(spans, F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"]))))
     text = F.col(text_col)
 
     def step(acc, s):
@@ -149,8 +152,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         )
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate("pii_spans", zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
-    out = found.withColumn(text_col, F.when(F.size("pii_spans") > 0, done).otherwise(text))
+    done = F.aggregate(spans, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
+    out = found.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length(text_col).cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

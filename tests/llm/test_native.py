@@ -312,3 +312,11 @@ def test_registered_digest(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     assert r.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
     assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+def test_pii_clashing_columns_and_nothing(spark):
+    df = spark.createDataFrame([(1, "mail a@b.com", "own", 5), (1, "mail a@b.com", "own", 5), (2, None, None, None)], "doc_id long, text string, pii_spans string, n_chars long")
+    out = pii.redact(df)
+    assert out.columns == df.columns and Counter(map(tuple, out.collect())) == Counter([(1, "mail [EMAIL]", "own", 12)] * 2 + [(2, None, None, None)])
+    assert [len(r.pii_spans) for r in pii.find_pii(df).orderBy("doc_id").collect()] == [1, 1, 0]
+    assert pii.find_pii(df.limit(0)).count() == 0 and pii.redact(df.limit(0)).count() == 0
