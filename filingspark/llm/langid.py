@@ -10,7 +10,9 @@ below ``min_margin``, where the margin is too narrow to rely on.
 
 Defined cases: null text and text without a letter is ``und`` with score 0;
 null languages teach nothing; without any labelled text all is ``und``; with one
-language the margin is 1; repeated rows get a row each.
+language the margin is 1; repeated rows get a row each; other columns are kept,
+those named like a result are replaced by it; texts of any length are packed
+chunk by chunk; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, small_side
+from .common import durable, small_side, without
 
 DOCS_PER_LANG = 400
 SAMPLE_CHARS = 4000
@@ -101,5 +103,6 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "te
             out["accepted"] = [x[0] != UNKNOWN and x[1] >= min_margin for x in found]
             yield out
 
+    docs = without(docs, *({"lang_pred", "score", "accepted"} - {text_col}))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
     return docs.mapInPandas(run, f"{kept}, lang_pred string, score double, accepted boolean")

@@ -304,3 +304,23 @@ def test_licenses_clashing_columns(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License.", "x", 5, "y"), (1, "Released under the MIT License.", "x", 5, "y")], "doc_id int, text string, license string, n_licenses int, other string")
     got = licenses.find_licenses(df).collect()
     assert [(r.license, r.n_licenses, r.other) for r in got] == [("MIT", 1, "y")] * 2
+
+
+def test_predictions_against_recomputed_sizes(spark):
+    import zstandard as zstd
+
+    rng = random.Random(4)
+    vocab = {"aa": ["der", "und", "ist", "nicht", "haus"], "bb": ["the", "and", "is", "not", "house"], "cc": ["le", "et", "est", "pas", "maison"]}
+    model = {k: (" ".join(rng.choices(v, k=200))).encode() for k, v in vocab.items()}
+    texts = [" ".join(rng.choices(v, k=n)) for v in vocab.values() for n in (1, 5, 80, 900)] + ["und the le", "und the le", "", None, "12 34", "Ü" * 7_000]
+    df = spark.createDataFrame([(i, t, "own", 9) for i, t in enumerate(texts)], "doc_id int, text string, score string, other int")
+    got = {r.doc_id: r for r in langid.predict(df, model).collect()}
+    for i, t in enumerate(texts):
+        data, sizes = langid.letters(t).encode(), []
+        for lang, content in sorted(model.items()):
+            pack = zstd.ZstdCompressor(level=langid.LEVEL, dict_data=zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            sizes.append((sum(len(pack.compress(data[k : k + langid.CHUNK_BYTES])) for k in range(0, len(data), langid.CHUNK_BYTES)), lang))
+        sizes.sort()
+        want = (sizes[0][1], 1 - sizes[0][0] / sizes[1][0]) if data else ("und", 0.0)
+        assert (got[i].lang_pred, got[i].score) == (want[0], pytest.approx(want[1])) and got[i].other == 9, i
+    assert langid.predict(df.limit(0), model).count() == 0
