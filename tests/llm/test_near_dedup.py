@@ -84,7 +84,7 @@ def test_hot_keys_and_blocks_change_nothing(spark, monkeypatch):
         texts.append(" ".join(w))
     texts.append(" ".join(base))
     df = spark.createDataFrame([(f"{i:04d}", t) for i, t in enumerate(texts)], "doc_id string, text string")
-    for name, value in (("HOT", 2), ("SALTS", 3), ("SMALL_KEY", 2), ("BLOCK", 2)):
+    for name, value in (("HOT", 2), ("SALTS", 3), ("CELL", 3), ("BLOCK", 2)):
         monkeypatch.setattr(near, name, value)
     kept = sorted(int(r.doc_id) for r in near.deduplicate(df).collect())
     assert kept == sorted(set(groups(texts)))
