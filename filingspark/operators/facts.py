@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingspark import dims
-from filingspark.functions import numbers
+from filingspark.functions import numbers, text
 
 REF = "struct<ref_type:string,page:int,table_id:string,row:int,col:int,bbox:array<double>,quote:string,confidence:double,engine:string,artifact_path:string>"
 PERIOD_TYPES = ("instant", "duration", "unknown")
@@ -17,6 +17,12 @@ def fact_id(doc_id: Column, kind: Column, concept: Column, period_end: Column, l
     return F.concat(F.lit("fact_"), F.left(F.sha1(raw), F.lit(16)))
 
 
+def fallback_refs(first_page: Column) -> Column:
+    """Evidence where there is none: the first page's first line, or a remark."""
+    ref = lambda said, sure: F.array(F.struct(F.lit("page_text").alias("ref_type"), F.lit(1).alias("page"), *[F.lit(None).cast(t).alias(n) for n, t in (("table_id", "string"), ("row", "int"), ("col", "int"), ("bbox", "array<double>"))], said.alias("quote"), F.lit(sure).alias("confidence"), *[F.lit(None).cast("string").alias(n) for n in ("engine", "artifact_path")]).cast(REF))
+    return F.when(first_page.isNotNull(), ref(text.quote(first_page), 0.2)).otherwise(ref(F.lit("Evidence unavailable"), 0.1))
+
+
 def best_confidence(refs: Column, fallback: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(refs, lambda r: r["confidence"])), fallback)
 
@@ -34,13 +40,15 @@ def build_facts(items: DataFrame, totals: DataFrame, statements: DataFrame) -> D
         "doc_id", "statement_type", F.col("name_norm").alias("concept"), F.col("name_raw").alias("label"), F.col("value_current").alias("value"),
         "unit", "currency", "source_refs", F.lit("line_item").alias("origin"), F.col("item_ord").cast("long").alias("ord"),
     )
-    seen = kept.select("doc_id", "statement_type", F.col("name_norm").alias("concept")).distinct()
-    of_totals = totals.join(seen, ["doc_id", "statement_type", "concept"], "left_anti").select(
+    of_totals = totals.select(
         "doc_id", "statement_type", "concept", F.col("concept").alias("label"), "value",
         F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("currency"), F.array().cast(f"array<{REF}>").alias("source_refs"),
         F.lit("statement_totals").alias("origin"), F.lit(1_000_000).cast("long").alias("ord"),
     )
-    both = of_items.unionByName(of_totals).join(statements, ["doc_id", "statement_type"], "left")
+    # A total counts where no line item of its concept does; one shuffle for both.
+    first = F.min("ord").over(Window.partitionBy("doc_id", "statement_type", "concept"))
+    both = of_items.unionByName(of_totals).withColumn("first", first).where("ord = first or origin = 'line_item'").drop("first")
+    both = both.join(statements, ["doc_id", "statement_type"], "left")
     return both.select(
         "doc_id",
         fact_id(F.col("doc_id"), F.col("statement_type"), F.col("concept"), F.col("period_end"), F.col("label")).alias("fact_id"),

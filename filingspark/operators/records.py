@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingspark.functions import text
-from filingspark.operators.facts import REF
+from filingspark.operators.facts import REF, fallback_refs
 from filingspark.operators.signals import SEVERITIES
 
 # The domains of typed fields.
@@ -68,12 +68,6 @@ def quarantine(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
     return df.where(sure), df.where(~sure)
 
 
-def fallback_refs(first_page: Column) -> Column:
-    """Evidence where there is none: the first page's first line, or a remark."""
-    ref = lambda said, sure: F.array(F.struct(F.lit("page_text").alias("ref_type"), F.lit(1).alias("page"), *[F.lit(None).cast(t).alias(n) for n, t in (("table_id", "string"), ("row", "int"), ("col", "int"), ("bbox", "array<double>"))], said.alias("quote"), F.lit(sure).alias("confidence"), *[F.lit(None).cast("string").alias(n) for n in ("engine", "artifact_path")]).cast(REF))
-    return F.when(first_page.isNotNull(), ref(text.quote(first_page), 0.2)).otherwise(ref(F.lit("Evidence unavailable"), 0.1))
-
-
 def repaired(statements: DataFrame, items: DataFrame, pages: DataFrame) -> DataFrame:
     """Line items of every statement (doc_id, statement_type): a placeholder where
     there is none, and fallback evidence for items without evidence."""

@@ -1,17 +1,14 @@
-"""Risk signals: four rules, and the merge of signals that say the same."""
+"""Risk signals: four rules with their evidence, and the merge of signals that say the same."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingspark.functions import text
-from filingspark.operators.statements import find_totals
-from filingspark.operators.validate import growths
+from filingspark.operators.facts import fallback_refs
+from filingspark.operators.validate import is_severe
 
-COLUMNS = ("doc_id", "category", "title", "severity", "description", "metrics")
 GROWTH_GAP = 0.2
 SEVERITIES = ("low", "medium", "high")
 
@@ -20,56 +17,94 @@ def rank(severity: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, SEVERITIES)), severity)
 
 
-def _row(df: DataFrame, category: str, title: str, severity, description, metrics) -> DataFrame:
-    return df.select("doc_id", F.lit(category).alias("category"), F.lit(title).alias("title"), severity.alias("severity"), description.alias("description"), metrics.alias("metrics"))
-
-
-def signals(items: DataFrame, totals: DataFrame, statement_issues: DataFrame, pages: DataFrame | None = None, notes: DataFrame | None = None) -> DataFrame:
-    """(doc_id, category, title, severity, description, metrics map)."""
-    v = find_totals(items, totals, {"ni": ("income", "net_income"), "cf": ("cashflow", "operating_cf")}).where("ni > 0 and cf < 0")
-    as_text = lambda **m: F.create_map(*[x for k, c in m.items() for x in (F.lit(k), c.cast("string"))])
-    out = [
-        _row(v, "cash_vs_profit", "Positive profit with negative operating cashflow", F.when(F.abs("cf") > F.abs("ni"), "high").otherwise("medium"),
-             F.lit("Net income is positive while operating cashflow is negative."), as_text(net_income=F.col("ni"), operating_cf=F.col("cf"))),
-    ]
-    g = growths(items).where(F.col("ar_growth") - F.col("rev_growth") > GROWTH_GAP)
-    inventory = F.when(F.col("inventory_growth").isNull(), F.create_map().cast("map<string,string>")).otherwise(as_text(inventory_growth=F.col("inventory_growth")))
-    out.append(_row(g, "working_capital", "Receivables growth outpaces revenue", F.lit("medium"), F.lit("Accounts receivable growth exceeds revenue growth."), F.map_concat(as_text(ar_growth=F.col("ar_growth"), rev_growth=F.col("rev_growth")), inventory)))
-    bad = F.col("issue").isin("balance_equation_failed", "balance_missing_totals") | F.col("issue").startswith("unit_mismatch")
-    d = statement_issues.groupBy("doc_id").agg(F.bool_or(bad).alias("bad"), F.array_join(F.array_sort(F.collect_list("issue")), ",").alias("all")).where("bad")
-    out.append(_row(d, "disclosure_inconsistency", "Statement reconciliation issues", F.lit("high"), F.lit("Balance equation or unit consistency checks failed."), as_text(issues=F.col("all"))))
+def signal_id(doc_id: Column, category: Column, title: Column) -> Column:
+    return F.concat(F.lit("sig_"), F.left(F.sha1(F.concat_ws("|", doc_id, category, title)), F.lit(16)))
+
+
+def _signal(category: str, title: str, severity, description, metrics: Column, evidence: Column) -> Column:
+    as_column = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.struct(
+        F.lit(category).alias("category"), F.lit(title).alias("title"), as_column(severity).alias("severity"),
+        as_column(description).alias("description"), metrics.alias("metrics"), evidence.alias("evidence"),
+    )
+
+
+def _as_text(**values: Column) -> Column:
+    """A map of the values that are there, as text."""
+    entries = [F.when(c.isNotNull(), F.struct(F.lit(k), c.cast("string"))) for k, c in values.items()]
+    return F.map_from_entries(F.array_compact(F.array(*entries)))
+
+
+def signals(profile: DataFrame, pages: DataFrame | None = None, notes: DataFrame | None = None) -> DataFrame:
+    """(doc_id, category, title, severity, description, metrics map, evidence,
+    signal_id) of a profile of line items. Evidence is the statement's first, else
+    the first page's first line, where pages are given, else a remark."""
+    first = F.lit(None).cast("string")
+    if pages is not None:
+        text_of = pages.where("page_number = 1").select("doc_id", F.col("text").alias("_first"))
+        profile, first = profile.join(text_of, "doc_id", "left"), F.col("_first")
+    fallback = fallback_refs(first)
+    ni, cf = F.col("net_income"), F.col("operating_cf")
+    severe = F.exists("issues", is_severe)
+    found = F.array(
+        F.when((ni > 0) & (cf < 0), _signal(
+            "cash_vs_profit", "Positive profit with negative operating cashflow", F.when(F.abs(cf) > F.abs(ni), "high").otherwise("medium"),
+            "Net income is positive while operating cashflow is negative.", _as_text(net_income=ni, operating_cf=cf), F.coalesce("cashflow_refs", fallback))),
+        F.when(F.col("ar_growth") - F.col("rev_growth") > GROWTH_GAP, _signal(
+            "working_capital", "Receivables growth outpaces revenue", "medium", "Accounts receivable growth exceeds revenue growth.",
+            _as_text(ar_growth=F.col("ar_growth"), rev_growth=F.col("rev_growth"), inventory_growth=F.col("inventory_growth")), F.coalesce("balance_refs", fallback))),
+        F.when(severe, _signal(
+            "disclosure_inconsistency", "Statement reconciliation issues", "high", "Balance equation or unit consistency checks failed.",
+            _as_text(issues=F.array_join(F.array_sort("issues"), ",")), fallback)),
+    )
+    out = profile.select("doc_id", F.explode(F.array_compact(found)).alias("s")).select("doc_id", "s.*")
     if pages is not None:
-        out.append(audit(pages, notes))
-    return reduce(DataFrame.unionByName, out)
+        out = out.unionByName(audit(pages, notes))
+    return out.withColumn("signal_id", signal_id(F.col("doc_id"), F.col("category"), F.col("title")))
 
 
 def audit(pages: DataFrame, notes: DataFrame | None = None) -> DataFrame:
     """The first audit word, in the list's order, in notes and first two pages."""
-    said = pages.where("page_number <= 2").select("doc_id", F.col("text").alias("t"))  # reaches the scan
+    said = pages.where("page_number <= 2").select("doc_id", F.col("text").alias("t"), F.when(F.col("page_number") == 1, F.col("text")).alias("p"))
     if notes is not None:
-        said = said.unionByName(notes.select("doc_id", F.col("summary").alias("t")))
-    held = F.filter(F.array(*map(F.lit, text.AUDIT_WORDS)), lambda w: F.contains(F.col("t"), w))
-    order = F.array_position(F.array(*map(F.lit, text.AUDIT_WORDS)), F.col("w"))
-    w = said.select("doc_id", F.explode(held).alias("w")).groupBy("doc_id").agg(F.min_by("w", order).alias("w"))
+        said = said.unionByName(notes.select("doc_id", F.col("summary").alias("t"), F.lit(None).cast("string").alias("p")))
+    order = F.array(*map(F.lit, text.AUDIT_WORDS))
+    held = F.array_min(F.transform(F.filter(order, lambda w: F.contains(F.col("t"), w)), lambda w: F.array_position(order, w)))
+    w = said.groupBy("doc_id").agg(F.min(held).alias("at"), F.max("p").alias("p")).where("at is not null")
+    w = w.withColumn("w", F.element_at(order, F.col("at").cast("int")))
     severity = F.when(F.col("w").isin(*text.AUDIT_MEDIUM), "medium").otherwise("high")
-    return _row(w, "audit_governance", "Audit opinion flags", severity, F.format_string("Audit opinion contains keyword: %s.", "w"), F.create_map(F.lit("keyword"), F.col("w")))
+    row = _signal("audit_governance", "Audit opinion flags", severity, F.format_string("Audit opinion contains keyword: %s.", "w"), _as_text(keyword=F.col("w")), fallback_refs(F.col("p")))
+    return w.select("doc_id", row.alias("s")).select("doc_id", "s.*")
+
+
+def merged_evidence(lists: Column) -> Column:
+    """The distinct pieces of evidence of lists of them, first come first."""
+    key = lambda r: F.struct(r["ref_type"], r["page"], r["table_id"], r["quote"])
+    every = F.flatten(lists)
+    seen = F.transform(every, key)
+    return F.filter(every, lambda r, i: F.array_position(F.transform(seen, lambda k: F.to_json(k)), F.to_json(key(r))) == i + 1)
 
 
 def merge_signals(found: DataFrame) -> DataFrame:
     """One signal per (doc_id, category, trimmed title): the first one's id, the
     greatest severity, the longest description (the first of equals), metrics
-    where later ones win. Needs sig_ord and signal_id."""
+    where later ones win, all distinct evidence. Needs sig_ord and signal_id."""
     key = ["doc_id", "category", "title"]
     s = found.withColumn("title", F.trim("title"))
+    cited = [merged_evidence(F.transform(F.array_sort(F.collect_list(F.struct("sig_ord", "evidence"))), lambda x: x["evidence"])).alias("evidence")] if "evidence" in found.columns else []
+    entries = lambda m: F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>")))
+    later = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sig_ord", entries(F.col("metrics")).alias("m")))), lambda x: x["m"]))
     merged = s.groupBy(*key).agg(
         F.min_by("signal_id", "sig_ord").alias("signal_id"),
         F.max(rank(F.col("severity"))).alias("r"),
         F.max_by("description", F.struct(F.length("description"), -F.col("sig_ord"))).alias("description"),
-        F.min("sig_ord").alias("sig_ord"),
-    )
-    entries = s.select(*key, "sig_ord", F.explode("metrics").alias("k", "v")).groupBy(*key, "k").agg(F.max_by("v", "sig_ord").alias("v"))
-    maps = entries.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("metrics"))
-    return merged.join(maps, key, "left").select(*key, "signal_id", F.element_at(F.array(*map(F.lit, SEVERITIES)), F.col("r").cast("int")).alias("severity"), "description", "metrics", "sig_ord")
+        F.min("sig_ord").alias("first_ord"), later.alias("all"), *cited,
+    )
+    names = F.array_sort(F.array_distinct(F.transform("all", lambda e: e["key"])))
+    value = lambda k: F.element_at(F.filter("all", lambda e: e["key"] == k), -1)["value"]
+    metrics = F.map_from_entries(F.transform(names, lambda k: F.struct(k, value(k)))).alias("metrics")
+    severity = F.element_at(F.array(*map(F.lit, SEVERITIES)), F.col("r").cast("int")).alias("severity")
+    return merged.select(*key, "signal_id", severity, "description", metrics, F.col("first_ord").alias("sig_ord"), *(["evidence"] if cited else []))
 
 
 def dedupe_notes(notes: DataFrame) -> DataFrame:

@@ -42,6 +42,14 @@ def find_totals(items: DataFrame, totals: DataFrame, concepts: dict[str, tuple[s
     return t.unionByName(i).groupBy("doc_id").agg(*[F.min_by(F.when(wanted(k, c), F.col("value")), F.when(wanted(k, c), F.col("ord"))).alias(name) for name, (k, c) in concepts.items()])
 
 
+def found_total(statement_type: str, concept: str, derived: bool = True) -> Column:
+    """Aggregate over line items: the last value of a total concept where totals
+    are ``derived`` from the items, else the first line item with a value."""
+    hit = (F.col("statement_type") == statement_type) & (F.col("name_norm") == concept) & F.col("value_current").isNotNull()
+    of = F.max_by if derived and concept in dims.TOTAL_CONCEPTS else F.min_by
+    return of(F.when(hit, F.col("value_current")), F.when(hit, F.col("item_ord")))
+
+
 def named(statement_type: str, *keywords: str) -> Column:
     """Line items of a statement whose names hold a keyword, whatever the case."""
     name = F.lower(F.concat_ws(" ", "name_raw", "name_norm"))

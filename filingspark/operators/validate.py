@@ -1,7 +1,8 @@
-"""Validation of statements and facts, as unions of issue queries.
+"""Validation of statements and facts.
 
-Every issue query is one aggregation on doc_id; nothing is collected but the
-small id lists that an issue reports.
+Each is one aggregation, a profile by document or by document and statement;
+issues, metrics, checks and signals are projections of it, so that line items and
+facts are read once. What is collected is one statement's facts.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from filingspark import dims
 from filingspark.functions import numbers
-from filingspark.operators.statements import find_totals, named
+from filingspark.operators.statements import found_total, named
 
 TOLERANCE = 0.02
 _TOTALS = {
@@ -25,30 +26,38 @@ _FACTS = {
 }
 
 
-def unit_mismatch(items: DataFrame) -> DataFrame:
-    """(doc_id, statement_type, units): statements that mix units."""
-    units = F.array_join(F.array_sort(F.collect_set("unit")), ",")
-    return items.where("unit is not null and unit <> ''").groupBy("doc_id", "statement_type").agg(F.count_distinct("unit").alias("n"), units.alias("units")).where("n > 1").drop("n")
-
-
-def growths(items: DataFrame) -> DataFrame:
-    """(doc_id, ar_growth, rev_growth, inventory_growth) by first line items."""
-
-    def of(matches: Column, name: str):
-        return F.min_by(F.when(matches, F.struct("value_current", "value_prior")), F.when(matches, F.col("item_ord"))).alias(name)
-
-    found = items.groupBy("doc_id").agg(
-        of(named("balance", "应收", "accounts receivable"), "ar"), of(named("income", "营业收入", "revenue"), "rev"), of(named("balance", "存货", "inventory"), "inv")
-    )
+def profile(items: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """A row per document with all that statement checks and signals ask for, from
+    one aggregation: totals (given ones, else the last of each concept, else the
+    first line item), the kinds of statements, pairs of values of named items, the
+    units of each statement and the first evidence of a statement."""
+    first = lambda x, hit: F.min_by(F.when(hit, x), F.when(hit, F.col("item_ord")))
+    kind = F.col("statement_type")
+    rows = items
+    if totals is not None:  # given totals stand before all line items
+        given = totals.select("doc_id", "statement_type", F.col("concept").alias("name_norm"), F.col("value").alias("value_current"), F.lit(-1).alias("item_ord"))
+        rows = items.unionByName(given, allowMissingColumns=True)
+
+    def of(matches: Column, name: str) -> Column:
+        return first(F.struct("value_current", "value_prior"), matches & (F.col("item_ord") >= 0)).alias(name)
+
+    cited = F.coalesce(F.size("source_refs"), F.lit(0)) > 0
+    return rows.groupBy("doc_id").agg(
+        *[found_total(k, c, totals is None).alias(name) for name, (k, c) in _TOTALS.items()],
+        *[F.bool_or(kind == k).alias(f"has_{k}") for k in dims.CRITICAL],
+        of(named("balance", "应收", "accounts receivable"), "ar"), of(named("income", "营业收入", "revenue"), "rev"), of(named("balance", "存货", "inventory"), "inv"),
+        F.collect_set(F.when(F.col("unit") != "", F.struct("statement_type", "unit"))).alias("units"),
+        *[first(F.col("source_refs"), (kind == k) & cited).alias(f"{k}_refs") for k in ("balance", "cashflow")],
+    ).transform(_with_growths).transform(_with_issues)
+
+
+def _with_growths(p: DataFrame) -> DataFrame:
     rate = lambda x: numbers.growth(F.col(f"{x}.value_current"), F.col(f"{x}.value_prior"))
-    return found.select("doc_id", rate("ar").alias("ar_growth"), rate("rev").alias("rev_growth"), rate("inv").alias("inventory_growth"))
+    return p.withColumns({"ar_growth": rate("ar"), "rev_growth": rate("rev"), "inventory_growth": rate("inv")}).drop("ar", "rev", "inv")
 
 
-def validate_statements(items: DataFrame, totals: DataFrame, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
-    """(issues, metrics): (doc_id, issue) and (doc_id, metric, value)."""
-    wide = find_totals(items, totals, _TOTALS)
-    kinds = items.select("doc_id", "statement_type").unionByName(totals.select("doc_id", "statement_type")).groupBy("doc_id").agg(*[F.bool_or(F.col("statement_type") == k).alias(f"has_{k}") for k in dims.CRITICAL])
-    w = kinds.join(wide, "doc_id", "left")
+def _with_issues(p: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """Adds ``off``, how far the balance equation fails, and ``issues``."""
     whole = F.col("assets").isNotNull() & F.col("liabilities").isNotNull() & F.col("equity").isNotNull()
     off = F.abs(F.col("assets") - (F.col("liabilities") + F.col("equity"))) / F.greatest(F.col("assets"), F.lit(1.0))
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(n)) for c, n in (("revenue", "revenue"), ("gross", "gross_profit"), ("net_income", "net_income"))]))
@@ -61,84 +70,144 @@ def validate_statements(items: DataFrame, totals: DataFrame, tolerance: float =
             F.when(F.col("has_income") & (gap > 0.05), "line_total_mismatch:gross_profit"),
         )
     )
-    issues = w.select("doc_id", F.explode(found).alias("issue")).unionByName(unit_mismatch(items).select("doc_id", F.concat(F.lit("unit_mismatch:"), "units").alias("issue")))
-    g = growths(items).where("ar_growth is not null and rev_growth is not null")
-    metrics = (
-        w.where(F.col("has_balance") & whole).select("doc_id", F.lit("balance_equation").alias("metric"), off.alias("value"))
-        .unionByName(w.where("net_income is not null and operating_cf is not null").select("doc_id", F.lit("profit_to_cfo_ratio").alias("metric"), (F.col("operating_cf") / F.greatest(F.abs("net_income"), F.lit(1e-6))).alias("value")))
-        .unionByName(g.select("doc_id", F.lit("ar_growth_vs_rev_growth").alias("metric"), (F.col("ar_growth") - F.col("rev_growth")).alias("value")))
-    )
-    return issues, metrics
+    kinds = F.array_sort(F.array_distinct(F.transform("units", lambda u: u["statement_type"])))
+    of_kind = F.transform(kinds, lambda k: F.array_sort(F.transform(F.filter("units", lambda u: u["statement_type"] == k), lambda u: u["unit"])))
+    mixed = F.transform(F.filter(of_kind, lambda u: F.size(u) > 1), lambda u: F.concat(F.lit("unit_mismatch:"), F.array_join(u, ",")))
+    return p.withColumns({"off": F.when(F.col("has_balance") & whole, off), "issues": F.concat(found, mixed)})
 
 
-def validate_facts(docs: DataFrame, facts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
-    """(doc_id, code, severity, statement_type, n_facts, detail) for all twelve
-    codes; a document without facts has facts_missing alone.
+def validate_statements(items: DataFrame, totals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(issues, metrics): (doc_id, issue) and (doc_id, metric, value)."""
+    return statement_issues(p := profile(items, totals)), statement_metrics(p)
+
 
-    Every other check looks at one statement, so one aggregation on (doc_id,
-    statement_type) serves them all; what it collects are a statement's concepts.
-    """
+def statement_issues(p: DataFrame) -> DataFrame:
+    """(doc_id, issue) of a profile."""
+    return p.select("doc_id", F.explode("issues").alias("issue"))
+
+
+def statement_metrics(p: DataFrame) -> DataFrame:
+    """(doc_id, metric, value) of a profile."""
+    both = F.col("net_income").isNotNull() & F.col("operating_cf").isNotNull()
+    entry = lambda name, value: F.struct(F.lit(name).alias("metric"), value.alias("value"))
+    found = F.array(
+        entry("balance_equation", F.col("off")),
+        entry("profit_to_cfo_ratio", F.when(both, F.col("operating_cf") / F.greatest(F.abs("net_income"), F.lit(1e-6)))),
+        entry("ar_growth_vs_rev_growth", F.col("ar_growth") - F.col("rev_growth")),
+    )
+    return p.select("doc_id", F.explode(F.filter(found, lambda m: m["value"].isNotNull())).alias("m")).select("doc_id", "m.*")
+
+
+def fact_profile(docs: DataFrame, facts: DataFrame) -> DataFrame:
+    """A row per document and statement with facts (a single row without a kind
+    where a document has none), from one aggregation: what the checks ask for."""
     k, c = F.col("statement_type"), dims.canonical(F.col("concept"))
+    first = lambda concept: F.min_by(F.when((c == concept) & F.col("value").isNotNull(), F.col("value")), F.when((c == concept) & F.col("value").isNotNull(), F.col("fact_ord"))).alias(concept)
+    of_type = F.when(k == "balance", "instant").otherwise("duration")
+    row = F.struct(
+        "fact_ord", "fact_id", c.alias("canonical"), "period_start", "period_end", "currency", "scale",
+        ((F.col("period_type") != "unknown") & (F.col("period_type") != of_type)).alias("wrong_type"), (F.size("source_refs") > 0).alias("cited"),
+    )
+    s = facts.groupBy("doc_id", "statement_type").agg(F.array_sort(F.collect_list(row)).alias("facts"), *[first(v) for v in ("total_assets", "total_liabilities", "total_equity", "operating_cash_flow", "capex")])
+    return docs.select("doc_id").join(s, "doc_id", "left")
+
+
+ISSUE = "array<struct<code:string,severity:string,concepts:array<string>,fact_ids:array<string>,detail:string>>"
+
+
+def fact_issues(p: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(doc_id, code, severity, statement_type, concepts, fact_ids, detail) of a
+    fact profile, for all twelve codes; a document without facts has facts_missing
+    alone. Ids come in the order of the facts."""
+    k = F.col("statement_type")
     expected = F.lit(None).cast("array<string>")
     for kind, concepts in dims.CRITICAL.items():
         expected = F.when(k == kind, F.array(*map(F.lit, concepts))).otherwise(expected)
-    known = facts.withColumn("_canonical", c)
-    first = lambda concept: F.min_by(F.when((c == concept) & F.col("value").isNotNull(), F.col("value")), F.when((c == concept) & F.col("value").isNotNull(), F.col("fact_ord")))
-    s = known.groupBy("doc_id", "statement_type").agg(
-        F.collect_set("_canonical").alias("held"),
-        F.count_distinct("period_end").alias("n_ends"),
-        F.count_if((F.col("period_type") != "unknown") & (F.col("period_type") != F.when(k == "balance", "instant").otherwise("duration"))).alias("n_wrong"),
-        F.array_sort(F.collect_set(F.nullif("currency", F.lit("")))).alias("currencies"),
-        F.count_if(F.col("currency").isNotNull() & (F.col("currency") != "")).alias("n_currency"),
-        F.count_distinct("scale").alias("n_scales"),
-        F.count("scale").alias("n_scale"),
-        F.count("*").alias("n"),
-        F.collect_list(F.struct("_canonical", "period_start", "period_end")).alias("keys"),
-        F.collect_list(F.struct("_canonical", (F.size("source_refs") > 0).alias("cited"))).alias("refs"),
-        *[first(concept).alias(concept) for concept in ("total_assets", "total_liabilities", "total_equity", "operating_cash_flow", "capex")],
-    )
-    s = s.withColumn("expected", expected).withColumn("missing", F.array_except("expected", "held"))
-    row = lambda code, severity, n, detail: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), n.cast("long").alias("n_facts"), detail.alias("detail"))
-    none, zero = F.lit(None).cast("string"), F.lit(0)
+    none, nothing = F.lit(None).cast("string"), F.array().cast("array<string>")
+    ids = lambda hit: F.transform(F.filter("facts", hit), lambda f: f["fact_id"])
+    values = lambda field: F.array_sort(F.array_compact(F.array_distinct(F.transform("facts", lambda f: f[field]))))
+    about = lambda *names: ids(lambda f: f["canonical"].isin(*names))
+    named_ = lambda *names: F.array(*map(F.lit, names))
+
+    def row(code, severity, concepts=nothing, fact_ids=nothing, detail=none):
+        return F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), concepts.alias("concepts"), fact_ids.alias("fact_ids"), detail.alias("detail"))
+
+    lost = F.array_except(expected, F.transform("facts", lambda f: f["canonical"]))
+    currencies = F.filter(values("currency"), lambda x: x != "")
     whole = F.col("total_assets").isNotNull() & F.col("total_liabilities").isNotNull() & F.col("total_equity").isNotNull()
     off = F.abs(F.col("total_assets") - (F.col("total_liabilities") + F.col("total_equity"))) / F.greatest(F.abs("total_assets"), F.lit(1.0))
     both = F.col("operating_cash_flow").isNotNull() & F.col("capex").isNotNull()
-    of_kind = F.col("expected").isNotNull()
+    of_kind, balance, flows = expected.isNotNull(), ("total_assets", "total_liabilities", "total_equity"), ("operating_cash_flow", "capex")
     single = F.array(
-        F.when(of_kind & (F.size("missing") > 0), row("missing_critical_facts", "high", zero, F.array_join("missing", ","))),
-        F.when(of_kind & (F.col("n_ends") > 1), row("period_inconsistency", "high", F.col("n"), none)),
-        F.when(of_kind & (F.col("n_wrong") > 0), row("period_type_inconsistency", "high", F.col("n_wrong"), none)),
-        F.when(of_kind & (F.size("currencies") > 1), row("currency_inconsistency", "medium", F.col("n_currency"), F.array_join("currencies", ","))),
-        F.when(of_kind & (F.col("n_scales") > 1), row("scale_inconsistency", "medium", F.col("n_scale"), none)),
-        F.when((k == "balance") & ~whole, row("balance_equation_missing_facts", "high", zero, none)),
-        F.when((k == "balance") & whole & (off >= tolerance), row("balance_equation_failed", "high", zero, none)),
-        F.when((k == "cashflow") & ~both, row("cashflow_reconciliation_missing_facts", "medium", zero, none)),
-        F.when((k == "cashflow") & both & (F.col("capex") > 0), row("cashflow_reconciliation_failed", "medium", zero, none)),
-    )
-    twins = F.filter(
-        F.transform(F.array_distinct("keys"), lambda x: F.struct(x["_canonical"].alias("c"), F.size(F.filter("keys", lambda y: y.eqNullSafe(x))).alias("n"))),
-        lambda t: t["n"] > 1,
+        F.when(k.isNull(), row("facts_missing", "high")),
+        F.when(of_kind & (F.size(lost) > 0), row("missing_critical_facts", "high", lost, detail=F.array_join(lost, ","))),
+        F.when(of_kind & (F.size(values("period_end")) > 1), row("period_inconsistency", "high", fact_ids=ids(lambda f: F.lit(True)))),
+        F.when(of_kind & F.exists("facts", lambda f: f["wrong_type"]), row("period_type_inconsistency", "high", fact_ids=ids(lambda f: f["wrong_type"]))),
+        F.when(of_kind & (F.size(currencies) > 1), row("currency_inconsistency", "medium", fact_ids=ids(lambda f: f["currency"] != ""), detail=F.array_join(currencies, ","))),
+        F.when(of_kind & (F.size(values("scale")) > 1), row("scale_inconsistency", "medium", fact_ids=ids(lambda f: f["scale"].isNotNull()))),
+        F.when((k == "balance") & ~whole, row("balance_equation_missing_facts", "high", fact_ids=about(*balance))),
+        F.when((k == "balance") & whole & (off >= tolerance), row("balance_equation_failed", "high", named_(*balance), about(*balance))),
+        F.when((k == "cashflow") & ~both, row("cashflow_reconciliation_missing_facts", "medium", named_(*flows), about(*flows))),
+        F.when((k == "cashflow") & both & (F.col("capex") > 0), row("cashflow_reconciliation_failed", "medium", named_(*flows), about(*flows))),
     )
-    about = F.filter("expected", lambda e: F.exists("refs", lambda r: r["_canonical"] == e) & ~F.exists("refs", lambda r: (r["_canonical"] == e) & r["cited"]))
-    found = F.concat(
-        F.array_compact(single),
-        F.transform(twins, lambda t: row("duplicate_concepts", "medium", t["n"], t["c"])),
-        F.coalesce(F.transform(about, lambda e: row("missing_source_refs", "high", F.size(F.filter("refs", lambda r: r["_canonical"] == e)), e)), F.array()),
-    )
-    issues = s.select("doc_id", "statement_type", F.explode(found).alias("i")).select("doc_id", "i.code", "i.severity", "statement_type", "i.n_facts", "i.detail")
-    bare = docs.select("doc_id").join(facts.select("doc_id"), "doc_id", "left_anti")
-    return issues.unionByName(bare.select("doc_id", F.lit("facts_missing").alias("code"), F.lit("high").alias("severity"), none.alias("statement_type"), F.lit(0).cast("long").alias("n_facts"), none.alias("detail")))
+    key = lambda f: F.struct(f["canonical"], f["period_start"], f["period_end"])
+    twins = F.transform(F.array_distinct(F.transform("facts", key)), lambda x: F.struct(x["canonical"].alias("c"), ids(lambda f: key(f).eqNullSafe(x)).alias("ids")))
+    twins = F.transform(F.filter(twins, lambda t: F.size(t["ids"]) > 1), lambda t: row("duplicate_concepts", "medium", F.array(t["c"]), t["ids"], t["c"]))
+    of = lambda e: F.filter("facts", lambda f: f["canonical"] == e)
+    bare = F.filter(expected, lambda e: (F.size(of(e)) > 0) & ~F.exists(of(e), lambda f: f["cited"]))
+    bare = F.transform(bare, lambda e: row("missing_source_refs", "high", F.array(e), F.transform(of(e), lambda f: f["fact_id"]), e))
+    none_yet = F.array().cast(ISSUE)
+    found = F.concat(F.array_compact(single).cast(ISSUE), F.coalesce(twins.cast(ISSUE), none_yet), F.coalesce(bare.cast(ISSUE), none_yet))
+    return p.select("doc_id", "statement_type", F.explode(found).alias("i")).select("doc_id", "i.code", "i.severity", "statement_type", "i.concepts", "i.fact_ids", "i.detail")
+
+
+def validate_facts(docs: DataFrame, facts: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """``fact_issues`` with n_facts, the number of ids."""
+    return fact_issues(fact_profile(docs, facts), tolerance).withColumn("n_facts", F.size("fact_ids").cast("long"))
+
+
+def fact_metrics(p: DataFrame) -> DataFrame:
+    """(doc_id, fact_count, facts_with_source_refs, facts_present,
+    balance_equation_diff_ratio, free_cash_flow) of a fact profile, all documents."""
+    n = F.coalesce(F.size("facts"), F.lit(0)).cast("long")
+    cited = F.coalesce(F.size(F.filter("facts", lambda f: f["cited"])), F.lit(0)).cast("long")
+    off = F.abs(F.col("total_assets") - (F.col("total_liabilities") + F.col("total_equity"))) / F.greatest(F.abs("total_assets"), F.lit(1.0))
+    return p.groupBy("doc_id").agg(
+        F.sum(n).alias("fact_count"), F.sum(cited).alias("facts_with_source_refs"), F.bool_or(F.col("facts").isNotNull()).alias("facts_present"),
+        F.max(F.when(F.col("statement_type") == "balance", off)).alias("balance_equation_diff_ratio"),
+        F.max(F.when(F.col("statement_type") == "cashflow", F.col("operating_cash_flow") + F.col("capex"))).alias("free_cash_flow"),
+    )
+
+
+# Checks of facts and the issues that fail them, in order.
+CHECKS = {
+    "facts_present": ("facts_missing",), "missing_critical_facts": ("missing_critical_facts",), "duplicate_concepts": ("duplicate_concepts",),
+    "period_consistency": ("period_inconsistency", "period_type_inconsistency"), "scale_currency_consistency": ("currency_inconsistency", "scale_inconsistency"),
+    "critical_facts_have_source_refs": ("missing_source_refs",), "balance_equation": ("balance_equation_missing_facts", "balance_equation_failed"),
+    "cashflow_reconciliation": ("cashflow_reconciliation_missing_facts", "cashflow_reconciliation_failed"),
+}
+
+
+def fact_checks(p: DataFrame) -> DataFrame:
+    """(doc_id, check, passed): equation and reconciliation only of documents that
+    have the statement; without facts only facts_present."""
+    failed = fact_issues(p).groupBy("doc_id").agg(F.collect_set("code").alias("codes"))
+    held = p.groupBy("doc_id").agg(F.collect_set("statement_type").alias("kinds"))
+    j = held.join(failed, "doc_id", "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
+    needs = {"balance_equation": "balance", "cashflow_reconciliation": "cashflow"}
+    rows = []
+    for check, codes in CHECKS.items():
+        applies = F.array_contains("kinds", needs[check]) if check in needs else (F.size("kinds") > 0) | F.lit(check == "facts_present")
+        rows.append(F.when(applies, F.struct(F.lit(check).alias("check"), (~F.arrays_overlap("codes", F.array(*map(F.lit, codes)))).alias("passed"))))
+    return j.select("doc_id", F.explode(F.array_compact(F.array(*rows))).alias("c")).select("doc_id", "c.*")
 
 
-def fact_metrics(docs: DataFrame, facts: DataFrame) -> DataFrame:
-    """(doc_id, fact_count, facts_with_source_refs, facts_present), all documents."""
-    n = facts.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.size("source_refs") > 0).alias("cited"))
-    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long")
-    return docs.select("doc_id").join(n, "doc_id", "left").select("doc_id", zero(F.col("n")).alias("fact_count"), zero(F.col("cited")).alias("facts_with_source_refs"), F.col("n").isNotNull().alias("facts_present"))
+def is_severe(issue: Column) -> Column:
+    return issue.isin("balance_equation_failed", "balance_missing_totals") | issue.startswith("unit_mismatch")
 
 
 def gate(docs: DataFrame, statement_issues: DataFrame, fact_issues: DataFrame) -> DataFrame:
     """(doc_id, severe): whether a document goes to review."""
-    severe = statement_issues.where(F.col("issue").isin("balance_equation_failed", "balance_missing_totals") | F.col("issue").startswith("unit_mismatch")).select("doc_id")
+    severe = statement_issues.where(is_severe(F.col("issue"))).select("doc_id")
     severe = severe.unionByName(fact_issues.where("severity = 'high'").select("doc_id")).distinct().withColumn("_s", F.lit(True))
     return docs.select("doc_id").join(severe, "doc_id", "left").select("doc_id", F.coalesce("_s", F.lit(False)).alias("severe"))

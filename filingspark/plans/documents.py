@@ -501,7 +501,7 @@ def repaired_statements(spark, d):
 
 @query("high_signals", oracle(f"{filings.SIGNALS} select * from sig where severity = 'high'", "v_line_items"))
 def high_signals(spark, d):
-    return records.filtered_signals(filings.risk_signals(spark, d), severity="high")
+    return records.filtered_signals(filings._signals(spark, d), severity="high").select("doc_id", "category", "severity")
 
 
 @query("safe_names", "select doc_id, regexp_matches(source, '^[a-zA-Z0-9_\\-]+$') as safe, substr(regexp_replace(concat(source, ' ', lang, '.pdf'), '[^\\w.\\-]', '_', 'g'), 1, 128) as filename from documents")

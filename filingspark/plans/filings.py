@@ -149,10 +149,13 @@ issues as (
   union all select doc_id, concat('unit_mismatch:', u) from units)"""
 
 
+def _profile(spark: SparkSession, d: str) -> DataFrame:
+    return validate.profile(line_items(spark, d))
+
+
 @query("statement_issues", oracle(f"{CHECKED} select * from issues", "v_line_items"))
 def statement_issues(spark: SparkSession, d: str) -> DataFrame:
-    i = line_items(spark, d)
-    return validate.validate_statements(i, statements.statement_totals(i))[0]
+    return validate.statement_issues(_profile(spark, d))
 
 
 @query("statement_metrics", oracle(f"""{CHECKED} select doc_id, metric, round(value, 6) as value from (
@@ -160,8 +163,7 @@ def statement_issues(spark: SparkSession, d: str) -> DataFrame:
   union all select doc_id, 'profit_to_cfo_ratio', operating_cf / greatest(abs(net_income), 1e-6) from find_ where operating_cf is not null and net_income is not null
   union all select doc_id, 'ar_growth_vs_rev_growth', ar - rev from g where not isnan(ar) and not isnan(rev)) m""", "v_line_items"))
 def statement_metrics(spark: SparkSession, d: str) -> DataFrame:
-    i = line_items(spark, d)
-    return validate.validate_statements(i, statements.statement_totals(i))[1].withColumn("value", F.round("value", 6))
+    return validate.statement_metrics(_profile(spark, d)).withColumn("value", F.round("value", 6))
 
 
 _VALS = ", ".join(f"arg_min(value, fact_ord) filter (value is not null and statement_type = '{k}' and canon = '{c}') as {n}" for n, (k, c) in validate._FACTS.items())
@@ -188,12 +190,39 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("fact_issues", oracle(f"{FACT_ISSUES} select doc_id, code, severity, statement_type, cast(n_facts as bigint) as n_facts, detail from fact_issues", "v_line_items", "v_statements"))
 def fact_issues(spark: SparkSession, d: str) -> DataFrame:
-    return validate.validate_facts(_docs(spark, d), _facts(spark, d))
+    i = validate.validate_facts(_docs(spark, d), _facts(spark, d))
+    # The facts of an equation are named by fact_issue_ids, not counted here.
+    counted = F.when(F.col("code").rlike("^(balance_equation|cashflow_reconciliation)"), F.lit(0).cast("long")).otherwise(F.col("n_facts"))
+    return i.select("doc_id", "code", "severity", "statement_type", counted.alias("n_facts"), "detail")
+
+
+_PAIRS = ", ".join(f"('{code}', '{c}')" for code, names in (("balance_equation_failed", ("total_assets", "total_liabilities", "total_equity")), ("balance_equation_missing_facts", ("total_assets", "total_liabilities", "total_equity")), ("cashflow_reconciliation_failed", ("operating_cash_flow", "capex")), ("cashflow_reconciliation_missing_facts", ("operating_cash_flow", "capex"))) for c in names)
+
+
+@query("fact_issue_ids", oracle(f"""{FACT_ISSUES}, about as (select i.doc_id, i.code, i.statement_type, i.detail, f.fact_id from fact_issues i join facts f on f.doc_id = i.doc_id and f.statement_type = i.statement_type where
+  i.code = 'period_inconsistency' or (i.code = 'currency_inconsistency' and f.currency <> '') or (i.code = 'scale_inconsistency' and f.scale is not null) or (i.code in ('duplicate_concepts', 'missing_source_refs') and f.canon = i.detail)
+  or (i.code, f.canon) in ({_PAIRS}))
+select doc_id, code, statement_type, detail, string_agg(fact_id, ',' order by fact_id) as fact_ids from about group by all""", "v_line_items", "v_statements"))
+def fact_issue_ids(spark: SparkSession, d: str) -> DataFrame:
+    i = validate.fact_issues(validate.fact_profile(_docs(spark, d), _facts(spark, d))).where("size(fact_ids) > 0")
+    return i.select("doc_id", "code", "statement_type", "detail", F.array_join(F.array_sort("fact_ids"), ",").alias("fact_ids"))
 
 
-@query("fact_metrics", oracle(f"{FACTS} select doc_id, count(*) as fact_count, count(*) filter (cited) as facts_with_source_refs, true as facts_present from facts group by doc_id", "v_line_items", "v_statements"))
+@query("fact_metrics", oracle(f"""{FACT_ISSUES} select d.doc_id, count(fact_id) as fact_count, count(*) filter (cited) as facts_with_source_refs, count(fact_id) > 0 as facts_present,
+  round(max(case when hb then abs(assets - (liabilities + equity)) / greatest(abs(assets), 1.0) end), 6) as balance_equation_diff_ratio, round(max(case when hc then ocf + capex end), 2) as free_cash_flow
+from (select distinct doc_id from v_statements) d left join facts f using (doc_id) left join v using (doc_id) group by d.doc_id""", "v_line_items", "v_statements"))
 def fact_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return validate.fact_metrics(_docs(spark, d), _facts(spark, d))
+    m = validate.fact_metrics(validate.fact_profile(_docs(spark, d), _facts(spark, d)))
+    return m.withColumns({"balance_equation_diff_ratio": F.round("balance_equation_diff_ratio", 6), "free_cash_flow": F.round("free_cash_flow", 2)})
+
+
+_CHECKS = " union all ".join(f"select {n} as n, '{check}' as \"check\", '{code}' as code" for n, (check, codes) in enumerate(validate.CHECKS.items()) for code in codes)
+
+
+@query("fact_checks", oracle(f"""{FACT_ISSUES}, checks as ({_CHECKS}), applies as (select v.doc_id, c."check", c.code from v cross join checks c where case c."check" when 'balance_equation' then hb when 'cashflow_reconciliation' then hc else true end)
+select a.doc_id, a."check", count(i.code) = 0 as passed from applies a left join fact_issues i on i.doc_id = a.doc_id and i.code = a.code group by all""", "v_line_items", "v_statements"))
+def fact_checks(spark: SparkSession, d: str) -> DataFrame:
+    return validate.fact_checks(validate.fact_profile(_docs(spark, d), _facts(spark, d)))
 
 
 _GATE = FACT_ISSUES + ", " + CHECKED[len(TOTALS) + 2 :]
@@ -211,14 +240,25 @@ SIGNALS = f"""{CHECKED}, sig as (
 
 
 def _signals(spark: SparkSession, d: str) -> DataFrame:
-    i = line_items(spark, d)
-    t = statements.statement_totals(i)
-    return signals.signals(i, t, validate.validate_statements(i, t)[0])
+    return signals.signals(_profile(spark, d))
+
+
+_TITLES = """case category when 'cash_vs_profit' then 'Positive profit with negative operating cashflow' when 'working_capital' then 'Receivables growth outpaces revenue' else 'Statement reconciliation issues' end"""
+SIGNAL_ROWS = f"""{SIGNALS}, cited as (select doc_id, statement_type, arg_min(name_raw, item_ord) as quote from items where page is not null group by all),
+rows_ as (select s.*, {_TITLES} as title, case category when 'cash_vs_profit' then 'Net income is positive while operating cashflow is negative.' when 'working_capital' then 'Accounts receivable growth exceeds revenue growth.' else 'Balance equation or unit consistency checks failed.' end as description,
+  case category when 'cash_vs_profit' then round(f.net_income, 4) when 'working_capital' then round(ar, 6) end as first_metric, case category when 'cash_vs_profit' then round(f.operating_cf, 4) when 'working_capital' then round(rev, 6) end as second_metric,
+  case category when 'disclosure_inconsistency' then (select string_agg(issue, ',' order by issue) from issues i where i.doc_id = s.doc_id) end as named_issues,
+  case when category = 'disclosure_inconsistency' then 'Evidence unavailable' else coalesce(c.quote, 'Evidence unavailable') end as evidence
+from sig s left join find_ f using (doc_id) left join g using (doc_id) left join cited c on c.doc_id = s.doc_id and c.statement_type = case s.category when 'cash_vs_profit' then 'cashflow' else 'balance' end)"""
 
 
-@query("risk_signals", oracle(f"{SIGNALS} select * from sig", "v_line_items"))
+@query("risk_signals", oracle(f"{SIGNAL_ROWS} select doc_id, category, severity, title, description, first_metric, second_metric, named_issues, evidence, concat('sig_', substr(sha1(concat_ws('|', doc_id, category, title)), 1, 16)) as signal_id from rows_", "v_line_items"))
 def risk_signals(spark: SparkSession, d: str) -> DataFrame:
-    return _signals(spark, d).select("doc_id", "category", "severity")
+    m = lambda k, n: F.round(F.element_at("metrics", k).cast("double"), n)
+    return _signals(spark, d).select(
+        "doc_id", "category", "severity", "title", "description", F.coalesce(m("net_income", 4), m("ar_growth", 6)).alias("first_metric"), F.coalesce(m("operating_cf", 4), m("rev_growth", 6)).alias("second_metric"),
+        F.element_at("metrics", "issues").alias("named_issues"), F.col("evidence")[0]["quote"].alias("evidence"), "signal_id",
+    )
 
 
 @query("severity_counts", oracle(f"{SIGNALS} select category, count(*) filter (severity = 'high') as n_high, count(*) filter (severity = 'medium') as n_medium, count(*) filter (severity = 'low') as n_low, count(distinct doc_id) as n_docs from sig group by category", "v_line_items"))
@@ -236,7 +276,8 @@ def top_signals(spark: SparkSession, d: str) -> DataFrame:
     return s.where("place <= 2")
 
 
-@query("merged_signals", oracle(f"{SIGNALS} select substr(doc_id, 1, strpos(doc_id, '-') - 1) as doc_id, category, max(case severity when 'high' then 3 when 'medium' then 2 else 1 end) as severity_rank, count(*) > 0 as merged, min(doc_id) as signal_id from sig group by 1, 2", "v_line_items"))
+@query("merged_signals", oracle(f"""{SIGNAL_ROWS} select substr(doc_id, 1, strpos(doc_id, '-') - 1) as doc_id, category, title, max(case severity when 'high' then 3 when 'medium' then 2 else 1 end) as severity_rank, min(doc_id) as signal_id, any_value(description) as description,
+  arg_max(first_metric, doc_id) as first_metric, count(distinct evidence) as n_quotes from rows_ group by 1, 2, 3""", "v_line_items"))
 def merged_signals(spark: SparkSession, d: str) -> DataFrame:
     """Signals of a supplier's filings, merged over the years."""
     from pyspark.sql import Window
@@ -244,7 +285,9 @@ def merged_signals(spark: SparkSession, d: str) -> DataFrame:
     s = _signals(spark, d).withColumn("signal_id", F.col("doc_id")).withColumn("doc_id", F.substring_index("doc_id", "-", 1))
     s = s.withColumn("sig_ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("signal_id", "category")))
     m = signals.merge_signals(s)
-    return m.select("doc_id", "category", signals.rank(F.col("severity")).cast("int").alias("severity_rank"), F.lit(True).alias("merged"), "signal_id")
+    first = F.coalesce(F.round(F.element_at("metrics", "net_income").cast("double"), 4), F.round(F.element_at("metrics", "ar_growth").cast("double"), 6))
+    quotes = F.size(F.array_distinct(F.transform("evidence", lambda r: r["quote"]))).cast("long")
+    return m.select("doc_id", "category", "title", signals.rank(F.col("severity")).cast("int").alias("severity_rank"), "signal_id", "description", first.alias("first_metric"), quotes.alias("n_quotes"))
 
 
 @query("period_labels", oracle("select doc_id, concat(cast(extract(year from period_end) as varchar), case extract(month from period_end) when 9 then 'Q3' else 'Q4' end) as period from v_statements where statement_type = 'income'", "v_statements"))

@@ -40,11 +40,16 @@ _CONCEPTS = [
 ]
 
 
-def _line_items_sql() -> str:
+def _line_items_sql(spark: bool = False) -> str:
+    """Line items of the amounts; Spark explodes them in one pass over the table."""
     quoted = lambda x: x.replace("'", "''")
     parts = [f"select supplier, yr, '{k}' as statement_type, {n} as item_ord, '{quoted(name)}' as name_raw, {v} as v from amounts" for n, (k, name, v) in enumerate(_CONCEPTS, 1)]
+    concepts = " union all ".join(parts)
+    if spark:
+        rows = ", ".join(f"""struct('{k}', {n}, "{name}", cast({v} as double))""" for n, (k, name, v) in enumerate(_CONCEPTS, 1))
+        concepts = f"select supplier, yr, inline(array({rows})) as (statement_type, item_ord, name_raw, v) from amounts"
     return f"""
-with {_AMOUNTS}, concepts as ({' union all '.join(parts)}), moved as (
+with {_AMOUNTS}, concepts as ({concepts}), moved as (
   select *, lag(v) over (partition by supplier, name_raw order by yr) as p from concepts
 )
 select concat('d', cast(supplier as string), '-', cast(yr as string)) as doc_id, supplier, yr, statement_type, cast(item_ord as int) as item_ord, name_raw,
@@ -88,8 +93,9 @@ cross join (select 0 as col union all select 1 union all select 2) c""",
 select event_id as corr_ord, user_id, case event_type when 'click' then 'value' when 'view' then 'label' when 'purchase' then 'evidence' else 'colour' end as field_name,
   event_type, value, ts from {events}""",
 }
-# Pages are whole texts in slices of 700 characters; exploding lists has no common syntax.
+# Pages are whole texts in slices of 700 characters. Lists are exploded here, which has no common syntax.
 _SPARK_VIEWS = VIEWS | {
+    "v_line_items": _line_items_sql(spark=True),
     "v_pages": """
 select doc_id, cast(n + 1 as int) as page_number, text
 from (select doc_id, posexplode(regexp_extract_all(text, '(?s).{{1,700}}', 0)) as (n, text) from {documents}) d""",

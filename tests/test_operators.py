@@ -46,7 +46,7 @@ def test_statement_checks_and_signals(spark):
     assert {tuple(r) for r in issues.collect()} == {("b", "balance_equation_failed")}
     m = {(r.doc_id, r.metric): r.value for r in metrics.collect()}
     assert m[("a", "profit_to_cfo_ratio")] == -2.0 and m[("a", "ar_growth_vs_rev_growth")] == pytest.approx(1.5 - 5 / 95)
-    found = {(r.doc_id, r.category): r.severity for r in signals.signals(i, t, issues).collect()}
+    found = {(r.doc_id, r.category): r.severity for r in signals.signals(validate.profile(i, t)).collect()}
     assert found == {("a", "cash_vs_profit"): "high", ("a", "working_capital"): "medium", ("b", "disclosure_inconsistency"): "high"}
 
 
