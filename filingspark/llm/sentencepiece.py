@@ -53,9 +53,12 @@ PACK_LEVEL = 6
 #: Units up to this length go through the lattice; a mask of ends fits a long.
 LONGEST_UNIT = 60
 UNKNOWN = (1 << 31) - 1
+#: Beside a character's code point, a rank that stands for the character.
+SINGLE = 1 << 30
 UNKNOWN_SCORE = -1e30
 _BITS = 6
 _MASK = (1 << _BITS) - 1
+_MARKS = frozenset(".,;:!?\"')\n-")
 _UNITS = rf"{SPACE}*[\p{{L}}\p{{M}}]+|{SPACE}*[^\p{{L}}\p{{M}}{SPACE}]+|{SPACE}+"
 
 
@@ -138,9 +141,11 @@ def _viterbi(edges: Column, n: Column, scores: Column) -> Column:
     return F.aggregate(by_stop, zero, step, lambda best: F.get(best, n)["path"])
 
 
-def _merges(edges: Column, n: Column) -> Column:
-    """Edges left when the best edge over two neighbouring symbols is taken until
-    there is none. A bit mask holds the symbols' ends; edges sort best first."""
+def _merges(edges: Column, unit: Column, n: Column) -> Column:
+    """Symbols (start << 32 | rank) left when the best edge over two neighbouring
+    ones is taken until there is none, from edges of two characters or more; single
+    characters stand as ``SINGLE`` and their code point. A bit mask holds the
+    symbols' ends; edges sort best first."""
 
     bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
     between = lambda e: bit(_stop(e)) - bit(_start(e) + 1)  # the mask of the ends inside an edge
@@ -163,31 +168,44 @@ def _merges(edges: Column, n: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(2), n), zero, step, lambda acc: acc["mask"])
 
     def chosen(r):
-        left = let(F.filter(r, lambda x: x["inner"] != 0), lambda long: F.when(F.size(long) == 0, _ones(n + 1)).otherwise(merged(long)))
-        stands = lambda m: lambda x: (m.bitwiseAND(x["inner"]) == 0) & (m.bitwiseAND(x["ends"]) == x["ends"])
-        return let(left, lambda m: F.transform(F.filter(r, stands(m)), lambda x: x["e"]))
+        def symbols(mask):
+            stands = lambda x: (mask.bitwiseAND(x["inner"]) == 0) & (mask.bitwiseAND(x["ends"]) == x["ends"])
+            alone = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.call_function("shiftright", mask, i).bitwiseAND(F.lit(3)) == 3)
+            code = lambda i: F.ascii(F.substring(unit, i + 1, F.lit(1))).cast("long") + SINGLE
+            return F.concat(F.transform(F.filter(r, stands), lambda x: _symbol(x["e"])), F.transform(alone, lambda i: i.cast("long") * (1 << 32) + code(i)))
+
+        return let(F.when(F.size(r) == 0, _ones(n + 1)).otherwise(merged(r)), symbols)
 
     return let(F.transform(F.sort_array(edges), lambda e: F.struct(between(e).alias("inner"), ends(e).alias("ends"), e.alias("e"))), chosen)
 
 
+def _symbol(edge: Column) -> Column:
+    return _start(edge).cast("long") * (1 << 32) + _rank(edge)
+
+
 def segment(distinct: DataFrame, vocab: DataFrame, *, longest: int, fold: str = "merges", scores: list[float] | None = None) -> DataFrame:
     """``distinct`` (unit), partitioned by unit, with ranks: the ranks of its pieces
-    in order, ``UNKNOWN`` where a character has no piece."""
+    in order. A single character is ``SINGLE`` and its code point where pieces
+    merge, or ``UNKNOWN`` on a best path if it has no piece; a unit in which no
+    two characters merge has no row."""
     text = F.col("unit")
     n = F.length(text)
-    # Single characters are always edges, so that every unit has a path.
-    starts = distinct.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    stops = starts.select("*", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + longest, n))).alias("stop"))
+    # Scores need single characters as edges, so that every unit has a path; merges begin with them.
+    least = 2 if fold == "merges" else 1
+    starts = distinct.where(n >= least).select("unit", F.explode(F.sequence(F.lit(0), n - least)).alias("start"))
+    stops = starts.select("*", F.explode(F.sequence(F.col("start") + least, F.least(F.col("start") + longest, n))).alias("stop"))
     subs = stops.withColumn("piece", F.substring(text, F.col("start") + 1, F.col("stop") - F.col("start")))
-    met = subs.join(F.broadcast(vocab), "piece", "left").where("rank is not null or stop = start + 1")
+    met = subs.join(F.broadcast(vocab), "piece", "inner" if least == 2 else "left").where("rank is not null or stop = start + 1")
     rank = F.coalesce(F.col("rank"), F.lit(UNKNOWN)).cast("long")
     # An edge is one long that sorts by rank and start: rank, start, stop.
     edge = (rank * (1 << 2 * _BITS)) + (F.col("start") * (1 << _BITS)) + F.col("stop")
-    lattice = met.select("unit", edge.alias("e")).groupBy("unit").agg(F.collect_list("e").alias("edges"))
-    folds = {"merges": lambda e, m: _merges(e, m), "viterbi": lambda e, m: _viterbi(e, m, F.lit(scores))}
-    chosen = let(F.struct("edges", n.alias("n")), lambda x: folds[fold](x["edges"], x["n"]))
-    in_order = F.sort_array(F.transform(chosen, lambda e: _start(e).cast("long") * (1 << 32) + _rank(e)))
-    return lattice.select("unit", F.transform(in_order, lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("ranks"))
+    # Rows that sort by a number first sort faster.
+    lattice = met.select(F.xxhash64("unit").alias("h"), "unit", edge.alias("e")).groupBy("h", "unit").agg(F.collect_list("e").alias("edges"))
+    if fold == "merges":
+        symbols = let(F.struct("edges", "unit", n.alias("n")), lambda x: _merges(x["edges"], x["unit"], x["n"]))
+    else:
+        symbols = let(F.struct("edges", n.alias("n")), lambda x: F.transform(_viterbi(x["edges"], x["n"], F.lit(scores)), _symbol))
+    return lattice.select("unit", F.transform(F.sort_array(symbols), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("ranks"))
 
 
 def merge_long(unit: str, ranks: dict[str, int]) -> list[int]:
@@ -244,6 +262,11 @@ class _Coder:
         self.longest = max(len(p) for p, _, _ in known)
         self.id_array = np.array([i for _, i, _ in known], "<i4")
         self.byte_zero = byte_zero
+        #: Ids of single characters by code point; -1 without a piece.
+        self.id_of_char = np.full(0x110000, -1, "<i4")
+        for p, i, _ in known:
+            if len(p) == 1:
+                self.id_of_char[ord(p)] = i
         self.piece: dict[int, bytes] = {i: p.replace(SPACE, " ").encode() for p, i, _ in known}
         self.piece |= {byte_zero + b: bytes([b]) for b in range(256)}
         self.table = pa.array([self.piece.get(i, b"") for i in range(max(self.piece) + 1)], pa.large_binary())
@@ -252,9 +275,12 @@ class _Coder:
         """Packed ids of a unit; characters without a piece become their bytes."""
         out, at = [], 0
         for r in ranks:
-            if r == UNKNOWN:
+            if r >= SINGLE and (r == UNKNOWN or self.id_of_char[ord(unit[at])] < 0):
                 out += [self.byte_zero + b for b in unit[at].encode("utf-8", "surrogatepass")]
                 at += 1
+            elif r >= SINGLE:
+                out.append(int(self.id_of_char[ord(unit[at])]))
+                at += 1
             else:
                 out.append(int(self.id_array[r]))
                 at += len(self.piece[out[-1]].decode())
@@ -283,11 +309,19 @@ class _Units(dict):
         self.coder, self.fold = coder, fold
 
     def learn(self, answers) -> None:
-        """Takes in answered units (unit, ranks)."""
+        """Takes in answered units (unit, ranks); no ranks are single characters."""
+        bare = answers.column("ranks").is_null()
+        for unit in answers.column("unit").filter(bare).to_pylist():
+            self[unit] = self.coder.ids(unit, [SINGLE] * len(unit))
+        answers = answers.filter(answers.column("ranks").is_valid()).combine_chunks()
+        if not answers.num_rows:
+            return
         units_, ranks = answers.column("unit").to_pylist(), answers.column("ranks").combine_chunks()
         flat, ends = ranks.values.to_numpy(), ranks.offsets.to_numpy()
-        known = flat != UNKNOWN
-        ids = self.coder.id_array[np.where(known, flat, 0)].tobytes()
+        single = (flat >= SINGLE) & (flat != UNKNOWN)
+        ids = np.where(single, self.coder.id_of_char[np.where(single, flat - SINGLE, 0)], self.coder.id_array[np.where(flat < SINGLE, flat, 0)])
+        known = (flat != UNKNOWN) & (ids >= 0)
+        ids = ids.astype("<i4").tobytes()
         at = (4 * ends).tolist()
         self.update({u: ids[a:b] for u, a, b in zip(units_, at[:-1], at[1:], strict=True)})
         for row in np.unique(np.searchsorted(ends, np.flatnonzero(~known), side="right") - 1):
@@ -308,7 +342,8 @@ class _Words(dict):
         self.known = known
 
     def __missing__(self, word: str) -> bytes:
-        found = self[word] = b"".join(map(self.known.__getitem__, _splitter()(SPACE + word)))
+        found = self.known[SPACE + word] if word.isalpha() else b"".join(map(self.known.__getitem__, _word_units(word)))
+        self[word] = found
         return found
 
     def ids(self, text: str) -> bytes:
@@ -324,6 +359,16 @@ def _plain(text: str) -> bool:
     return "  " not in text and SPACE not in text
 
 
+def _word_units(word: str) -> list[str]:
+    """The units of a word and the space in front; letters, and letters with one
+    mark behind them, need no pattern."""
+    if word.isalpha():
+        return [SPACE + word]
+    if word[-1:] in _MARKS and word[:-1].isalpha():
+        return [SPACE + word[:-1], word[-1]]
+    return _splitter()(SPACE + word)
+
+
 def _units_of(texts) -> set[str]:
     seen: set[str] = set()
     words: set[str] = set()
@@ -333,7 +378,7 @@ def _units_of(texts) -> set[str]:
         else:
             seen.update(units(text or ""))
     for word in words:
-        seen.update(_splitter()(SPACE + word))
+        seen.update(_word_units(word))
     return seen
 
 
@@ -401,7 +446,7 @@ def encode(docs: DataFrame, text_col: str = "text", *, model: str = MODEL, fold:
     def asked(batches: Iterator) -> Iterator:
         """The distinct units of every pack."""
         for g, pack in _packs(batches, places):
-            found = sorted(u for u in _units_of(pack.column(at).to_pylist()) if len(u) <= LONGEST_UNIT)
+            found = [u for u in _units_of(pack.column(at).to_pylist()) if len(u) <= LONGEST_UNIT]
             for lo in range(0, len(found), 50_000):
                 part = found[lo : lo + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), g), pa.int64())], ["unit", "g"])
@@ -412,10 +457,12 @@ def encode(docs: DataFrame, text_col: str = "text", *, model: str = MODEL, fold:
             yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([_frozen(pack)], pa.binary())], ["g", "payload"])
 
     # More partitions than usual: a unit's lattice is some thirty times its row.
-    wanted = sized.mapInArrow(asked, "unit string, g long").repartition(parts, "unit")
-    done = segment(wanted.select("unit").distinct(), pieces(spark, model), longest=longest, fold=fold, scores=[s for _, _, s in known] if fold == "viterbi" else None)
+    wanted = sized.mapInArrow(asked, "unit string, g long").where("unit is not null and g is not null").repartition(parts, "unit")
+    # The filter keeps the column, so that both uses of the units read one exchange.
+    distinct = wanted.groupBy("unit").agg(F.min("g").alias("g")).where("g is not null").select("unit")
+    done = segment(distinct, pieces(spark, model), longest=longest, fold=fold, scores=[s for _, _, s in known] if fold == "viterbi" else None)
     # Only now do units meet those who ask, so that one in every pack is one row while it is cut.
-    dealt = wanted.join(done.hint("shuffle_hash"), "unit").select("g", "unit", "ranks").sortWithinPartitions("g")
+    dealt = wanted.join(done.hint("shuffle_hash"), "unit", "left").select("g", "unit", "ranks").sortWithinPartitions("g")
 
     def gathered(batches: Iterator) -> Iterator:
         """What a partition answers, as one compressed row for each pack."""
