@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingspark import dims
@@ -90,6 +90,49 @@ def average(per_case: DataFrame, column: str, metric: str) -> DataFrame:
     return per_case.agg(F.lit(metric).alias("metric"), F.coalesce(F.avg(column), F.lit(0.0)).alias("value"))
 
 
+def case_summaries(cases: DataFrame, facts: DataFrame, matches: DataFrame, signals: DataFrame, notes: DataFrame, expected_signals: DataFrame, expected_notes: DataFrame) -> DataFrame:
+    """A row per case (doc_id): counts, fact_value_accuracy (null where none is
+    expected), completeness of evidence and recalls, 1 where there is nothing.
+    Every table meets the cases as one row of a case."""
+    kinds = lambda t, c, n: t.groupBy("doc_id").agg(F.collect_set(c).alias(n))
+    cited = lambda c: F.count_if(F.size(c) > 0)
+    f = facts.groupBy("doc_id").agg(F.count("*").alias("fact_count"), (cited("source_refs") / F.count("*")).alias("fact_cited"))
+    m = fact_accuracy(matches).select("doc_id", F.col("n_expected").alias("expected_fact_count"), F.col("accuracy").alias("fact_value_accuracy"))
+    s = signals.groupBy("doc_id").agg(F.count("*").alias("risk_signal_count"), cited("evidence").alias("s_cited"), F.collect_set("category").alias("categories"))
+    n = notes.groupBy("doc_id").agg(F.count("*").alias("note_count"), cited("source_refs").alias("n_cited"), F.collect_set("note_type").alias("types"))
+    j = cases.select("doc_id").distinct()
+    for t in (f, m, s, n, kinds(expected_signals, "category", "want_s"), kinds(expected_notes, "note_type", "want_n")):
+        j = j.join(t, "doc_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    said = zero(F.col("risk_signal_count")) + zero(F.col("note_count"))
+
+    def recalled(want: str, have: str) -> Column:
+        hit = F.size(F.array_intersect(want, F.coalesce(have, F.array().cast("array<string>"))))
+        return F.when(F.coalesce(F.size(want), F.lit(0)) > 0, hit / F.size(want)).otherwise(1.0)
+
+    return j.select(
+        "doc_id", zero(F.col("fact_count")).alias("fact_count"), zero(F.col("expected_fact_count")).alias("expected_fact_count"), zero(F.col("note_count")).alias("note_count"), zero(F.col("risk_signal_count")).alias("risk_signal_count"),
+        "fact_value_accuracy", F.coalesce("fact_cited", F.lit(1.0)).alias("fact_source_ref_completeness"),
+        F.when(said > 0, (zero(F.col("s_cited")) + zero(F.col("n_cited"))) / said).otherwise(1.0).alias("source_ref_completeness"),
+        recalled("want_s", "categories").alias("signal_category_recall"), recalled("want_n", "types").alias("note_type_recall"),
+    )
+
+
+def golden_metrics(summaries: DataFrame, statement_accuracies: DataFrame, balance: DataFrame) -> DataFrame:
+    """(metric, value) over all cases; 0 everywhere without a case. Accuracy counts
+    cases that expect facts, facts' completeness cases that have some."""
+    mean = lambda c, when=None: F.coalesce(F.avg(F.when(when, F.col(c)) if when is not None else F.col(c)), F.lit(0.0))
+    wide = summaries.agg(
+        F.count("*").cast("double").alias("n_cases"), mean("source_ref_completeness").alias("avg_source_ref_completeness"), mean("fact_value_accuracy").alias("avg_fact_value_accuracy"),
+        mean("fact_source_ref_completeness", F.col("fact_count") > 0).alias("avg_fact_source_ref_completeness"),
+        mean("signal_category_recall").alias("avg_signal_category_recall"), mean("note_type_recall").alias("avg_note_type_recall"),
+    )
+    rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in wide.columns])
+    out = wide.select(F.explode(rows).alias("m")).select("m.*")
+    out = out.unionByName(average(statement_accuracies, "accuracy", "avg_statement_accuracy")).unionByName(balance)
+    return out.crossJoin(F.broadcast(wide.select((F.col("n_cases") == 0).alias("none")))).select("metric", F.when(F.col("none"), 0.0).otherwise(F.col("value")).alias("value"))
+
+
 def gate(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Thresholds (kind min or max, metric, threshold) with actual and status; a
     missing metric fails."""
@@ -98,6 +141,13 @@ def gate(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     return j.select("kind", "metric", "actual", "threshold", F.when(F.coalesce(ok, F.lit(False)), "passed").otherwise("failed").alias("status"))
 
 
+def report_json(checks: DataFrame) -> DataFrame:
+    """One row: the gate's result as JSON, failures first."""
+    row = F.struct("status", "metric", "kind", "actual", "threshold")
+    passed = F.bool_and(F.col("status") == "passed").alias("passed")
+    return checks.agg(passed, F.array_sort(F.collect_list(row)).alias("checks")).select(F.to_json(F.struct(F.coalesce("passed", F.lit(True)).alias("passed"), "checks")).alias("report"))
+
+
 def report_markdown(checks: DataFrame) -> DataFrame:
     """One row: the gate's result as a Markdown table, failures first."""
     line = F.format_string("| %s | %s | %s | %s | %s |", "status", "kind", "metric", F.coalesce(F.format_number("actual", 4), F.lit("-")), F.format_number("threshold", 4))

@@ -43,6 +43,12 @@ def task_status(events: DataFrame) -> DataFrame:
     return s.select("doc_id", F.coalesce("status", F.lit("queued")).alias("status"), F.coalesce("progress", F.lit(0)).alias("progress"), "current_node", "error_message")
 
 
+def documents_with_status(meta: DataFrame, status: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of the listing with each document's task, null where it has none."""
+    task = status.select("doc_id", F.struct("status", "progress", "current_node", "error_message").alias("task"))
+    return documents(meta, limit, offset).join(task, "doc_id", "left")
+
+
 def histogram(rows: DataFrame, value: str, buckets, *by: str) -> DataFrame:
     """(by.., le, n): cumulative counts up to each bound, one pass over the rows."""
     w = rows.groupBy(*by).agg(*[F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(buckets)], F.count(value).alias("all"))
@@ -57,13 +63,12 @@ def admitted_by_window(events: DataFrame, limit: int, seconds: int = 60) -> Data
 
 
 def headline(metrics: DataFrame) -> DataFrame:
-    """(doc_id, headline, name, value): the first metric of each headline."""
-    out = None
-    for name, pattern in HEADLINES.items():
-        m = metrics.where(F.col("name").rlike(pattern)).groupBy("doc_id").agg(F.min_by(F.struct("name", "value"), "ord").alias("m"))
-        row = m.select("doc_id", F.lit(name).alias("headline"), "m.name", "m.value")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """(doc_id, headline, name, value): the first metric of each headline, all in
+    one aggregation."""
+    first = lambda p: F.min_by(F.struct("name", "value"), F.when(F.col("name").rlike(p), F.col("ord")))
+    w = metrics.groupBy("doc_id").agg(*[first(p).alias(h) for h, p in HEADLINES.items()])
+    rows = F.array(*[F.struct(F.lit(h).alias("headline"), F.col(h).alias("m")) for h in HEADLINES])
+    return w.select("doc_id", F.explode(rows).alias("r")).where("r.m is not null").select("doc_id", "r.headline", "r.m.name", "r.m.value")
 
 
 def metric_rows(items: DataFrame, totals: DataFrame) -> DataFrame:
@@ -108,7 +113,7 @@ def changed(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def markdown_report(meta: DataFrame, metrics: DataFrame, signals: DataFrame) -> DataFrame:
     """(doc_id, report): Markdown with a fixed order of sections."""
-    m = metrics.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("- "), "metric", F.lit(": "), F.format_string("%.4f", "value")))).alias("m"))
+    m = metrics.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("- "), "metric", F.lit(": "), F.format_string("%.6f", "value")))).alias("m"))
     s = signals.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("- ["), "severity", F.lit("] "), "title"))).alias("s"))
     j = meta.join(m, "doc_id", "left").join(s, "doc_id", "left")
     block = lambda c: F.coalesce(F.array_join(c, "\n"), F.lit("None."))

@@ -17,8 +17,9 @@ def _renumber(df: DataFrame, *order: str) -> DataFrame:
     return df.withColumn("page_number", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
 
 
-def invalid_requests(pages: DataFrame, requests: DataFrame, permutation: bool = False) -> DataFrame:
-    """(doc_id, reason): pages out of range or, for a reordering, not each once."""
+def invalid_requests(pages: DataFrame, requests: DataFrame, permutation: bool = False, deletion: bool = False) -> DataFrame:
+    """(doc_id, reason): pages out of range, for a reordering not each once, or for
+    a deletion all of them."""
     known = pages.select("doc_id", "page_number").withColumn("_k", F.lit(1))
     n = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
     j = requests.join(known, ["doc_id", "page_number"], "left").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("page_number").alias("d"), F.count_if(F.col("_k").isNull()).alias("lost"))
@@ -26,6 +27,8 @@ def invalid_requests(pages: DataFrame, requests: DataFrame, permutation: bool =
     wrong = F.when(F.col("lost") > 0, "page out of range")
     if permutation:
         wrong = wrong.when((F.col("n") != F.col("n_pages")) | (F.col("d") != F.col("n_pages")), "not a permutation")
+    if deletion:
+        wrong = wrong.when(F.col("d") >= F.col("n_pages"), "no page left")
     return j.select("doc_id", wrong.alias("reason")).where("reason is not null")
 
 
@@ -40,8 +43,8 @@ def reorder(pages: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def delete(pages: DataFrame, requests: DataFrame) -> DataFrame:
-    """Pages without the requested ones; documents that would lose every page
-    stay out (their requests are an error)."""
+    """Pages without the requested ones; documents that would lose every page stay
+    out, as ``invalid_requests`` reports of a deletion."""
     left = pages.join(requests.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_anti")
     return _renumber(left, "page_number")
 
@@ -63,7 +66,10 @@ def merge(pages: DataFrame, parts: DataFrame) -> DataFrame:
     return j.drop("doc_id", "ord").withColumnRenamed("merged_id", "doc_id")
 
 
-def revision(requests: DataFrame, operation: str) -> DataFrame:
-    """Manifest rows (doc_id, operation, pages, page_count) of an operation."""
+def revision(requests: DataFrame, operation: str, *, source: str | None = None, degrees: int | None = None, created_at=None) -> DataFrame:
+    """Manifest rows (doc_id, operation, pages, page_count, source, degrees,
+    created_at) of an operation; the time is now unless one is given."""
     pages = F.transform(F.array_sort(F.collect_list(F.struct("ord", "page_number"))), lambda x: x["page_number"])
-    return requests.groupBy("doc_id").agg(F.lit(operation).alias("operation"), pages.alias("pages"), F.count("*").alias("page_count"))
+    return requests.groupBy("doc_id").agg(F.lit(operation).alias("operation"), pages.alias("pages"), F.count("*").alias("page_count")).withColumns(
+        {"source": F.lit(source).cast("string"), "degrees": F.lit(degrees).cast("int"), "created_at": F.current_timestamp() if created_at is None else F.lit(created_at).cast("timestamp")}
+    )

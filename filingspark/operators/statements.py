@@ -67,8 +67,15 @@ def from_grids(cells: DataFrame) -> DataFrame:
     rows = cells.groupBy("doc_id", "table_ord", "row").agg(F.coalesce(at(0), F.lit("")).alias("name_raw"), at(1).alias("c"), at(2).alias("p"))
     order = Window.partitionBy("doc_id", "statement_type").orderBy("table_ord", "row")
     items = rows.join(kinds.select("doc_id", "table_ord", "statement_type"), ["doc_id", "table_ord"])
-    items = items.select("doc_id", "statement_type", F.row_number().over(order).alias("item_ord"), "name_raw", numbers.parse_number(F.col("c")).alias("value_current"), numbers.parse_number(F.col("p")).alias("value_prior"))
-    return normalize_accounts(items).withColumn("confidence", F.lit(0.65))
+    items = items.select("doc_id", "statement_type", F.row_number().over(order).alias("item_ord"), "table_ord", "name_raw", numbers.parse_number(F.col("c")).alias("value_current"), numbers.parse_number(F.col("p")).alias("value_prior"))
+    # A line item cites its table.
+    ref = F.struct(
+        F.lit("table").alias("ref_type"), F.lit(None).cast("int").alias("page"), F.concat(F.lit("t"), F.col("table_ord").cast("string")).alias("table_id"), *[F.lit(None).cast("int").alias(c) for c in ("row", "col")],
+        F.lit(None).cast("array<double>").alias("bbox"), F.left("name_raw", F.lit(200)).alias("quote"), F.lit(0.65).alias("confidence"), *[F.lit(None).cast("string").alias(c) for c in ("engine", "artifact_path")],
+    )
+    none = F.lit(None).cast("string")
+    items = normalize_accounts(items).withColumns({"confidence": F.lit(0.65), "unit": none, "currency": none, "notes": none, "source_refs": F.array(ref)})
+    return items.drop("table_ord")
 
 
 # Labels of metrics in page text, by statement, in the order in
@@ -120,7 +127,21 @@ def from_pages(pages: DataFrame) -> DataFrame:
     chosen = F.when((F.col("place") <= 0) | (F.size("values") <= 2), F.get("values", F.lit(0))).otherwise(F.get("values", F.least(F.col("place"), F.size("values") - 1)))
     met = met.withColumn("value", chosen)
     first = met.groupBy("doc_id", "statement_type", "concept").agg(F.min_by(F.struct("label_ord", "label", "value", "page_number", "segment"), F.struct("label_ord", "page_number")).alias("m"))
-    return first.select("doc_id", "statement_type", F.col("m.label_ord").alias("item_ord"), F.col("m.label").alias("name_raw"), F.col("concept").alias("name_norm"), F.col("m.value").alias("value_current"), F.col("m.page_number").alias("page"), text.quote(F.col("m.segment")).alias("quote"), F.lit(0.7).alias("confidence"))
+    said = first.select("doc_id", "statement_type", F.col("m.label_ord").alias("item_ord"), F.col("m.label").alias("name_raw"), F.col("concept").alias("name_norm"), F.col("m.value").alias("value_current"), F.col("m.page_number").alias("page"), text.quote(F.col("m.segment")).alias("quote"), F.lit(0.7).alias("confidence"))
+    return said.withColumn("notes", F.lit("text_extracted"))
+
+
+# What amounts are in where a text doesn't say, by its language.
+CURRENCY_BY_LANGUAGE = {"zh": "CNY", "cn": "CNY", "en": "USD", "default": "CNY"}
+UNIT_BY_LANGUAGE = {"zh": "万元", "cn": "万元", "en": "USD millions", "default": "万元"}
+
+
+def with_language_defaults(items: DataFrame, languages: DataFrame) -> DataFrame:
+    """Items with unit and currency by their document's language (doc_id, lang)."""
+    entries = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    by = lambda table: F.coalesce(F.element_at(entries(table), F.coalesce("_lang", F.lit("default"))), F.lit(table["default"]))
+    j = items.join(languages.select("doc_id", F.col("lang").alias("_lang")), "doc_id", "left")
+    return j.withColumns({"unit": by(UNIT_BY_LANGUAGE), "currency": by(CURRENCY_BY_LANGUAGE)}).drop("_lang")
 
 
 def prefer_tables(from_tables: DataFrame, from_text: DataFrame) -> DataFrame:

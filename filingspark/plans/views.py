@@ -62,6 +62,15 @@ select concat('d', cast(supplier as string), '-', cast(yr as string)) as doc_id,
 from moved where not (name_raw = 'Net sales' and v is null)"""
 
 
+def _filing_pages_sql(lines: str, spark: bool = False) -> str:
+    """Line items printed on three pages of a filing, some with an auditor's remark."""
+    return f"""
+select doc_id, page_number, concat(case when page_number = 1 and supplier % 10 = 4 then concat('There is substantial doubt: going concern.', chr(10)) else concat('Filing of supplier', chr(10)) end, {lines}) as text
+from (select doc_id, supplier, item_ord, case statement_type when 'income' then 1 when 'balance' then 2 else 3 end as page_number,
+  concat(name_raw, ': ', cast(cast(floor(abs(value_current)) as bigint) as string)) as line from ({_line_items_sql(spark)}) v where value_current is not null) i
+group by doc_id, supplier, page_number"""
+
+
 VIEWS = {
     "v_line_items": _line_items_sql(),
     "v_statements": f"""
@@ -81,6 +90,7 @@ cross join (select date '1997-03-02' as event_date union all select date '1999-0
     "v_pages": """
 select doc_id, cast(unnest(range(1, len(p) + 1)) as int) as page_number, unnest(p) as text
 from (select doc_id, regexp_extract_all(text, '(?s).{{1,700}}') as p from {documents} where text is not null) d""",
+    "v_filing_pages": _filing_pages_sql("string_agg(line, chr(10) order by item_ord)"),
     "v_cells": """
 select cast(l_orderkey as string) as doc_id, 0 as table_ord, cast(n - 1 as int) as row, c.col,
   case c.col when 0 then case n when 1 then 'Revenue' when 2 then 'Cost of sales' when 3 then '净利润' else l_returnflag end
@@ -96,6 +106,7 @@ select event_id as corr_ord, user_id, case event_type when 'click' then 'value'
 # Pages are whole texts in slices of 700 characters. Lists are exploded here, which has no common syntax.
 _SPARK_VIEWS = VIEWS | {
     "v_line_items": _line_items_sql(spark=True),
+    "v_filing_pages": _filing_pages_sql("array_join(transform(array_sort(collect_list(struct(item_ord, line))), x -> x.line), chr(10))", spark=True),
     "v_pages": """
 select doc_id, cast(n + 1 as int) as page_number, text
 from (select doc_id, posexplode(regexp_extract_all(text, '(?s).{{1,700}}', 0)) as (n, text) from {documents}) d""",

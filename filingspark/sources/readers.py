@@ -9,7 +9,7 @@ from filingspark.functions import text
 
 MAX_BYTES = 100 * 1024 * 1024
 CONTENT_TYPES = ("application/pdf", "application/octet-stream", "application/x-pdf")
-PAGES_SCHEMA = "pages array<struct<page_number:int,text:string>>, _corrupt string"
+PAGE_LIST = "array<struct<page_number:int,text:string>>"
 _EVIDENCE = "array<struct<page:int,table_id:string,row:int,col:int,quote:string>>"
 MANIFEST_SCHEMA = (
     "schema_version int, benchmark_id string, name string, cases array<struct<case_id:string,company:string,ticker:string,filing_type:string,period_end:date,"
@@ -37,11 +37,31 @@ def read_filings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(pages, rejected) of page JSON files, an object with ``pages`` each."""
-    raw = spark.read.schema(PAGES_SCHEMA).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    raw = raw.select("*", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("doc_id"))
-    good = F.col("_corrupt").isNull() & (F.size("pages") > 0)
-    return raw.where(good).select("doc_id", F.explode("pages").alias("p")).select("doc_id", "p.*"), raw.where(~F.coalesce(good, F.lit(False))).select("doc_id")
+    """(pages, rejected) of page JSON files: an object with ``pages``, or the bare
+    list of them."""
+    raw = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("doc_id"))
+    held = F.when(text.stripped(F.col("value")).startswith("["), F.from_json("value", PAGE_LIST)).otherwise(F.from_json("value", f"struct<pages:{PAGE_LIST}>")["pages"])
+    raw = raw.select("doc_id", held.alias("pages"))
+    good = F.coalesce(F.size("pages"), F.lit(0)) > 0
+    return raw.where(good).select("doc_id", F.explode("pages").alias("p")).select("doc_id", "p.*"), raw.where(~good).select("doc_id")
+
+
+def resolved(cases: DataFrame, folder: str) -> DataFrame:
+    """Manifest cases with their source's path, where it is relative, under ``folder``."""
+    path = F.col("source.path")
+    whole = path.startswith("/") | path.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+    return cases.withColumn("source", F.col("source").withField("path", F.when(whole, path).otherwise(F.concat(F.lit(f"{folder.rstrip('/')}/"), path))))
+
+
+# Names that price tables go by.
+PRICE_NAMES = {"date": "trade_date", "日期": "trade_date", "开盘": "open", "最高": "high", "最低": "low", "收盘": "close", "成交量": "volume"}
+
+
+def named_prices(raw: DataFrame) -> DataFrame:
+    """A price table with open, high, low, close, volume and trade_date, whatever
+    the case or language of its names."""
+    names = [PRICE_NAMES.get(c.strip().lower(), c.strip().lower()) for c in raw.columns]
+    return raw.toDF(*names).withColumn("trade_date", F.col("trade_date").cast("date"))
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingspark.operators import facts, listing
-from filingspark.sources.sinks import upserted
 
 ADMIT_SECONDS = 60
 
@@ -66,8 +65,12 @@ def finished(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what is there and gives its output as a table, written
     beside the session's checkpoints."""
     spark = stream.sparkSession
-    home = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stream-")).rstrip("/")
-    folder = f"{home}/stream-{uuid.uuid4().hex}"
+    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not home:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: a stream's output needs a shared folder")
+        home = tempfile.mkdtemp(prefix="stream-")
+    folder = f"{home.rstrip('/')}/stream-{uuid.uuid4().hex}"
     if mode == "complete":
         out = stream.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{folder}/out"))
     else:
@@ -76,17 +79,18 @@ def finished(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def follow_status(events: DataFrame, read, write, checkpoint: str):
-    """Starts the stream that keeps task status: each batch is merged with what
-    ``read()`` gives and handed to ``write(df)``."""
+def follow_status(events: DataFrame, read, upsert, checkpoint: str):
+    """Starts the stream that keeps task status: the documents of a batch are
+    merged with what ``read()`` knows of them and handed to ``upsert(df)``; others
+    are left alone."""
 
     def merge(batch: DataFrame, _: int) -> None:
         state = read()
-        new = listing.task_status(batch)
         if state is not None:
-            old = state.join(new.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.lit(None).cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("event_ord"), "status", "progress", "current_node", "error_message")
-            new = upserted(state, listing.task_status(old.unionByName(batch.select(*old.columns))), ["doc_id"])
-        write(new)
+            touched = state.join(batch.select("doc_id").distinct(), "doc_id", "left_semi")
+            old = touched.select("doc_id", F.lit(None).cast("timestamp").alias("ts"), F.lit(-1).cast("long").alias("event_ord"), "status", "progress", "current_node", "error_message")
+            batch = old.unionByName(batch.select(*old.columns))
+        upsert(listing.task_status(batch))
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
