@@ -7,31 +7,36 @@ count, so a common payload costs no more than a rare one, and its texts never
 meet. Records are text rows whose line end is the record end, so that Spark's
 writer makes valid gzip-compressed WARC files in any file system it can reach.
 
-Reading: files come back whole as binary rows and are parsed by Content-Length.
-Every file gives a capture run sorted by URL key (SURT form) and timestamp. Runs
-are dealt by range of (URL key, timestamp, page_id), so that even one URL's
-history is split, and each range merges its pieces of the k runs by a loser tree.
-The partitions in turn hold the global order.
+Reading: files, bounded by bytes as they are written, come back as binary rows
+and are parsed by Content-Length; a record's offset is that in the uncompressed
+archive. Every file gives a capture run sorted by URL key (SURT form) and
+timestamp. Runs are dealt by range of (URL key, timestamp, page_id), so that even
+one URL's history is split, and sorted within the range run by run, which Spark
+does on disk where it must; each range merges its pieces of the k runs by a loser
+tree, without sorting them again. The partitions in turn hold the global order.
 
 Defined cases: null html is an empty payload, null url an empty target; a null
-page_id makes a record without a number; rows that repeat the smallest page_id
-of a payload are responses too; other columns are ignored; an empty table gives
-an empty result.
+page_id makes a record without a number and comes behind all numbers; of rows
+that repeat the smallest page_id of a payload the first by url is the response,
+the others revisit it; payloads of any length that a row holds; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint_dir, durable
 
 RECORD_END = "\r\n\r\n"
 RECORDS_PER_FILE = 20_000
+OUT_ROWS = 10_000
+FILE_BYTES = 1 << 28
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURES = "urlkey string, ts string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, run string, offset long"
@@ -49,18 +54,31 @@ def write_warc(pages: DataFrame, folder: str, *, min_bytes: int = 0) -> None:
     """Archives of (page_id, url, html) under ``folder``."""
     payload = F.coalesce("html", F.lit(""))
     size = F.octet_length(payload).cast("long")
+    # A digest may be common: what meet are ids and counts, never payloads.
     digests = pages.select("page_id", base32_sha1(payload).alias("digest"), size.alias("size"))
-    shared = digests.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    ids = durable(digests.groupBy("digest", "page_id", "size").agg(F.count("*").alias("c")))
+    n, total = ids.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.col("c") * F.col("size")), F.lit(0))).first()
+    per_file = max(1, min(RECORDS_PER_FILE, FILE_BYTES * n // max(1, total)))
+    shared = ids.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("c").alias("n")).where("n > 1")
     # Only payloads that repeat need their first page, and only its followers.
-    shared = shared.where("n > 1").select("digest", "first")
-    # A digest may be common: what is joined are ids, never payloads.
-    followers = digests.join(shared, "digest").where("page_id > first and size >= 0").select("page_id", "first", "digest").distinct()
+    repeated = (F.col("c") > 1) & F.col("page_id").eqNullSafe(F.col("first"))
+    f = ids.join(shared, "digest").where("page_id is null or page_id > first or c > 1").select(F.col("page_id").alias("f_page"), "first", F.col("digest").alias("f_digest"), repeated.alias("repeated"))
+    f = durable(f.where("repeated or not f_page <=> first"))
     one = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     one = one.withColumn("own", base32_sha1(F.col("payload")))
-    f = followers.select(F.col("page_id").alias("f_page"), "first", F.col("digest").alias("f_digest"))
-    r = one.join(f, (F.col("page_id") == F.col("f_page")) & (F.col("own") == F.col("f_digest")), "left")
+    r = one.join(f, F.col("page_id").eqNullSafe(F.col("f_page")) & (F.col("own") == F.col("f_digest")), "left")
+    kept = ["page_id", "url", "payload", "own", "first"]
+    if not f.where("repeated").isEmpty():
+        # Rows of one page and payload: equal ones are counted, not gathered.
+        twins = r.where("repeated").groupBy("page_id", "url", "own", "first").agg(F.first("payload").alias("payload"), F.count("*").alias("k"))
+        lead = F.min("url").over(Window.partitionBy("page_id", "own"))
+        twins = twins.withColumn("lead", lead).select(*kept, "lead", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k"))).alias("nth"))
+        plain = r.where("not coalesce(repeated, false)").select(*kept, F.col("f_digest").isNotNull().alias("revisit"))
+        r = plain.unionByName(twins.select(*kept, ((F.col("url") != F.col("lead")) | (F.col("nth") > 1)).alias("revisit")))
+    else:
+        r = r.select(*kept, F.col("f_digest").isNotNull().alias("revisit"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload"), F.lit(RECORD_END))
-    revisit = F.col("first").isNotNull()
+    revisit = F.col("revisit")
     body = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
     url = F.regexp_replace("url", r"[\r\n]", "")
     stamp = F.date_format(F.timestamp_seconds(F.lit(1_577_836_800) + F.coalesce(F.col("page_id"), F.lit(0)) % 1_000_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -71,11 +89,11 @@ def write_warc(pages: DataFrame, folder: str, *, min_bytes: int = 0) -> None:
         F.lit(">\r\nWARC-Date: "), stamp,
         F.lit("\r\nWARC-Target-URI: "), url,
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("own"),
-        F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {REVISIT_PROFILE}\r\nWARC-Refers-To: <urn:page:"), F.col("first").cast("string"), F.lit(">"))).otherwise(""),
+        F.when(revisit, F.concat(F.lit(f"\r\nWARC-Profile: {REVISIT_PROFILE}\r\nWARC-Refers-To: <urn:page:"), F.coalesce(F.col("first").cast("string"), F.lit("")), F.lit(">"))).otherwise(""),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(body).cast("string"),
         F.lit(RECORD_END),
     )
-    r.select(F.concat(head, body).alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+    r.select(F.concat(head, body).alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(folder)
 
 
 def url_key(url: str) -> str:
@@ -127,7 +145,7 @@ def _order(capture: tuple) -> tuple:
     return capture[0], capture[1], capture[2] is not None, capture[2] or 0, capture[8], capture[9]
 
 
-def merged(runs: list[list]) -> Iterator:
+def merged(runs: list[Iterable]) -> Iterator:
     """K-way merge of sorted runs by a loser tree: a leaf per run, each inner
     node the loser of the match below it, one replay from leaf to root per item."""
     k = len(runs)
@@ -166,20 +184,29 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                 yield _frame(_captures(bytes(content), path.rsplit("/", 1)[-1]))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs: dict[str, list] = {}
+        runs: dict[str, list[pd.DataFrame]] = {}  # columns of what is already sorted
         for batch in batches:
-            batch = batch.astype(object).where(batch.notna(), None)
-            for row in batch.itertuples(index=False, name=None):
-                runs.setdefault(row[8], []).append(row)
-        pieces = [sorted(r, key=_order) for _, r in sorted(runs.items())]  # linear on what is sorted
-        out = list(merged(pieces))
-        for at in range(0, len(out), 10_000):
-            yield _frame(out[at : at + 10_000])
+            for run, piece in batch.groupby("run", sort=False):
+                runs.setdefault(run, []).append(piece)
+        held: list[tuple] = []
+        for row in merged([_rows(pieces) for _, pieces in sorted(runs.items())]):
+            held.append(row)
+            if len(held) == OUT_ROWS:
+                yield _frame(held)
+                held = []
+        if held:
+            yield _frame(held)
 
     # The runs are small beside the archives; kept, so that sampling the ranges
     # does not read the archives twice.
     indexed = durable(files.mapInPandas(index, CAPTURES))
-    return indexed.repartitionByRange("urlkey", "ts", "page_id").mapInPandas(merge, CAPTURES)
+    key = ["urlkey", "ts", "page_id"]
+    return indexed.repartitionByRange(*key).sortWithinPartitions("run", *key, "offset").mapInPandas(merge, CAPTURES)
+
+
+def _rows(pieces: list[pd.DataFrame]) -> Iterator[tuple]:
+    for piece in pieces:
+        yield from piece.astype(object).where(piece.notna(), None).itertuples(index=False, name=None)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

@@ -170,6 +170,30 @@ def test_warc_round_trip(spark):
     assert {r.record_type for r in warc.archive(df, min_bytes=10_000_000).collect()} == {"response"}
 
 
+def test_warc_repeated_and_missing_ids(spark):
+    rows = [(None, "u0", "p"), (1, "u2", "p"), (1, "u1", "p"), (1, "u1", "p"), (2, "u3", "p"), (None, "n1", "q"), (None, "n1", "q"), (None, "n2", "q"), (9, "z", "alone")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = warc.archive(df).collect()
+    assert Counter((r.page_id, r.url, r.record_type, r.refers_to) for r in got) == Counter([
+        (None, "u0", "revisit", 1), (1, "u1", "response", None), (1, "u1", "revisit", 1), (1, "u2", "revisit", 1), (2, "u3", "revisit", 1),
+        (None, "n1", "response", None), (None, "n1", "revisit", None), (None, "n2", "revisit", None), (9, "z", "response", None),
+    ])
+
+
+def test_warc_order_over_many_runs(spark, monkeypatch):
+    """Several files a run each, ranges of more rows than a frame that leaves them."""
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 40)
+    monkeypatch.setattr(warc, "OUT_ROWS", 7)
+    random.seed(3)
+    rows = [(i, f"http://h{random.randrange(5)}.org/{random.randrange(9)}", f"page {i % 170}") for i in range(400)]
+    got = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    keys = [(warc.url_key(r.url), r.ts, r.page_id) for r in got]
+    assert keys == sorted(keys) and sorted(r.page_id for r in got) == list(range(400)) and len({r.run for r in got}) > 9
+    assert all((r.record_type, r.refers_to) == (("response", None) if r.page_id < 170 else ("revisit", r.page_id % 170)) for r in got)
+    urls = dict((p, u) for p, u, _ in rows)
+    assert all(r.urlkey == warc.url_key(urls[r.page_id]) and r.ts.startswith("2020-01-01T00:0") for r in got)
+
+
 def test_loser_tree():
     random.seed(4)
     for k in (0, 1, 2, 3, 7):
