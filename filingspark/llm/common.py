@@ -35,6 +35,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(spark: SparkSession, folder: str, on_exit: bool = False) -> None:
+    """Deletes a folder that this session has written, now or when it ends, in
+    whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(path) if on_exit else files.delete(path, True)
+
+
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint if a materialised table has at most ``max_rows`` rows,
     else the table as it is, for a shuffled join."""

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, durable
+from .common import checkpoint_dir, discard, durable
 
 RECORD_END = "\r\n\r\n"
 RECORDS_PER_FILE = 20_000
@@ -220,4 +220,5 @@ def archive(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     folder = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_warc(pages, folder, min_bytes=min_bytes)
+    discard(spark, folder, on_exit=True)
     return read_warc(spark, folder)
