@@ -23,7 +23,8 @@ by rounds of large-star and small-star, each checkpointed.
 
 Defined cases: null or blank text has fingerprint 0 and is linked like any other;
 repeated rows get a row each; null ids are passed over when the smallest id of a
-component is taken; other columns are ignored; empty tables give empty results.
+component is taken; texts are read whole, 65,536 shingles at a time; other columns
+are ignored, and kept by ``deduplicate``; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -226,7 +227,9 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     distinct = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(distinct, max_bits))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Minima are written, so that what meets them under a large component's root
+    # comes from a shuffle alone, which Spark may split.
+    smallest = durable(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     classes = rooted.join(smallest, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
