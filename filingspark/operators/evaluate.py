@@ -24,10 +24,10 @@ def _aliases(concept):
 def fact_matches(facts: DataFrame, expected: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """Expected rows with ``actual`` and ``outcome`` (matched, mismatched, missing).
     A bare concept means the first fact of it, a qualified one the last."""
-    f = facts.select("doc_id", "statement_type", "value", "fact_ord", F.explode(_aliases(F.col("concept"))).alias("alias"))
-    bare = f.groupBy("doc_id", F.col("alias").alias("key")).agg(F.min_by(F.struct("value"), "fact_ord").alias("v"))
-    qualified = f.groupBy("doc_id", F.concat_ws(":", "statement_type", "alias").alias("key")).agg(F.max_by(F.struct("value"), "fact_ord").alias("v"))
-    j = expected.join(bare.unionByName(qualified), ["doc_id", "key"], "left").withColumn("actual", F.col("v.value")).drop("v")
+    keys = F.flatten(F.transform(_aliases(F.col("concept")), lambda c: F.array(c, F.concat_ws(":", "statement_type", c))))
+    f = facts.select("doc_id", "value", "fact_ord", F.explode(keys).alias("key")).groupBy("doc_id", "key")
+    known = f.agg(F.when(F.col("key").contains(":"), F.max_by(F.struct("value"), "fact_ord")).otherwise(F.min_by(F.struct("value"), "fact_ord")).alias("v"))
+    j = expected.join(known, ["doc_id", "key"], "left").withColumn("actual", F.col("v.value")).drop("v")
     off = F.abs(F.col("actual") - F.col("value")) / F.greatest(F.abs("value"), F.lit(1e-6))
     return j.withColumn("outcome", F.when(F.col("actual").isNull(), "missing").when(off <= tolerance, "matched").otherwise("mismatched"))
 
