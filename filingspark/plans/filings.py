@@ -296,8 +296,20 @@ def period_labels(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", dates.period_label(F.col("period_end"), F.lit("annual")).alias("period"))
 
 
-@query("export_envelopes")
+@query("export_envelopes", oracle(f"""{CORE[: CORE.rindex("select doc_id, metric")]}, {SIGNALS[len(ITEMS) + 2 :]}, me as (select doc_id, string_agg(metric, ',' order by metric) as metrics, round(sum(value), 4) as total from m where value is not null group by doc_id),
+se as (select doc_id, string_agg(concat(category, ':', severity), ',' order by category) as signals from sig group by doc_id)
+select s.doc_id, s.doc_id as symbol, concat(cast(extract(year from period_end) as varchar), case extract(month from period_end) when 9 then 'Q3' else 'Q4' end) as period, coalesce(metrics, '') as metrics, total, coalesce(signals, '') as signals
+from v_statements s left join me using (doc_id) left join se using (doc_id) where statement_type = 'income'""", "v_line_items", "v_statements"))
 def export_envelopes(spark: SparkSession, d: str) -> DataFrame:
+    """The envelopes, read back from their JSON."""
+    made = _envelopes(spark, d)
+    shape = "struct<symbol:string,period:string,facts:array<struct<metric:string,value:double>>,risk_signals:array<struct<category:string,severity:string>>>"
+    e = made.select("doc_id", F.from_json("export", shape).alias("e")).select("doc_id", "e.*")
+    total = F.when(F.size("facts") > 0, F.round(F.aggregate("facts", F.lit(0.0), lambda a, f: a + f["value"]), 4))
+    return e.select("doc_id", "symbol", "period", F.array_join("facts.metric", ",").alias("metrics"), total.alias("total"), F.array_join(F.transform("risk_signals", lambda s: F.concat_ws(":", s["category"], s["severity"])), ",").alias("signals"))
+
+
+def _envelopes(spark: SparkSession, d: str) -> DataFrame:
     meta = view(spark, d, "v_statements").where("statement_type = 'income'").select("doc_id", "period_end", F.lit("10-K").alias("filing_type"))
     return export.envelopes(meta, core_metrics(spark, d), _signals(spark, d))
 
@@ -392,9 +404,13 @@ def event_study(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) if c in _ROUND else F.col(c) for c in out.columns])
 
 
-@query("event_significance")
+_ERFC = "(tt * (254829592e-9 + tt * (-284496736e-9 + tt * (1421413741e-9 + tt * (-1453152027e-9 + tt * 1061405429e-9)))) * exp(-z * z))"
+
+
+@query("event_significance", oracle(f"""{STUDY[: STUDY.rindex("select ticker, event_date, pre, post, event_matched, round")]}, p as (select ticker, event_date, pre, post, t_stat, abs(t_stat) / sqrt(2e0) as z, 1e0 / (1e0 + 3275911e-7 * abs(t_stat) / sqrt(2e0)) as tt from a left join t using (ticker, event_date, pre, post))
+select ticker, event_date, pre, post, round(t_stat, 6) as t_stat, round({_ERFC}, 6) as p_value from p""", "v_prices", "v_bench", "v_events"))
 def event_significance(spark: SparkSession, d: str) -> DataFrame:
-    return es.event_study(*_prices(spark, d)).select("ticker", "event_date", "pre", "post", "t_stat", "p_value")
+    return es.event_study(*_prices(spark, d)).select("ticker", "event_date", "pre", "post", F.round("t_stat", 6).alias("t_stat"), F.round("p_value", 6).alias("p_value"))
 
 
 @query("price_index", oracle("""with p as (select ticker, trade_date, cast(close as double) as close from v_prices), b as (select trade_date as bd, cast(close as double) as bc from v_bench),
