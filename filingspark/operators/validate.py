@@ -78,7 +78,8 @@ def _with_issues(p: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
 
 def validate_statements(items: DataFrame, totals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(issues, metrics): (doc_id, issue) and (doc_id, metric, value)."""
-    return statement_issues(p := profile(items, totals)), statement_metrics(p)
+    p = profile(items, totals)
+    return statement_issues(p), statement_metrics(p)
 
 
 def statement_issues(p: DataFrame) -> DataFrame:
