@@ -192,8 +192,11 @@ def segment(distinct: DataFrame, vocab: DataFrame, *, longest: int, fold: str =
     n = F.length(text)
     # Scores need single characters as edges, so that every unit has a path; merges begin with them.
     least = 2 if fold == "merges" else 1
-    starts = distinct.where(n >= least).select("unit", F.explode(F.sequence(F.lit(0), n - least)).alias("start"))
-    stops = starts.select("*", F.explode(F.sequence(F.col("start") + least, F.least(F.col("start") + longest, n))).alias("stop"))
+    # Conditions are on what is exploded: one on the unit alone would reach below the
+    # exchange of the units, and the two uses of it would no longer be one.
+    starts = distinct.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    ends = F.sequence(F.least(F.col("start") + least, n), F.least(F.col("start") + longest, n))
+    stops = starts.select("*", F.explode(ends).alias("stop")).where(F.col("stop") - F.col("start") >= least)
     subs = stops.withColumn("piece", F.substring(text, F.col("start") + 1, F.col("stop") - F.col("start")))
     met = subs.join(F.broadcast(vocab), "piece", "inner" if least == 2 else "left").where("rank is not null or stop = start + 1")
     rank = F.coalesce(F.col("rank"), F.lit(UNKNOWN)).cast("long")
@@ -289,7 +292,7 @@ class _Coder:
     def folded(self, unit: str, fold: str) -> bytes:
         return self.ids(unit, merge_long(unit, self.ranks) if fold == "merges" else best_path_long(unit, self.ranks, self.scores, self.longest))
 
-    def texts(self, ids, ends: np.ndarray) -> list[bytes]:
+    def texts(self, ids, ends: np.ndarray) -> Iterator[bytes]:
         """The texts of packed ids, cut behind each of ``ends``."""
         import pyarrow as pa
 
@@ -297,7 +300,7 @@ class _Coder:
         at = np.frombuffer(joined.buffers()[1], "<i8", len(joined) + 1, 8 * joined.offset)[ends]
         data = memoryview(joined.buffers()[2] or b"")
         # The space in front belongs to the encoding, not to the text.
-        return [bytes(data[a + 1 : b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return (bytes(data[a + 1 : b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
 
 
 class _Units(dict):
@@ -500,6 +503,7 @@ def encode(docs: DataFrame, text_col: str = "text", *, model: str = MODEL, fold:
             coded = [b"" if t is None else words.ids(t) for t in texts]
             ends = np.cumsum([0] + [len(x) // 4 for x in coded])
             values = np.frombuffer(b"".join(coded), "<i4")
+            del coded
             none = pa.array([t is None for t in texts], pa.bool_())
             columns = [*table.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values), mask=none)]
             if restored_col:
@@ -524,7 +528,7 @@ def decode(encoded: DataFrame, out_col: str = "decoded", *, model: str = MODEL)
         coder = _coder(model)
 
         def of(x):
-            return None if x is None else coder.texts(np.asarray(x, "<i4"), np.array([0, len(x)]))[0].decode("utf-8", "replace")
+            return None if x is None else next(coder.texts(np.asarray(x, "<i4"), np.array([0, len(x)]))).decode("utf-8", "replace")
 
         return ids.map(of)
 
