@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the shared checkpoint folder and read again,
+    by column; it goes when the session ends."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    discard(spark, folder, on_exit=True)
+    return spark.read.parquet(folder)
+
+
 def discard(spark: SparkSession, folder: str, on_exit: bool = False) -> None:
     """Deletes a folder that this session has written, now or when it ends, in
     whatever file system it is."""

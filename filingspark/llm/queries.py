@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align, count_links
 from .chat import format_chat, read_chat
 from .common import table
 from .langid import predict, train
@@ -88,7 +89,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_sentencepiece": op3_sentencepiece, "op4_simhash": op4_simhash, "op5_warc": op5_warc, "op6_langid": op6_langid, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_licenses": op10_licenses}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    counted = count_links(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_sentencepiece": op3_sentencepiece, "op4_simhash": op4_simhash, "op5_warc": op5_warc, "op6_langid": op6_langid, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_licenses": op10_licenses, "op11_alignment": op11_alignment}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_topk": """
