@@ -130,7 +130,7 @@ def _longer(packs: DataFrame, frequent: DataFrame) -> DataFrame:
     each other, one place apart. A phrase is known by its words; its first word's
     place is its own."""
     asked = packs.select("pack", "lang", F.posexplode("known").alias("k", "phrase"))
-    told = asked.join(frequent.select("lang", "phrase"), ["lang", "phrase"], "left_semi").select("pack", "k")
+    told = asked.join(frequent.select("lang", "phrase"), ["lang", "phrase"], "left_semi").select(F.col("pack").alias("asked"), "k")
 
     def run(mine, known):
         import pyarrow as pa
@@ -153,11 +153,11 @@ def _longer(packs: DataFrame, frequent: DataFrame) -> DataFrame:
         out = out[np.append(True, (out[1:] >= 0) | (out[:-1] >= 0))] if len(out) else out
         return pa.table(_row(mine.column("pack")[0].as_py(), mine.column("lang")[0].as_py(), longer, n, out), names)
 
-    return packs.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(run, _STATE).where(F.size("known") > 0)
+    return packs.groupBy("pack").cogroup(told.groupBy("asked")).applyInArrow(run, _STATE).where(F.size("known") > 0)
 
 
 def _first(phrase: Column, k: Column) -> Column:
-    return F.substring_index(phrase, " ", k)
+    return F.call_function("substring_index", phrase, F.lit(" "), k)
 
 
 def _integer(c: Column) -> Column:

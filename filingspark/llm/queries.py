@@ -11,6 +11,7 @@ from .common import table
 from .langid import predict, train
 from .licenses import find_licenses
 from .mixing import mix_sources
+from .phrases import phrases
 from .pii import BASE_KINDS, find_pii, joined_spans, of_kind
 from .quality import quality
 from .sentencepiece import encode
@@ -96,7 +97,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_sentencepiece": op3_sentencepiece, "op4_simhash": op4_simhash, "op5_warc": op5_warc, "op6_langid": op6_langid, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_licenses": op10_licenses, "op11_alignment": op11_alignment}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_sentencepiece": op3_sentencepiece, "op4_simhash": op4_simhash, "op5_warc": op5_warc, "op6_langid": op6_langid, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_licenses": op10_licenses, "op11_alignment": op11_alignment, "op13_phrases": op13_phrases}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_topk": """
@@ -113,5 +118,38 @@ with v as (
   select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
 )
 select query_id, rank, vec_id, score from r where rank <= 5
+""",
+    "op13_phrases": r"""
+with p as (
+  select coalesce(lang, 'und') as lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), w as (
+  select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p
+), g as (
+  select lang, k, array_to_string(ws[i:i + k - 1], ' ') as phrase
+  from (select lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) as i from w, range(1, 6) t(k))
+), f as (
+  select lang, k, phrase, count(*) as f from g group by all
+), t as (
+  select lang, cast(sum(f) as bigint) as n from f where k = 1 group by lang
+), c as (
+  select * from f where k > 1 and f >= 100
+), s as (
+  select c.lang, c.phrase, c.f as a, t.n, l.f as l, r.f as r, j, (1000::hugeint * c.f * t.n) // (l.f::hugeint * r.f) as score
+  from (select *, unnest(range(1, k)) as j from c) c
+  join t on t.lang = c.lang
+  join f l on l.lang = c.lang and l.phrase = array_to_string(string_split(c.phrase, ' ')[1:j], ' ')
+  join f r on r.lang = c.lang and r.phrase = array_to_string(string_split(c.phrase, ' ')[j + 1:], ' ')
+), m as (
+  select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1
+), kept as (
+  select * from m where not exists (
+    select 1 from c x where x.lang = m.lang and x.f >= m.a and x.phrase <> m.phrase and contains(' ' || x.phrase || ' ', ' ' || m.phrase || ' ')
+  )
+), ranked as (
+  select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, cast(score as bigint) as score from kept
+)
+select * from ranked where rank <= 2000
 """,
 }
