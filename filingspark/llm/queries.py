@@ -15,6 +15,7 @@ from .phrases import phrases
 from .pii import BASE_KINDS, find_pii, joined_spans, of_kind
 from .quality import quality
 from .sentencepiece import encode
+from .setjoin import jaccard_components
 from .simhash import hex_fingerprint, near_duplicates
 from .topk import top_k
 from .warc import archive
@@ -97,11 +98,15 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases(table(spark, sf_dir, "documents").select("text", "lang"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_sentencepiece": op3_sentencepiece, "op4_simhash": op4_simhash, "op5_warc": op5_warc, "op6_langid": op6_langid, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_licenses": op10_licenses, "op11_alignment": op11_alignment, "op13_phrases": op13_phrases}
+QUERIES = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_sentencepiece": op3_sentencepiece, "op4_simhash": op4_simhash, "op5_warc": op5_warc, "op6_langid": op6_langid, "op7_topk": op7_topk, "op8_pii": op8_pii, "op9_chat": op9_chat, "op10_licenses": op10_licenses, "op11_alignment": op11_alignment, "op12_setjoin": op12_setjoin, "op13_phrases": op13_phrases}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_topk": """
@@ -143,10 +148,12 @@ with p as (
   join f r on r.lang = c.lang and r.phrase = array_to_string(string_split(c.phrase, ' ')[j + 1:], ' ')
 ), m as (
   select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1
+), inside as (
+  select lang, array_to_string(ws[i:j], ' ') as phrase, max(f) as f
+  from (select lang, f, k, string_split(phrase, ' ') as ws, i, unnest(range(i + 1, k + 1)) as j from (select *, unnest(range(1, k)) as i from c))
+  where j - i + 1 < k group by 1, 2
 ), kept as (
-  select * from m where not exists (
-    select 1 from c x where x.lang = m.lang and x.f >= m.a and x.phrase <> m.phrase and contains(' ' || x.phrase || ' ', ' ' || m.phrase || ' ')
-  )
+  select m.* from m left join inside on inside.lang = m.lang and inside.phrase = m.phrase where coalesce(100 * inside.f < 100 * m.a, true)
 ), ranked as (
   select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, cast(score as bigint) as score from kept
 )
