@@ -127,25 +127,34 @@ select query_id, rank, vec_id, score from r where rank <= 5
     "op13_phrases": r"""
 with p as (
   select coalesce(lang, 'und') as lang,
-    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    unnest(string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?' || chr(10) || chr(11) || chr(12) || chr(13) || chr(9), 'abcdefghijklmnopqrstuvwxyz......... '), '.')) as piece
   from documents
 ), w as (
-  select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p
+  select lang, piece, unnest(ws) as w1, generate_subscripts(ws, 1) as i
+  from (select lang, row_number() over () as piece, list_filter(string_split(piece, ' '), lambda x: x <> '') as ws from p)
+), y as (
+  select lang, w1, lead(w1, 1) over o as w2, lead(w1, 2) over o as w3, lead(w1, 3) over o as w4, lead(w1, 4) over o as w5
+  from w window o as (partition by piece order by i)
 ), g as (
-  select lang, k, array_to_string(ws[i:i + k - 1], ' ') as phrase
-  from (select lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) as i from w, range(1, 6) t(k))
+  select lang, 1 as k, w1 as phrase from y
+  union all select lang, 2, concat_ws(' ', w1, w2) from y where w2 is not null
+  union all select lang, 3, concat_ws(' ', w1, w2, w3) from y where w3 is not null
+  union all select lang, 4, concat_ws(' ', w1, w2, w3, w4) from y where w4 is not null
+  union all select lang, 5, concat_ws(' ', w1, w2, w3, w4, w5) from y where w5 is not null
 ), f as (
   select lang, k, phrase, count(*) as f from g group by all
 ), t as (
   select lang, cast(sum(f) as bigint) as n from f where k = 1 group by lang
+), often as (
+  select * from f where f >= 100
 ), c as (
-  select * from f where k > 1 and f >= 100
+  select * from often where k > 1
 ), s as (
   select c.lang, c.phrase, c.f as a, t.n, l.f as l, r.f as r, j, (1000::hugeint * c.f * t.n) // (l.f::hugeint * r.f) as score
   from (select *, unnest(range(1, k)) as j from c) c
   join t on t.lang = c.lang
-  join f l on l.lang = c.lang and l.phrase = array_to_string(string_split(c.phrase, ' ')[1:j], ' ')
-  join f r on r.lang = c.lang and r.phrase = array_to_string(string_split(c.phrase, ' ')[j + 1:], ' ')
+  join often l on l.lang = c.lang and l.phrase = array_to_string(string_split(c.phrase, ' ')[1:j], ' ')
+  join often r on r.lang = c.lang and r.phrase = array_to_string(string_split(c.phrase, ' ')[j + 1:], ' ')
 ), m as (
   select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1
 ), inside as (
