@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingspark.functions import text
-from filingspark.operators import chunks, evaluate, listing, page_sets, records, retrieval, signals, statements, tables
+from filingspark.operators import chunks, document_index, evaluate, listing, page_sets, records, retrieval, signals, statements, tables
 from filingspark.plans import filings
 from filingspark.plans.views import line_items, oracle, view
+from filingspark.sources import sinks
 from filingspark.streaming import jobs
 
 QUERIES: dict = {}
@@ -222,6 +223,49 @@ def hybrid_search(spark, d):
     return retrieval.hybrid(_dense_hits(spark, d, 15), _token_hits(spark, d, 15), 5).withColumn("score", F.round("score", 6))
 
 
+def _document_corpus(spark, d) -> DataFrame:
+    """Pages as chunks, and the order of a document's number as its table."""
+    pages = view(spark, d, "v_pages")
+    as_chunks = pages.select("doc_id", F.col("page_number").alias("chunk_ord"), F.concat(F.lit("c"), F.col("page_number").cast("string")).alias("chunk_id"), F.col("page_number").alias("page_start"), F.lit(None).cast("string").alias("section"), "text")
+    grids = tables.grids(view(spark, d, "v_cells")).select(F.col("doc_id").cast("long").alias("doc_id"), "table_ord", tables.markdown(F.col("grid")).alias("raw_markdown"))
+    known = grids.join(_read(spark, d, "documents").where("text <> ''").select("doc_id").distinct(), "doc_id", "left_semi")
+    return document_index.corpus(as_chunks, known.withColumns({"table_id": F.lit("t0"), "page": F.lit(1), "title": F.lit("Order")}))
+
+
+def _document_queries(spark, d) -> DataFrame:
+    """The context queries of every document, and a passage of the benchmark's."""
+    docs = _read(spark, d, "documents").where("text <> ''").select("doc_id")
+    items = _read(spark, d, "benchmark")
+    asked = docs.withColumn("item_id", F.pmod(F.col("doc_id"), F.lit(40))).join(items, "item_id").select("doc_id", F.lit(9).alias("query_id"), F.col("text").alias("query"))
+    return document_index.context_queries(docs).unionByName(asked)
+
+
+_SAID = ", ".join(f"({i}, '{q}')" for i, q in enumerate(document_index.CONTEXT_QUERIES))
+DOCUMENT_SEARCH = f"""md as (select cast(doc_id as bigint) as doc_id, string_agg(line || case when row = 0 then chr(10) || '| --- | --- | --- |' else '' end, chr(10) order by row) as text from (select doc_id, row, '| ' || string_agg(trim(text), ' | ' order by col) || ' |' as line from v_cells group by doc_id, row) r group by doc_id),
+known as (select distinct doc_id from documents where text <> ''),
+corpus as (select doc_id, 0 as kind, page_number as ord, cast(row_number() over (partition by doc_id, page_number order by s) - 1 as int) as split_index, regexp_replace(substr(text, s + 1, 800), '^[\\s\\v]+|[\\s\\v]+$', '', 'g') as text from (select doc_id, page_number, unnest(generate_series(0, greatest(length(text) - 1, 0), 680)) as s, text from v_pages) p where trim(substr(text, s + 1, 800)) <> ''
+  union all select doc_id, 1, 0, 0, text from md join known using (doc_id)),
+filled as (select * from corpus where regexp_replace(text, '[\\s\\v]', '', 'g') <> ''),
+asked as (select doc_id, query_id, query from known cross join (values {_SAID}) q(query_id, query) union all select doc_id, 9, b.text from known join benchmark b on b.item_id = doc_id % 40),
+aq as (select doc_id, query_id, tok, count(*) as times from (select doc_id, query_id, unnest({_TOK.format('query')}) as tok from asked) a group by all),
+pt as (select doc_id, kind, ord, split_index, {_TOK.format('text')} as t from filled), px as (select doc_id, kind, ord, split_index, len(t) as n, unnest(list_distinct(t)) as tok from pt),
+found as (select doc_id, query_id, kind, ord, split_index, sum(times) / greatest(log10(any_value(n) + 1), 1.0) as score from px join aq using (doc_id, tok) group by all),
+best as (select *, row_number() over (partition by doc_id, query_id order by round(score, 9) desc, kind, ord, split_index) as rank from found),
+firsts as (select a.doc_id, a.query_id, f.kind, f.ord, f.split_index, 0e0 as score, row_number() over (partition by a.doc_id, a.query_id order by f.kind, f.ord, f.split_index) as rank from asked a join filled f using (doc_id) where not exists (select 1 from found x where x.doc_id = a.doc_id and x.query_id = a.query_id)),
+hits as (select doc_id, query_id, kind, ord, split_index, score, rank from best where rank <= 6 union all select * from firsts where rank <= 6)"""
+
+
+@query("document_search", oracle(f"with {DOCUMENT_SEARCH} select doc_id, query_id, cast(rank as int) as rank, kind, cast(ord as bigint) as ord, split_index, round(score, 6) as score, md5(text) as digest from hits join filled using (doc_id, kind, ord, split_index)", "v_pages", "v_cells"))
+def document_search(spark, d):
+    corpus = _document_corpus(spark, d)
+    folder = sinks.scratch(spark, "index")
+    document_index.write_index(corpus, folder)
+    hits = document_index.search(document_index.read_index(spark, folder), _document_queries(spark, d))
+    said = corpus.select("doc_id", *document_index.PASSAGE, "source_type", "text")
+    raw = document_index.with_text(hits, said).withColumn("score", F.round("score", 6))
+    return raw.select("doc_id", "query_id", "rank", *document_index.PASSAGE, "score", F.md5("text").alias("digest"))
+
+
 @query("context_packs")
 def context_packs(spark, d):
     p = view(spark, d, "v_pages").select("doc_id", F.col("page_number").alias("source_ord"), F.lit("page_text").alias("source_type"), F.lit("page").alias("title"), "text")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingspark.functions import text
+from filingspark.sources import sinks
 
 MAX_BYTES = 100 * 1024 * 1024
 CONTENT_TYPES = ("application/pdf", "application/octet-stream", "application/x-pdf")
@@ -92,9 +93,35 @@ def prices(table: DataFrame, ticker: str, start, end) -> DataFrame:
     return table.where((F.col("ticker") == ticker) & F.col("trade_date").between(start, end)).orderBy("trade_date")
 
 
+def read_artifact(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """An artifact table; it knows its buckets."""
+    table = spark.read.parquet(f"{folder}/{kind}")
+    buckets, key = sinks.layout(spark, folder, kind)
+    return table.withMetadata("bucket", {"buckets": buckets, "key": key})
+
+
+def _buckets(table: DataFrame) -> tuple[int, str]:
+    about = table.schema["bucket"].metadata
+    return about["buckets"], about["key"]
+
+
 def artifact(table: DataFrame, doc_id) -> DataFrame:
-    """One document's rows of an artifact table; none if it is unknown."""
-    return table.where(F.col("doc_id") == F.lit(doc_id))
+    """One document's rows of an artifact table; none if it is unknown. The key's bucket
+    is a constant, so one partition is scanned."""
+    if "bucket" not in table.columns:
+        return table.where(F.col("doc_id") == F.lit(doc_id))
+    buckets, key = _buckets(table)
+    wanted = F.lit(doc_id).cast(table.schema[key].dataType)
+    return table.where((F.col("bucket") == sinks.bucket(wanted, buckets)) & (F.col(key) == wanted)).drop("bucket")
+
+
+def of_keys(table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of an artifact table that equal ``wanted`` in all columns both have, the key
+    among them: the buckets asked for prune the scan while it runs."""
+    buckets, key = _buckets(table)
+    shared = [c for c in wanted.columns if c in table.columns]
+    asked = wanted.withColumn("bucket", sinks.bucket(F.col(key).cast(table.schema[key].dataType), buckets)).where("bucket >= 0")
+    return table.join(asked, ["bucket", *shared]).drop("bucket")
 
 
 def register_page_source(name: str, make) -> None:

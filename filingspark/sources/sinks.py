@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,17 +18,53 @@ def without(existing: DataFrame, deleted: DataFrame, keys: list[str]) -> DataFra
     return existing.join(deleted.select(*keys).distinct(), keys, "left_anti")
 
 
-def write_artifact(df: DataFrame, folder: str, kind: str, buckets: int = 16) -> None:
-    """An artifact table, partitioned by a hash of doc_id so that one document's
-    rows are in one place however many documents there are."""
-    out = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{kind}")
+#: Rows of a bucket of an artifact table, about.
+BUCKET_ROWS = 1_000_000
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of this session's own in the shared checkpoint folder, gone when the
+    session ends. On a cluster ``spark.checkpoint.dir`` has to name one."""
+    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not home:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: a shared folder is needed")
+        home = tempfile.mkdtemp(prefix="scratch-")
+    folder = f"{home.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def bucket(key: Column, buckets: int) -> Column:
+    """The bucket of a key; a constant key's is a constant, known while planning."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_artifact(df: DataFrame, folder: str, kind: str, buckets: int | None = None, key: str = "doc_id") -> None:
+    """An artifact table, partitioned by a hash of its key so that one document's rows
+    are in one place. There are as many buckets as the rows ask for; the number is kept
+    with the table, where readers and later writes find it."""
+    spark = df.sparkSession
+    if buckets is None:
+        buckets = max(16, -(-df.count() // BUCKET_ROWS))
+    out = df.withColumn("bucket", bucket(F.col(key), buckets))
+    out.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{kind}")
+    layout = spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(key).alias("key"))
+    layout.coalesce(1).write.mode("overwrite").json(f"{folder}/_layout/{kind}")
+
+
+def layout(spark: SparkSession, folder: str, kind: str) -> tuple[int, str]:
+    """(buckets, key) of an artifact table."""
+    row = spark.read.schema("buckets int, key string").json(f"{folder}/_layout/{kind}/*.json").first()
+    return row["buckets"], row["key"]
 
 
-def replace_buckets(df: DataFrame, folder: str, kind: str, buckets: int = 16) -> None:
+def replace_buckets(df: DataFrame, folder: str, kind: str) -> None:
     """Rewrites the buckets that ``df`` holds rows of and leaves the others."""
-    out = df.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{folder}/{kind}")
+    buckets, key = layout(df.sparkSession, folder, kind)
+    out = df.withColumn("bucket", bucket(F.col(key), buckets))
+    out.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{folder}/{kind}")
 
 
 def write_lines(df: DataFrame, column: str, folder: str) -> None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingspark.operators import facts, listing
+from filingspark.sources import sinks
 
 ADMIT_SECONDS = 60
 
@@ -65,12 +64,7 @@ def finished(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what is there and gives its output as a table, written
     beside the session's checkpoints."""
     spark = stream.sparkSession
-    home = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not home:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir is not set: a stream's output needs a shared folder")
-        home = tempfile.mkdtemp(prefix="stream-")
-    folder = f"{home.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = sinks.scratch(spark, "stream")
     if mode == "complete":
         out = stream.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{folder}/out"))
     else:
