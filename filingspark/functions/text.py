@@ -14,6 +14,7 @@ STATEMENT_WORDS = {
 # Audit words in the order in which they are tried; the milder ones.
 AUDIT_WORDS = ("保留意见", "无法表示意见", "否定意见", "强调事项", "qualified opinion", "adverse opinion", "disclaimer of opinion", "going concern", "material uncertainty")
 AUDIT_MEDIUM = ("强调事项", "going concern", "material uncertainty")
+# The patterns of headings, company suffixes and file name noise define what is found.
 HEADING = r"^(\d+\.|[IVX]+\.|[A-Z][A-Za-z\s]{2,}|[一二三四五六七八九十]+[、.]|（[一二三四五六七八九十]+）|第[一二三四五六七八九十\d]+[章节篇部分条])"
 COMPANY_SUFFIX = r"(?i)\b(Inc\.|Corporation|Corp\.|Company|Co\.|Limited|Ltd\.|Holdings|Group|PLC|S\.A\.)(?=$|[\s,])"
 FILENAME_NOISE = r"(?i)\b(FY\d{2,4}|FY|Q[1-4]|\d{2,4}|annual|quarterly|report|financial|statements|consolidated)\b"
@@ -82,16 +83,43 @@ def estimated_tokens(text: Column) -> Column:
     return ((F.length(text) - other) / 1.5 + other / 4).cast("int")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, as a lambda's variable."""
+    return F.transform(F.array(value), body)[0]
+
+
+def runs(text: Column) -> Column:
+    """A text as runs of CJK and other characters: array of (n, wide)."""
+    parts = F.regexp_extract_all(text, F.lit(f"(?s){CJK}+|{CJK.replace('[', '[^', 1)}+"), F.lit(0))
+    return F.transform(parts, lambda r: F.struct(F.length(r).alias("n"), r.rlike(CJK).alias("wide")))
+
+
+def run_tokens(runs: Column, chars: Column) -> Column:
+    """Estimated tokens of the first ``chars`` characters of a text, by its runs."""
+    zero = F.struct(F.lit(0).alias("left"), F.lit(0).alias("wide")).withField("left", chars.cast("int"))
+    wide = F.aggregate(
+        runs, zero, lambda acc, r: F.struct((acc["left"] - F.least(acc["left"], r["n"])).alias("left"), (acc["wide"] + F.when(r["wide"], F.least(acc["left"], r["n"])).otherwise(0)).alias("wide")), lambda acc: acc["wide"]
+    )
+    return let(wide, lambda w: (w / 1.5 + (chars - w) / 4).cast("int"))
+
+
+def fitting(runs: Column, limit: Column) -> Column:
+    """Characters that fit into ``limit`` tokens: all, or else a cut in proportion, less
+    a twentieth, made a tenth shorter until it fits."""
+    size = F.aggregate(runs, F.lit(0), lambda acc, r: acc + r["n"])
+
+    def cut(n, total):
+        first = F.floor(n * (limit / total) * 0.95).cast("int")
+        steps = F.sequence(F.lit(0), F.ceil(F.log(n + 1) / 0.1).cast("int"))
+        return F.aggregate(steps, first, lambda c, _: F.when(run_tokens(runs, c) <= limit, c).otherwise(F.floor(c * 0.9).cast("int")))
+
+    return let(size, lambda n: let(run_tokens(runs, n), lambda total: F.when(limit <= 0, 0).when(total <= limit, n).otherwise(cut(n, total))))
+
+
 def truncated(text: Column, max_tokens) -> Column:
-    """The text if it fits, else a cut in proportion to its tokens, less a
-    twentieth, made a tenth shorter until it fits; empty if nothing does."""
+    """The text if it fits, else what ``fitting`` leaves of it; empty if nothing fits."""
     limit = F.lit(max_tokens) if isinstance(max_tokens, int) else max_tokens
-    size, total = F.length(text), estimated_tokens(text)
-    first = F.floor(size * limit / total * 0.95).cast("int")
-    # Steps enough to shrink the cut to nothing; only lengths are carried along.
-    steps = F.sequence(F.lit(0), F.ceil(F.log(size + 1) / 0.1).cast("int"))
-    shorter = F.aggregate(steps, first, lambda n, _: F.when(estimated_tokens(F.left(text, n)) <= limit, n).otherwise(F.floor(n * 0.9).cast("int")))
-    return F.when(limit <= 0, F.lit("")).when(total <= limit, text).otherwise(F.left(text, shorter))
+    return F.left(text, let(runs(text), lambda r: fitting(r, limit)))
 
 
 def split_prompt(text: Column, max_tokens: int, overlap_tokens: int = 100) -> Column:

@@ -75,44 +75,3 @@ def fallback_context(queries: DataFrame, contexts: DataFrame, chunks: DataFrame,
     first = chunks.orderBy("chunk_ord").limit(n).agg(F.array_sort(F.collect_list(F.struct("chunk_ord", "text"))).alias("c"))
     said = first.select(F.left(F.array_join(F.transform("c", lambda x: x["text"]), "\n"), F.lit(chars)).alias("t")).scalar()
     return queries.select("query_id").join(contexts, "query_id", "left").select("query_id", F.coalesce("context", said).alias("context"))
-
-
-def table_passages(tables: DataFrame) -> DataFrame:
-    """Passages of tables (doc_id, table_ord, raw_markdown), behind all chunks: the
-    corpus searched is chunks and tables."""
-    return tables.where("raw_markdown <> ''").select("doc_id", F.lit(1 << 30).alias("chunk_ord"), F.col("table_ord").alias("split_index"), F.col("raw_markdown").alias("text"))
-
-
-def pack_context(sources: DataFrame, budget: int = 12_000) -> DataFrame:
-    """Sources (doc_id, source_ord, source_type, title, text) in order up to a
-    token budget: each is cut to what is left, and none follows a full budget."""
-    item = F.struct("source_ord", "source_type", "title", F.trim("text").alias("text"))
-    kept = "array<struct<source_ord:int,source_type:string,title:string,text:string,tokens:int>>"
-    zero = F.struct(F.lit(0).alias("used"), F.array().cast(kept).alias("out"))
-
-    def step(acc, s):
-        cut = text.truncated(s["text"], F.lit(budget) - acc["used"])
-        n = text.estimated_tokens(cut)
-        takes = (s["text"] != "") & (acc["used"] < budget) & (n > 0)
-        row = F.struct(s["source_ord"].cast("int").alias("source_ord"), s["source_type"].alias("source_type"), s["title"].alias("title"), cut.alias("text"), n.alias("tokens"))
-        return F.struct((acc["used"] + F.when(takes, n).otherwise(0)).alias("used"), F.when(takes, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
-
-    folded = sources.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("s")).select("doc_id", F.explode(F.aggregate("s", zero, step, lambda a: a["out"])).alias("o"))
-    return folded.select("doc_id", "o.*")
-
-
-#: Sources of a context pack by type.
-PACK_CAPS = {"note": 8, "signal": 12, "retrieval": 18, "table": 4}
-
-
-def distinct_sources(sources: DataFrame) -> DataFrame:
-    """The first of the sources of a document that share type and source_id."""
-    n = F.row_number().over(Window.partitionBy("doc_id", "source_type", "source_id").orderBy("source_ord"))
-    return sources.withColumn("_n", n).where("_n = 1 or source_id is null").drop("_n")
-
-
-def capped(sources: DataFrame, caps: dict[str, int] = PACK_CAPS) -> DataFrame:
-    """At most so many sources of each type per document, the first ones."""
-    n = F.row_number().over(Window.partitionBy("doc_id", "source_type").orderBy("source_ord"))
-    cap = F.coalesce(*[F.when(F.col("source_type") == k, v) for k, v in caps.items()], F.lit(1 << 30))
-    return sources.withColumn("_n", n).where(F.col("_n") <= cap).drop("_n")

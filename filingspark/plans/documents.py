@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filingspark.functions import text
-from filingspark.operators import chunks, document_index, evaluate, listing, page_sets, records, retrieval, signals, statements, tables
+from filingspark.operators import chunks, context, document_index, evaluate, listing, page_sets, records, retrieval, signals, statements, tables
 from filingspark.plans import filings
 from filingspark.plans.views import line_items, oracle, view
 from filingspark.sources import sinks
@@ -266,10 +266,67 @@ def document_search(spark, d):
     return raw.select("doc_id", "query_id", "rank", *document_index.PASSAGE, "score", F.md5("text").alias("digest"))
 
 
-@query("context_packs")
+_KINDS = ("income", "balance", "cashflow")
+
+
+def _filing_sources(spark, d) -> DataFrame:
+    """A filing's validation, totals, notes, signals, hits of the context queries and tables."""
+    docs, items = filings._docs(spark, d), line_items(spark, d)
+    issues = filings.statement_issues(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_set("issue")).alias("issues"))
+    validation = docs.join(issues, "doc_id", "left").select("doc_id", F.to_json(F.struct(F.coalesce("issues", F.array().cast("array<string>")).alias("issues"))).alias("text"))
+    entry = F.concat(F.lit('"'), "statement_type", F.lit("."), "concept", F.lit('":'), F.floor("value").cast("string"))
+    totals = statements.statement_totals(items).groupBy("doc_id").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("}")).alias("text"))
+    snapshot = docs.join(totals, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("{}")).alias("text"))
+    n = F.col("note_ord")
+    notes = docs.withColumn("note_ord", F.explode(F.sequence(F.lit(1), F.lit(10)))).where(F.regexp_extract("doc_id", r"^d(\d+)-", 1).cast("long") % 2 == 0)
+    notes = notes.select("doc_id", "note_ord", F.lit("impairment").alias("note_type"), F.when(n == 3, " ").otherwise(F.concat(F.lit("Impairment review "), n.cast("string"), F.expr("repeat('.', note_ord * 7)"))).alias("summary"))
+    order = Window.partitionBy("doc_id").orderBy("category")
+    found = filings._signals(spark, d).withColumn("sig_ord", F.row_number().over(order)).withColumn("metrics", F.create_map().cast("map<string,string>"))
+    pages = view(spark, d, "v_filing_pages")
+    as_chunks = pages.select("doc_id", F.col("page_number").alias("chunk_ord"), F.concat(F.lit("c"), F.col("page_number").cast("string")).alias("chunk_id"), F.col("page_number").alias("page_start"), F.lit(None).cast("string").alias("section"), "text")
+    row = F.struct("item_ord", F.array(F.col("name_raw"), F.floor(F.coalesce("value_current", F.lit(0.0))).cast("string")).alias("r"))
+    grids = items.groupBy("doc_id", "statement_type").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]).alias("grid"))
+    ords = F.array_position(F.array(*map(F.lit, _KINDS)), F.col("statement_type")).cast("int") - 1
+    as_tables = grids.select("doc_id", ords.alias("table_ord"), F.concat(F.lit("t-"), "statement_type").alias("table_id"), F.lit(1).alias("page"), F.when(ords == 0, "Income statement").alias("title"), tables.markdown(F.col("grid")).alias("raw_markdown"))
+    corpus = document_index.corpus(as_chunks, as_tables)
+    folder = sinks.scratch(spark, "index")
+    document_index.write_index(corpus, folder)
+    hits = document_index.search(document_index.read_index(spark, folder), document_index.context_queries(docs))
+    return context.sources(validation, snapshot, notes, found, document_index.with_text(hits, corpus), as_tables)
+
+
+CONTEXT_PACKS = f"""{filings.SIGNALS}, filing as (select distinct doc_id from v_statements),
+md as (select doc_id, k - 1 as ord, statement_type, string_agg(line || case when first then chr(10) || '| --- | --- |' else '' end, chr(10) order by item_ord) as text
+  from (select doc_id, statement_type, list_position(['income', 'balance', 'cashflow'], statement_type) as k, item_ord, item_ord = min(item_ord) over (partition by doc_id, statement_type) as first, concat('| ', trim(name_raw), ' | ', cast(cast(floor(coalesce(value_current, 0)) as bigint) as varchar), ' |') as line from items) r group by doc_id, k, statement_type),
+corpus as (select doc_id, 0 as kind, page_number as ord, cast(row_number() over (partition by doc_id, page_number order by s) - 1 as int) as split_index, trim(substr(text, s + 1, 800)) as text from (select doc_id, page_number, unnest(generate_series(0, greatest(length(text) - 1, 0), 680)) as s, text from v_filing_pages) p where trim(substr(text, s + 1, 800)) <> ''
+  union all select doc_id, 1, ord, 0, text from md),
+asked as (select doc_id, query_id, query from filing cross join (values {_SAID}) q(query_id, query)),
+aq as (select doc_id, query_id, tok, count(*) as times from (select doc_id, query_id, unnest({_TOK.format('query')}) as tok from asked) a group by all),
+pt as (select doc_id, kind, ord, split_index, {_TOK.format('text')} as t from corpus), px as (select doc_id, kind, ord, split_index, len(t) as n, unnest(list_distinct(t)) as tok from pt),
+found as (select doc_id, query_id, kind, ord, split_index, sum(times) / greatest(log10(any_value(n) + 1), 1.0) as score from px join aq using (doc_id, tok) group by all),
+best as (select *, row_number() over (partition by doc_id, query_id order by round(score, 9) desc, kind, ord, split_index) as rank from found),
+firsts as (select a.doc_id, a.query_id, f.kind, f.ord, f.split_index, 0e0 as score, row_number() over (partition by a.doc_id, a.query_id order by f.kind, f.ord, f.split_index) as rank from asked a join corpus f using (doc_id) where not exists (select 1 from found x where x.doc_id = a.doc_id and x.query_id = a.query_id)),
+hits as (select * from best where rank <= 6 union all select * from firsts where rank <= 6),
+once as (select *, row_number() over (partition by doc_id, kind, ord order by query_id, rank) as n from hits),
+note as (select doc_id, o, case when o = 3 then '' else concat('Impairment review ', o, repeat('.', cast(o * 7 as int))) end as text from filing, range(1, 11) r(o) where cast(regexp_extract(doc_id, '^d(\\d+)-', 1) as bigint) % 2 = 0),
+src as (select doc_id, 0 as part, 0 as place, 'validation' as source_type, 'Validation summary' as title, concat('{{"issues":[', coalesce((select string_agg(concat('"', issue, '"'), ',' order by issue) from (select distinct issue, doc_id from issues) i where i.doc_id = f.doc_id), ''), ']}}') as text from filing f
+  union all select doc_id, 1, 0, 'statement', 'Statement snapshot', concat('{{', coalesce((select string_agg(concat('"', statement_type, '.', concept, '":', cast(cast(floor(value) as bigint) as varchar)), ',' order by concat('"', statement_type, '.', concept, '":', cast(cast(floor(value) as bigint) as varchar))) from totals t where t.doc_id = f.doc_id), ''), '}}') from filing f
+  union all select doc_id, 2, o, 'note', 'impairment', text from note where o <= 8
+  union all select doc_id, 3, row_number() over (partition by doc_id order by category), 'risk_signal', concat(category, ': ', {filings._TITLES}), concat(severity, ': ', case category when 'cash_vs_profit' then 'Net income is positive while operating cashflow is negative.' when 'working_capital' then 'Accounts receivable growth exceeds revenue growth.' else 'Balance equation or unit consistency checks failed.' end, chr(10), 'Metrics: {{}}') from sig
+  union all select o.doc_id, 4, row_number() over (partition by o.doc_id order by query_id, rank), case o.kind when 1 then 'table' else 'page_text' end, case when o.kind = 0 then 'page_text' when o.ord = 0 then 'Income statement' else 'table' end, c.text from once o join corpus c using (doc_id, kind, ord, split_index) where n = 1
+  union all select doc_id, 5, ord, 'table', case when ord = 0 then 'Income statement' else concat('t-', statement_type) end, text from md),
+line as (select *, row_number() over (partition by doc_id order by part, place) as n, length(text) as size, length(text) // 4 as cost from src where text <> ''),
+pack as (select doc_id, 0::bigint as n, 0::bigint as used, 0::bigint as cut from filing
+  union all select doc_id, n, used + cut // 4, cut from (
+    select doc_id, n, used, case when left_ <= 0 then 0 when cost <= left_ then size when c0 // 4 <= left_ then c0 when c1 // 4 <= left_ then c1 when c2 // 4 <= left_ then c2 else cast(floor(c2 * 0.9::double) as bigint) end as cut
+    from (select *, cast(floor(c1 * 0.9::double) as bigint) as c2 from (select *, cast(floor(c0 * 0.9::double) as bigint) as c1 from (
+      select p.doc_id, l.n, p.used, l.size, l.cost, 300 - p.used as left_, cast(floor(l.size * ((300 - p.used)::double / greatest(l.cost, 1)) * 0.95::double) as bigint) as c0 from pack p join line l on l.doc_id = p.doc_id and l.n = p.n + 1) a) b) c) d)
+select p.doc_id, cast(row_number() over (partition by p.doc_id order by p.n) - 1 as int) as source_ord, source_type, title, substr(text, 1, cut) as text, cast(cut // 4 as int) as tokens from pack p join line l on l.doc_id = p.doc_id and l.n = p.n where cut // 4 > 0"""
+
+
+@query("context_packs", oracle(CONTEXT_PACKS, "v_line_items", "v_statements", "v_filing_pages").replace("with ", "with recursive ", 1))
 def context_packs(spark, d):
-    p = view(spark, d, "v_pages").select("doc_id", F.col("page_number").alias("source_ord"), F.lit("page_text").alias("source_type"), F.lit("page").alias("title"), "text")
-    return retrieval.pack_context(retrieval.capped(p, {"page_text": 6}), budget=400)
+    return context.pack(_filing_sources(spark, d), budget=300)
 
 
 # Evaluation

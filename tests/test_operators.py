@@ -203,12 +203,6 @@ def test_page_sets(spark):
         page_sets.rotate(p, 45)
 
 
-def test_context_pack(spark):
-    s = spark.createDataFrame([("d", i, "t", "x", "abcd" * 40) for i in range(5)], "doc_id string, source_ord int, source_type string, title string, text string")
-    r = retrieval.pack_context(s, budget=100).orderBy("source_ord").collect()
-    assert [x.tokens for x in r][:2] == [40, 40] and sum(x.tokens for x in r) <= 100 and len(r) >= 3
-
-
 def test_token_fallback(spark):
     d = spark.createDataFrame([(1, "alpha beta"), (2, "beta beta gamma"), (3, "")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "beta beta alpha"), (2, "nothing")], "query_id int, query string")

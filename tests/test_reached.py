@@ -92,11 +92,6 @@ def test_contexts(spark):
     chunks = spark.createDataFrame([(i, f"c{i}") for i in range(5)], "chunk_ord int, text string")
     got = {r.query_id: r.context for r in retrieval.fallback_context(q, found, chunks).collect()}
     assert got == {1: "hit", 2: "c0\nc1\nc2"}
-    t = spark.createDataFrame([("a", 3, "| x |"), ("a", 4, "")], "doc_id string, table_ord int, raw_markdown string")
-    assert [(r.doc_id, r.split_index, r.text) for r in retrieval.table_passages(t).collect()] == [("a", 3, "| x |")]
-    src = spark.createDataFrame([("a", i, "note", f"n{i % 10}", "t") for i in range(20)], "doc_id string, source_ord int, source_type string, source_id string, text string")
-    kept = retrieval.capped(retrieval.distinct_sources(src))
-    assert sorted(r.source_ord for r in kept.collect()) == list(range(8))
 
 
 def test_deletions_that_leave_nothing(spark):
