@@ -91,5 +91,6 @@ def chunks(pages: DataFrame) -> DataFrame:
     strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
     s = sections(pages).withColumn("body", strip(F.col("text")))
     c = s.select("doc_id", "grp", "page_start", "page_end", "section", F.posexplode(split_text(F.col("body"))).alias("part", "piece")).withColumn("piece", strip(F.col("piece"))).where("piece <> ''")
-    order = F.col("grp") * 100_000 + F.col("part")
+    # A document's groups and a group's parts may be any number.
+    order = F.col("grp").cast("long") * (1 << 31) + F.col("part")
     return c.select("doc_id", order.alias("chunk_ord"), F.sha1(F.concat_ws("|", F.col("doc_id").cast("string"), order.cast("string"))).alias("chunk_id"), "page_start", "page_end", "section", F.col("piece").alias("text"), text.quote(F.col("piece")).alias("quote"))

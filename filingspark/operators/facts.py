@@ -101,6 +101,34 @@ def corrected_facts(facts: DataFrame, corrections: DataFrame, fields=dims.CORREC
     return joined.select(*out, F.coalesce("n_corrections", F.lit(0)).alias("n_corrections"))
 
 
+def _json(value: Column) -> Column:
+    """A value as JSON text, null included."""
+    return F.coalesce(F.nullif(F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit("")), F.lit("null"))
+
+
+def checked_corrections(corrections: DataFrame, facts: DataFrame, fields=dims.CORRECTABLE) -> DataFrame:
+    """(fact_id, corr_ord, field, new_value, given, own, applied) of the corrections of
+    known facts and fields: ``given`` is the old value a correction came with, if it has
+    one, ``own`` the fact's own, both as JSON; a value of a wrong type is not applied."""
+    own = [_json(F.col(f) if f in facts.columns else F.lit(None).cast("string")).alias(f) for f in fields]
+    one = facts.groupBy("fact_id").agg(F.max_by(F.struct(*own), "fact_ord").alias("f"))
+    given = F.col("old_value") if "old_value" in corrections.columns else F.lit(None).cast("string")
+    c = corrections.select("fact_id", "corr_ord", correction_field(F.col("field_name")).alias("field"), "new_value", given.alias("given")).where(F.col("field").isin(*fields))
+    of_field = lambda pick: F.coalesce(*[F.when(F.col("field") == f, pick(f)) for f in fields])
+    valid = of_field(lambda f: F.coalesce(_typed(f, F.col("new_value"))[1], F.lit(False)))
+    return c.join(one, "fact_id").select("fact_id", "corr_ord", "field", "new_value", "given", of_field(lambda f: F.col(f"f.{f}")).alias("own"), valid.alias("applied"))
+
+
+def correction_history(checked: DataFrame) -> DataFrame:
+    """(fact_id, corr_ord, field, old_value, new_value, applied, place): every correction
+    with the value before it, the one it came with or that of the last one applied to
+    the field, or the fact's own; place 1 is a fact's newest."""
+    before = Window.partitionBy("fact_id", "field").orderBy("corr_ord").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("applied"), F.col("new_value")), ignorenulls=True).over(before)
+    newest = F.row_number().over(Window.partitionBy("fact_id").orderBy(F.desc("corr_ord"), "field"))
+    return checked.select("fact_id", "corr_ord", "field", F.coalesce("given", last, "own").alias("old_value"), "new_value", "applied", newest.alias("place"))
+
+
 def fact_values(facts: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
     """A row per document: the first value of each (statement type, concept)."""
     is_ = lambda k, c: (F.col("statement_type") == k) & (dims.canonical(F.col("concept")) == c) & F.col("value").isNotNull()

@@ -43,21 +43,24 @@ def reorder(pages: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def delete(pages: DataFrame, requests: DataFrame) -> DataFrame:
-    """Pages without the requested ones; documents that would lose every page stay
-    out, as ``invalid_requests`` reports of a deletion."""
-    left = pages.join(requests.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_anti")
+    """Pages without the requested ones; documents that would lose every page, or of
+    which a page out of range is asked, stay out, as ``invalid_requests`` reports."""
+    kept = pages.join(invalid_requests(pages, requests, deletion=True), "doc_id", "left_anti")
+    left = kept.join(requests.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_anti")
     return _renumber(left, "page_number")
 
 
 def rotate(pages: DataFrame, degrees: int, requests: DataFrame | None = None) -> DataFrame:
-    """Adds ``degrees`` to the rotation of the requested pages, or of all."""
+    """Adds ``degrees`` to the rotation of the requested pages, or of all; documents of
+    which a page out of range is asked stay out."""
     if degrees not in DEGREES:
         raise ValueError(f"degrees must be one of {DEGREES}")
     turned = F.pmod(F.col("rotation") + degrees, F.lit(360)).cast("int")
     if requests is None:
         return pages.withColumn("rotation", turned)
     asked = requests.select("doc_id", "page_number").distinct().withColumn("_r", F.lit(True))
-    return pages.join(asked, ["doc_id", "page_number"], "left").withColumn("rotation", F.when(F.col("_r"), turned).otherwise(F.col("rotation"))).drop("_r")
+    kept = pages.join(invalid_requests(pages, requests), "doc_id", "left_anti")
+    return kept.join(asked, ["doc_id", "page_number"], "left").withColumn("rotation", F.when(F.col("_r"), turned).otherwise(F.col("rotation"))).drop("_r")
 
 
 def merge(pages: DataFrame, parts: DataFrame) -> DataFrame:

@@ -486,7 +486,10 @@ def page_revisions(spark, d):
 
 
 def _task_events(spark, d) -> DataFrame:
-    e = _read(spark, d, "events")
+    return _task_events_of(_read(spark, d, "events"))
+
+
+def _task_events_of(e: DataFrame) -> DataFrame:
     nodes = list(listing.PROGRESS)
     node = F.get(F.array(*map(F.lit, nodes)), (F.col("event_id") % len(nodes)).cast("int"))
     shown = F.when(F.col("event_type") != "click", node)
@@ -555,6 +558,21 @@ def stream_run_metrics(spark, d):
     return out.select("label", F.to_date("start").alias("day"), "n", "total")
 
 
+@query("stream_task_status", f"with {TASKS} select * from tasks")
+def stream_task_status(spark, d):
+    """Task status as keyed state: every document's row after its last event."""
+    return jobs.finished(jobs.status_stream(_task_events_of(_stream(spark, d))), "update")
+
+
+_BOUNDS = ", ".join(f"{b!r}::double" if b != float("inf") else "'inf'::double" for b in listing.RUN_BUCKETS)
+
+
+@query("stream_duration_histogram", f"with b as (select unnest([{_BOUNDS}]) as le) select event_type as label, cast(date_trunc('day', ts) as date) as day, le, count(*) filter (value <= le) as n from events, b group by all")
+def stream_duration_histogram(spark, d):
+    out = jobs.finished(jobs.duration_stream(_run_log(_stream(spark, d)), listing.RUN_BUCKETS), "complete")
+    return out.select("label", F.to_date("start").alias("day"), "le", "n")
+
+
 def _admissions(df: DataFrame) -> DataFrame:
     return df.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
 

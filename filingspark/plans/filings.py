@@ -9,7 +9,8 @@ from filingspark import dims
 from filingspark.functions import dates, numbers, text
 from filingspark.operators import event_study as es
 from filingspark.operators import export, facts, signals, statements, validate
-from filingspark.plans.views import accounts_sql, line_items, oracle, totals_sql, view
+from filingspark.plans.views import VIEWS, accounts_sql, line_items, oracle, totals_sql, view
+from filingspark.streaming import jobs
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -113,7 +114,10 @@ def facts_query(spark: SparkSession, d: str) -> DataFrame:
 
 def _corrections(spark: SparkSession, d: str) -> DataFrame:
     """Corrections by users: each concerns the facts of a supplier of that number."""
-    c = view(spark, d, "v_corrections")
+    return _corrections_of(spark, d, view(spark, d, "v_corrections"))
+
+
+def _corrections_of(spark: SparkSession, d: str, c: DataFrame) -> DataFrame:
     f = _facts(spark, d).where("fact_ord in (2, 8)").select("fact_id", F.regexp_extract("doc_id", r"^d(\d+)-", 1).cast("long").alias("user_id"))
     raw = F.when(F.col("field_name") == "value", F.when(F.col("corr_ord") % 5 == 0, "\"oops\"").otherwise(F.col("corr_ord").cast("string"))).when(F.col("field_name") == "label", F.concat(F.lit('"L'), F.col("corr_ord").cast("string"), F.lit('"'))).otherwise("null")
     return f.join(c, "user_id").select("fact_id", "corr_ord", "field_name", raw.alias("new_value"))
@@ -134,6 +138,36 @@ def correction_counts(spark: SparkSession, d: str) -> DataFrame:
     return _corrections(spark, d).groupBy("fact_id").agg(F.count("*").alias("n"), F.max("corr_ord").alias("latest"))
 
 
+HISTORY = f"""{CORRECTED}, known as (select * from corr where field_name in ('value', 'label', 'evidence')),
+valid as (select *, (field_name = 'value' and corr_ord % 5 <> 0) or field_name = 'label' as applied from known),
+history as (select v.fact_id, corr_ord, field_name as field, applied, max(corr_ord) filter (applied) over (partition by v.fact_id, field_name order by corr_ord rows between unbounded preceding and 1 preceding) as before,
+  row_number() over (partition by v.fact_id order by corr_ord desc) as place, f.value, f.label from valid v join facts f using (fact_id))
+select fact_id, corr_ord, case field when 'evidence' then 'source_refs' else field end as field, applied, {{place}} case field when 'value' then round(coalesce(cast(before as double), value), 4) end as old_number,
+  case field when 'label' then coalesce('L' || cast(before as varchar), label) end as old_text from history"""
+
+
+def _shown(history: DataFrame, *more: str) -> DataFrame:
+    plain = F.regexp_replace("old_value", r'^"|"$', "")
+    number = F.when(F.col("field") == "value", F.round(F.nullif(plain, F.lit("null")).cast("double"), 4))
+    return history.select("fact_id", "corr_ord", "field", "applied", *more, number.alias("old_number"), F.when(F.col("field") == "label", plain).alias("old_text"))
+
+
+@query("correction_history", oracle(HISTORY.format(place="cast(place as int) as place,"), "v_line_items", "v_statements", "v_corrections"))
+def correction_history(spark: SparkSession, d: str) -> DataFrame:
+    """Every correction of the log with the value before it, a fact's newest first."""
+    checked = facts.checked_corrections(_corrections(spark, d), _facts(spark, d))
+    return _shown(facts.correction_history(checked), "place")
+
+
+@query("stream_corrections", oracle(HISTORY.format(place=""), "v_line_items", "v_statements", "v_corrections"))
+def stream_corrections(spark: SparkSession, d: str) -> DataFrame:
+    """The same history, as a stream of the log's rows makes it."""
+    events = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    log = spark.sql(VIEWS["v_corrections"], events=events)
+    checked = facts.checked_corrections(_corrections_of(spark, d, log), _facts(spark, d))
+    return _shown(jobs.finished(jobs.correction_stream(checked), "append"))
+
+
 _FIND = """find_ as (select doc_id, {cols} from (select doc_id, statement_type, concept, value, -1 as o from totals union all select doc_id, statement_type, name_norm, value_current, item_ord from items where value_current is not null) b group by doc_id)"""
 _COLS = ", ".join(f"arg_min(value, o) filter (statement_type = '{k}' and concept = '{c}') as {n}" for n, (k, c) in validate._TOTALS.items())
 _NAME = "lower(concat(name_raw, ' ', name_norm))"

@@ -65,14 +65,82 @@ def finished(stream: DataFrame, mode: str) -> DataFrame:
     beside the session's checkpoints."""
     spark = stream.sparkSession
     folder = sinks.scratch(spark, "stream")
-    if mode == "complete":
+    if mode == "update":
+        # Of the rows of a key the last batch's counts.
+        out = stream.writeStream.outputMode("update").foreachBatch(lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/batch_no={n}"))
+    elif mode == "complete":
         out = stream.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{folder}/out"))
     else:
         out = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{folder}/out")
     out.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if mode == "update":
+        key = stream.columns[0]
+        rows = spark.read.schema(f"{stream._jdf.schema().toDDL()}, batch long").parquet(f"{folder}/out/*")
+        return rows.groupBy(key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("r")).select("r.*")
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def status_stream(events: DataFrame) -> DataFrame:
+    """(doc_id, status, progress, current_node, error_message) of the documents that a
+    batch of task events (doc_id, ts, event_ord, status, progress, current_node,
+    error_message) concerns, in update mode. A document's state is its merged row with
+    the time of each field, so a batch costs what it holds."""
+    fields = ("status", "progress", "current_node", "error_message")
+
+    def merge(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = list(state.get) if state.exists else [None, None] * len(fields)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_ord"], kind="stable")
+        for n, field in enumerate(fields):
+            said = rows[rows[field].notna()]
+            if len(said):
+                last = said.iloc[-1]
+                at = f"{pd.Timestamp(last['ts']).value:020d}:{int(last['event_ord']):020d}"
+                if held[2 * n + 1] is None or held[2 * n + 1] <= at:
+                    held[2 * n : 2 * n + 2] = [str(int(last[field])) if field == "progress" else last[field], at]
+        state.update(tuple(held))
+        status, progress, node, error = held[::2]
+        yield pd.DataFrame({"doc_id": [key[0]], "status": [status or "queued"], "progress": [int(progress or 0)], "current_node": [node], "error_message": [error]})
+
+    kind = events.schema["doc_id"].dataType.simpleString()
+    state = ", ".join(f"{f} string, {f}_at string" for f in fields)
+    out = f"doc_id {kind}, status string, progress int, current_node string, error_message string"
+    return events.groupBy("doc_id").applyInPandasWithState(merge, out, state, "update", "NoTimeout")
+
+
+def correction_stream(checked: DataFrame) -> DataFrame:
+    """(fact_id, corr_ord, field, old_value, new_value, applied) of a stream of checked
+    corrections, in append mode: the history as it grows. A fact's state is its fields'
+    last applied values, so a batch costs what it holds. A correction that comes after a
+    later one of its field is listed, and not applied."""
+
+    def follow(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        names, values, ords = (list(x) for x in state.get) if state.exists else ([], [], [])
+        held = dict(zip(names, zip(values, ords, strict=True), strict=True))
+        out = []
+        for r in pd.concat(list(batches)).sort_values("corr_ord", kind="stable").itertuples():
+            value, at = held.get(r.field, (None, None))
+            applied = bool(r.applied) and (at is None or at < r.corr_ord)
+            old = r.given if isinstance(r.given, str) else value if value is not None else r.own
+            out.append((key[0], r.corr_ord, r.field, old, r.new_value, applied))
+            if applied:
+                held[r.field] = (r.new_value, r.corr_ord)
+        state.update((list(held), [v for v, _ in held.values()], [int(n) for _, n in held.values()]))
+        yield pd.DataFrame(out, columns=["fact_id", "corr_ord", "field", "old_value", "new_value", "applied"])
+
+    schema = "fact_id string, corr_ord long, field string, old_value string, new_value string, applied boolean"
+    return checked.groupBy("fact_id").applyInPandasWithState(follow, schema, "fields array<string>, vals array<string>, ords array<long>", "append", "NoTimeout")
+
+
+def duration_stream(log: DataFrame, bounds: list[float], delay: str = "10 minutes", window: str = "1 day") -> DataFrame:
+    """(start, label, le, n): per window and label how many values are at most each
+    bound, of a run log (ts, label, value); counts of a batch and of the state add up."""
+    w = log.withWatermark("ts", delay) if log.isStreaming else log
+    counts = [F.count_if(F.col("value") <= b).alias(f"n{k}") for k, b in enumerate(bounds)]
+    agg = w.groupBy(F.window("ts", window).alias("w"), "label").agg(*counts)
+    rows = F.array(*[F.struct(F.lit(float(b)).alias("le"), F.col(f"n{k}").alias("n")) for k, b in enumerate(bounds)])
+    return agg.select(F.col("w.start").alias("start"), "label", F.explode(rows).alias("r")).select("start", "label", "r.le", "r.n")
+
+
 def follow_status(events: DataFrame, read, upsert, checkpoint: str):
     """Starts the stream that keeps task status: the documents of a batch are
     merged with what ``read()`` knows of them and handed to ``upsert(df)``; others
