@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, small_side, without
+from .common import durable, small_side, unused, without
 
 DOCS_PER_LANG = 400
 SAMPLE_CHARS = 4000
@@ -76,7 +76,9 @@ def train(docs: DataFrame, *, docs_per_lang: int = DOCS_PER_LANG, sample_chars:
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", *, chunk_bytes: int = CHUNK_BYTES, level: int = LEVEL, min_margin: float = MIN_MARGIN) -> DataFrame:
     """``docs`` without the text, with lang_pred, score and accepted."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Only texts go through Python: other columns stay as they are.
+    @F.pandas_udf("lang_pred string, score double, accepted boolean")
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import zstandard as zstd
 
         packers = []
@@ -96,13 +98,10 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "te
             return sizes[0][1], min(1.0, max(0.0, 1 - sizes[0][0] / second))
 
         for batch in batches:
-            found = [best(t) for t in batch[text_col]]
-            out = batch.drop(columns=[text_col])
-            out["lang_pred"] = [x[0] for x in found]
-            out["score"] = [x[1] for x in found]
-            out["accepted"] = [x[0] != UNKNOWN and x[1] >= min_margin for x in found]
-            yield out
+            found = [best(t) for t in batch]
+            yield pd.DataFrame({"lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "accepted": [x[0] != UNKNOWN and x[1] >= min_margin for x in found]})
 
     docs = without(docs, *({"lang_pred", "score", "accepted"} - {text_col}))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
-    return docs.mapInPandas(run, f"{kept}, lang_pred string, score double, accepted boolean")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    found = unused(docs, "judged")
+    return docs.select(*kept, judged(F.col(text_col)).alias(found)).select(*kept, f"{found}.*")

@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import unused, without
 
 MIN_COVERAGE = 0.8
 MIN_DENSITY = 0.6
@@ -343,17 +343,17 @@ def find_licenses(docs: DataFrame, text_col: str = "text", *, templates: dict[st
     keys = "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in heads.items())
     keyed = F.coalesce(F.col(text_col), F.lit("")).rlike(rf"(?i)(?<![a-z0-9])(?:{keys})")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [scan(t, ready, min_coverage, min_density) if t else [] for t in batch[text_col]]
-            best = [max(f, key=lambda x: x[1], default=None) for f in found]
-            out = batch.drop(columns=[text_col])
-            out["n_licenses"] = [len(f) for f in found]
-            out["license"] = [b and b[0] for b in best]
-            out["coverage"] = [b[1] if b else 0.0 for b in best]
-            out["license_spans"] = [",".join(f"{n}:{s}:{e}" for n, _, s, e in f) for f in found]
-            yield out
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
-    offered = docs.withColumn(text_col, F.when(keyed, F.col(text_col)))
-    return offered.mapInPandas(run, f"{kept}, n_licenses long, license string, coverage double, license_spans string")
+    # Only texts go through Python: other columns stay as they are.
+    @F.pandas_udf("n_licenses long, license string, coverage double, license_spans string")
+    def scanned(texts: pd.Series) -> pd.DataFrame:
+        found = [scan(t, ready, min_coverage, min_density) if t else [] for t in texts]
+        best = [max(f, key=lambda x: x[1], default=None) for f in found]
+        return pd.DataFrame({
+            "n_licenses": [len(f) for f in found], "license": pd.Series([b and b[0] for b in best], dtype=object), "coverage": [b[1] if b else 0.0 for b in best],
+            "license_spans": [",".join(f"{n}:{s}:{e}" for n, _, s, e in f) for f in found],
+        })
+
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    found = unused(docs, "scanned")
+    offered = F.when(keyed, F.col(text_col))
+    return docs.select(*kept, scanned(offered).alias(found)).select(*kept, f"{found}.*")

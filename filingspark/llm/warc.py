@@ -201,12 +201,17 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     # does not read the archives twice.
     indexed = durable(files.mapInPandas(index, CAPTURES))
     key = ["urlkey", "ts", "page_id"]
-    return indexed.repartitionByRange(*key).sortWithinPartitions("run", *key, "offset").mapInPandas(merge, CAPTURES)
+    ranged = indexed.repartitionByRange(*key).sortWithinPartitions("run", *key, "offset")
+    # Numbers that may be null go into pandas as text, where they keep all digits.
+    return ranged.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")}).mapInPandas(merge, CAPTURES)
 
 
 def _rows(pieces: list[pd.DataFrame]) -> Iterator[tuple]:
     for piece in pieces:
-        yield from piece.astype(object).where(piece.notna(), None).itertuples(index=False, name=None)
+        whole = piece.astype(object).where(piece.notna(), None)
+        for c in ("page_id", "refers_to"):
+            whole[c] = pd.Series([None if x is None else int(x) for x in whole[c]], index=whole.index, dtype=object)
+        yield from whole.itertuples(index=False, name=None)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
