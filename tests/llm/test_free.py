@@ -348,3 +348,17 @@ def test_predictions_against_recomputed_sizes(spark):
         want = (sizes[0][1], 1 - sizes[0][0] / sizes[1][0]) if data else ("und", 0.0)
         assert (got[i].lang_pred, got[i].score) == (want[0], pytest.approx(want[1])) and got[i].other == 9, i
     assert langid.predict(df.limit(0), model).count() == 0
+
+
+def test_large_ids_beside_nulls(spark):
+    big = 2**60 + 1
+    rows = [(big, "the report of the year and the market", "c"), (None, None, None), (None, "und der Bericht des Jahres", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, scanned string").withColumn("d", F.lit("1.50").cast("decimal(9,2)")).withColumn("m", F.create_map(F.lit("k"), "doc_id"))
+    known = langid.train(spark.createDataFrame([("the market and the year", "en"), ("der Bericht und das Jahr", "de")], "text string, lang string"))
+    for out in (langid.predict(df.withColumn("judged", F.lit(1)), known), licenses.find_licenses(df)):
+        got = {r.doc_id for r in out.collect()}
+        assert got == {big, None} and out.count() == 3 and "scanned" in out.columns
+        assert {str(r.d) for r in out.collect()} == {"1.50"} and {r.m["k"] for r in out.collect()} == {big, None}
+    pages = spark.createDataFrame([(big, "http://a.b/x", "one"), (big + 1, "http://a.b/y", "one"), (None, "http://a.b/z", None)], "page_id long, url string, html string")
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.archive(pages).collect()}
+    assert (big, "response", None) in got and (big + 1, "revisit", big) in got and None in {p for p, _, _ in got}
