@@ -127,3 +127,16 @@ def dedupe_evidence(items: DataFrame, keep: int = 6) -> DataFrame:
     key = ["doc_id", "ref.ref_type", "ref.page", "ref.table_id", "ref.quote"]
     first = e.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("item_ord", "ref_ord"))).where("_n = 1")
     return first.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("item_ord", "ref_ord"))).where(F.col("_n") <= keep).drop("_n")
+
+
+def top(signals: DataFrame, n: int = 5) -> DataFrame:
+    """A document's ``n`` severest signals, in their own order (sig_ord) where equal."""
+    order = Window.partitionBy("doc_id").orderBy(F.coalesce(rank(F.col("severity")), F.lit(0)).desc(), "sig_ord")
+    return signals.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+def severity_summary(signals: DataFrame) -> DataFrame:
+    """(doc_id, high, medium, low, other): a document's signals by severity."""
+    kinds = ("high", "medium", "low")
+    counts = [F.count_if(F.col("severity") == k).alias(k) for k in kinds]
+    return signals.groupBy("doc_id").agg(*counts, F.count_if(~F.coalesce(F.col("severity").isin(*kinds), F.lit(False))).alias("other"))

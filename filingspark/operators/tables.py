@@ -88,6 +88,43 @@ def matching(cells: DataFrame, needle: str) -> DataFrame:
     return cells.where(F.contains(F.lower("text"), F.lit(needle.lower()))).select("doc_id", "table_ord").distinct()
 
 
+def found(tables: DataFrame, needle: str, cells: DataFrame | None = None) -> DataFrame:
+    """Tables (table_id, title, page, raw_markdown) that hold a text in any of these or in
+    their cells (doc_id, table_ord, row, col, text), whatever the case; all of them for a
+    blank one."""
+    wanted = needle.strip().lower()
+    if not wanted:
+        return tables
+    parts = ["table_id", F.coalesce("title", F.lit("")), F.col("page").cast("string"), F.coalesce("raw_markdown", F.lit(""))]
+    if cells is not None:
+        texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), " ")
+        tables = tables.join(cells.groupBy("doc_id", "table_ord").agg(texts.alias("_cells")), ["doc_id", "table_ord"], "left")
+        parts.append(F.coalesce("_cells", F.lit("")))
+    return tables.where(F.contains(F.lower(F.concat_ws(" ", *parts)), F.lit(wanted))).drop("_cells")
+
+
+def span_grid(cells: DataFrame) -> DataFrame:
+    """(doc_id, table_ord, row, col, text, rowspan, colspan, covered): a row for every
+    place of a table, as wide as its spans reach. Cells (cell_ord, row, col, text,
+    rowspan, colspan) are laid down in order: a later one replaces what is at its own
+    place and covers the rest of its span."""
+    key = ["doc_id", "table_ord"]
+    span = lambda c: F.greatest(F.coalesce(F.nullif(c, F.lit(0)), F.lit(1)), F.lit(1)).alias(c)
+    c = cells.select(*key, "cell_ord", "row", "col", "text", span("rowspan"), span("colspan"))
+    rows = lambda first, n: F.explode(F.sequence(first, first + n - 1))
+    own = F.struct("cell_ord", "text", "rowspan", "colspan")
+    laid = c.withColumn("at_row", rows(F.col("row"), F.col("rowspan"))).withColumn("at_col", rows(F.col("col"), F.col("colspan")))
+    here = (F.col("at_row") == F.col("row")) & (F.col("at_col") == F.col("col"))
+    laid = laid.select(*key, F.col("at_row").alias("row"), F.col("at_col").alias("col"), F.when(here, own).alias("own"), F.when(~here, F.col("cell_ord")).alias("over"))
+    size = c.groupBy(*key).agg(F.max(F.col("row") + F.col("rowspan")).alias("n_rows"), F.max(F.col("col") + F.col("colspan")).alias("n_cols"))
+    free = size.withColumn("row", rows(F.lit(0), F.col("n_rows"))).withColumn("col", rows(F.lit(0), F.col("n_cols")))
+    free = free.select(*key, "row", "col", F.lit(None).cast(laid.schema["own"].dataType).alias("own"), F.lit(None).cast(laid.schema["over"].dataType).alias("over"))
+    place = laid.unionByName(free).groupBy(*key, "row", "col").agg(F.max_by("own", "own.cell_ord").alias("own"), F.max("over").alias("over"))
+    covered = F.coalesce(F.col("over") > F.col("own.cell_ord"), F.col("over").isNotNull())
+    one = F.lit(1)
+    return place.select(*key, "row", "col", F.coalesce("own.text", F.lit("")).alias("text"), F.coalesce("own.rowspan", one).alias("rowspan"), F.coalesce("own.colspan", one).alias("colspan"), covered.alias("covered"))
+
+
 def best_engine(tables: DataFrame) -> DataFrame:
     """Tables of each document's best engine, by number and then confidence of
     its tables, the earlier engine on ties; inaccurate candidates are dropped."""

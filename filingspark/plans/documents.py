@@ -132,6 +132,18 @@ def spanned_cells(spark, d):
     return tables.spanned(c).groupBy("doc_id").agg(F.count("*").alias("n_places"), F.count_if("covered").alias("n_covered"))
 
 
+SPANS = """c as (select doc_id, table_ord, row, col, text, 1 + row % 2 as rs, 1 + col % 2 as cs, row * 3 + col as o from v_cells),
+size as (select doc_id, table_ord, max(row + rs) as nr, max(col + cs) as nc from c group by all), place as (select doc_id, table_ord, r.i as row, k.i as col from size, range(0, 64) r(i), range(0, 8) k(i) where r.i < nr and k.i < nc),
+own as (select doc_id, table_ord, row, col, max(o) as o, arg_max(text, o) as text, arg_max(rs, o) as rs, arg_max(cs, o) as cs from c group by all),
+over_ as (select p.doc_id, p.table_ord, p.row, p.col, max(c.o) as o from place p join c on c.doc_id = p.doc_id and c.table_ord = p.table_ord and p.row >= c.row and p.row < c.row + c.rs and p.col >= c.col and p.col < c.col + c.cs and (p.row, p.col) <> (c.row, c.col) group by all)"""
+
+
+@query("span_grid", oracle(f"with {SPANS} select p.doc_id, p.table_ord, cast(p.row as int) as row, cast(p.col as int) as col, coalesce(w.text, '') as text, cast(coalesce(w.rs, 1) as int) as rowspan, cast(coalesce(w.cs, 1) as int) as colspan, coalesce(v.o > w.o, v.o is not null) as covered from place p left join own w using (doc_id, table_ord, row, col) left join over_ v using (doc_id, table_ord, row, col)", "v_cells"))
+def span_grid(spark, d):
+    c = view(spark, d, "v_cells").withColumns({"rowspan": F.col("row") % 2 + 1, "colspan": F.col("col") % 2 + 1, "cell_ord": F.col("row") * 3 + F.col("col")})
+    return tables.span_grid(c)
+
+
 def _filing_tables(spark, d) -> tuple[DataFrame, DataFrame]:
     """Orders as the tables of filings of four: every order is a page's table."""
     key = F.col("doc_id").cast("long")

@@ -10,6 +10,7 @@ from filingspark.functions import dates, numbers, text
 from filingspark.operators import event_study as es
 from filingspark.operators import export, facts, signals, statements, validate
 from filingspark.plans.views import VIEWS, accounts_sql, line_items, oracle, totals_sql, view
+from filingspark.sources import readers, sinks
 from filingspark.streaming import jobs
 
 QUERIES: dict = {}
@@ -310,6 +311,37 @@ def top_signals(spark: SparkSession, d: str) -> DataFrame:
     return s.where("place <= 2")
 
 
+def _graded(spark: SparkSession, d: str) -> DataFrame:
+    """Signals in the order of their categories, some of a severity of their own."""
+    from pyspark.sql import Window
+
+    odd = F.regexp_extract("doc_id", r"^d(\d+)-", 1).cast("long") % 2 == 1
+    s = _signals(spark, d).withColumn("severity", F.when(odd & (F.col("category") == "working_capital"), "notable").otherwise(F.col("severity")))
+    return s.withColumn("sig_ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("category")))
+
+
+GRADED = f"""{SIGNALS}, graded as (select doc_id, category, case when category = 'working_capital' and cast(regexp_extract(doc_id, '^d(\\d+)-', 1) as bigint) % 2 = 1 then 'notable' else severity end as severity from sig)"""
+
+
+@query("severity_summary", oracle(f"{GRADED} select doc_id, count(*) filter (severity = 'high') as high, count(*) filter (severity = 'medium') as medium, count(*) filter (severity = 'low') as low, count(*) filter (severity not in ('high', 'medium', 'low')) as other from graded group by doc_id", "v_line_items"))
+def severity_summary(spark: SparkSession, d: str) -> DataFrame:
+    return signals.severity_summary(_graded(spark, d))
+
+
+@query("top_five_signals", oracle(f"{GRADED} select doc_id, category, severity, cast(row_number() over (partition by doc_id order by case severity when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end desc, category) as int) as place from graded qualify place <= 5", "v_line_items"))
+def top_five_signals(spark: SparkSession, d: str) -> DataFrame:
+    return signals.top(_graded(spark, d)).select("doc_id", "category", "severity", "place")
+
+
+@query("event_prices", oracle("select e.ticker, e.event_date, p.trade_date, cast(p.close as double) as close from v_events e join v_prices p on p.ticker = e.ticker and p.trade_date between e.event_date - 15 and e.event_date + 15", "v_events", "v_prices"))
+def event_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Prices around events, from a price table in folders by ticker and year."""
+    folder = sinks.scratch(spark, "prices")
+    sinks.write_prices(view(spark, d, "v_prices"), folder)
+    near = readers.prices_near(spark.read.parquet(folder), view(spark, d, "v_events"), 15)
+    return near.select("ticker", "event_date", "trade_date", F.col("close").cast("double").alias("close"))
+
+
 @query("merged_signals", oracle(f"""{SIGNAL_ROWS} select substr(doc_id, 1, strpos(doc_id, '-') - 1) as doc_id, category, title, max(case severity when 'high' then 3 when 'medium' then 2 else 1 end) as severity_rank, min(doc_id) as signal_id, any_value(description) as description,
   arg_max(first_metric, doc_id) as first_metric, count(distinct evidence) as n_quotes from rows_ group by 1, 2, 3""", "v_line_items"))
 def merged_signals(spark: SparkSession, d: str) -> DataFrame:

@@ -93,6 +93,15 @@ def prices(table: DataFrame, ticker: str, start, end) -> DataFrame:
     return table.where((F.col("ticker") == ticker) & F.col("trade_date").between(start, end)).orderBy("trade_date")
 
 
+def prices_near(table: DataFrame, events: DataFrame, days: int) -> DataFrame:
+    """(ticker, event_date, and a price row's columns): the prices within ``days`` of the
+    events (ticker, event_date), of a table in folders by ticker and year; the events'
+    tickers and years prune the scan while it runs."""
+    first, last = F.date_sub("event_date", days), F.date_add("event_date", days)
+    asked = events.select("ticker", "event_date", F.explode(F.sequence(F.year(first), F.year(last))).alias("year")).where("year > 0")
+    return table.join(asked, ["ticker", "year"]).where(F.col("trade_date").between(first, last)).drop("year")
+
+
 def read_artifact(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     """An artifact table; it knows its buckets."""
     table = spark.read.parquet(f"{folder}/{kind}")

@@ -67,6 +67,12 @@ def replace_buckets(df: DataFrame, folder: str, kind: str) -> None:
     out.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{folder}/{kind}")
 
 
+def write_prices(prices: DataFrame, folder: str) -> None:
+    """A price table (ticker, trade_date, ...) in folders by ticker and year."""
+    out = prices.withColumn("year", F.year("trade_date"))
+    out.hint("rebalance", "ticker", "year").write.mode("overwrite").partitionBy("ticker", "year").parquet(folder)
+
+
 def write_lines(df: DataFrame, column: str, folder: str) -> None:
     df.select(F.col(column).alias("value")).write.mode("overwrite").text(folder)
 
