@@ -36,14 +36,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the shared checkpoint folder and read again,
-    by column; it goes when the session ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of the shared checkpoint folder that goes when the session ends."""
     folder = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
     discard(spark, folder, on_exit=True)
-    return spark.read.parquet(folder)
+    return folder
+
+
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """``df`` written as Parquet into the shared checkpoint folder and read again, by
+    column."""
+    folder = folder or scratch(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
 
 
 def discard(spark: SparkSession, folder: str, on_exit: bool = False) -> None:

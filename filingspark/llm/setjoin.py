@@ -16,12 +16,12 @@ a bitmap hides (size less bits). The trees of two parts of a key are walked
 together, level by level: two nodes have at most the bits that both bitmaps have
 and what they hide in common, and part where that is less than the sizes ask for,
 or where the sizes are too far apart. Leaves that are left are compared shingle by
-shingle. What a task has linked already needs no further link, so a large group of
-copies gives a forest.
+shingle.
 
-In a first round keys of more than ``BLOCK`` sets meet in blocks, with one set of the
-key in all of them; in a second round only keys that still hold several components
-meet, all their blocks with each other. So no link between components is lost.
+In the first two rounds keys of more than ``BLOCK`` sets meet in blocks, with one set
+of the key in all of them, and give a forest of the most similar pairs; in the last
+round only keys that still hold several components meet, all their blocks with each
+other, and give all pairs between them. So no link between components is lost.
 
 Defined cases: texts are lower-cased A to Z, words are what spaces, tabs, LF, VT, FF
 and CR part; fewer words than a shingle are one shingle; null and blank texts have
@@ -37,14 +37,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import durable, written
-from .jaccard import shingles
-from .simhash import components
+from .common import discard, durable, scratch, small_side, written
+from .shingles import hashes, shingles
+from .simhash import bits_of, components, row_key
 
 SHINGLE = 4
 #: Least similarity in hundredths.
@@ -60,6 +60,8 @@ WAVE = 1 << 13
 WAVE_WORDS = 1 << 21
 #: Shingles of the sets of a key that meet at once.
 BLOCK_SHINGLES = 1 << 23
+#: Similarity beyond the least at which bitmaps make a link all but sure.
+SURE = 0.05
 #: Sets compared with one other in a task's group.
 PARTNERS = 256
 
@@ -71,8 +73,8 @@ def set_id(found: np.ndarray) -> int:
 
 
 def bitmap(found: np.ndarray) -> np.ndarray:
-    """Bits of a set's hashes: the least power of two that is twice its size."""
-    bits = max(64, 1 << (2 * len(found) - 1).bit_length())
+    """Bits of a set's hashes: the least power of two that is four times its size."""
+    bits = max(64, 1 << (4 * len(found) - 1).bit_length())
     out = np.zeros(bits, "u1")
     out[(found & np.uint64(bits - 1)).astype("i8")] = 1
     return np.packbits(out, bitorder="little").view("<u8")
@@ -106,21 +108,23 @@ def prefix(found: np.ndarray, classes: np.ndarray, share: int) -> np.ndarray:
 
 
 def _read(docs: DataFrame, text_col: str, id_col: str, shingle: int, share: int) -> DataFrame:
-    """(id, row, s, n, bits, prefix): the set of every row of ``docs``."""
+    """(id, key, row, s, n, fp, bits, prefix): the set of every row of ``docs``, and the
+    fingerprint of its shingles."""
     classes = docs.sparkSession.sparkContext.broadcast(rarity(docs, text_col, shingle))
-    fields = "s long, n long, bits binary, prefix array<long>"
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    schema = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string(fields).fields])
+    fields = "s long, n long, fp long, bits binary, prefix array<long>"
+    rows = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    schema = T.StructType([*rows.schema.fields[:3], *T._parse_datatype_string(fields).fields])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         target = to_arrow_schema(schema)
         for batch in batches:
-            found = [shingles(t, shingle) for t in batch.column(2).to_pylist()]
-            of = [set_id(f) for f in found], [len(f) for f in found], [bitmap(f).tobytes() if len(f) else b"" for f in found]
+            every = [hashes(t, shingle) for t in batch.column(3).to_pylist()]
+            found = [np.unique(h) for h in every]
+            of = [set_id(f) for f in found], [len(f) for f in found], [bits_of(h) for h in every], [bitmap(f).tobytes() if len(f) else b"" for f in found]
             first = [prefix(f, classes.value, share) if len(f) else np.zeros(0, "i8") for f in found]
-            columns = [batch.column(0), batch.column(1), pa.array(of[0], pa.int64()), pa.array(of[1], pa.int64()), pa.array(of[2], pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+            columns = [*batch.columns[:3], *[pa.array(x, pa.int64()) for x in of[:3]], pa.array(of[3], pa.binary()), pa.array(first, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
     return rows.mapInArrow(run, schema)
@@ -169,11 +173,11 @@ def _able(x: tuple, y: tuple, i: np.ndarray, j: np.ndarray, share: int) -> np.nd
     return able
 
 
-def pairs(x: Tree, y: Tree, label: np.ndarray, other: np.ndarray, share: int, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pairs(x: Tree, y: Tree, label: np.ndarray, other: np.ndarray, share: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Leaves (i of x, j of y) of different labels that their bitmaps allow to be
-    alike. With ``forest`` only one pair of two labels, which then are one, for all
-    that is walked later; ``label`` and ``other`` change, and may be one array."""
-    wave = min(WAVE, max(1, WAVE_WORDS // x.levels[0][0].shape[1]))
+    alike, and the similarity that the bitmaps suggest."""
+    words = x.levels[0][0].shape[1]
+    wave = min(WAVE, max(1, WAVE_WORDS // words))
     same, top = x is y, min(len(x.levels), len(y.levels)) - 1
     i, j = (a.ravel() for a in np.meshgrid(np.arange(len(x.levels[top][0])), np.arange(len(y.levels[top][0])), indexing="ij"))
     if same:
@@ -181,6 +185,9 @@ def pairs(x: Tree, y: Tree, label: np.ndarray, other: np.ndarray, share: int, fo
     stack = [(top, i[k : k + wave], j[k : k + wave]) for k in range(0, len(i), wave)]
     while stack:
         level, i, j = stack.pop()
+        if not level:
+            keep = label[i] != other[j]
+            i, j = i[keep], j[keep]
         keep = _able(x.levels[level], y.levels[level], i, j, share)
         i, j = i[keep], j[keep]
         if level:
@@ -191,32 +198,37 @@ def pairs(x: Tree, y: Tree, label: np.ndarray, other: np.ndarray, share: int, fo
             if same:
                 keep &= i <= j
             i, j = i[keep], j[keep]
-            if not level - 1:
-                keep = label[i] != other[j]
-                i, j = i[keep], j[keep]
-            # What links near the diagonal, of like sizes, comes first and spares the rest.
-            far = np.argsort(np.abs(i - j), kind="stable")[::-1] if same else np.arange(len(i))
-            i, j = i[far], j[far]
             stack += [(level - 1, i[k : k + wave], j[k : k + wave]) for k in range(0, len(i), wave)]
-            continue
-        while len(i):
-            keep = label[i] != other[j]
-            i, j = i[keep], j[keep]
-            if not forest:
-                yield i, j
-                break
-            _, first = np.unique(np.stack([np.minimum(label[i], other[j]), np.maximum(label[i], other[j])]), axis=1, return_index=True)
-            a, b = i[first], j[first]
-            names = Forest()
-            chosen = []
-            for k, (u, v) in enumerate(zip(label[a].tolist(), other[b].tolist(), strict=True)):
-                if names.root(u) != names.root(v):
-                    names.link(u, v)
-                    chosen.append(k)
-            yield a[chosen], b[chosen]
-            label[:] = names.roots(label)
-            if other is not label:
-                other[:] = names.roots(other)
+        elif len(i):
+            (bits_x, n_x, _, _), (bits_y, n_y, _, _) = x.levels[0], y.levels[0]
+            yield i, j, suggested(np.bitwise_count(bits_x[i] | bits_y[j]).sum(axis=1, dtype="i8"), n_x[i] + n_y[j], 64 * words)
+
+
+def suggested(union: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
+    """The likely similarity of sets whose joint bitmap of ``bits`` has so many bits."""
+    size = -bits * np.log1p(-np.minimum(union, bits - 0.5) / bits)
+    return sizes / np.maximum(size, 1.0) - 1
+
+
+def spanning(a: np.ndarray, b: np.ndarray, score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the candidates (a, b) that make a forest of the labels, the most
+    similar ones, and the labels of what they join. As links of a similarity hold
+    together along the most similar pairs, what is alike is mostly in the forest."""
+    order = np.argsort(-score, kind="stable")
+    chosen = []
+    while len(order):
+        of_a, of_b = label[a[order]], label[b[order]]
+        keep = of_a != of_b
+        order, of_a, of_b = order[keep], of_a[keep], of_b[keep]
+        # The best candidate of every label.
+        _, first = np.unique(np.stack([of_a, of_b], axis=1).ravel(), return_index=True)
+        names = Forest()
+        for k in np.unique(first // 2).tolist():
+            if names.root(int(of_a[k])) != names.root(int(of_b[k])):
+                names.link(int(of_a[k]), int(of_b[k]))
+                chosen.append(order[k])
+        label = names.roots(label)
+    return np.array(chosen, "i8"), label
 
 
 def _folded(bits: np.ndarray) -> np.ndarray:
@@ -224,85 +236,106 @@ def _folded(bits: np.ndarray) -> np.ndarray:
     return bits[:, :half] | bits[:, half:]
 
 
-class _Cell:
-    """What meets in a cell: sets by the length of their bitmaps, which differ by
-    one step at most where sizes can be alike."""
-
-    def __init__(self, s: np.ndarray, n: np.ndarray, raw: list[bytes], roots: np.ndarray, share: int):
-        order = np.lexsort((s, n))
-        self.s, self.n, self.label, self.share = s[order], n[order], roots[order], share
-        lengths = np.array([len(raw[k]) for k in order])
-        cuts = [0, *(np.flatnonzero(np.diff(lengths)) + 1).tolist(), len(lengths)]
-        self.parts = [(lo, hi, np.frombuffer(b"".join(raw[k] for k in order[lo:hi]), "<u8").reshape(hi - lo, -1)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
-
-    def found(self, forest: bool) -> Iterator[np.ndarray]:
-        for k, (lo, hi, bits) in enumerate(self.parts):
-            tree = Tree(bits, self.n[lo:hi])
-            yield from self._walk(tree, tree, lo, hi, lo, hi, forest)
-            if k + 1 < len(self.parts) and self.parts[k + 1][2].shape[1] == 2 * bits.shape[1]:
-                to, end, longer = self.parts[k + 1]
-                yield from self._walk(tree, Tree(_folded(longer), self.n[to:end]), lo, hi, to, end, forest)
-
-    def _walk(self, x: Tree, y: Tree, lo: int, hi: int, to: int, end: int, forest: bool) -> Iterator[np.ndarray]:
-        # A link may join labels of the whole cell, so labels are those of the cell.
-        whole = self.label
-        label, other = whole[lo:hi].copy(), whole[to:end].copy()
-        if x is y:
-            other = label
-        names = Forest()
-        for i, j in pairs(x, y, label, other, self.share, forest):
-            if len(i):
-                a, b = self.s[lo + i], self.s[to + j]
-                if forest:
-                    for u, v in zip(whole[lo + i].tolist(), whole[to + j].tolist(), strict=True):
-                        names.link(u, v)
-                yield np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
-        if forest:
-            self.label = names.roots(whole)
+def _of_few(n: list[int], raw: list[bytes], label: list[int], share: int) -> list[tuple[int, int, float]]:
+    """Candidates (i, j, similarity) of sets so few that they are leaves of one node."""
+    bits = [(int.from_bytes(r, "little"), 8 * len(r)) for r in raw]
+    out = []
+    for j in range(len(n)):
+        for i in range(j):
+            if label[i] == label[j] or share * n[i] > 100 * n[j] or share * n[j] > 100 * n[i]:
+                continue
+            (x, size), (y, other) = bits[i], bits[j]
+            if size > other:
+                x, size = (x >> other | x) & ((1 << other) - 1), other
+            elif other > size:
+                y = (y >> size | y) & ((1 << size) - 1)
+            ones, joint = (x.bit_count(), y.bit_count()), (x | y).bit_count()
+            both = min(ones[0] + ones[1] - joint + min(n[i] - ones[0], n[j] - ones[1]), n[i], n[j])
+            if (100 + share) * both >= share * (n[i] + n[j]):
+                out.append((i, j, float(suggested(joint, n[i] + n[j], size))))
+    return out
+
+
+def candidates(n: np.ndarray, raw: list[bytes], label: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, similarity) of the sets of a cell. Trees are of bitmaps of one length;
+    lengths differ by one step at most where sizes can be alike."""
+    if len(n) <= FAN:
+        found = _of_few(n.tolist(), raw, label.tolist(), share)
+        return tuple(np.array([f[k] for f in found], "f8" if k == 2 else "i8") for k in range(3))
+    order = np.argsort(n, kind="stable")
+    lengths = np.array([len(raw[k]) for k in order])
+    cuts = [0, *(np.flatnonzero(np.diff(lengths)) + 1).tolist(), len(lengths)]
+    parts = [(order[lo:hi], np.frombuffer(b"".join(raw[k] for k in order[lo:hi]), "<u8").reshape(hi - lo, -1)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    out = []
+    for k, (at, bits) in enumerate(parts):
+        tree = Tree(bits, n[at])
+        out += [(at[i], at[j], s) for i, j, s in pairs(tree, tree, label[at], label[at], share)]
+        if k + 1 < len(parts) and parts[k + 1][1].shape[1] == 2 * bits.shape[1]:
+            to, longer = parts[k + 1]
+            out += [(at[i], to[j], s) for i, j, s in pairs(tree, Tree(_folded(longer), n[to]), label[at], label[to], share)]
+    empty = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else empty
 
 
 def _compared(cells: DataFrame, share: int, forest: bool) -> DataFrame:
-    """(a, b): pairs of sets of different roots that meet in a cell (h, lo, hi, s, root,
-    n, bits) and may be alike; with ``forest`` those that a task needs to join them."""
+    """(a, b, h): pairs of sets of different roots that meet in a cell (h, lo, hi, s, root,
+    n, bits) and may be alike. With ``forest`` the most similar ones that join what may
+    be alike, and the keys h, alone, in which further pairs may be."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        seen, held, found = Forest(), None, []
+        seen, held, found, more = Forest(), None, [], set()
+
+        def of_cell(h: int, s: np.ndarray, root: np.ndarray, n: np.ndarray, raw: list[bytes]) -> None:
+            label = seen.roots(root) if forest else root
+            if forest and (label != root).any():
+                more.add(h)
+            if (label == label[0]).all():
+                return
+            i, j, score = candidates(n, raw, label, share)
+            if forest and len(i):
+                chosen, _ = spanning(i, j, score, label)
+                if len(chosen) < len(i):
+                    more.add(h)
+                i, j, score = i[chosen], j[chosen], score[chosen]
+                # What is all but sure needs no second link in this task.
+                for k in np.flatnonzero(score >= share / 100 + SURE).tolist():
+                    seen.link(int(label[i[k]]), int(label[j[k]]))
+            if len(i):
+                found.append(np.stack([np.minimum(s[i], s[j]), np.maximum(s[i], s[j])], axis=1))
 
-        def of_cell(cell) -> None:
-            s, root, n = (cell.column(k).to_numpy() for k in ("s", "root", "n"))
-            roots = seen.roots(root) if forest else root
-            if (roots != roots[0]).any():
-                for got in _Cell(s, n, cell.column("bits").to_pylist(), roots, share).found(forest):
-                    found.append(got)
-                    if forest:
-                        names = dict(zip(s.tolist(), roots.tolist(), strict=True))
-                        for a, b in got.tolist():
-                            seen.link(names[a], names[b])
+        def of_cells(held, stops: list[int]) -> None:
+            h, s, root, n = (held.column(k).to_numpy() for k in ("h", "s", "root", "n"))
+            raw = held.column("bits").to_pylist()
+            for lo, hi in zip([0, *stops[:-1]], stops, strict=True):
+                if hi - lo > 1:
+                    of_cell(int(h[lo]), s[lo:hi], root[lo:hi], n[lo:hi], raw[lo:hi])
 
         def done() -> Iterator:
             if found:
                 out = np.unique(np.concatenate(found), axis=0)
                 found.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.nulls(len(out), pa.int64())], ["a", "b", "h"])
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(more), pa.int64())] * 2 + [pa.array(list(more), pa.int64())], ["a", "b", "h"])
+                more.clear()
 
         for batch in batches:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             key = np.stack([held.column(k).to_numpy() for k in ("h", "lo", "hi")], axis=1)
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            for lo, hi in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
-                if hi - lo > 1:
-                    of_cell(held.slice(lo, hi - lo))
-            held = held.slice(cuts[-1]) if len(cuts) else held
+            if len(cuts):
+                of_cells(held.slice(0, cuts[-1]), cuts.tolist())
+                held = held.slice(cuts[-1])
             yield from done()
         if held is not None and held.num_rows > 1:
-            of_cell(held)
+            of_cells(held, [held.num_rows])
         yield from done()
 
     key = ["h", "lo", "hi"]
     dealt = cells.repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, h long").distinct()
 
 
 def _alike(found: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, shingle: int, share: int) -> DataFrame:
@@ -314,7 +347,9 @@ def _alike(found: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, sh
     members = blocks.select("a", "block", F.col("b").alias("s")).union(blocks.select("a", "block", F.col("a").alias("s")).distinct())
     members = durable(members.join(sets.select("s", "row"), "s"))
     keyed = docs.select(F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
-    texts = keyed.join(members.select("row").distinct(), "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
+    # While they are few, the texts wanted go to the documents, not all documents to them.
+    wanted = small_side(durable(members.select("row").distinct()), 1_000_000)
+    texts = keyed.join(wanted, "row", "left_semi").groupBy("row").agg(F.first("text").alias("text"))
 
     def close(group: pd.DataFrame) -> pd.DataFrame:
         a = int(group["a"].iloc[0])
@@ -336,21 +371,34 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots, F.col("s") == F.col("node"), "left").withColumn("root", F.coalesce("root", "s")).drop("node")
 
 
-def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, shingle: int = SHINGLE, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
-    """(id, row, s, n, bits, prefix) of every row, written; (node, root) of the sets
-    that have a link."""
-    rows = written(_read(docs, text_col, id_col, shingle, share), "sets")
+def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, shingle: int = SHINGLE, share: int = SHARE, seeds=None) -> tuple[DataFrame, DataFrame]:
+    """(id, key, s, n) of every row, written; (node, root) of the sets that have a link.
+    ``seeds`` gives first candidates (a, b) of sets (s, fp)."""
+    spark = docs.sparkSession
+    folder = scratch(spark, "rows")
+    read = written(_read(docs, text_col, id_col, shingle, share), "rows", folder)
     # Copies meet in their tasks first.
-    of_set = [F.min("row").alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")]
-    sets = written(rows.where("n > 0").groupBy("s").agg(*of_set), "sets")
+    # Repeats of shingles differ between texts of one set: the least fingerprint counts.
+    of_set = [F.min("row").alias("row"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")]
+    sets = written(read.where("n > 0").groupBy("s").agg(*of_set), "sets")
+    rows = written(read.select("id", "key", "s", "n"), "sizes")
+    discard(spark, folder)
     keys = sets.select("s", "n", F.explode("prefix").alias("h"))
-    # Keys of the same sets are one: two hashes over a key's sets tell them.
-    of_key = keys.groupBy("h").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("s")).alias("x"), F.bit_xor(F.xxhash64("s", F.lit(1))).alias("y")).where("m > 1")
-    chosen = durable(of_key.groupBy("m", "x", "y").agg(F.min("h").alias("h"), F.max("size").alias("size")))
+    # Keys of the same sets are one: their number, joint size and a hash over them tell.
+    of_key = keys.groupBy("h").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("s")).alias("x")).where("m > 1")
+    chosen = durable(of_key.groupBy("m", "x", "size").agg(F.min("h").alias("h")))
+    # A set meets others only where a size next to its own can be alike.
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("long").alias("blocks")
-    members = durable(keys.join(chosen.select("h", blocks), "h").select("h", "blocks", "s"))
+    met = keys.join(chosen.select("h", blocks), "h")
+    by_size = Window.partitionBy("h").orderBy("n")
+    apart = lambda x, y: F.coalesce(share * y > 100 * x, F.lit(True))
+    few = met.where("blocks = 1").withColumn("lone", apart(F.lag("n").over(by_size), F.col("n")) & apart(F.col("n"), F.lead("n").over(by_size))).where("not lone")
+    members = durable(few.select("h", "blocks", "s").unionByName(met.where("blocks > 1").select("h", "blocks", "s")))
     found = roots = None
-    for forest in (True, False):
+    if seeds:
+        found = _alike(seeds(sets.select("s", "fp")), sets, docs, text_col, shingle, share)
+        roots = components(found)
+    for forest in (True, True, False):
         rooted = _rooted(members, roots)
         if roots is not None:
             several = rooted.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("t")).where("r <> t").select("h")
@@ -365,9 +413,14 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, s
             other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
             cells = other.select("h", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "s", "root")
         met = cells.join(sets.select("s", "n", "bits"), "s").select("h", "lo", "hi", "s", "root", "n", "bits")
-        new = _alike(_compared(met, share, forest), sets, docs, text_col, shingle, share)
+        compared = durable(_compared(met, share, forest))
+        new = _alike(compared.where("h is null").select("a", "b"), sets, docs, text_col, shingle, share)
         found = new if found is None else durable(found.select("a", "b").union(new))
         roots = components(found)
+        if forest:
+            # Keys of which no pair is left to compare are done.
+            rest = members.where("blocks = 1").join(compared.where("h is not null").select("h").distinct(), "h", "left_semi")
+            members = durable(rest.unionByName(members.where("blocks > 1")))
     return rows, roots
 
 

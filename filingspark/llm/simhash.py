@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, unused
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -251,9 +251,13 @@ def row_key(doc_id: Column, text: Column) -> Column:
 def first_rows(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     """One row of ``docs`` for each root of ``rooted`` (root, keep: struct<none,
     doc_id, key>), that of the smallest keep."""
-    kept = rooted.groupBy("root").agg(F.min("keep").alias("keep")).select(F.col("keep.key").alias("_key"))
-    keyed = docs.withColumn("_key", row_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    key = unused(docs, "_key")
+    kept = rooted.groupBy("root").agg(F.min("keep").alias("keep")).select(F.col("keep.key").alias(key))
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
+    # Rows of one id and text may differ elsewhere: the least hash of the row stays.
+    whole = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+    rows = keyed.join(kept, key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), whole).alias("row"))
+    return rows.select("row.*")
 
 
 def hex_fingerprint(fp: Column) -> Column:

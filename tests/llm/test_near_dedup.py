@@ -52,12 +52,13 @@ def test_rows_without_ids(spark):
     assert corpus_pipeline.near_dedup(spark, df.limit(0), "").count() == 0
 
 
-def test_alike_sets_share_a_part_key():
+def test_alike_sets_share_a_prefix():
     import numpy as np
 
-    from filingspark.llm.jaccard import part_keys
+    from filingspark.llm.setjoin import prefix
 
     rng, tried = np.random.default_rng(3), 0
+    classes = rng.integers(0, 9, 1 << 18).astype("u1")
     for n in [*range(4, 40), 64, 150, 400, 1_500]:
         for _ in range(20):
             pool = rng.integers(0, 2**63, size=3 * n).astype("u8")
@@ -67,12 +68,23 @@ def test_alike_sets_share_a_part_key():
                 continue
             a, b = pool[:n], np.concatenate([pool[lost:n], pool[n : n + more]])
             tried += 1
-            assert len(np.intersect1d(part_keys(np.unique(a)), part_keys(np.unique(b)))), (n, lost, more)
+            assert len(np.intersect1d(prefix(np.unique(a), classes, 80), prefix(np.unique(b), classes, 80))), (n, lost, more)
     assert tried > 300
 
 
+def test_clashing_columns_and_repeats(spark):
+    text = "one two three four five six"
+    rows = [(1, text, "en", "b", {"k": 1}), (1, text, "en", "a", {"k": 2}), (2, text + " seven", "de", "c", None), (3, "other words of this text here", "fr", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _key string, m map<string,int>")
+    for part in (df, df.repartition(3), df.orderBy("_key")):
+        kept = {r.doc_id: r for r in corpus_pipeline.near_dedup(spark, part, "").collect()}
+        assert set(kept) == {1, 2, 3} and kept[1]._key == corpus_pipeline.near_dedup(spark, df, "").where("doc_id = 1").first()._key
+        assert kept[3].asDict() == df.where("doc_id = 3").first().asDict()
+
+
 def test_hot_keys_and_blocks_change_nothing(spark, monkeypatch):
     from filingspark.llm import jaccard as near
+    from filingspark.llm import setjoin
 
     rng = random.Random(9)
     base = [f"v{i}" for i in range(120)]
@@ -84,7 +96,7 @@ def test_hot_keys_and_blocks_change_nothing(spark, monkeypatch):
         texts.append(" ".join(w))
     texts.append(" ".join(base))
     df = spark.createDataFrame([(f"{i:04d}", t) for i, t in enumerate(texts)], "doc_id string, text string")
-    for name, value in (("HOT", 2), ("SALTS", 3), ("CELL", 3), ("BLOCK", 2)):
-        monkeypatch.setattr(near, name, value)
+    for name, value in (("BLOCK", 3), ("PARTNERS", 2)):
+        monkeypatch.setattr(setjoin, name, value)
     kept = sorted(int(r.doc_id) for r in near.deduplicate(df).collect())
     assert kept == sorted(set(groups(texts)))

@@ -104,16 +104,19 @@ def test_trees_lose_no_pair():
         sets.append(np.unique(found).tolist())
     arrays = [np.array(s, "u8") for s in sets]
     ids, n = np.arange(len(sets)), np.array([len(s) for s in sets])
-    cell = lambda: setjoin._Cell(ids, n, [setjoin.bitmap(a).tobytes() for a in arrays], ids.copy(), 85)
+    raw = [setjoin.bitmap(a).tobytes() for a in arrays]
     alike = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(set(sets[i]) & set(sets[j])) >= 85 * len(set(sets[i]) | set(sets[j]))}
-    every = [tuple(p) for got in cell().found(False) for p in got.tolist()]
-    assert alike <= set(every) and len(every) == len(set(every)) < 3000
-    few = [tuple(p) for got in cell().found(True) for p in got.tolist()]
+    i, j, score = setjoin.candidates(n, raw, ids, 85)
+    every = {(min(p), max(p)) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    assert alike <= every and len(every) == len(i) < 3000
+    few = {(x, y) for k in range(0, len(sets), 8) for x, y, _ in setjoin._of_few(n[k : k + 8].tolist(), raw[k : k + 8], ids[k : k + 8].tolist(), 85)}
+    assert few == {(x % 8, y % 8) for x, y in every if x // 8 == y // 8}
+    chosen, label = setjoin.spanning(i, j, score, ids)
     forest = setjoin.Forest()
-    for a, b in few:
-        assert forest.root(a) != forest.root(b)
-        forest.link(a, b)
-    assert all(forest.root(a) == forest.root(b) for a, b in alike)
+    for k in chosen.tolist():
+        assert forest.root(int(i[k])) != forest.root(int(j[k]))
+        forest.link(int(i[k]), int(j[k]))
+    assert all(forest.root(a) == forest.root(b) and label[a] == label[b] for a, b in every)
 
 
 def test_empty_and_blank(spark):
