@@ -35,18 +35,21 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, durable, scratch, small_side, written
+from .shingles import _mixed
 
 LEAST = 100
 LONGEST = 5
 TOP = 2_000
 #: Words, with marks between pieces, of a pack.
-PACK = 4_000_000
+PACK = 500_000
 SALTS = 64
+#: Frequent phrases of a length that are sent to every task.
+FEW = 300_000
 _MARK = b"\xff"  # no byte of UTF-8
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _MARK * 10)
-#: A pack: its words or phrases, how often each occurs, and their places in order, -1
-#: between pieces.
+#: A pack: its words or its frequent phrases, how often each occurs (words only), and
+#: where they begin, in order, -1 for nothing.
 _STATE = "pack long, lang string, known array<string>, n array<long>, places binary"
 
 
@@ -119,41 +122,135 @@ def _packs(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return texts.mapInArrow(run, _STATE)
 
 
-def _frequent(packs: DataFrame, least: int) -> DataFrame:
-    """(lang, phrase, f) of what the packs hold at least ``least`` times."""
-    entries = packs.select("lang", F.explode(F.arrays_zip("known", "n")).alias("e"))
-    return entries.groupBy("lang", F.col("e.known").alias("phrase")).agg(F.sum("e.n").alias("f")).where(F.col("f") >= least)
+def _pairs(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs of what follows each other, their counts, where, number of each): a phrase
+    one word longer is one of these, with the word that the second adds to the first."""
+    first, then = places[:-1], places[1:]
+    both = (first >= 0) & (then >= 0)
+    pairs, number, n = np.unique(first[both].astype("i8") << 32 | then[both], return_inverse=True, return_counts=True)
+    return pairs, n, both, number
 
 
-def _longer(packs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The packs of phrases one word longer: those of two frequent ones that follow
-    each other, one place apart. A phrase is known by its words; its first word's
-    place is its own."""
-    asked = packs.select("pack", "lang", F.posexplode("known").alias("k", "phrase"))
-    told = asked.join(frequent.select("lang", "phrase"), ["lang", "phrase"], "left_semi").select(F.col("pack").alias("asked"), "k")
+def _spelled(known: list[str], pairs: np.ndarray) -> list[str]:
+    ends = [k.rpartition(" ")[2] for k in known]
+    return [f"{known[p >> 32]} {ends[p & 0xFFFFFFFF]}" for p in pairs.tolist()]
+
+
+def _marks(lang: str, known: list[str], pairs: np.ndarray) -> np.ndarray:
+    """A number of 48 bits for each phrase, the same in every pack: it tells which
+    phrases need not be spelled, so that two of one number do no harm."""
+    from xxhash import xxh64_intdigest
+
+    whole = np.fromiter((xxh64_intdigest(k) for k in known), "u8", len(known))
+    last = np.fromiter((xxh64_intdigest(k.rpartition(" ")[2], len(lang) + sum(lang.encode())) for k in known), "u8", len(known))
+    return (_mixed(whole[pairs >> 32] * np.uint64(0x9E3779B97F4A7C15) + last[pairs & 0xFFFFFFFF]) >> np.uint64(16)).astype("i8")
+
+
+def _stripes(packs: DataFrame, words: int, least: int) -> DataFrame:
+    """(pack, lang, k, phrase, n): what the packs hold of phrases of so many words that
+    may be frequent."""
+    if words == 1:
+        entries = packs.select("pack", "lang", F.posexplode(F.arrays_zip("known", "n")).alias("k", "e"))
+        return entries.select("pack", "lang", "k", F.col("e.known").alias("phrase"), F.col("e.n").alias("n"))
+    state = packs.select("pack", "lang", "known", "places")
+
+    def marked(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for lang, known, places in zip(*(batch.column(c) for c in ("lang", "known", "places")), strict=True):
+                pairs, n, _, _ = _pairs(_thawed(places.as_py()))
+                marks = _marks(lang.as_py(), known.as_py(), pairs)
+                for lo in range(0, len(pairs), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(marks[lo : lo + 50_000]), pa.array(n[lo : lo + 50_000])], ["mark", "n"])
+
+    # Most phrases are rare and drop by a number of theirs, before any is spelled; where too
+    # many numbers are frequent for a broadcast, all phrases are.
+    frequent = durable(state.mapInArrow(marked, "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("mark"))
+    few = frequent.limit(FEW + 1).count() <= FEW
+    sent = packs.sparkSession.sparkContext.broadcast(np.sort(frequent.toPandas()["mark"].to_numpy("i8")) if few else None)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for pack, lang, known, places in zip(*(batch.column(c) for c in ("pack", "lang", "known", "places")), strict=True):
+                pairs, n, _, _ = _pairs(_thawed(places.as_py()))
+                names, often = known.as_py(), sent.value
+                at = np.arange(len(pairs)) if often is None else np.flatnonzero(np.isin(_marks(lang.as_py(), names, pairs), often))
+                for lo in range(0, len(at), 50_000):
+                    k = at[lo : lo + 50_000]
+                    columns = [pa.array(np.full(len(k), pack.as_py())), pa.array([lang.as_py()] * len(k)), pa.array(k.astype("i4")), pa.array(_spelled(names, pairs[k])), pa.array(n[k])]
+                    yield pa.RecordBatch.from_arrays(columns, ["pack", "lang", "k", "phrase", "n"])
+
+    return state.mapInArrow(run, "pack long, lang string, k int, phrase string, n long")
+
+
+def _shortened(pack: int, lang: str, known, places: bytes, words: int, keep):
+    """A pack with those phrases of so many words that ``keep`` picks from their spelling
+    or, if it is an array, by number; None if none is left."""
+    places = _thawed(places)
+    if words == 1:
+        total, at, spell = len(known), places, lambda k: known.take(k).to_pylist()
+    else:
+        pairs, _, both, number = _pairs(places)
+        total, at = len(pairs), np.full(len(both), -1, "i4")
+        at[both] = number
+        names = known.to_pylist()
+        spell = lambda k: _spelled(names, pairs[k])
+    if callable(keep):
+        every = spell(np.arange(total))
+        keep = np.flatnonzero(np.fromiter(map(keep, every), bool, total))
+        spelled = [every[k] for k in keep.tolist()]
+    else:
+        keep = np.sort(keep)
+        spelled = spell(keep)
+    if not len(keep):
+        return None
+    moved = np.full(total + 1, -1, "i4")  # the last place is that of -1
+    moved[keep] = np.arange(len(keep))
+    out = moved[at]
+    # Of a run without a phrase one place is enough.
+    out = out[np.append(True, (out[1:] >= 0) | (out[:-1] >= 0))] if len(out) else out
+    return _row(pack, lang, spelled, np.zeros(0, "i8"), out)
+
+
+_NAMES = ["pack", "lang", "known", "n", "places"]
+
+
+def _kept_few(packs: DataFrame, frequent: DataFrame, words: int) -> DataFrame:
+    """The packs with the frequent phrases (lang, phrase), which are few, in place of the
+    shorter ones, and the places where they begin."""
+    often: dict[str, set] = {}
+    for lang, phrase in zip(*(frequent.select("lang", "phrase").toPandas()[c] for c in ("lang", "phrase")), strict=True):
+        often.setdefault(lang, set()).add(phrase)
+    sent = packs.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for pack, lang, known, places in zip(*(batch.column(c) for c in ("pack", "lang", "known", "places")), strict=True):
+                row = _shortened(pack.as_py(), lang.as_py(), known.values, places.as_py(), words, sent.value.get(lang.as_py(), set()).__contains__)
+                if row:
+                    yield pa.RecordBatch.from_arrays(row, _NAMES)
+
+    return packs.mapInArrow(run, _STATE)
+
+
+def _kept(packs: DataFrame, told: DataFrame, words: int) -> DataFrame:
+    """The same, where packs are told which of their phrases (asked, k) are frequent."""
 
     def run(mine, known):
         import pyarrow as pa
 
-        names = ["pack", "lang", "known", "n", "places"]
-        if not mine.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary())], names)
-        phrases = mine.column("known")[0].as_py()
-        keep = np.zeros(len(phrases) + 1, bool)  # the last place is that of -1
-        keep[known.column("k").to_numpy()] = True
-        places = _thawed(mine.column("places")[0].as_py())
-        first, then = places[:-1], places[1:]
-        both = keep[first] & keep[then]
-        pairs, number, n = np.unique(first[both].astype("i8") << 32 | then[both], return_inverse=True, return_counts=True)
-        # What a longer phrase adds to its prefix is the last word of the one behind it.
-        longer = [f"{phrases[p >> 32]} {phrases[p & 0xFFFFFFFF].rpartition(' ')[2]}" for p in pairs.tolist()]
-        out = np.full(len(first), -1, "i4")
-        out[both] = number
-        # Of a run without a phrase one place is enough.
-        out = out[np.append(True, (out[1:] >= 0) | (out[:-1] >= 0))] if len(out) else out
-        return pa.table(_row(mine.column("pack")[0].as_py(), mine.column("lang")[0].as_py(), longer, n, out), names)
-
-    return packs.groupBy("pack").cogroup(told.groupBy("asked")).applyInArrow(run, _STATE).where(F.size("known") > 0)
+        row = None
+        if mine.num_rows and known.num_rows:
+            values = [mine.column(c)[0] for c in ("pack", "lang", "known", "places")]
+            row = _shortened(values[0].as_py(), values[1].as_py(), values[2].values, values[3].as_py(), words, known.column("k").to_numpy())
+        return pa.table(row or [pa.array([], t) for t in (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary())], _NAMES)
+
+    return packs.groupBy("pack").cogroup(told.groupBy("asked")).applyInArrow(run, _STATE)
 
 
 def _first(phrase: Column, k: Column) -> Column:
@@ -169,12 +266,25 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
     ``longest`` words that occur ``least`` times or more; a is a phrase's count, n the
     lang's words, l and r the counts of its two parts at the cut of the lowest score
     floor(1000 * a * n / (l * r)). Phrases within a longer one of the same count go."""
-    packs = written(_packs(docs, text_col, lang_col), "phrases")
+    spark, folder = docs.sparkSession, scratch(docs.sparkSession, "packs")
+    packs = written(_packs(docs, text_col, lang_col), "packs", folder)
     totals = packs.select("lang", F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-    levels = [written(_frequent(packs, least), "phrases").withColumn("words", F.lit(1))]
-    for words in range(2, longest + 1):
-        packs = written(_longer(packs, levels[-1].drop("words")), "phrases")
-        levels.append(written(_frequent(packs, least), "phrases").withColumn("words", F.lit(words)))
+    totals = durable(totals)
+    levels = []
+    for words in range(1, longest + 1):
+        entries = _stripes(packs, words, least)
+        merged = entries.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        levels.append(durable(merged).withColumn("words", F.lit(words)))
+        if words < longest:
+            # Frequent entries go to every task while they are few, else packs and entries meet by phrase.
+            if levels[-1].limit(FEW + 1).count() <= FEW:
+                left = _kept_few(packs, levels[-1], words)
+            else:
+                told = entries.join(levels[-1].select("lang", "phrase"), ["lang", "phrase"], "left_semi").select(F.col("pack").alias("asked"), "k")
+                left = _kept(packs, told, words)
+            before, folder = folder, scratch(spark, "packs")
+            packs = written(left, "packs", folder)
+            discard(spark, before)
     known = reduce(DataFrame.unionByName, levels)
     candidates = known.where("words > 1")
     # The greatest entry of a stripe and of its mirror: the prefix's and the suffix's longest count.
@@ -189,7 +299,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
     asked = cuts.select("lang", "phrase", "a", "cut", F.posexplode(F.array(head, tail)).alias("side", "part"))
     told = asked.join(known.select("lang", F.col("phrase").alias("part"), "f"), ["lang", "part"])
     sides = told.groupBy("lang", "phrase", "a", "cut").agg(F.max(F.when(F.col("side") == 0, F.col("f"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("f"))).alias("r"))
-    sides = sides.join(F.broadcast(totals) if _few(totals) else totals, "lang")
+    sides = sides.join(small_side(totals, 100_000), "lang")
     over = F.lit(1000).cast("decimal(4,0)") * _integer(F.col("a")) * _integer(F.col("n"))
     scored = sides.withColumn("score", F.call_function("div", over, _integer(F.col("l")) * _integer(F.col("r"))))
     lowest = scored.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "cut", "l", "r")).alias("b")).select("lang", "phrase", "a", "n", "b.score", "b.l", "b.r")
@@ -199,8 +309,3 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
     near = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
-
-
-def _few(totals: DataFrame) -> bool:
-    """Whether langs are few enough to be sent everywhere."""
-    return totals.limit(100_001).count() <= 100_000
