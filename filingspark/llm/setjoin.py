@@ -7,7 +7,8 @@ Which sets meet: shingles have one order everywhere, rare ones first. Two sets o
 and m shingles that are alike have one in common among the first n - ceil(share * n)
 + 1 and m - ceil(share * m) + 1 of that order. Rarity is a count of all documents in
 ``BUCKETS`` hashed counters, so passages of many documents come last; it decides
-where sets meet, never whether. Keys that the same sets share are one.
+where sets meet, never whether. A set leaves a key at whose place in the order it has
+too few shingles left for any partner there. Keys that the same sets share are one.
 
 How they meet: a key's sets are the leaves of a signature tree. A leaf has a bitmap
 of its shingles' hashes, as long as its size asks for; a node the bitmaps of its
@@ -51,6 +52,8 @@ SHINGLE = 4
 SHARE = 85
 #: Counters of rarity: what the driver holds, whatever the corpus.
 BUCKETS = 1 << 18
+#: Sets of a batch that make a key a frequent one.
+OFTEN = 16
 #: Sets of a key that meet at once.
 BLOCK = 2_048
 #: Children of a node.
@@ -130,6 +133,41 @@ def _read(docs: DataFrame, text_col: str, id_col: str, shingle: int, share: int)
     return rows.mapInArrow(run, schema)
 
 
+def _frequent(sets: DataFrame) -> DataFrame:
+    """(h): keys that ``OFTEN`` sets of some batch share. Sets lie by their hashes, so
+    any other key is one of a small share of all sets."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            h, times = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h[times >= OFTEN], pa.int64())], ["h"])
+
+    return sets.select("prefix").mapInArrow(run, "h long").distinct()
+
+
+def _meeting(sets: DataFrame, share: int) -> DataFrame:
+    """(h, s, n): the keys of each set at which another one can be alike. Shingles in
+    common come at or behind the first key in common, so of a set of n with that key
+    at place p no more than n - p are; a set whose size asks for more has no part in
+    it. Frequent keys keep all their sets, so that none is one task's."""
+    keys = sets.select("s", "n", F.posexplode("prefix").alias("p", "h"))
+    # The greatest size of a partner.
+    keys = keys.select("h", "s", "n", F.expr(f"({100 + share} * (n - p)) div {share} - n").alias("reach"))
+    often = small_side(durable(_frequent(sets)), 1_000_000)
+    by_size = Window.partitionBy("h").orderBy("n")
+    every = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rare = keys.join(often, "h", "left_anti").select(
+        "*", F.count("*").over(every).alias("m"), F.min("n").over(every).alias("low"), F.max("reach").over(every).alias("top"), (F.sum("n").over(every) - F.col("n")).alias("other"),
+        (F.sum("reach").over(every) - F.col("reach")).alias("its_reach"), F.lag("n").over(by_size).alias("before"), F.lead("n").over(by_size).alias("behind"),
+    )
+    of_two = "other <= reach and n <= its_reach"
+    near = f"coalesce({share} * n <= 100 * before, false) or coalesce({share} * behind <= 100 * n, false)"
+    rare = rare.where(f"m > 1 and if(m = 2, {of_two}, low <= reach and n <= top and ({near}))")
+    return rare.select("h", "s", "n").union(keys.join(often, "h", "left_semi").select("h", "s", "n"))
+
+
 class Tree:
     """Nodes of sets with bitmaps of one length: ``levels`` from the leaves up, each
     of (bits, least size, greatest size, most hidden)."""
@@ -383,17 +421,12 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, s
     sets = written(read.where("n > 0").groupBy("s").agg(*of_set), "sets")
     rows = written(read.select("id", "key", "s", "n"), "sizes")
     discard(spark, folder)
-    keys = sets.select("s", "n", F.explode("prefix").alias("h"))
+    kept = durable(_meeting(sets, share))
     # Keys of the same sets are one: their number, joint size and a hash over them tell.
-    of_key = keys.groupBy("h").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("s")).alias("x")).where("m > 1")
+    of_key = kept.groupBy("h").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("s")).alias("x")).where("m > 1")
     chosen = durable(of_key.groupBy("m", "x", "size").agg(F.min("h").alias("h")))
-    # A set meets others only where a size next to its own can be alike.
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("long").alias("blocks")
-    met = keys.join(chosen.select("h", blocks), "h")
-    by_size = Window.partitionBy("h").orderBy("n")
-    apart = lambda x, y: F.coalesce(share * y > 100 * x, F.lit(True))
-    few = met.where("blocks = 1").withColumn("lone", apart(F.lag("n").over(by_size), F.col("n")) & apart(F.col("n"), F.lead("n").over(by_size))).where("not lone")
-    members = durable(few.select("h", "blocks", "s").unionByName(met.where("blocks > 1").select("h", "blocks", "s")))
+    members = durable(kept.join(chosen.select("h", blocks), "h").select("h", "blocks", "s"))
     found = roots = None
     if seeds:
         found = _alike(seeds(sets.select("s", "fp")), sets, docs, text_col, shingle, share)
