@@ -76,8 +76,8 @@ def set_id(found: np.ndarray) -> int:
 
 
 def bitmap(found: np.ndarray) -> np.ndarray:
-    """Bits of a set's hashes: the least power of two that is twice its size."""
-    bits = max(64, 1 << (2 * len(found) - 1).bit_length())
+    """Bits of a set's hashes: the least power of two that is four times its size."""
+    bits = max(64, 1 << (4 * len(found) - 1).bit_length())
     out = np.zeros(bits, "u1")
     out[(found & np.uint64(bits - 1)).astype("i8")] = 1
     return np.packbits(out, bitorder="little").view("<u8")
@@ -111,10 +111,10 @@ def prefix(found: np.ndarray, classes: np.ndarray, share: int) -> np.ndarray:
 
 
 def _read(docs: DataFrame, text_col: str, id_col: str, shingle: int, share: int) -> DataFrame:
-    """(id, key, row, s, n, fp, bits, prefix): the set of every row of ``docs``, and the
-    fingerprint of its shingles."""
+    """(id, key, row, s, n, fp, bits, half, prefix): the set of every row of ``docs``, the
+    fingerprint of its shingles, and its bitmap, whole and folded once."""
     classes = docs.sparkSession.sparkContext.broadcast(rarity(docs, text_col, shingle))
-    fields = "s long, n long, fp long, bits binary, prefix array<long>"
+    fields = "s long, n long, fp long, bits binary, half binary, prefix array<long>"
     rows = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     schema = T.StructType([*rows.schema.fields[:3], *T._parse_datatype_string(fields).fields])
 
@@ -125,9 +125,11 @@ def _read(docs: DataFrame, text_col: str, id_col: str, shingle: int, share: int)
         for batch in batches:
             every = [hashes(t, shingle) for t in batch.column(3).to_pylist()]
             found = [np.unique(h) for h in every]
-            of = [set_id(f) for f in found], [len(f) for f in found], [bits_of(h) for h in every], [bitmap(f).tobytes() if len(f) else b"" for f in found]
+            of = [set_id(f) for f in found], [len(f) for f in found], [bits_of(h) for h in every]
+            maps = [bitmap(f)[None] for f in found]
+            halves = [_folded(m) if m.shape[1] > 1 else m for m in maps]
             first = [prefix(f, classes.value, share) if len(f) else np.zeros(0, "i8") for f in found]
-            columns = [*batch.columns[:3], *[pa.array(x, pa.int64()) for x in of[:3]], pa.array(of[3], pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+            columns = [*batch.columns[:3], *[pa.array(x, pa.int64()) for x in of], *[pa.array([m.tobytes() for m in x], pa.binary()) for x in (maps, halves)], pa.array(first, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
     return rows.mapInArrow(run, schema)
@@ -417,7 +419,7 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, s
     read = written(_read(docs, text_col, id_col, shingle, share), "rows", folder)
     # Copies meet in their tasks first.
     # Repeats of shingles differ between texts of one set: the least fingerprint counts.
-    of_set = [F.min("row").alias("row"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")]
+    of_set = [F.min("row").alias("row"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("half").alias("half"), F.first("prefix").alias("prefix")]
     sets = written(read.where("n > 0").groupBy("s").agg(*of_set), "sets")
     rows = written(read.select("id", "key", "s", "n"), "sizes")
     discard(spark, folder)
@@ -425,8 +427,10 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, s
     # Keys of the same sets are one: their number, joint size and a hash over them tell.
     of_key = kept.groupBy("h").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("s")).alias("x")).where("m > 1")
     chosen = durable(of_key.groupBy("m", "x", "size").agg(F.min("h").alias("h")))
+    # Sets of a node are few pairs: half the bits must do.
+    few = (F.col("m") <= FAN).alias("few")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("long").alias("blocks")
-    members = durable(kept.join(chosen.select("h", blocks), "h").select("h", "blocks", "s"))
+    members = durable(kept.join(chosen.select("h", blocks, few), "h").select("h", "blocks", "few", "s"))
     found = roots = None
     if seeds:
         found = _alike(seeds(sets.select("s", "fp")), sets, docs, text_col, shingle, share)
@@ -440,12 +444,12 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, s
         if forest:
             # The set that all blocks of a key hold.
             common = dealt.where("blocks > 1").groupBy("h", "blocks").agg(F.min(F.struct("s", "root")).alias("c"))
-            spread = common.select("h", "c.s", "c.root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("mine"))
-            cells = dealt.select("h", "s", "root", "mine").unionByName(spread).distinct().select("h", F.col("mine").alias("lo"), F.col("mine").alias("hi"), "s", "root")
+            spread = common.select("h", "c.s", "c.root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("mine"), F.lit(False).alias("few"))
+            cells = dealt.select("h", "s", "root", "mine", "few").unionByName(spread).distinct().select("h", F.col("mine").alias("lo"), F.col("mine").alias("hi"), "s", "root", "few")
         else:
             other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-            cells = other.select("h", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "s", "root")
-        met = cells.join(sets.select("s", "n", "bits"), "s").select("h", "lo", "hi", "s", "root", "n", "bits")
+            cells = other.select("h", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "s", "root", "few")
+        met = cells.join(sets.select("s", "n", "bits", "half"), "s").select("h", "lo", "hi", "s", "root", "n", F.when(F.col("few"), F.col("half")).otherwise(F.col("bits")).alias("bits"))
         compared = durable(_compared(met, share, forest))
         new = _alike(compared.where("h is null").select("a", "b"), sets, docs, text_col, shingle, share)
         found = new if found is None else durable(found.select("a", "b").union(new))
