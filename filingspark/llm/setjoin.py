@@ -7,7 +7,7 @@ Which sets meet: shingles have one order everywhere, rare ones first. Two sets o
 and m shingles that are alike have one in common among the first n - ceil(share * n)
 + 1 and m - ceil(share * m) + 1 of that order. Rarity is a count of all documents in
 ``BUCKETS`` hashed counters, so passages of many documents come last; it decides
-where sets meet, never whether. A set leaves a key at whose place in the order it has
+where sets meet, never whether. A set leaves a key of few sets at whose place in the order it has
 too few shingles left for any partner there. Keys that the same sets share are one.
 
 How they meet: a key's sets are the leaves of a signature tree. A leaf has a bitmap
@@ -153,7 +153,8 @@ def _meeting(sets: DataFrame, share: int) -> DataFrame:
     """(h, s, n): the keys of each set at which another one can be alike. Shingles in
     common come at or behind the first key in common, so of a set of n with that key
     at place p no more than n - p are; a set whose size asks for more has no part in
-    it. Frequent keys keep all their sets, so that none is one task's."""
+    it; only keys of few sets are cut so, as the keys of many are mostly those of the same
+    sets and stay one. Frequent keys keep all their sets, so that none is one task's."""
     keys = sets.select("s", "n", F.posexplode("prefix").alias("p", "h"))
     # The greatest size of a partner.
     keys = keys.select("h", "s", "n", F.expr(f"({100 + share} * (n - p)) div {share} - n").alias("reach"))
@@ -166,7 +167,7 @@ def _meeting(sets: DataFrame, share: int) -> DataFrame:
     )
     of_two = "other <= reach and n <= its_reach"
     near = f"coalesce({share} * n <= 100 * before, false) or coalesce({share} * behind <= 100 * n, false)"
-    rare = rare.where(f"m > 1 and if(m = 2, {of_two}, low <= reach and n <= top and ({near}))")
+    rare = rare.where(f"m > 1 and if(m = 2, {of_two}, (m > {FAN} or (low <= reach and n <= top)) and ({near}))")
     return rare.select("h", "s", "n").union(keys.join(often, "h", "left_semi").select("h", "s", "n"))
 
 
