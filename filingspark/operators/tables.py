@@ -145,12 +145,9 @@ def drop_overlaps(tables: DataFrame) -> DataFrame:
     return tables.join(kept.select("doc_id", F.col("k.table_ord").alias("table_ord")), ["doc_id", "table_ord"], "left_semi")
 
 
-def islands(tables: DataFrame) -> DataFrame:
-    """Tables (doc_id, table_ord, page, title, n_rows, n_cols, header) with
-    ``base_ord``, the first table of the chain that they continue: the next page,
-    columns at most one off, no title, and a first row that is data, empty or the
-    base's header."""
-    item = F.struct("table_ord", "page", "n_cols", "title", "header")
+def chains(found: Column) -> Column:
+    """(table_ord, base_ord) of a document's tables, in order: the first table of the
+    chain that a table continues."""
     zero = F.struct(F.lit(None).cast("int").alias("base"), F.lit(-9).alias("page"), F.lit(0).alias("n_cols"), F.array().cast("array<string>").alias("header"), F.array().cast("array<struct<table_ord:int,base_ord:int>>").alias("out"))
 
     def step(acc, x):
@@ -164,8 +161,16 @@ def islands(tables: DataFrame) -> DataFrame:
             F.concat(acc["out"], F.array(F.struct(x["table_ord"].alias("table_ord"), base.alias("base_ord")))).alias("out"),
         )
 
-    folded = F.aggregate(F.array_sort("t"), zero, step, lambda acc: acc["out"])
-    out = tables.groupBy("doc_id").agg(F.collect_list(item).alias("t")).select("doc_id", F.explode(folded).alias("o")).select("doc_id", "o.*")
+    return F.aggregate(F.array_sort(found), zero, step, lambda acc: acc["out"])
+
+
+def islands(tables: DataFrame) -> DataFrame:
+    """Tables (doc_id, table_ord, page, title, n_rows, n_cols, header) with
+    ``base_ord``, the first table of the chain that they continue: the next page,
+    columns at most one off, no title, and a first row that is data, empty or the
+    base's header."""
+    item = F.struct("table_ord", "page", "n_cols", "title", "header")
+    out = tables.groupBy("doc_id").agg(F.collect_list(item).alias("t")).select("doc_id", F.explode(chains(F.col("t"))).alias("o")).select("doc_id", "o.*")
     return tables.join(out, ["doc_id", "table_ord"])
 
 
@@ -188,6 +193,6 @@ def from_raw(raw: DataFrame) -> DataFrame:
 
 
 def normalized_bbox(bbox: Column, width: Column, height: Column) -> Column:
-    """Box by page size, six places; null if it is no box within a page's size."""
-    ok = (F.size(bbox) == 4) & (width > 0) & (height > 0) & ~F.exists(bbox, lambda x: x.isNull())
+    """Box by page size, six places; null if it is no box, has no area, or the page no size."""
+    ok = (F.size(bbox) == 4) & (width > 0) & (height > 0) & ~F.exists(bbox, lambda x: x.isNull()) & (F.get(bbox, F.lit(2)) > F.get(bbox, F.lit(0))) & (F.get(bbox, F.lit(3)) > F.get(bbox, F.lit(1)))
     return F.when(ok, F.array(*[F.bround(bbox[i] / (width if i % 2 == 0 else height), 6) for i in range(4)]))
