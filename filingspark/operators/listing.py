@@ -118,3 +118,65 @@ def markdown_report(meta: DataFrame, metrics: DataFrame, signals: DataFrame) ->
     j = meta.join(m, "doc_id", "left").join(s, "doc_id", "left")
     block = lambda c: F.coalesce(F.array_join(c, "\n"), F.lit("None."))
     return j.select("doc_id", F.concat_ws("\n\n", F.concat(F.lit("# Report "), "doc_id"), F.lit("## Core metrics"), block("m"), F.lit("## Risk signals"), block("s")).alias("report"))
+
+
+# What a report says where nothing else is given.
+DRIVERS = ("See extracted statements and notes.",)
+LIMITS = ("Not financial advice.", "Outputs depend on PDF extraction quality.")
+
+
+def numbers_snapshot(totals: DataFrame) -> DataFrame:
+    """(doc_id, numbers): a document's totals (statement_type, concept, value) as an array of (concept, value) by
+    concept; of several statements with a concept the last in the order income, balance, cashflow wins."""
+    order = F.array_position(F.array(*map(F.lit, ("income", "balance", "cashflow"))), F.col("statement_type"))
+    last = totals.groupBy("doc_id", "concept").agg(F.max_by("value", order).alias("value"))
+    return last.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("concept", "value"))).alias("numbers"))
+
+
+def _evidence(refs: Column) -> Column:
+    """A line for every piece of evidence."""
+    line = lambda r: F.concat(F.lit("  - Evidence: page "), F.coalesce(r["page"].cast("string"), F.lit("None")), F.lit(" ("), F.coalesce(r["ref_type"], F.lit("None")), F.lit(") "), F.coalesce(r["quote"], F.lit("")))
+    return F.transform(F.coalesce(refs, F.array().cast("array<struct<page:int,ref_type:string,quote:string>>")), line)
+
+
+def _ref_rows(column: str) -> Column:
+    """Evidence as (page, ref_type, quote), whatever else it holds."""
+    return F.transform(column, lambda r: F.struct(r["page"].cast("int").alias("page"), r["ref_type"].alias("ref_type"), r["quote"].alias("quote")))
+
+
+def full_report(meta: DataFrame, numbers: DataFrame, signals: DataFrame, notes: DataFrame, drafts: DataFrame | None = None, findings: DataFrame | None = None) -> DataFrame:
+    """(doc_id, report): the whole Markdown report in its fixed order of sections.
+
+    ``meta`` is (doc_id, filename, n_pages, created_at text), ``numbers`` that of ``numbers_snapshot``, ``signals``
+    (doc_id, sig_ord, title, severity, description, evidence), ``notes`` (doc_id, note_ord, note_type, summary,
+    source_refs). ``drafts`` (doc_id, executive_summary, key_drivers, limitations, deep_summary, deep_limitations) gives
+    what was written about a document; blank or empty fields, and documents without a draft, get the plain ones.
+    ``findings`` (doc_id, sig_ord, title, severity, description, evidence) stand under the deep summary; the section is
+    there where a deep summary is not null. Values are printed with two places. Empty sections keep their heads; null texts are printed as nothing."""
+    none = F.array().cast("array<string>")
+    block = lambda head, ref: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", head.alias("head"), ref.alias("refs")))), lambda x: F.concat(F.array(x["head"]), _evidence(x["refs"]))))
+    plain = lambda c: F.coalesce(c, F.lit(""))
+    said = F.concat(F.lit("- "), plain("title"), F.lit(" ("), plain("severity"), F.lit("): "), plain("description"))
+    s = signals.withColumn("ord", F.col("sig_ord")).groupBy("doc_id").agg(block(said, _ref_rows("evidence")).alias("s"))
+    n = notes.withColumn("ord", F.col("note_ord")).groupBy("doc_id").agg(block(F.concat(F.lit("- "), plain("note_type"), F.lit(": "), plain("summary")), _ref_rows("source_refs")).alias("n"))
+    j = meta.select("doc_id", plain("filename").alias("filename"), "n_pages", "created_at").join(numbers, "doc_id", "left").join(s, "doc_id", "left").join(n, "doc_id", "left")
+    if findings is not None:
+        j = j.join(findings.withColumn("ord", F.col("sig_ord")).groupBy("doc_id").agg(block(said, _ref_rows("evidence")).alias("f")), "doc_id", "left")
+    else:
+        j = j.withColumn("f", none)
+    if drafts is not None:
+        j = j.join(drafts.select("doc_id", "executive_summary", "key_drivers", "limitations", "deep_summary", "deep_limitations"), "doc_id", "left")
+    else:
+        j = j.withColumns({c: F.lit(None).cast("string") for c in ("executive_summary", "deep_summary")} | {c: none for c in ("key_drivers", "limitations", "deep_limitations")})
+    summary = F.coalesce(F.nullif("executive_summary", F.lit("")), F.concat(F.lit("Parsed "), F.coalesce("n_pages", F.lit(0)).cast("string"), F.lit(" pages for "), "filename", F.lit(".")))
+    drivers = F.when(F.size(F.coalesce("key_drivers", none)) > 0, F.col("key_drivers")).otherwise(F.array(*map(F.lit, DRIVERS)))
+    bullets = lambda c: F.transform(c, lambda x: F.concat(F.lit("- "), x))
+    shown = F.transform("numbers", lambda x: F.concat(F.lit("- "), x["concept"], F.lit(": "), F.format_string("%.2f", x["value"])))
+    head = lambda title: F.array(F.lit(""), F.lit(f"## {title}"))
+    deep = F.when(F.col("deep_summary").isNotNull(), F.concat(head("Deep Analysis"), F.array("deep_summary"), F.coalesce("f", none))).otherwise(none)
+    lines = F.concat(
+        F.array(F.concat(F.lit("# Trader Report for "), "filename")), head("Executive Summary"), F.array(summary), head("Key Drivers"), bullets(drivers), head("Numbers Snapshot"), F.coalesce(shown, none),
+        head("Risk Signals"), F.coalesce("s", none), deep, head("Notes"), F.coalesce("n", none), head("Limitations"), bullets(limitations(F.array(*map(F.lit, LIMITS)), F.col("limitations"), F.col("deep_limitations"))),
+        F.array(F.concat(F.lit("\nGenerated at "), F.coalesce("created_at", F.lit("")), F.lit("."))),
+    )
+    return j.select("doc_id", F.array_join(lines, "\n").alias("report"))

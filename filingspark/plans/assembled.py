@@ -1,12 +1,13 @@
-"""Queries over what is put together of several parts: routed tables."""
+"""Queries over what is put together of several parts: routed tables, whole reports, statements by their path."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingspark.operators import routing
-from filingspark.plans.views import oracle, view
+from filingspark.operators import listing, routing, statements
+from filingspark.plans import filings
+from filingspark.plans.views import line_items, oracle, view
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -71,3 +72,41 @@ from x_ join t_ using (doc_id, base_ord)""", "v_cells")))
 def routed_cells(spark: SparkSession, d: str) -> DataFrame:
     c = routing.cells(routing.routed(_candidates(spark, d)))
     return c.select("doc_id", "table_id", "row", "col", "text", *[F.get("bbox", F.lit(k)).alias(n) for k, n in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+def _even(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of even suppliers, with the supplier."""
+    docs = filings._docs(spark, d).withColumn("supplier", F.regexp_extract("doc_id", r"^d(\d+)-", 1).cast("long"))
+    return docs.where("supplier % 2 = 0")
+
+
+_REFLESS = "struct<page:int,ref_type:string,quote:string>"
+_EVEN = "cast(regexp_extract(doc_id, '^d(\\d+)-', 1) as bigint)"
+
+
+@query("full_reports", oracle(f"""{filings.SIGNAL_ROWS}, snap as (select doc_id, string_agg(concat('- ', concept, ': ', printf('%.2f', value)), chr(10) order by concept) as t from (select doc_id, concept, arg_max(value, case statement_type when 'income' then 1 when 'balance' then 2 else 3 end) as value from totals group by all) x group by doc_id),
+sg as (select doc_id, string_agg(concat('- ', title, ' (', severity, '): ', description, chr(10), '  - Evidence: page ', coalesce(cast(page as varchar), 'None'), ' (', ref_type, ') ', evidence), chr(10) order by category) as t from (
+  select r.*, case when evidence = 'Evidence unavailable' then 1 else c.page end as page, case when evidence = 'Evidence unavailable' then 'page_text' else 'table' end as ref_type from rows_ r left join (select doc_id, statement_type, arg_min(page, item_ord) as page from items where page is not null group by all) c on c.doc_id = r.doc_id and c.statement_type = case r.category when 'cash_vs_profit' then 'cashflow' else 'balance' end) y group by doc_id),
+d as (select distinct doc_id, {_EVEN} as supplier from v_statements)
+select d.doc_id, concat_ws(chr(10), concat('# Trader Report for ', d.doc_id, '.pdf'), '', '## Executive Summary', case when supplier % 4 = 0 then 'A written summary.' else concat('Parsed 3 pages for ', d.doc_id, '.pdf.') end, '', '## Key Drivers',
+  case when supplier % 4 = 0 then concat('- Prices', chr(10), '- Volumes') else '- See extracted statements and notes.' end, '', '## Numbers Snapshot', snap.t, '', '## Risk Signals', sg.t,
+  case when supplier % 8 = 0 then concat(chr(10), '## Deep Analysis', chr(10), 'Margins fell.', chr(10), '- Margin (low): Below last year.', chr(10), '  - Evidence: page 1 (page_text) ') end,
+  '', '## Notes', case when supplier % 2 = 0 then concat('- impairment: Goodwill tested.', chr(10), '  - Evidence: page 2 (page_text) Goodwill', chr(10), '- guidance: Flat.') end, '', '## Limitations',
+  case when supplier % 4 = 0 then concat('- Audit pending.', chr(10)) else '' end || case when supplier % 8 = 0 then concat('- No peers.', chr(10)) else '' end || concat('- Not financial advice.', chr(10), '- Outputs depend on PDF extraction quality.'), concat(chr(10), 'Generated at 2024-01-01.')) as report
+from d left join snap using (doc_id) left join sg using (doc_id)""", "v_line_items", "v_statements"))
+def full_reports(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    docs, even = filings._docs(spark, d), _even(spark, d)
+    meta = docs.select("doc_id", F.concat("doc_id", F.lit(".pdf")).alias("filename"), F.lit(3).alias("n_pages"), F.lit("2024-01-01").alias("created_at"))
+    signals = filings._signals(spark, d).withColumn("sig_ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("category")))
+    ref = lambda page, quote: F.array(F.struct(F.lit(page).alias("page"), F.lit("page_text").alias("ref_type"), F.lit(quote).cast("string").alias("quote")).cast(_REFLESS))
+    note = lambda n, kind, summary, refs: F.struct(F.lit(n).alias("note_ord"), F.lit(kind).alias("note_type"), F.lit(summary).alias("summary"), refs.alias("source_refs"))
+    notes = even.select("doc_id", F.explode(F.array(note(1, "impairment", "Goodwill tested.", ref(2, "Goodwill")), note(2, "guidance", "Flat.", F.array().cast(f"array<{_REFLESS}>")))).alias("x")).select("doc_id", "x.*")
+    deep = F.col("supplier") % 8 == 0
+    drafts = even.where("supplier % 4 = 0").select(
+        "doc_id", F.lit("A written summary.").alias("executive_summary"), F.array(F.lit("Prices"), F.lit("Volumes")).alias("key_drivers"), F.array(F.lit("Audit pending."), F.lit("Not financial advice.")).alias("limitations"),
+        F.when(deep, "Margins fell.").alias("deep_summary"), F.when(deep, F.array(F.lit("No peers."))).alias("deep_limitations"),
+    )
+    findings = even.where("supplier % 8 = 0").select("doc_id", F.lit(1).alias("sig_ord"), F.lit("Margin").alias("title"), F.lit("low").alias("severity"), F.lit("Below last year.").alias("description"), ref(1, None).alias("evidence"))
+    return listing.full_report(meta, listing.numbers_snapshot(statements.statement_totals(line_items(spark, d))), signals, notes, drafts, findings)
