@@ -148,3 +148,24 @@ def prefer_tables(from_tables: DataFrame, from_text: DataFrame) -> DataFrame:
     """Table items of a statement where there are any, else those of the text."""
     held = from_tables.select(*KEYS).distinct()
     return from_tables.unionByName(from_text.join(held, list(KEYS), "left_anti"), allowMissingColumns=True)
+
+
+# How much the items of each path are trusted, and what a statement without any says.
+PATHS = {"tables": 0.65, "text": 0.7, "none": 0.2}
+KINDS = ("income", "balance", "cashflow")
+NO_ITEMS = ("llm_parse_failed", "no_line_items")
+
+
+def by_path(docs: DataFrame, from_tables: DataFrame, from_text: DataFrame) -> DataFrame:
+    """(doc_id, statement_type, path, n_items, extraction_confidence, issues): a row for each of the three statements of
+    every document, made of table items where there are any, else of those of the text, else empty, with its issues.
+    Items of documents that are not in ``docs`` are left out; the items themselves are those of ``prefer_tables``."""
+    of = lambda df, path: df.select(*KEYS, F.lit(path).alias("p"))
+    n = of(from_tables, "tables").unionByName(of(from_text, "text")).groupBy(*KEYS).agg(*[F.count_if(F.col("p") == p).alias(p) for p in ("tables", "text")])
+    every = docs.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, KINDS))).alias("statement_type"))
+    j = every.join(n, list(KEYS), "left")
+    j = j.withColumn("path", F.when(F.col("tables") > 0, "tables").when(F.col("text") > 0, "text").otherwise("none"))
+    held = F.when(F.col("path") == "tables", F.col("tables")).when(F.col("path") == "text", F.col("text")).otherwise(F.lit(0))
+    trust = F.when(F.col("path") == "tables", PATHS["tables"]).when(F.col("path") == "text", PATHS["text"]).otherwise(PATHS["none"])
+    issues = F.when(F.col("path") == "none", F.array(*map(F.lit, NO_ITEMS))).otherwise(F.array().cast("array<string>"))
+    return j.select(*KEYS, "path", held.alias("n_items"), trust.alias("extraction_confidence"), issues.alias("issues"))

@@ -99,6 +99,15 @@ def statement_metrics(p: DataFrame) -> DataFrame:
     return p.select("doc_id", F.explode(F.filter(found, lambda m: m["value"].isNotNull())).alias("m")).select("doc_id", "m.*")
 
 
+def validation_results(p: DataFrame) -> DataFrame:
+    """(doc_id, issues, checks, metrics) of a profile, a row per document: ``checks`` holds how far the balance equation
+    fails where its three totals are known, ``metrics`` the ratios of two statements; both maps may be empty."""
+    both = F.col("net_income").isNotNull() & F.col("operating_cf").isNotNull()
+    given = lambda **values: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.cast("double").alias("value")) for k, v in values.items()]), lambda e: e["value"].isNotNull()))
+    ratio = F.when(both, F.col("operating_cf") / F.greatest(F.abs("net_income"), F.lit(1e-6)))
+    return p.select("doc_id", "issues", given(balance_equation=F.col("off")).alias("checks"), given(profit_to_cfo_ratio=ratio, ar_growth_vs_rev_growth=F.col("ar_growth") - F.col("rev_growth")).alias("metrics"))
+
+
 def fact_profile(docs: DataFrame, facts: DataFrame) -> DataFrame:
     """A row per document and statement with facts (a single row without a kind
     where a document has none), from one aggregation: what the checks ask for."""

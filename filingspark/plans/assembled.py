@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingspark.operators import listing, routing, statements
+from filingspark.operators import listing, routing, statements, validate
 from filingspark.plans import filings
 from filingspark.plans.views import line_items, oracle, view
 
@@ -110,3 +110,29 @@ def full_reports(spark: SparkSession, d: str) -> DataFrame:
     )
     findings = even.where("supplier % 8 = 0").select("doc_id", F.lit(1).alias("sig_ord"), F.lit("Margin").alias("title"), F.lit("low").alias("severity"), F.lit("Below last year.").alias("description"), ref(1, None).alias("evidence"))
     return listing.full_report(meta, listing.numbers_snapshot(statements.statement_totals(line_items(spark, d))), signals, notes, drafts, findings)
+
+
+@query("statement_paths", oracle("""with k as (select distinct doc_id, cast(regexp_extract(doc_id, '^d(\\d+)-', 1) as bigint) as supplier from v_statements),
+n as (select doc_id, count(*) filter (statement_type = 'income') as income, count(*) filter (item_ord in (8, 9, 10) and value_current is not null) as balance, count(*) filter (item_ord = 12 and value_current is not null) as cashflow from v_line_items group by doc_id),
+p as (select k.doc_id, t.statement_type, case t.statement_type when 'income' then case when supplier % 3 = 0 then 'tables' else 'text' end when 'balance' then case when supplier % 3 = 2 or n.balance = 0 then 'none' else 'text' end else case when n.cashflow = 0 then 'none' else 'text' end end as path, n.income
+  from k join n using (doc_id) cross join (values ('income'), ('balance'), ('cashflow')) t(statement_type))
+select doc_id, statement_type, path, case path when 'tables' then income when 'none' then 0 end as n_items, case path when 'tables' then 65e-2 when 'text' then 7e-1 else 2e-1 end as extraction_confidence, case when path = 'none' then 'llm_parse_failed,no_line_items' else '' end as issues from p""", "v_line_items", "v_statements"))
+def statement_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Tables hold the income of every third supplier; another third prints no balance."""
+    supplier = F.regexp_extract("doc_id", r"^d(\d+)-", 1).cast("long")
+    i = view(spark, d, "v_line_items").where("supplier % 3 = 0 and statement_type = 'income'")
+    cell = F.explode(F.array(F.struct(F.lit(0).alias("col"), F.col("name_raw").alias("text")), F.struct(F.lit(1).alias("col"), F.format_string("%.2f", "value_current").alias("text"))))
+    grids = i.select("doc_id", F.lit(0).alias("table_ord"), F.col("item_ord").alias("row"), F.lit("Income statement").alias("title"), cell.alias("c")).select("doc_id", "table_ord", "row", "title", "c.*")
+    pages = view(spark, d, "v_filing_pages").where(~((supplier % 3 == 2) & (F.col("page_number") == 2)))
+    s = statements.by_path(filings._docs(spark, d), statements.from_grids(grids), statements.from_pages(pages))
+    # How many labels a text holds is left to the tests.
+    return s.select("doc_id", "statement_type", "path", F.when(F.col("path") != "text", F.col("n_items")).alias("n_items"), "extraction_confidence", F.array_join("issues", ",").alias("issues"))
+
+
+@query("validation_results", oracle(f"""{filings.CHECKED} select d.doc_id, coalesce((select string_agg(issue, '|' order by issue) from issues i where i.doc_id = d.doc_id), '') as issues,
+  round(abs(assets - (liabilities + equity)) / greatest(assets, 1.0), 6) as balance_equation, case when net_income is not null then round(operating_cf / greatest(abs(net_income), 1e-6), 6) end as profit_to_cfo_ratio, case when not isnan(ar) and not isnan(rev) then round(ar - rev, 6) end as ar_growth_vs_rev_growth
+from (select distinct doc_id from items) d left join find_ using (doc_id) left join g using (doc_id)""", "v_line_items"))
+def validation_results(spark: SparkSession, d: str) -> DataFrame:
+    r = validate.validation_results(validate.profile(line_items(spark, d)))
+    of = lambda m, k: F.round(F.element_at(m, k), 6).alias(k)
+    return r.select("doc_id", F.array_join(F.array_sort("issues"), "|").alias("issues"), of("checks", "balance_equation"), of("metrics", "profit_to_cfo_ratio"), of("metrics", "ar_growth_vs_rev_growth"))
