@@ -71,10 +71,17 @@ def infer_scale(unit: Column) -> Column:
     )
 
 
+def printed(x: Column, places: int) -> Column:
+    """A number with fixed places, rounded by what the double holds, exact ties to even: 4453475.265 is a
+    little less in binary and prints as 4453475.26. ``format_string`` rounds its decimal digits up."""
+    plain = F.isnan(x) | (F.abs(x) == float("inf")) | x.isNull()
+    return F.when(plain, F.format_string(f"%.{places}f", x)).otherwise(F.call_function("format_number", x, F.lit("0." + "0" * places)))
+
+
 def short_number(x: Column) -> Column:
     """1234567 as 1.23M: two decimals and K, M or B."""
     size = F.abs(x)
-    shown = lambda y, mark: F.concat(F.format_string("%.2f", y), F.lit(mark))
+    shown = lambda y, mark: F.concat(printed(y, 2), F.lit(mark))
     return F.when(size >= 1e9, shown(x / 1e9, "B")).when(size >= 1e6, shown(x / 1e6, "M")).when(size >= 1e3, shown(x / 1e3, "K")).when(x.isNotNull(), shown(x, ""))
 
 

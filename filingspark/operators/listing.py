@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from filingspark.functions import numbers as printing
 from filingspark.functions import text
 
 # Progress of the stages of an analysis, and histogram bounds.
@@ -113,7 +114,7 @@ def changed(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def markdown_report(meta: DataFrame, metrics: DataFrame, signals: DataFrame) -> DataFrame:
     """(doc_id, report): Markdown with a fixed order of sections."""
-    m = metrics.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("- "), "metric", F.lit(": "), F.format_string("%.6f", "value")))).alias("m"))
+    m = metrics.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("- "), "metric", F.lit(": "), printing.printed(F.col("value"), 6)))).alias("m"))
     s = signals.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("- ["), "severity", F.lit("] "), "title"))).alias("s"))
     j = meta.join(m, "doc_id", "left").join(s, "doc_id", "left")
     block = lambda c: F.coalesce(F.array_join(c, "\n"), F.lit("None."))
@@ -171,7 +172,7 @@ def full_report(meta: DataFrame, numbers: DataFrame, signals: DataFrame, notes:
     summary = F.coalesce(F.nullif("executive_summary", F.lit("")), F.concat(F.lit("Parsed "), F.coalesce("n_pages", F.lit(0)).cast("string"), F.lit(" pages for "), "filename", F.lit(".")))
     drivers = F.when(F.size(F.coalesce("key_drivers", none)) > 0, F.col("key_drivers")).otherwise(F.array(*map(F.lit, DRIVERS)))
     bullets = lambda c: F.transform(c, lambda x: F.concat(F.lit("- "), x))
-    shown = F.transform("numbers", lambda x: F.concat(F.lit("- "), x["concept"], F.lit(": "), F.format_string("%.2f", x["value"])))
+    shown = F.transform("numbers", lambda x: F.concat(F.lit("- "), x["concept"], F.lit(": "), printing.printed(x["value"], 2)))
     head = lambda title: F.array(F.lit(""), F.lit(f"## {title}"))
     deep = F.when(F.col("deep_summary").isNotNull(), F.concat(head("Deep Analysis"), F.array("deep_summary"), F.coalesce("f", none))).otherwise(none)
     lines = F.concat(
