@@ -3,7 +3,8 @@
 Candidates are (doc_id, engine, engine_ord, table_ord, fallback, page, grid, bbox, page_width, page_height, accuracy):
 ``grid`` holds rows of texts, ``bbox`` the table's box in units of the page or null, ``accuracy`` is null where an
 engine gives none, ``fallback`` marks what an engine's second way found. Choice, overlaps and chains need sizes and
-first rows only; they are decided in one fold per document, and grids join what was decided.
+first rows only; they are decided in one fold per document, and grids join what was decided, by document. Boxes of cells
+are made last, of the tables that are left.
 """
 
 from __future__ import annotations
@@ -17,28 +18,28 @@ from filingspark.operators import tables
 ENGINES = ("pdfplumber", "camelot")
 
 
-def _cell_box(i: Column, j: Column) -> Column:
-    """A cell's share of the table's box, by page size; null where the table has none."""
-    x0, y0, x1, y1 = (F.get("bbox", F.lit(k)) for k in range(4))
-    x = lambda n: x0 + (x1 - x0) * n / F.col("n_cols")
-    y = lambda n: y0 + (y1 - y0) * n / F.col("n_rows")
-    return tables.normalized_bbox(F.array(x(j), y(i), x(j + 1), y(i + 1)), F.col("page_width"), F.col("page_height"))
+def _cells(part: Column) -> Column:
+    """A part's rows of (text, bbox): a cell's share of the table's box, by page size; null where the table has none.
+    ``skip`` rows of the table are left out before them."""
+    edge = lambda k, n, of: part["box"][k] + (part["box"][k + 2] - part["box"][k]) * n / of
+    x, y = lambda j: edge(0, j, part["n_cols"]), lambda i: edge(1, i + part["skip"], part["height"])
+    box = lambda i, j: tables.let(F.array(x(j), y(i), x(j + 1), y(i + 1)), lambda b: tables.normalized_bbox(b, part["page_width"], part["page_height"]))
+    boxed = F.coalesce(F.size(part["box"]) >= 4, F.lit(False))
+    cell = lambda t, i, j: F.struct(t.alias("text"), F.when(boxed, box(i, j)).alias("bbox"))
+    return F.transform(part["grid"], lambda r, i: F.transform(r, lambda t, j: cell(t, i, j)))
 
 
 def described(candidates: DataFrame) -> DataFrame:
-    """Candidates with id, sizes, title, confidence (the engine's accuracy, else the share of numbers), their box by
-    page size and ``rows`` of (text, bbox). Empty grids and those below the least accuracy are left out."""
+    """Candidates with id, sizes, title, confidence (the engine's accuracy, else the share of numbers), their box as
+    given and by page size, and ``grid`` of trimmed texts. Empty grids and those below the least accuracy are left out."""
     kept = candidates.where((F.size("grid") > 0) & (F.col("accuracy").isNull() | (F.col("accuracy") >= tables.MIN_ACCURACY)))
     c = kept.withColumns({"n_rows": F.size("grid"), "n_cols": F.array_max(F.transform("grid", F.size))})
-    cell = lambda i: lambda t, j: F.struct(F.trim(F.coalesce(t, F.lit(""))).alias("text"), _cell_box(i, j).alias("bbox"))
-    # Boxes of cells come before the select that names the table's own box anew.
-    c = c.withColumn("rows", F.transform("grid", lambda r, i: F.transform(r, cell(i))))
+    trimmed = lambda r: F.transform(r, lambda t: F.trim(F.coalesce(t, F.lit(""))))
     return c.select(
         "doc_id", "engine", F.col("engine_ord").cast("int").alias("engine_ord"), F.col("table_ord").cast("int").alias("table_ord"), F.coalesce("fallback", F.lit(False)).alias("fallback"),
         F.col("page").cast("int").alias("page"), F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_t"), F.col("table_ord").cast("string")).alias("table_id"), "n_rows", "n_cols",
-        tables.title_of(F.col("grid")[0]).alias("title"), F.transform(F.col("grid")[0], lambda t: F.trim(F.coalesce(t, F.lit("")))).alias("header"),
-        F.coalesce(F.bround(F.col("accuracy") / 100, 2), tables.confidence(F.col("grid"))).alias("confidence"),
-        tables.normalized_bbox(F.col("bbox"), F.col("page_width"), F.col("page_height")).alias("bbox"), "rows",
+        tables.title_of(F.col("grid")[0]).alias("title"), trimmed(F.col("grid")[0]).alias("header"), F.coalesce(F.bround(F.col("accuracy") / 100, 2), tables.confidence(F.col("grid"))).alias("confidence"),
+        F.col("bbox").alias("box"), "page_width", "page_height", tables.normalized_bbox(F.col("bbox"), F.col("page_width"), F.col("page_height")).alias("bbox"), F.transform("grid", trimmed).alias("grid"),
     )
 
 
@@ -54,26 +55,27 @@ def _best(kept: Column) -> Column:
     """The engine of the most tables, then of the greatest mean confidence (in whole hundredths), then the first."""
     of = lambda e: F.filter(kept, lambda x: x["engine_ord"] == e)
     total = lambda e: F.aggregate(of(e), F.lit(0), lambda s, x: s + x["hundredths"])
-    scores = F.transform(F.array_distinct(F.transform(kept, lambda x: x["engine_ord"])), lambda e: F.struct(F.size(of(e)).alias("n"), total(e).alias("total"), (-e).alias("minus")))
-    return -F.array_max(scores)["minus"]
+    score = lambda e: F.struct(F.size(of(e)).alias("n"), total(e).alias("total"), (-e).alias("minus"))
+    return -F.array_max(F.transform(F.array_distinct(F.transform(kept, lambda x: x["engine_ord"])), score))["minus"]
 
 
 def routes(found: DataFrame, engine: str = "best", merge: bool = True) -> DataFrame:
-    """(doc_id, engine_ord, table_ord, base_ord) of the tables of the chosen engine; ``base_ord`` is the table that a
-    table continues across pages. ``engine``: best, a name, or auto for the first."""
+    """(doc_id, bases): the tables of a document's chosen engine as an array of (engine_ord, table_ord, base_ord), where
+    ``base_ord`` is the table that one continues across pages, or itself. ``engine``: best, a name, or auto for the first."""
     item = F.struct("engine_ord", "table_ord", "engine", "fallback", "page", "n_rows", "n_cols", "title", "header", F.round(F.col("confidence") * 100).cast("int").alias("hundredths"))
-    t = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("found")).select("doc_id", _kept(F.col("found")).alias("kept"))
+    t = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("found"))
     mode = engine.lower()
+    of_engine = lambda k, e: F.filter(k, lambda x: x["engine_ord"] == e)
     if mode == "best":
-        t = t.withColumn("best", _best(F.col("kept")))
-        mine = F.filter("kept", lambda x: x["engine_ord"] == F.col("best"))
+        # What a document's fold gives is bound once, not made anew for each table.
+        mine = lambda k: tables.let(_best(k), lambda best: of_engine(k, best))
     elif mode in ENGINES:
-        mine = F.filter("kept", lambda x: x["engine"] == mode)
+        mine = lambda k: F.filter(k, lambda x: x["engine"] == mode)
     else:
-        mine = F.filter("kept", lambda x: x["engine_ord"] == 0)
-    t = t.select("doc_id", mine.alias("t"))
-    chained = tables.chains(F.col("t")) if merge else F.transform("t", lambda x: F.struct(x["table_ord"].alias("table_ord"), x["table_ord"].alias("base_ord")))
-    return t.where("size(t) > 0").select("doc_id", F.col("t")[0]["engine_ord"].alias("engine_ord"), F.explode(chained).alias("o")).select("doc_id", "engine_ord", "o.*")
+        mine = lambda k: of_engine(k, 0)
+    chained = lambda m: tables.chains(m) if merge else F.transform(m, lambda x: F.struct(x["table_ord"].alias("table_ord"), x["table_ord"].alias("base_ord")))
+    bases = lambda m: F.transform(chained(m), lambda c: F.struct(m[0]["engine_ord"].alias("engine_ord"), c["table_ord"].alias("table_ord"), c["base_ord"].alias("base_ord")))
+    return t.select("doc_id", tables.let(tables.let(_kept(F.col("found")), mine), bases).alias("bases"))
 
 
 def routed(candidates: DataFrame, engine: str = "best", merge: bool = True) -> DataFrame:
@@ -81,17 +83,22 @@ def routed(candidates: DataFrame, engine: str = "best", merge: bool = True) -> D
     a document's chosen engine, those across pages made one under the first one's id and title. A continuation's header
     row goes; ``source_refs`` cite every part with its own box and confidence."""
     found = described(candidates)
-    part = found.join(routes(found, engine, merge), ["doc_id", "engine_ord", "table_ord"])
+    # The join is by document alone, so that a table's parts are together behind it.
+    own = F.filter("bases", lambda b: (b["engine_ord"] == F.col("engine_ord")) & (b["table_ord"] == F.col("table_ord")))
+    part = found.join(routes(found, engine, merge), "doc_id").withColumn("base_ord", F.get(own, F.lit(0))["base_ord"]).where("base_ord is not null")
     repeats = (F.col("table_ord") != F.col("base_ord")) & tables.is_header_row(F.col("header"))
+    skip = F.coalesce(repeats, F.lit(False)).cast("int").alias("skip")
     ref = F.struct(F.lit("table").alias("ref_type"), "page", "table_id", "bbox", "confidence", "engine")
-    rows = F.when(repeats, F.slice("rows", F.lit(2), F.greatest(F.col("n_rows") - 1, F.lit(0)))).otherwise(F.col("rows"))
-    t = part.groupBy("doc_id", "engine", F.col("base_ord").alias("table_ord")).agg(F.array_sort(F.collect_list(F.struct("table_ord", "title", "n_cols", ref.alias("ref"), rows.alias("rows")))).alias("parts"))
-    t = t.withColumns({"rows": F.flatten(F.transform("parts", lambda p: p["rows"])), "source_refs": F.transform("parts", lambda p: p["ref"])})
-    first = F.col("source_refs")[0]
+    part = part.select("*", skip).withColumn("kept", F.slice("grid", F.col("skip") + 1, F.greatest(F.col("n_rows") - F.col("skip"), F.lit(0))))
+    piece = F.struct("table_ord", "title", "n_cols", ref.alias("ref"), F.col("kept").alias("grid"), "skip", F.col("n_rows").alias("height"), "box", "page_width", "page_height")
+    # A table is of one engine: it is no key, so that documents stay where the join dealt them.
+    t = part.groupBy("doc_id", F.col("base_ord").alias("table_ord")).agg(F.array_sort(F.collect_list(piece)).alias("parts"))
+    texts = F.flatten(F.transform("parts", lambda p: p["grid"]))
+    first = F.col("parts")[0]["ref"]
     return t.select(
-        "doc_id", "engine", "table_ord", F.concat(first["table_id"], F.when(F.size("parts") > 1, "_merged").otherwise("")).alias("table_id"), first["page"].alias("page"), F.col("parts")[0]["title"].alias("title"),
-        F.size("rows").alias("n_rows"), F.array_max(F.transform("parts", lambda p: p["n_cols"])).alias("n_cols"),
-        tables.markdown(F.transform("rows", lambda r: F.transform(r, lambda c: c["text"]))).alias("raw_markdown"), "rows", "source_refs",
+        "doc_id", first["engine"].alias("engine"), "table_ord", F.concat(first["table_id"], F.when(F.size("parts") > 1, "_merged").otherwise("")).alias("table_id"), first["page"].alias("page"), F.col("parts")[0]["title"].alias("title"),
+        F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p["grid"])).alias("n_rows"), F.array_max(F.transform("parts", lambda p: p["n_cols"])).alias("n_cols"),
+        tables.markdown(texts).alias("raw_markdown"), F.flatten(F.transform("parts", _cells)).alias("rows"), F.transform("parts", lambda p: p["ref"]).alias("source_refs"),
     )
 
 

@@ -10,16 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingspark.functions.numbers import FLOAT
+from filingspark.functions.text import let
 
 # Marks around numbers, and words of a statement's title.
 LEAD_MARKS, TAIL_MARKS = r"^[$¥￥€£＄△▲\-－(（]+", r"[)）%％万元亿]+$"
+#: A cell that is a number once marks are gone, in one pass.
+NUMBER = rf"{LEAD_MARKS[:-1]}*(?:{FLOAT[1:-1]}{TAIL_MARKS[:-2]}*$|(?i:nan|inf|infinity){TAIL_MARKS[:-2]}*\z)"
 TITLE_WORDS = ("资产负债表", "利润表", "现金流量表", "合并", "balance sheet", "income statement", "cash flow", "profit", "statement of")
 MIN_ACCURACY = 10.0
 
 
 def is_number(cell: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(cell), "[, ]", ""), LEAD_MARKS, ""), TAIL_MARKS, "")
-    return bare.rlike(FLOAT) | F.lower(bare).isin("nan", "inf", "infinity")
+    return F.translate(cell, ", ", "").rlike(NUMBER)
 
 
 def _filled(row: Column) -> Column:
@@ -28,42 +30,51 @@ def _filled(row: Column) -> Column:
 
 def is_header_row(row: Column) -> Column:
     """Whether less than half of a row's filled cells are numbers."""
-    filled = _filled(row)
-    return (F.size(filled) > 0) & (F.size(F.filter(filled, is_number)) < F.size(filled) / 2)
+    return let(_filled(row), lambda filled: (F.size(filled) > 0) & (F.size(F.filter(filled, is_number)) < F.size(filled) / 2))
 
 
 def title_of(first_row: Column) -> Column:
     """The first row's only cell, or its first one if it names a statement."""
-    filled = _filled(first_row)
-    named = F.lit(False)
-    for w in TITLE_WORDS:
-        named = named | F.lower(F.get(filled, 0)).contains(w)
-    return F.when((F.size(filled) == 1) & (F.length(F.get(filled, 0)) > 2), F.get(filled, 0)).when((F.size(filled) > 0) & named, F.get(filled, 0))
+
+    def of(filled):
+        first, named = F.get(filled, 0), F.lit(False)
+        for w in TITLE_WORDS:
+            named = named | F.lower(first).contains(w)
+        return F.when((F.size(filled) == 1) & (F.length(first) > 2), first).when((F.size(filled) > 0) & named, first)
+
+    return let(_filled(first_row), of)
 
 
 def confidence(grid: Column) -> Column:
     """0.55 to 0.95 by the share of numeric cells, half-even to two places."""
-    cells = F.filter(F.flatten(grid), lambda c: c.isNotNull())
-    share = F.size(F.filter(cells, is_number)) / F.size(cells)
-    return F.when(F.size(grid) == 0, 0.0).when(F.size(cells) == 0, 0.5).otherwise(F.bround(F.least(0.55 + share * 0.4, F.lit(0.95)), 2))
+    share = lambda cells: F.size(F.filter(cells, is_number)) / F.size(cells)
+    sure = lambda cells: F.when(F.size(cells) == 0, 0.5).otherwise(F.bround(F.least(0.55 + share(cells) * 0.4, F.lit(0.95)), 2))
+    return F.when(F.size(grid) == 0, 0.0).otherwise(let(F.filter(F.flatten(grid), lambda c: c.isNotNull()), sure))
 
 
 def markdown(grid: Column) -> Column:
-    width = F.array_max(F.transform(grid, F.size))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), (width - F.size(r)).cast("int"))), lambda c: F.trim(F.coalesce(c, F.lit("")))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width.cast("int")), " | "), F.lit(" |"))
-    lines = F.transform(grid, line)
-    return F.when(F.size(grid) == 0, "").otherwise(F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))), "\n"))
+    """A grid as a Markdown table; its width and its lines are made once."""
+    cells = lambda r, w: F.transform(F.concat(r, F.array_repeat(F.lit(""), (w - F.size(r)).cast("int"))), lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    line = lambda r, w: F.concat(F.lit("| "), F.array_join(cells(r, w), " | "), F.lit(" |"))
+    rule = lambda w: F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), w.cast("int")), " | "), F.lit(" |"))
+    joined = lambda lines, w: F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule(w)), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")
+    said = lambda g: let(F.array_max(F.transform(g, F.size)), lambda w: let(F.transform(g, lambda r: line(r, w)), lambda lines: joined(lines, w)))
+    return F.when(F.size(grid) == 0, "").otherwise(let(grid, said))
 
 
 def grids(cells: DataFrame) -> DataFrame:
     """(doc_id, table_ord, n_rows, n_cols, grid): dense, empty cells as ''; of
-    several texts for one place the greatest."""
-    cells = cells.groupBy("doc_id", "table_ord", "row", "col").agg(F.max("text").alias("text"))
-    rows = cells.groupBy("doc_id", "table_ord", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m"), F.max("col").alias("c"))
-    t = rows.groupBy("doc_id", "table_ord").agg(F.map_from_entries(F.collect_list(F.struct("row", "m"))).alias("rows"), (F.max("row") + 1).alias("n_rows"), (F.max("c") + 1).alias("n_cols"))
-    dense = F.transform(F.sequence(F.lit(0), F.col("n_rows") - 1), lambda r: F.transform(F.sequence(F.lit(0), F.col("n_cols") - 1), lambda c: F.coalesce(F.element_at(F.element_at("rows", r), c), F.lit(""))))
-    return t.select("doc_id", "table_ord", "n_rows", "n_cols", dense.alias("grid"))
+    several texts for one place the greatest. A table's cells are gathered once and
+    sorted, with a blank one for every place; each place's last one stays."""
+    cell = F.struct("row", "col", F.coalesce("text", F.lit("")).alias("text"))
+    t = cells.where("row >= 0 and col >= 0").groupBy("doc_id", "table_ord").agg(F.collect_list(cell).alias("c"), (F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    blank = F.flatten(F.transform(upto(F.col("n_rows")), lambda r: F.transform(upto(F.col("n_cols")), lambda c: F.struct(r.alias("row"), c.alias("col"), F.lit("").alias("text")))))
+    same = lambda a, b: (a["row"] == b["row"]) & (a["col"] == b["col"])
+    last = lambda s: F.filter(s, lambda x, i: ~F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)))
+    rows = lambda k: F.transform(upto(F.col("n_rows")), lambda r: F.transform(F.slice(k, r * F.col("n_cols") + 1, F.col("n_cols")), lambda x: x["text"]))
+    grid = let(let(F.sort_array(F.concat("c", blank)), last), rows)
+    return t.select("doc_id", "table_ord", "n_rows", "n_cols", grid.alias("grid"))
 
 
 def plain_text(grid: Column) -> Column:
@@ -111,15 +122,18 @@ def span_grid(cells: DataFrame) -> DataFrame:
     key = ["doc_id", "table_ord"]
     span = lambda c: F.greatest(F.coalesce(F.nullif(c, F.lit(0)), F.lit(1)), F.lit(1)).alias(c)
     c = cells.select(*key, "cell_ord", "row", "col", "text", span("rowspan"), span("colspan"))
-    rows = lambda first, n: F.explode(F.sequence(first, first + n - 1))
+    rows = lambda first, n: F.sequence(first, first + n - 1)
+    # A table's first cell lays its free places too, so that cells are read and dealt once.
+    of = Window.partitionBy(*key)
+    c = c.withColumns({"n_rows": F.max(F.col("row") + F.col("rowspan")).over(of), "n_cols": F.max(F.col("col") + F.col("colspan")).over(of), "n": F.row_number().over(of.orderBy("cell_ord", "row", "col"))})
+    lays = F.array_compact(F.array(F.lit(False), F.when(F.col("n") == 1, True)))
+    c = c.withColumn("free", F.explode(lays))
     own = F.struct("cell_ord", "text", "rowspan", "colspan")
-    laid = c.withColumn("at_row", rows(F.col("row"), F.col("rowspan"))).withColumn("at_col", rows(F.col("col"), F.col("colspan")))
+    laid = c.withColumn("at_row", F.explode(F.when(F.col("free"), rows(F.lit(0), F.col("n_rows"))).otherwise(rows(F.col("row"), F.col("rowspan")))))
+    laid = laid.withColumn("at_col", F.explode(F.when(F.col("free"), rows(F.lit(0), F.col("n_cols"))).otherwise(rows(F.col("col"), F.col("colspan")))))
     here = (F.col("at_row") == F.col("row")) & (F.col("at_col") == F.col("col"))
-    laid = laid.select(*key, F.col("at_row").alias("row"), F.col("at_col").alias("col"), F.when(here, own).alias("own"), F.when(~here, F.col("cell_ord")).alias("over"))
-    size = c.groupBy(*key).agg(F.max(F.col("row") + F.col("rowspan")).alias("n_rows"), F.max(F.col("col") + F.col("colspan")).alias("n_cols"))
-    free = size.withColumn("row", rows(F.lit(0), F.col("n_rows"))).withColumn("col", rows(F.lit(0), F.col("n_cols")))
-    free = free.select(*key, "row", "col", F.lit(None).cast(laid.schema["own"].dataType).alias("own"), F.lit(None).cast(laid.schema["over"].dataType).alias("over"))
-    place = laid.unionByName(free).groupBy(*key, "row", "col").agg(F.max_by("own", "own.cell_ord").alias("own"), F.max("over").alias("over"))
+    laid = laid.select(*key, F.col("at_row").alias("row"), F.col("at_col").alias("col"), F.when(~F.col("free") & here, own).alias("own"), F.when(~F.col("free") & ~here, F.col("cell_ord")).alias("over"))
+    place = laid.groupBy(*key, "row", "col").agg(F.max_by("own", "own.cell_ord").alias("own"), F.max("over").alias("over"))
     covered = F.coalesce(F.col("over") > F.col("own.cell_ord"), F.col("over").isNotNull())
     one = F.lit(1)
     return place.select(*key, "row", "col", F.coalesce("own.text", F.lit("")).alias("text"), F.coalesce("own.rowspan", one).alias("rowspan"), F.coalesce("own.colspan", one).alias("colspan"), covered.alias("covered"))
@@ -154,6 +168,9 @@ def chains(found: Column) -> Column:
         blank = ~F.exists(x["header"], lambda c: F.coalesce(c, F.lit("")) != "")
         data = blank | ~is_header_row(x["header"]) | (x["header"] == acc["header"])
         joins = acc["base"].isNotNull() & (x["page"] == acc["page"] + 1) & (F.abs(x["n_cols"] - acc["n_cols"]) <= 1) & x["title"].isNull() & data
+        return let(joins, lambda j: placed(acc, x, j))
+
+    def placed(acc, x, joins):
         base = F.when(joins, acc["base"]).otherwise(x["table_ord"])
         return F.struct(
             base.alias("base"), x["page"].alias("page"), F.when(joins, F.greatest(acc["n_cols"], x["n_cols"])).otherwise(x["n_cols"]).alias("n_cols"),
@@ -177,9 +194,13 @@ def islands(tables: DataFrame) -> DataFrame:
 def merge_across_pages(tables: DataFrame, cells: DataFrame) -> DataFrame:
     """Cells of the merged tables: a continuation's header row goes, rows of the
     chain are numbered densely."""
-    chained = islands(tables).select("doc_id", "table_ord", "base_ord", is_header_row(F.col("header")).alias("has_header"))
-    c = cells.join(chained, ["doc_id", "table_ord"])
-    c = c.where(~((F.col("table_ord") != F.col("base_ord")) & (F.col("row") == 0) & F.col("has_header")))
+    of_doc = tables.groupBy("doc_id").agg(F.collect_list(F.struct("table_ord", "page", "n_cols", "title", "header")).alias("t"))
+    headed = F.transform(F.filter("t", lambda x: is_header_row(x["header"])), lambda x: x["table_ord"])
+    # A document's chains come as one row, so that its cells are dealt by doc_id once.
+    chained = of_doc.select("doc_id", chains(F.col("t")).alias("bases"), headed.alias("headed"))
+    own = F.filter("bases", lambda b: b["table_ord"] == F.col("table_ord"))
+    c = cells.join(chained, "doc_id").withColumn("base_ord", F.get(own, F.lit(0))["base_ord"]).where("base_ord is not null")
+    c = c.where(~((F.col("table_ord") != F.col("base_ord")) & (F.col("row") == 0) & F.array_contains("headed", F.col("table_ord"))))
     dense = F.dense_rank().over(Window.partitionBy("doc_id", "base_ord").orderBy("table_ord", "row")) - 1
     return c.select("doc_id", F.col("base_ord").alias("table_ord"), dense.alias("row"), "col", "text")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingspark.operators import listing, routing, statements, validate
+from filingspark.operators import listing, routing, statements, tables, validate
 from filingspark.plans import filings
 from filingspark.plans.views import line_items, oracle, view
 
@@ -26,18 +26,20 @@ def query(name: str, sql: str | None = None):
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     """Orders as what two engines found in filings of sixteen, two tables to a page: the
     first engine knows boxes, the second accuracies and a second way."""
-    key = F.col("doc_id").cast("long")
-    cells = view(spark, d, "v_cells").select(key.alias("key"), "row", "col", "text").where("col < case when key % 4 = 3 then 3 else 2 end")
-    row = cells.groupBy("key", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda x: x["text"]).alias("r"))
-    grid = row.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "r"))), lambda x: x["r"]).alias("g"))
-    titled = F.when(F.col("key") % 7 == 0, F.concat(F.array(F.array(F.lit("Balance sheet"))), F.col("g"))).otherwise(F.col("g"))
-    base = grid.select("key", F.floor(F.col("key") / 16).alias("doc_id"), (F.col("key") % 16).cast("int").alias("table_ord"), titled.alias("grid")).withColumn("page", F.floor(F.col("table_ord") / 2).cast("int") + 1)
-    box = F.array(50 + F.col("key") % 7, 40 + F.col("key") % 11, 500 + F.col("key") % 13, F.lit(650)).cast("array<double>")
+    order = F.col("doc_id").cast("long")
+    cells = view(spark, d, "v_cells").where(F.col("col") < F.when(order % 4 == 3, 3).otherwise(2))
+    grid = tables.grids(cells).select(order.alias("key"), F.col("grid").alias("g"))
+    key = F.col("key")
+    titled = F.when(key % 7 == 0, F.concat(F.array(F.array(F.lit("Balance sheet"))), F.col("g"))).otherwise(F.col("g"))
+    base = grid.select("key", F.floor(key / 16).alias("doc_id"), (key % 16).cast("int").alias("table_ord"), titled.alias("grid")).withColumn("page", F.floor(F.col("table_ord") / 2).cast("int") + 1)
+    box = F.array(50 + key % 7, 40 + key % 11, 500 + key % 13, F.lit(650)).cast("array<double>")
     none = F.lit(None).cast("array<double>")
-    of = lambda name, o, fallback, bbox, w, h, accuracy: base.select("*", *[x.alias(n) for x, n in zip((F.lit(name), F.lit(o), fallback, bbox, F.lit(w), F.lit(h), accuracy), ("engine", "engine_ord", "fallback", "bbox", "page_width", "page_height", "accuracy"))])
-    first = of("pdfplumber", 0, F.lit(False), box, 600.0, 900.0, F.lit(None).cast("double")).where("key % 5 <> 0")
-    second = of("camelot", 1, F.col("key") % 4 == 1, none, 0.0, 0.0, (F.col("key") * 37 % 101).cast("double")).where("key % 3 <> 0")
-    return first.unionByName(second).drop("key")
+    names = ("engine", "engine_ord", "fallback", "bbox", "page_width", "page_height", "accuracy")
+    of = lambda *values: F.struct(*[(x if isinstance(x, Column) else F.lit(x)).alias(n) for n, x in zip(names, values, strict=True)])
+    first = F.when(key % 5 != 0, of("pdfplumber", 0, False, box, 600.0, 900.0, F.lit(None).cast("double")))
+    second = F.when(key % 3 != 0, of("camelot", 1, key % 4 == 1, none, 0.0, 0.0, (key * 37 % 101).cast("double")))
+    # An order is read once and seen by both.
+    return base.withColumn("seen", F.explode(F.array_compact(F.array(first, second)))).select("doc_id", "table_ord", "grid", "page", "seen.*")
 
 
 ROUTES = """r_ as (select cast(doc_id as bigint) as key, row, list(text order by col) as r from v_cells where col < case when cast(doc_id as bigint) % 4 = 3 then 3 else 2 end group by all),

@@ -59,3 +59,28 @@ def test_a_repeated_header_goes_and_another_one_parts_tables(spark):
 def test_no_candidates_no_tables(spark):
     assert routing.routed(_df(spark)).count() == 0
     assert routing.cells(routing.routed(_df(spark, ("d", "camelot", 1, 0, None, None, None, None, None, None, None)))).count() == 0
+
+
+def _exchanges(df):
+    """Shuffles that a plan makes itself, reused ones left out."""
+    return sum(line.count(" Exchange hashpartitioning") for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "ReusedExchange" not in line)
+
+
+def test_cells_are_dealt_once_by_document(spark):
+    from conftest import SF
+
+    from filingspark.plans import registry
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert {q: _exchanges(registry.QUERIES[q](spark, SF)) for q in ("table_markdown", "raw_tables", "span_grid")} == {"table_markdown": 1, "raw_tables": 1, "span_grid": 1}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_grids_of_holes_repeats_and_nulls(spark):
+    from filingspark.operators import tables
+
+    cells = spark.createDataFrame([("d", 0, 2, 1, "x"), ("d", 0, 0, 0, "a"), ("d", 0, 0, 0, "b"), ("d", 0, 1, 2, None), ("e", 1, 0, 0, "")], "doc_id string, table_ord int, row int, col int, text string")
+    found = {r.doc_id: (r.n_rows, r.n_cols, r.grid) for r in tables.grids(cells).collect()}
+    assert found == {"d": (3, 3, [["b", "", ""], ["", "", ""], ["", "x", ""]]), "e": (1, 1, [[""]])}
