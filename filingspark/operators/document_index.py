@@ -56,9 +56,21 @@ def postings(corpus: DataFrame) -> DataFrame:
     return of_tokens.unionByName(first)
 
 
+#: Characters of a passage to a row of the index, about.
+POSTING_CHARS = 8
+
+
+def stored(corpus: DataFrame, folder: str) -> DataFrame:
+    """The corpus written and read back: the index, its size and the texts of hits ask for it."""
+    corpus.write.mode("overwrite").parquet(f"{folder}/corpus")
+    return corpus.sparkSession.read.schema(corpus.schema).parquet(f"{folder}/corpus")
+
+
 def write_index(corpus: DataFrame, folder: str) -> None:
-    """The index as a table in buckets of doc_id."""
-    sinks.write_artifact(postings(corpus), folder, "postings")
+    """The index as a table in buckets of doc_id, as many as the corpus's characters ask
+    for: no text is cut into tokens to count them."""
+    chars = corpus.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    sinks.write_artifact(postings(corpus), folder, "postings", max(16, -(-chars // (POSTING_CHARS * sinks.BUCKET_ROWS))))
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:

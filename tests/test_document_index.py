@@ -68,3 +68,14 @@ def test_lookup_reads_one_bucket(spark, tmp_path):
 
 def test_query(spark):
     matches(spark, SF, documents.QUERIES["document_search"], documents.ORACLE_SQL["document_search"])
+
+
+def test_the_index_is_sized_without_making_it(spark, tmp_path, monkeypatch):
+    asked = []
+    write = sinks.write_artifact
+    monkeypatch.setattr(sinks, "write_artifact", lambda df, folder, kind, buckets=None, **kw: (asked.append(buckets), write(df, folder, kind, buckets, **kw)))
+    chunks = spark.createDataFrame([(1, 0, "c0", 1, None, "net income rose")], CHUNKS)
+    corpus = document_index.stored(document_index.corpus(chunks, spark.createDataFrame([], TABLES)), str(tmp_path))
+    document_index.write_index(corpus, str(tmp_path))
+    assert asked == [16] and corpus.count() == 1
+    assert {r.token for r in document_index.read_index(spark, str(tmp_path)).collect()} == {"net", "income", "rose", ""}
