@@ -45,7 +45,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import discard, durable, scratch, small_side, written
 from .shingles import hashes, shingles
-from .simhash import bits_of, components, row_key
+from .simhash import components, row_key
 
 SHINGLE = 4
 #: Least similarity in hundredths.
@@ -111,10 +111,10 @@ def prefix(found: np.ndarray, classes: np.ndarray, share: int) -> np.ndarray:
 
 
 def _read(docs: DataFrame, text_col: str, id_col: str, shingle: int, share: int) -> DataFrame:
-    """(id, key, row, s, n, fp, bits, half, prefix): the set of every row of ``docs``, the
-    fingerprint of its shingles, and its bitmap, whole and folded once."""
+    """(id, key, row, s, n, bits, half, prefix): the set of every row of ``docs``, and its
+    bitmap, whole and folded once."""
     classes = docs.sparkSession.sparkContext.broadcast(rarity(docs, text_col, shingle))
-    fields = "s long, n long, fp long, bits binary, half binary, prefix array<long>"
+    fields = "s long, n long, bits binary, half binary, prefix array<long>"
     rows = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     schema = T.StructType([*rows.schema.fields[:3], *T._parse_datatype_string(fields).fields])
 
@@ -123,9 +123,8 @@ def _read(docs: DataFrame, text_col: str, id_col: str, shingle: int, share: int)
 
         target = to_arrow_schema(schema)
         for batch in batches:
-            every = [hashes(t, shingle) for t in batch.column(3).to_pylist()]
-            found = [np.unique(h) for h in every]
-            of = [set_id(f) for f in found], [len(f) for f in found], [bits_of(h) for h in every]
+            found = [np.unique(hashes(t, shingle)) for t in batch.column(3).to_pylist()]
+            of = [set_id(f) for f in found], [len(f) for f in found]
             maps = [bitmap(f)[None] for f in found]
             halves = [_folded(m) if m.shape[1] > 1 else m for m in maps]
             first = [prefix(f, classes.value, share) if len(f) else np.zeros(0, "i8") for f in found]
@@ -412,15 +411,13 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots, F.col("s") == F.col("node"), "left").withColumn("root", F.coalesce("root", "s")).drop("node")
 
 
-def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, shingle: int = SHINGLE, share: int = SHARE, seeds=None) -> tuple[DataFrame, DataFrame]:
-    """(id, key, s, n) of every row, written; (node, root) of the sets that have a link.
-    ``seeds`` gives first candidates (a, b) of sets (s, fp)."""
+def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, shingle: int = SHINGLE, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
+    """(id, key, s, n) of every row, written; (node, root) of the sets that have a link."""
     spark = docs.sparkSession
     folder = scratch(spark, "rows")
     read = written(_read(docs, text_col, id_col, shingle, share), "rows", folder)
     # Copies meet in their tasks first.
-    # Repeats of shingles differ between texts of one set: the least fingerprint counts.
-    of_set = [F.min("row").alias("row"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("half").alias("half"), F.first("prefix").alias("prefix")]
+    of_set = [F.min("row").alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("half").alias("half"), F.first("prefix").alias("prefix")]
     sets = written(read.where("n > 0").groupBy("s").agg(*of_set), "sets")
     rows = written(read.select("id", "key", "s", "n"), "sizes")
     discard(spark, folder)
@@ -433,9 +430,6 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, s
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("long").alias("blocks")
     members = durable(kept.join(chosen.select("h", blocks, few), "h").select("h", "blocks", "few", "s"))
     found = roots = None
-    if seeds:
-        found = _alike(seeds(sets.select("s", "fp")), sets, docs, text_col, shingle, share)
-        roots = components(found)
     for forest in (True, True, False):
         rooted = _rooted(members, roots)
         if roots is not None:

@@ -26,3 +26,11 @@ def test_run(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_near_dedup_has_no_stage_without_effect():
+    import inspect
+
+    from filingspark.llm import jaccard, setjoin
+
+    assert not hasattr(jaccard, "of_fingerprints") and "seeds" not in inspect.signature(setjoin.linked).parameters
