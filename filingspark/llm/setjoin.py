@@ -17,7 +17,8 @@ a bitmap hides (size less bits). The trees of two parts of a key are walked
 together, level by level: two nodes have at most the bits that both bitmaps have
 and what they hide in common, and part where that is less than the sizes ask for,
 or where the sizes are too far apart. Leaves that are left are compared shingle by
-shingle.
+shingle. Sets of keys of up to ``FEW`` sets come with counts of their hashes instead, of a quarter of a bitmap's bytes or less: two sets have in common at most what
+both have, count by count.
 
 In the first two rounds keys of more than ``BLOCK`` sets meet in blocks, with one set
 of the key in all of them, and give a forest of the most similar pairs; in the last
@@ -58,6 +59,8 @@ OFTEN = 16
 BLOCK = 2_048
 #: Children of a node.
 FAN = 8
+#: Sets of a key that meet by counts alone.
+FEW = 64
 #: Node pairs looked at together, and words of their bitmaps.
 WAVE = 1 << 13
 WAVE_WORDS = 1 << 21
@@ -67,6 +70,8 @@ BLOCK_SHINGLES = 1 << 23
 SURE = 0.05
 #: Sets compared with one other in a task's group.
 PARTNERS = 256
+#: Links that one task joins to components, before tasks exchange what they found.
+LINKS = 1 << 17
 
 
 def set_id(found: np.ndarray) -> int:
@@ -83,6 +88,13 @@ def bitmap(found: np.ndarray) -> np.ndarray:
     return np.packbits(out, bitorder="little").view("<u8")
 
 
+def counts(found: np.ndarray) -> np.ndarray:
+    """Numbers of a set's hashes in classes of 8 to 16 each, a power of two of them; up
+    to 255 are told."""
+    classes = max(16, 1 << (len(found) // 16).bit_length())
+    return np.minimum(np.bincount((found & np.uint64(classes - 1)).astype("i8"), minlength=classes), 255).astype("u1")
+
+
 def rarity(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
     """A class for each of the hashed counters: half-powers of two over the median of
     all documents' counts."""
@@ -111,10 +123,10 @@ def prefix(found: np.ndarray, classes: np.ndarray, share: int) -> np.ndarray:
 
 
 def _read(docs: DataFrame, text_col: str, id_col: str, shingle: int, share: int) -> DataFrame:
-    """(id, key, row, s, n, bits, half, prefix): the set of every row of ``docs``, and its
-    bitmap, whole and folded once."""
+    """(id, key, row, s, n, bits, counts, prefix): the set of every row of ``docs``, its
+    bitmap and its counts."""
     classes = docs.sparkSession.sparkContext.broadcast(rarity(docs, text_col, shingle))
-    fields = "s long, n long, bits binary, half binary, prefix array<long>"
+    fields = "s long, n long, bits binary, counts binary, prefix array<long>"
     rows = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("key"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     schema = T.StructType([*rows.schema.fields[:3], *T._parse_datatype_string(fields).fields])
 
@@ -125,10 +137,9 @@ def _read(docs: DataFrame, text_col: str, id_col: str, shingle: int, share: int)
         for batch in batches:
             found = [np.unique(hashes(t, shingle)) for t in batch.column(3).to_pylist()]
             of = [set_id(f) for f in found], [len(f) for f in found]
-            maps = [bitmap(f)[None] for f in found]
-            halves = [_folded(m) if m.shape[1] > 1 else m for m in maps]
+            maps = [bitmap(f) for f in found], [counts(f) for f in found]
             first = [prefix(f, classes.value, share) if len(f) else np.zeros(0, "i8") for f in found]
-            columns = [*batch.columns[:3], *[pa.array(x, pa.int64()) for x in of], *[pa.array([m.tobytes() for m in x], pa.binary()) for x in (maps, halves)], pa.array(first, pa.list_(pa.int64()))]
+            columns = [*batch.columns[:3], *[pa.array(x, pa.int64()) for x in of], *[pa.array([m.tobytes() for m in x], pa.binary()) for x in maps], pa.array(first, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
     return rows.mapInArrow(run, schema)
@@ -296,9 +307,32 @@ def _of_few(n: list[int], raw: list[bytes], label: list[int], share: int) -> lis
     return out
 
 
-def candidates(n: np.ndarray, raw: list[bytes], label: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, similarity) of the sets of a cell. Trees are of bitmaps of one length;
+def _by_counts(n: np.ndarray, raw: list[bytes], label: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates (i, j, similarity) of a few sets by their counts. Where hashes differ at
+    random, squares of differences of counts add up to as many as differ."""
+    i, j = np.triu_indices(len(n), 1) if len(n) > 2 else (np.array([0]), np.array([1]))
+    keep = (label[i] != label[j]) & (share * n[i] <= 100 * n[j]) & (share * n[j] <= 100 * n[i])
+    i, j, size = i[keep], j[keep], np.array([len(r) for r in raw])
+    out = [(i[:0], j[:0], np.zeros(0))]
+    least = np.minimum(size[i], size[j])
+    for classes in np.unique(least).tolist():
+        a, b = i[least == classes], j[least == classes]
+        told = np.stack([np.frombuffer(r, "u1").reshape(-1, classes).sum(axis=0, dtype="i4") if len(r) >= classes else np.zeros(classes, "i4") for r in raw])
+        hidden = n - told.sum(axis=1)
+        both = np.minimum(told[a], told[b]).sum(axis=1) + np.minimum(hidden[a], hidden[b])
+        able = (100 + share) * np.minimum(both, np.minimum(n[a], n[b])) >= share * (n[a] + n[b])
+        a, b = a[able], b[able]
+        apart = ((told[a] - told[b]) ** 2).sum(axis=1)
+        out.append((a, b, (n[a] + n[b] - apart) / (n[a] + n[b] + apart)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def candidates(n: np.ndarray, raw: list[bytes], label: np.ndarray, share: int, few: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, similarity) of the sets of a cell, which are known by their counts if ``few``,
+    else by bitmaps. Trees are of bitmaps of one length;
     lengths differ by one step at most where sizes can be alike."""
+    if few:
+        return _by_counts(n, raw, label, share)
     if len(n) <= FAN:
         found = _of_few(n.tolist(), raw, label.tolist(), share)
         return tuple(np.array([f[k] for f in found], "f8" if k == 2 else "i8") for k in range(3))
@@ -318,8 +352,8 @@ def candidates(n: np.ndarray, raw: list[bytes], label: np.ndarray, share: int) -
 
 
 def _compared(cells: DataFrame, share: int, forest: bool) -> DataFrame:
-    """(a, b, h): pairs of sets of different roots that meet in a cell (h, lo, hi, s, root,
-    n, bits) and may be alike. With ``forest`` the most similar ones that join what may
+    """(a, b, h): pairs of sets of different roots that meet in a cell (h, lo, hi, few, s,
+    root, n, bits) and may be alike. With ``forest`` the most similar ones that join what may
     be alike, and the keys h, alone, in which further pairs may be."""
 
     def run(batches: Iterator) -> Iterator:
@@ -327,13 +361,13 @@ def _compared(cells: DataFrame, share: int, forest: bool) -> DataFrame:
 
         seen, held, found, more = Forest(), None, [], set()
 
-        def of_cell(h: int, s: np.ndarray, root: np.ndarray, n: np.ndarray, raw: list[bytes]) -> None:
+        def of_cell(h: int, few: bool, s: np.ndarray, root: np.ndarray, n: np.ndarray, raw: list[bytes]) -> None:
             label = seen.roots(root) if forest else root
             if forest and (label != root).any():
                 more.add(h)
             if (label == label[0]).all():
                 return
-            i, j, score = candidates(n, raw, label, share)
+            i, j, score = candidates(n, raw, label, share, few)
             if forest and len(i):
                 chosen, _ = spanning(i, j, score, label)
                 if len(chosen) < len(i):
@@ -347,10 +381,10 @@ def _compared(cells: DataFrame, share: int, forest: bool) -> DataFrame:
 
         def of_cells(held, stops: list[int]) -> None:
             h, s, root, n = (held.column(k).to_numpy() for k in ("h", "s", "root", "n"))
-            raw = held.column("bits").to_pylist()
+            few, raw = held.column("few").to_pylist(), held.column("bits").to_pylist()
             for lo, hi in zip([0, *stops[:-1]], stops, strict=True):
                 if hi - lo > 1:
-                    of_cell(int(h[lo]), s[lo:hi], root[lo:hi], n[lo:hi], raw[lo:hi])
+                    of_cell(int(h[lo]), few[lo], s[lo:hi], root[lo:hi], n[lo:hi], raw[lo:hi])
 
         def done() -> Iterator:
             if found:
@@ -379,8 +413,7 @@ def _compared(cells: DataFrame, share: int, forest: bool) -> DataFrame:
 
 
 def _alike(found: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, shingle: int, share: int) -> DataFrame:
-    """The pairs (a, b) of sets that are alike, shingle by shingle."""
-    found = durable(found)
+    """The pairs (a, b) of ``found``, written before, that are alike, shingle by shingle."""
     # Set a meets its partners in blocks; a text is shuffled once for each.
     sizes = found.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("blocks"))
     blocks = found.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
@@ -405,6 +438,27 @@ def _alike(found: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, sh
     return durable(texts.join(members, "row").select("a", "block", "s", "text").groupBy("a", "block").applyInPandas(close, "a long, b long"))
 
 
+def _joined(new: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(node, root) of the components that links ``new`` (a, b) make of those of ``roots``.
+    Tasks join the links they hold first, as many tasks as the links ask for; only what
+    several tasks hold goes through rounds of shuffles."""
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest = Forest()
+        for batch in batches:
+            for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+                low, high = sorted((forest.root(a), forest.root(b)))
+                forest.parent[high] = forest.parent[low] = low
+        nodes = np.fromiter(forest.parent, "i8", len(forest.parent))
+        roots = forest.roots(nodes)
+        yield pd.DataFrame({"a": nodes[nodes != roots], "b": roots[nodes != roots]})
+
+    links = new if roots is None else new.union(roots.select("node", "root"))
+    tasks = max(1, -(-links.count() // LINKS))
+    stars = durable(links.coalesce(tasks).mapInPandas(join, "a long, b long"))
+    return components(stars) if tasks > 1 else stars.toDF("node", "root")
+
+
 def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return rows.withColumn("root", F.col("s"))
@@ -417,7 +471,7 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, s
     folder = scratch(spark, "rows")
     read = written(_read(docs, text_col, id_col, shingle, share), "rows", folder)
     # Copies meet in their tasks first.
-    of_set = [F.min("row").alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("half").alias("half"), F.first("prefix").alias("prefix")]
+    of_set = [F.min("row").alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("counts").alias("counts"), F.first("prefix").alias("prefix")]
     sets = written(read.where("n > 0").groupBy("s").agg(*of_set), "sets")
     rows = written(read.select("id", "key", "s", "n"), "sizes")
     discard(spark, folder)
@@ -425,11 +479,11 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, s
     # Keys of the same sets are one: their number, joint size and a hash over them tell.
     of_key = kept.groupBy("h").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.bit_xor(F.xxhash64("s")).alias("x")).where("m > 1")
     chosen = durable(of_key.groupBy("m", "x", "size").agg(F.min("h").alias("h")))
-    # Sets of a node are few pairs: half the bits must do.
-    few = (F.col("m") <= FAN).alias("few")
+    # Few sets are few pairs: counts must do.
+    few = (F.col("m") <= FEW).alias("few")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("long").alias("blocks")
     members = durable(kept.join(chosen.select("h", blocks, few), "h").select("h", "blocks", "few", "s"))
-    found = roots = None
+    roots = None
     for forest in (True, True, False):
         rooted = _rooted(members, roots)
         if roots is not None:
@@ -444,16 +498,18 @@ def linked(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, s
         else:
             other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
             cells = other.select("h", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "s", "root", "few")
-        met = cells.join(sets.select("s", "n", "bits", "half"), "s").select("h", "lo", "hi", "s", "root", "n", F.when(F.col("few"), F.col("half")).otherwise(F.col("bits")).alias("bits"))
+        met = cells.join(sets.select("s", "n", "bits", "counts"), "s").select("h", "lo", "hi", "few", "s", "root", "n", F.when(F.col("few"), F.col("counts")).otherwise(F.col("bits")).alias("bits"))
         compared = durable(_compared(met, share, forest))
-        new = _alike(compared.where("h is null").select("a", "b"), sets, docs, text_col, shingle, share)
-        found = new if found is None else durable(found.select("a", "b").union(new))
-        roots = components(found)
+        found = compared.where("h is null").select("a", "b")
+        if not found.isEmpty():
+            roots = _joined(_alike(found, sets, docs, text_col, shingle, share), roots)
         if forest:
             # Keys of which no pair is left to compare are done.
             rest = members.where("blocks = 1").join(compared.where("h is not null").select("h").distinct(), "h", "left_semi")
             members = durable(rest.unionByName(members.where("blocks > 1")))
-    return rows, roots
+            if members.isEmpty():
+                break
+    return rows, spark.createDataFrame([], "node long, root long") if roots is None else roots
 
 
 def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", *, shingle: int = SHINGLE, share: int = SHARE) -> DataFrame:

@@ -127,3 +127,36 @@ def test_empty_and_blank(spark):
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in queries.op12_setjoin(spark, SF).collect()), key=repr) == plain(rows)
+
+
+def test_counts_lose_no_pair():
+    rng = np.random.default_rng(7)
+    sets = []
+    for k in range(160):
+        base = np.array(sets[rng.integers(len(sets))], "u8") if sets and k % 2 else rng.integers(0, 2**63, rng.integers(1, 900)).astype("u8")
+        swap = rng.integers(0, 1 + len(base) // 9)
+        base[:swap] = rng.integers(0, 2**63, swap).astype("u8")
+        sets.append(np.unique(base).tolist())
+    # Counts that are full hide what is beyond 255; the second has a few others besides.
+    sets += [(np.arange(4_000, dtype="u8") << np.uint64(20)).tolist(), (np.arange(4_100, dtype="u8") << np.uint64(20)).tolist()]
+    arrays, n = [np.array(s, "u8") for s in sets], [len(s) for s in sets]
+    told = [setjoin.counts(a).tobytes() for a in arrays]
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(set(sets[i]) & set(sets[j])) >= 85 * len(set(sets[i]) | set(sets[j]))}
+    found = set(zip(*(x.tolist() for x in setjoin.candidates(np.array(n), told, np.arange(len(sets)), 85, few=True)[:2]), strict=True))
+    assert alike <= found and len(found) < 4 * len(alike) and len(alike) > 40
+    assert sum(map(len, told)) * 4 <= sum(setjoin.bitmap(a).nbytes for a in arrays)
+
+
+@pytest.mark.parametrize("links", [3, 1 << 17])
+def test_links_are_joined_in_few_tasks(spark, monkeypatch, links):
+    monkeypatch.setattr(setjoin, "LINKS", links)
+    rng = random.Random(links)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    df = lambda rows: spark.createDataFrame(rows, "a long, b long").repartition(5)
+    roots = setjoin._joined(df(edges[20:]), setjoin._joined(df(edges[:20]), None))
+    assert roots.rdd.getNumPartitions() == 1 or links == 3
+    want = list(range(60))
+    for _ in want:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    assert {r.node: r.root for r in roots.collect()} == {k: w for k, w in enumerate(want) if k != w}
