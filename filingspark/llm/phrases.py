@@ -44,6 +44,8 @@ TOP = 2_000
 #: Words, with marks between pieces, of a pack.
 PACK = 500_000
 SALTS = 64
+#: Packs of one such number may all spell a phrase that is theirs to spell.
+SPELLERS = 1 << 16
 #: Frequent phrases of a length that are sent to every task.
 FEW = 300_000
 _MARK = b"\xff"  # no byte of UTF-8
@@ -141,34 +143,20 @@ def _marks(lang: str, known: list[str], pairs: np.ndarray) -> np.ndarray:
     phrases need not be spelled, so that two of one number do no harm."""
     from xxhash import xxh64_intdigest
 
+    of_lang = xxh64_intdigest(lang)
     whole = np.fromiter((xxh64_intdigest(k) for k in known), "u8", len(known))
-    last = np.fromiter((xxh64_intdigest(k.rpartition(" ")[2], len(lang) + sum(lang.encode())) for k in known), "u8", len(known))
+    last = np.fromiter((xxh64_intdigest(k.rpartition(" ")[2], of_lang) for k in known), "u8", len(known))
     return (_mixed(whole[pairs >> 32] * np.uint64(0x9E3779B97F4A7C15) + last[pairs & 0xFFFFFFFF]) >> np.uint64(16)).astype("i8")
 
 
-def _stripes(packs: DataFrame, words: int, least: int) -> DataFrame:
-    """(pack, lang, k, phrase, n): what the packs hold of phrases of so many words that
-    may be frequent."""
+def _stripes(packs: DataFrame, words: int, few: DataFrame | None) -> DataFrame:
+    """(pack, lang, k, phrase, n): what the packs hold of phrases of so many words, or of
+    those of the ``few`` marks."""
     if words == 1:
         entries = packs.select("pack", "lang", F.posexplode(F.arrays_zip("known", "n")).alias("k", "e"))
         return entries.select("pack", "lang", "k", F.col("e.known").alias("phrase"), F.col("e.n").alias("n"))
-    state = packs.select("pack", "lang", "known", "places")
 
-    def marked(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for lang, known, places in zip(*(batch.column(c) for c in ("lang", "known", "places")), strict=True):
-                pairs, n, _, _ = _pairs(_thawed(places.as_py()))
-                marks = _marks(lang.as_py(), known.as_py(), pairs)
-                for lo in range(0, len(pairs), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(marks[lo : lo + 50_000]), pa.array(n[lo : lo + 50_000])], ["mark", "n"])
-
-    # Most phrases are rare and drop by a number of theirs, before any is spelled; where too
-    # many numbers are frequent for a broadcast, all phrases are.
-    frequent = durable(state.mapInArrow(marked, "mark long, n long").groupBy("mark").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("mark"))
-    few = frequent.limit(FEW + 1).count() <= FEW
-    sent = packs.sparkSession.sparkContext.broadcast(np.sort(frequent.toPandas()["mark"].to_numpy("i8")) if few else None)
+    sent = packs.sparkSession.sparkContext.broadcast(None if few is None else few.select("mark").toPandas()["mark"].to_numpy("i8"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -183,7 +171,52 @@ def _stripes(packs: DataFrame, words: int, least: int) -> DataFrame:
                     columns = [pa.array(np.full(len(k), pack.as_py())), pa.array([lang.as_py()] * len(k)), pa.array(k.astype("i4")), pa.array(_spelled(names, pairs[k])), pa.array(n[k])]
                     yield pa.RecordBatch.from_arrays(columns, ["pack", "lang", "k", "phrase", "n"])
 
-    return state.mapInArrow(run, "pack long, lang string, k int, phrase string, n long")
+    return packs.select("pack", "lang", "known", "places").mapInArrow(run, "pack long, lang string, k int, phrase string, n long")
+
+
+def _marked(packs: DataFrame, least: int) -> DataFrame | None:
+    """(mark, f, speller): the frequent marks of the phrases one word longer, and the least
+    number of a pack that has them; None if they are many."""
+    def marked(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for pack, lang, known, places in zip(*(batch.column(c) for c in ("pack", "lang", "known", "places")), strict=True):
+                pairs, n, _, _ = _pairs(_thawed(places.as_py()))
+                marks = _marks(lang.as_py(), known.as_py(), pairs)
+                speller = np.full(len(pairs), pack.as_py() % SPELLERS, "i4")
+                for lo in range(0, len(pairs), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 50_000]) for x in (marks, n, speller)], ["mark", "n", "speller"])
+
+    of_mark = packs.select("pack", "lang", "known", "places").mapInArrow(marked, "mark long, n long, speller int").groupBy("mark").agg(F.sum("n").alias("f"), F.min("speller").alias("speller"))
+    frequent = durable(of_mark.where(F.col("f") >= least))
+    return frequent if frequent.limit(FEW + 1).count() <= FEW else None
+
+
+def _named(packs: DataFrame, few: DataFrame) -> DataFrame | None:
+    """(mark, lang, phrase, f): the phrases of the ``few`` marks, each spelled by one of its
+    packs; None if two of them have one mark."""
+    told = few.select("mark", "speller").toPandas().sort_values("mark")
+    sent = packs.sparkSession.sparkContext.broadcast((told["mark"].to_numpy("i8"), told["speller"].to_numpy("i4")))
+
+    def spell(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        often, spellers = sent.value
+        for batch in batches:
+            for pack, lang, known, places in zip(*(batch.column(c) for c in ("pack", "lang", "known", "places")), strict=True):
+                mine = often[spellers == pack.as_py() % SPELLERS]
+                if not len(mine):
+                    continue
+                pairs, _, _, _ = _pairs(_thawed(places.as_py()))
+                names = known.as_py()
+                marks = _marks(lang.as_py(), names, pairs)
+                at = np.flatnonzero(np.isin(marks, mine))
+                yield pa.RecordBatch.from_arrays([pa.array(marks[at]), pa.array([lang.as_py()] * len(at), pa.string()), pa.array(_spelled(names, pairs[at]), pa.string())], ["mark", "lang", "phrase"])
+
+    spelled = packs.select("pack", "lang", "known", "places").mapInArrow(spell, "mark long, lang string, phrase string").distinct()
+    named = durable(spelled.join(few.select("mark", "f"), "mark"))
+    return named if named.count() == len(told) else None
 
 
 def _shortened(pack: int, lang: str, known, places: bytes, words: int, keep):
@@ -193,9 +226,9 @@ def _shortened(pack: int, lang: str, known, places: bytes, words: int, keep):
     if words == 1:
         total, at, spell = len(known), places, lambda k: known.take(k).to_pylist()
     else:
-        pairs, _, both, number = _pairs(places)
-        total, at = len(pairs), np.full(len(both), -1, "i4")
-        at[both] = number
+        found = _pairs(places)
+        pairs = found[0]
+        total, at = len(pairs), _places(found)
         names = known.to_pylist()
         spell = lambda k: _spelled(names, pairs[k])
     if callable(keep):
@@ -205,8 +238,19 @@ def _shortened(pack: int, lang: str, known, places: bytes, words: int, keep):
     else:
         keep = np.sort(keep)
         spelled = spell(keep)
-    if not len(keep):
-        return None
+    return _moved(pack, lang, spelled, total, at, keep) if len(keep) else None
+
+
+def _places(found: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The number of the pair that begins at each place, -1 for none."""
+    _, _, both, number = found
+    at = np.full(len(both), -1, "i4")
+    at[both] = number
+    return at
+
+
+def _moved(pack: int, lang: str, spelled: list[str], total: int, at: np.ndarray, keep: np.ndarray):
+    """A pack of the phrases ``keep``, in order, of ``total`` ones that begin at ``at``."""
     moved = np.full(total + 1, -1, "i4")  # the last place is that of -1
     moved[keep] = np.arange(len(keep))
     out = moved[at]
@@ -238,6 +282,34 @@ def _kept_few(packs: DataFrame, frequent: DataFrame, words: int) -> DataFrame:
     return packs.mapInArrow(run, _STATE)
 
 
+def _kept_named(packs: DataFrame, named: DataFrame, words: int, last: bool) -> DataFrame:
+    """The packs with the phrases (mark, lang, phrase) of so many words, which are few, in
+    place of the shorter ones; none if it is the ``last`` length. A pack that has another
+    phrase of such a mark says so by a row without a number."""
+    told = named.select("mark", "lang", "phrase").toPandas().sort_values("mark")
+    sent = packs.sparkSession.sparkContext.broadcast((told["mark"].to_numpy("i8"), told["lang"].tolist(), told["phrase"].tolist()))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        often, langs, phrases = sent.value
+        for batch in batches:
+            for pack, lang, known, places in zip(*(batch.column(c) for c in ("pack", "lang", "known", "places")), strict=True):
+                lang, names, thawed = lang.as_py(), known.as_py(), _thawed(places.as_py())
+                found = _pairs(thawed)
+                marks = _marks(lang, names, found[0])
+                at = np.searchsorted(often, marks)
+                at[at == len(often)] = 0
+                keep = np.flatnonzero(often[at] == marks) if len(often) else np.zeros(0, "i8")
+                spelled = _spelled(names, found[0][keep])
+                if any(langs[k] != lang or phrases[k] != phrase for k, phrase in zip(at[keep].tolist(), spelled, strict=True)):
+                    yield pa.RecordBatch.from_arrays(_row(None, lang, [], np.zeros(0, "i8"), np.zeros(0, "i4")), _NAMES)
+                elif len(keep) and not last:
+                    yield pa.RecordBatch.from_arrays(_moved(pack.as_py(), lang, spelled, len(found[0]), _places(found), keep), _NAMES)
+
+    return packs.mapInArrow(run, _STATE)
+
+
 def _kept(packs: DataFrame, told: DataFrame, words: int) -> DataFrame:
     """The same, where packs are told which of their phrases (asked, k) are frequent."""
 
@@ -272,7 +344,22 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *,
     totals = durable(totals)
     levels = []
     for words in range(1, longest + 1):
-        entries = _stripes(packs, words, least)
+        # Most phrases are rare and drop by a mark of theirs, before any is spelled; what is
+        # left is spelled once for all packs. Where two phrases have one mark, each pack spells
+        # what is left, and all phrases where too many marks are frequent for a broadcast.
+        few = _marked(packs, least) if words > 1 else None
+        named = _named(packs, few) if few is not None else None
+        if named is not None:
+            before, folder = folder, scratch(spark, "packs")
+            left = written(_kept_named(packs, named, words, words == longest), "packs", folder)
+            if left.where("pack is null").isEmpty():
+                levels.append(named.select("lang", "phrase", "f").withColumn("words", F.lit(words)))
+                packs = left
+                discard(spark, before)
+                continue
+            discard(spark, folder)
+            folder = before
+        entries = _stripes(packs, words, few)
         merged = entries.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         levels.append(durable(merged).withColumn("words", F.lit(words)))
         if words < longest:

@@ -71,3 +71,25 @@ def test_ties_empty_and_large_numbers(spark):
 
 def test_query_equals_oracle(spark):
     matches(spark, SF, queries.op13_phrases, queries.ORACLE_SQL["op13_phrases"])
+
+
+def test_frequent_phrases_are_spelled_once(spark, monkeypatch):
+    monkeypatch.setattr(module, "PACK", 60)
+    rows = [("one two three four. five six", "en")] * 120 + [("one two", "fr")] * 90 + [("one two", "es")] * 80
+    packs = module.written(module._packs(spark.createDataFrame(rows, "text string, lang string").repartition(4), "text", "lang"), "packs")
+    assert packs.count() > 8
+    named = module._named(packs, module._marked(packs, 60))
+    # Rows that packs spell: as many as phrases, not one for each pack that holds them.
+    assert sorted((r.lang, r.phrase, r.f) for r in named.collect()) == [("en", "five six", 120), ("en", "one two", 120), ("en", "three four", 120), ("en", "two three", 120), ("es", "one two", 80), ("fr", "one two", 90)]
+    assert module._kept_named(packs, named, 2, True).isEmpty()
+
+
+@pytest.mark.parametrize("bits", [2, 7])
+def test_phrases_of_one_mark(spark, monkeypatch, bits):
+    marks = module._marks
+    monkeypatch.setattr(module, "_marks", lambda *a: marks(*a) % (1 << bits))
+    monkeypatch.setattr(module, "PACK", 50)
+    rng = random.Random(bits)
+    rows = [(" ".join(rng.choice("a b c d e".split()) for _ in range(12)), rng.choice(["en", "de"])) for _ in range(60)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    assert sorted(tuple(r) for r in phrases(df, least=5, longest=4, top=40).collect()) == plain(rows, 5, 4, 40)
