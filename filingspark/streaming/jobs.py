@@ -117,13 +117,14 @@ def correction_stream(checked: DataFrame) -> DataFrame:
         names, values, ords = (list(x) for x in state.get) if state.exists else ([], [], [])
         held = dict(zip(names, zip(values, ords, strict=True), strict=True))
         out = []
-        for r in pd.concat(list(batches)).sort_values("corr_ord", kind="stable").itertuples():
-            value, at = held.get(r.field, (None, None))
-            applied = bool(r.applied) and (at is None or at < r.corr_ord)
-            old = r.given if isinstance(r.given, str) else value if value is not None else r.own
-            out.append((key[0], r.corr_ord, r.field, old, r.new_value, applied))
+        rows = [row for b in batches for row in zip(*(b[c].tolist() for c in ("corr_ord", "field", "new_value", "given", "own", "applied")), strict=True)]
+        for corr_ord, field, new, given, own, ok in sorted(rows, key=lambda r: r[0]):
+            value, at = held.get(field, (None, None))
+            applied = bool(ok) and (at is None or at < corr_ord)
+            old = given if isinstance(given, str) else value if value is not None else own
+            out.append((key[0], corr_ord, field, old, new, applied))
             if applied:
-                held[r.field] = (r.new_value, r.corr_ord)
+                held[field] = (new, corr_ord)
         state.update((list(held), [v for v, _ in held.values()], [int(n) for _, n in held.values()]))
         yield pd.DataFrame(out, columns=["fact_id", "corr_ord", "field", "old_value", "new_value", "applied"])
 
