@@ -6,8 +6,9 @@ phrase can be frequent only if its first and its last words, one less each, are.
 Packs of texts (words as numbers, of bounded size) count stripes on their own; rows
 of equal prefix and next word are added up elementwise, each stripe split by next
 word, so that what follows a common word never meets in one place; frequent entries
-go back to the packs that asked for them, which then keep only the places where a
-longer phrase can begin.
+go back to the packs, which then keep only the places where a longer phrase can begin.
+Words are listed by each pack, longer phrases are counted by marks and spelled by one of
+the packs that hold them; a pack that has another phrase of such a mark says so.
 
 The merged stripes hold all that scores need: an entry is a phrase's count and its
 prefix's extension, the first level's entries are the words' counts and their sum
