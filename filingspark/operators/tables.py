@@ -21,7 +21,8 @@ MIN_ACCURACY = 10.0
 
 
 def is_number(cell: Column) -> Column:
-    return F.translate(cell, ", ", "").rlike(NUMBER)
+    # Replacing looks for a mark first; translating makes every character anew.
+    return F.replace(F.replace(cell, F.lit(","), F.lit("")), F.lit(" "), F.lit("")).rlike(NUMBER)
 
 
 def _filled(row: Column) -> Column:
@@ -37,10 +38,14 @@ def title_of(first_row: Column) -> Column:
     """The first row's only cell, or its first one if it names a statement."""
 
     def of(filled):
-        first, named = F.get(filled, 0), F.lit(False)
+        first = F.get(filled, 0)
+        return F.when((F.size(filled) == 1) & (F.length(first) > 2), first).when((F.size(filled) > 0) & let(F.lower(first), named), first)
+
+    def named(low):
+        found = F.lit(False)
         for w in TITLE_WORDS:
-            named = named | F.lower(first).contains(w)
-        return F.when((F.size(filled) == 1) & (F.length(first) > 2), first).when((F.size(filled) > 0) & named, first)
+            found = found | low.contains(w)
+        return found
 
     return let(_filled(first_row), of)
 
@@ -62,19 +67,35 @@ def markdown(grid: Column) -> Column:
     return F.when(F.size(grid) == 0, "").otherwise(let(grid, said))
 
 
-def grids(cells: DataFrame) -> DataFrame:
-    """(doc_id, table_ord, n_rows, n_cols, grid): dense, empty cells as ''; of
-    several texts for one place the greatest. A table's cells are gathered once and
-    sorted, with a blank one for every place; each place's last one stays."""
-    cell = F.struct("row", "col", F.coalesce("text", F.lit("")).alias("text"))
-    t = cells.where("row >= 0 and col >= 0").groupBy("doc_id", "table_ord").agg(F.collect_list(cell).alias("c"), (F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"))
+def _laid(cells: Column) -> Column:
+    """Rows of texts, ``n_rows`` by ``n_cols``, of an array of (row, col, text): sorted, with a blank one for every
+    place; each place's last one stays."""
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     blank = F.flatten(F.transform(upto(F.col("n_rows")), lambda r: F.transform(upto(F.col("n_cols")), lambda c: F.struct(r.alias("row"), c.alias("col"), F.lit("").alias("text")))))
     same = lambda a, b: (a["row"] == b["row"]) & (a["col"] == b["col"])
     last = lambda s: F.filter(s, lambda x, i: ~F.coalesce(same(x, F.get(s, i + 1)), F.lit(False)))
     rows = lambda k: F.transform(upto(F.col("n_rows")), lambda r: F.transform(F.slice(k, r * F.col("n_cols") + 1, F.col("n_cols")), lambda x: x["text"]))
-    grid = let(let(F.sort_array(F.concat("c", blank)), last), rows)
-    return t.select("doc_id", "table_ord", "n_rows", "n_cols", grid.alias("grid"))
+    return let(let(F.sort_array(F.concat(cells, blank)), last), rows)
+
+
+def grids(cells: DataFrame) -> DataFrame:
+    """(doc_id, table_ord, n_rows, n_cols, grid): dense, empty cells as ''; of
+    several texts for one place the greatest. A table's cells are gathered once."""
+    cell = F.struct("row", "col", F.coalesce("text", F.lit("")).alias("text"))
+    t = cells.where("row >= 0 and col >= 0").groupBy("doc_id", "table_ord").agg(F.collect_list(cell).alias("c"), (F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"))
+    return t.select("doc_id", "table_ord", "n_rows", "n_cols", _laid(F.col("c")).alias("grid"))
+
+
+def row_grids(rows: DataFrame) -> DataFrame:
+    """What ``grids`` gives, of rows (doc_id, table_ord, row, texts) that hold their cells from column 0 on. A table
+    whose rows are all there, once and equally wide, is its rows in order; others are laid cell by cell."""
+    if rows.schema["texts"].dataType.containsNull:
+        rows = rows.withColumn("texts", F.transform("texts", lambda x: F.coalesce(x, F.lit(""))))
+    kept, wide = rows.where("row >= 0 and size(texts) > 0"), F.size("texts")
+    t = kept.groupBy("doc_id", "table_ord").agg(F.sort_array(F.collect_list(F.struct("row", "texts"))).alias("r"), (F.max("row") + 1).alias("n_rows"), F.max(wide).alias("n_cols"), F.min(wide).alias("least"))
+    whole = (F.size("r") == F.col("n_rows")) & (F.col("least") == F.col("n_cols")) & (F.size(F.array_distinct(F.col("r")["row"])) == F.col("n_rows"))
+    cells = F.flatten(F.transform("r", lambda x: F.transform(x["texts"], lambda c, j: F.struct(x["row"].alias("row"), j.alias("col"), c.alias("text")))))
+    return t.select("doc_id", "table_ord", "n_rows", "n_cols", F.when(whole, F.col("r")["texts"]).otherwise(_laid(cells)).alias("grid"))
 
 
 def plain_text(grid: Column) -> Column:

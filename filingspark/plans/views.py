@@ -103,8 +103,17 @@ cross join (select 0 as col union all select 1 union all select 2) c""",
 select event_id as corr_ord, user_id, case event_type when 'click' then 'value' when 'view' then 'label' when 'purchase' then 'evidence' else 'colour' end as field_name,
   event_type, value, ts from {events}""",
 }
+_ROWS = """
+select doc_id, 0 as table_ord, cast(n - 1 as int) as row, array(
+  coalesce(case n when 1 then 'Revenue' when 2 then 'Cost of sales' when 3 then '净利润' else l_returnflag end, ''),
+  coalesce(case n % 4 when 0 then concat('(', cast(cast(l_quantity as int) as string), ',000)') when 1 then concat('$', cast(cast(l_quantity as int) as string), '万')
+    when 2 then concat(cast(cast(l_quantity as int) as string), '.5%') else concat('△', cast(cast(l_quantity as int) as string)) end, ''),
+  coalesce(l_linestatus, '')) as texts
+from (select *, row_number() over (partition by doc_id order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_returnflag, l_linestatus) as n
+  from (select cast(l_orderkey as string) as doc_id, * from {lineitem}) i) l"""
 # Pages are whole texts in slices of 700 characters. Lists are exploded here, which has no common syntax. Cells are
 # dealt by doc_id once, as line items; what groups them by document and table needs no other shuffle.
+# ``v_rows`` are the same tables by row, for what needs whole grids.
 _SPARK_VIEWS = VIEWS | {
     "v_line_items": _line_items_sql(spark=True),
     "v_filing_pages": _filing_pages_sql("array_join(transform(array_sort(collect_list(struct(item_ord, line))), x -> x.line), chr(10))", spark=True),
@@ -116,6 +125,7 @@ select doc_id, 0 as table_ord, cast(n - 1 as int) as row, inline(array(
   named_struct("col1", 2, "col2", l_linestatus))) as (col, text)
 from (select *, row_number() over (partition by doc_id order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_returnflag, l_linestatus) as n
   from (select cast(l_orderkey as string) as doc_id, * from {lineitem}) i) l""",
+    "v_rows": _ROWS,
     "v_pages": """
 select doc_id, cast(n + 1 as int) as page_number, text
 from (select doc_id, posexplode(regexp_extract_all(text, '(?s).{{1,700}}', 0)) as (n, text) from {documents}) d""",
