@@ -59,11 +59,10 @@ def _best(kept: Column) -> Column:
     return -F.array_max(F.transform(F.array_distinct(F.transform(kept, lambda x: x["engine_ord"])), score))["minus"]
 
 
-def routes(found: DataFrame, engine: str = "best", merge: bool = True) -> DataFrame:
-    """(doc_id, bases): the tables of a document's chosen engine as an array of (engine_ord, table_ord, base_ord), where
-    ``base_ord`` is the table that one continues across pages, or itself. ``engine``: best, a name, or auto for the first."""
-    item = F.struct("engine_ord", "table_ord", "engine", "fallback", "page", "n_rows", "n_cols", "title", "header", F.round(F.col("confidence") * 100).cast("int").alias("hundredths"))
-    t = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("found"))
+def bases(found: Column, engine: str = "best", merge: bool = True) -> Column:
+    """The tables of a document's chosen engine as an array of (engine_ord, table_ord, base_ord), of its candidates in
+    order: ``base_ord`` is the table that one continues across pages, or itself. ``engine``: best, a name, or auto for
+    the first."""
     mode = engine.lower()
     of_engine = lambda k, e: F.filter(k, lambda x: x["engine_ord"] == e)
     if mode == "best":
@@ -74,8 +73,11 @@ def routes(found: DataFrame, engine: str = "best", merge: bool = True) -> DataFr
     else:
         mine = lambda k: of_engine(k, 0)
     chained = lambda m: tables.chains(m) if merge else F.transform(m, lambda x: F.struct(x["table_ord"].alias("table_ord"), x["table_ord"].alias("base_ord")))
-    bases = lambda m: F.transform(chained(m), lambda c: F.struct(m[0]["engine_ord"].alias("engine_ord"), c["table_ord"].alias("table_ord"), c["base_ord"].alias("base_ord")))
-    return t.select("doc_id", tables.let(tables.let(_kept(F.col("found")), mine), bases).alias("bases"))
+    chosen = lambda m: F.transform(chained(m), lambda c: F.struct(m[0]["engine_ord"].alias("engine_ord"), c["table_ord"].alias("table_ord"), c["base_ord"].alias("base_ord")))
+    return tables.let(tables.let(_kept(found), mine), chosen)
+
+
+ITEM = ("engine_ord", "table_ord", "engine", "fallback", "page", "n_rows", "n_cols", "title", "header")
 
 
 def routed(candidates: DataFrame, engine: str = "best", merge: bool = True) -> DataFrame:
@@ -83,9 +85,13 @@ def routed(candidates: DataFrame, engine: str = "best", merge: bool = True) -> D
     a document's chosen engine, those across pages made one under the first one's id and title. A continuation's header
     row goes; ``source_refs`` cite every part with its own box and confidence."""
     found = described(candidates)
-    # The join is by document alone, so that a table's parts are together behind it.
+    # A document's candidates are made and dealt once, grids and all; the fold sees sizes and first rows only.
+    order = F.struct(*ITEM, F.round(F.col("confidence") * 100).cast("int").alias("hundredths")).alias("item")
+    rest = [c for c in found.columns if c not in ("doc_id", *ITEM)]
+    t = found.select("doc_id", order, *rest).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item", *rest))).alias("found"))
+    t = t.withColumn("bases", bases(F.col("found")["item"], engine, merge)).select("doc_id", "bases", F.explode("found").alias("f")).select("doc_id", "bases", "f.item.*", *[f"f.{c}" for c in rest])
     own = F.filter("bases", lambda b: (b["engine_ord"] == F.col("engine_ord")) & (b["table_ord"] == F.col("table_ord")))
-    part = found.join(routes(found, engine, merge), "doc_id").withColumn("base_ord", F.get(own, F.lit(0))["base_ord"]).where("base_ord is not null")
+    part = t.withColumn("base_ord", F.get(own, F.lit(0))["base_ord"]).where("base_ord is not null")
     repeats = (F.col("table_ord") != F.col("base_ord")) & tables.is_header_row(F.col("header"))
     skip = F.coalesce(repeats, F.lit(False)).cast("int").alias("skip")
     ref = F.struct(F.lit("table").alias("ref_type"), "page", "table_id", "bbox", "confidence", "engine")

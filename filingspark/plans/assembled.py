@@ -27,8 +27,8 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     """Orders as what two engines found in filings of sixteen, two tables to a page: the
     first engine knows boxes, the second accuracies and a second way."""
     order = F.col("doc_id").cast("long")
-    cells = view(spark, d, "v_cells").where(F.col("col") < F.when(order % 4 == 3, 3).otherwise(2))
-    grid = tables.grids(cells).select(order.alias("key"), F.col("grid").alias("g"))
+    rows = view(spark, d, "v_rows").withColumn("texts", F.slice("texts", 1, F.when(order % 4 == 3, 3).otherwise(2)))
+    grid = tables.row_grids(rows).select(order.alias("key"), F.col("grid").alias("g"))
     key = F.col("key")
     titled = F.when(key % 7 == 0, F.concat(F.array(F.array(F.lit("Balance sheet"))), F.col("g"))).otherwise(F.col("g"))
     base = grid.select("key", F.floor(key / 16).alias("doc_id"), (key % 16).cast("int").alias("table_ord"), titled.alias("grid")).withColumn("page", F.floor(F.col("table_ord") / 2).cast("int") + 1)
