@@ -106,27 +106,52 @@ def _json(value: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit("")), F.lit("null"))
 
 
+def _typed_corrections(corrections: DataFrame, fields) -> DataFrame:
+    """(fact_id, corr_ord, field, new_value, given, applied) of corrections of known fields."""
+    given = F.col("old_value") if "old_value" in corrections.columns else F.lit(None).cast("string")
+    c = corrections.select("fact_id", "corr_ord", correction_field(F.col("field_name")).alias("field"), "new_value", given.alias("given")).where(F.col("field").isin(*fields))
+    valid = F.coalesce(*[F.when(F.col("field") == f, F.coalesce(_typed(f, F.col("new_value"))[1], F.lit(False))) for f in fields])
+    return c.withColumn("applied", valid)
+
+
+def _with_own(corrections: DataFrame, facts: DataFrame, fields) -> DataFrame:
+    """Corrections of known facts, with ``own``, the fact's own value of the field as JSON."""
+    own = [_json(F.col(f) if f in facts.columns else F.lit(None).cast("string")).alias(f) for f in fields]
+    one = facts.groupBy("fact_id").agg(F.max_by(F.struct(*own), "fact_ord").alias("f"))
+    of_field = F.coalesce(*[F.when(F.col("field") == f, F.col(f"f.{f}")) for f in fields])
+    return corrections.join(one, "fact_id").withColumn("own", of_field).drop("f")
+
+
 def checked_corrections(corrections: DataFrame, facts: DataFrame, fields=dims.CORRECTABLE) -> DataFrame:
     """(fact_id, corr_ord, field, new_value, given, own, applied) of the corrections of
     known facts and fields: ``given`` is the old value a correction came with, if it has
     one, ``own`` the fact's own, both as JSON; a value of a wrong type is not applied."""
-    own = [_json(F.col(f) if f in facts.columns else F.lit(None).cast("string")).alias(f) for f in fields]
-    one = facts.groupBy("fact_id").agg(F.max_by(F.struct(*own), "fact_ord").alias("f"))
-    given = F.col("old_value") if "old_value" in corrections.columns else F.lit(None).cast("string")
-    c = corrections.select("fact_id", "corr_ord", correction_field(F.col("field_name")).alias("field"), "new_value", given.alias("given")).where(F.col("field").isin(*fields))
-    of_field = lambda pick: F.coalesce(*[F.when(F.col("field") == f, pick(f)) for f in fields])
-    valid = of_field(lambda f: F.coalesce(_typed(f, F.col("new_value"))[1], F.lit(False)))
-    return c.join(one, "fact_id").select("fact_id", "corr_ord", "field", "new_value", "given", of_field(lambda f: F.col(f"f.{f}")).alias("own"), valid.alias("applied"))
+    c = _with_own(_typed_corrections(corrections, fields), facts, fields)
+    return c.select("fact_id", "corr_ord", "field", "new_value", "given", "own", "applied")
 
 
-def correction_history(checked: DataFrame) -> DataFrame:
+def _placed(corrections: DataFrame, fields) -> DataFrame:
+    """Corrections with ``last``, the new value of the one applied last to the field before them, and ``place``, 1 for
+    a fact's newest. Both come of one order of a fact's corrections, so that they are sorted once."""
+    order = Window.partitionBy("fact_id").orderBy("corr_ord", F.desc("field"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda f: F.last(F.when(F.col("applied") & (F.col("field") == f), F.col("new_value")), ignorenulls=True).over(before)
+    n = F.count("*").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    w = corrections.withColumns({"place": (n - F.row_number().over(order) + 1).cast("int")} | {f"_{f}": last(f) for f in fields})
+    return w.withColumn("last", F.coalesce(*[F.when(F.col("field") == f, F.col(f"_{f}")) for f in fields])).drop(*[f"_{f}" for f in fields])
+
+
+def correction_history(checked: DataFrame, fields=dims.CORRECTABLE) -> DataFrame:
     """(fact_id, corr_ord, field, old_value, new_value, applied, place): every correction
     with the value before it, the one it came with or that of the last one applied to
     the field, or the fact's own; place 1 is a fact's newest."""
-    before = Window.partitionBy("fact_id", "field").orderBy("corr_ord").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("applied"), F.col("new_value")), ignorenulls=True).over(before)
-    newest = F.row_number().over(Window.partitionBy("fact_id").orderBy(F.desc("corr_ord"), "field"))
-    return checked.select("fact_id", "corr_ord", "field", F.coalesce("given", last, "own").alias("old_value"), "new_value", "applied", newest.alias("place"))
+    return _placed(checked, fields).select("fact_id", "corr_ord", "field", F.coalesce("given", "last", "own").alias("old_value"), "new_value", "applied", "place")
+
+
+def history(corrections: DataFrame, facts: DataFrame, fields=dims.CORRECTABLE) -> DataFrame:
+    """``correction_history`` of corrections that are not checked yet: they are placed before they meet their facts, so
+    that one sort by fact serves both and no fact's values are sorted along."""
+    return _with_own(_placed(_typed_corrections(corrections, fields), fields), facts, fields).select("fact_id", "corr_ord", "field", F.coalesce("given", "last", "own").alias("old_value"), "new_value", "applied", "place")
 
 
 def fact_values(facts: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:

@@ -156,8 +156,7 @@ def _shown(history: DataFrame, *more: str) -> DataFrame:
 @query("correction_history", oracle(HISTORY.format(place="cast(place as int) as place,"), "v_line_items", "v_statements", "v_corrections"))
 def correction_history(spark: SparkSession, d: str) -> DataFrame:
     """Every correction of the log with the value before it, a fact's newest first."""
-    checked = facts.checked_corrections(_corrections(spark, d), _facts(spark, d))
-    return _shown(facts.correction_history(checked), "place")
+    return _shown(facts.history(_corrections(spark, d), _facts(spark, d)), "place")
 
 
 @query("stream_corrections", oracle(HISTORY.format(place=""), "v_line_items", "v_statements", "v_corrections"))
