@@ -108,25 +108,27 @@ SNIPPET = 260
 def from_pages(pages: DataFrame) -> DataFrame:
     """Line items of page text (doc_id, page_number, text): for every concept the
     first label with a number behind it, on the first such page; confidence .7."""
-    rows = [(kind, n, label, label.lower(), concept, place) for kind, found in LABELS.items() for n, (label, concept, place) in enumerate(found)]
-    dim = pages.sparkSession.createDataFrame(rows, "statement_type string, label_ord int, label string, needle string, concept string, place int")
+    bounds = {k: [label for label, _, _ in v] + (list(INCOME_BOUNDS) if k == "income" else []) for k, v in LABELS.items()}
     flat = F.trim(F.regexp_replace("text", r"\s+", " "))
     low = pages.select("doc_id", "page_number", flat.alias("flat")).withColumn("low", F.lower("flat"))
-    # Labels that a page holds, from a fixed list; the join is on what is found.
-    held = F.filter(F.array(*[F.lit(r[3]) for r in {r[3]: r for r in rows}.values()]), lambda n: F.contains(F.col("low"), n))
-    met = low.withColumn("needle", F.explode(held)).join(F.broadcast(dim), "needle")
+    # Labels that a page holds, of the fixed list. They are no join: a filter behind one becomes its condition, and
+    # what it looks at is then made several times a label.
+    known = F.array(*[
+        F.struct(
+            F.lit(kind).alias("statement_type"), F.lit(n).alias("label_ord"), F.lit(label).alias("label"), F.lit(label.lower()).alias("needle"), F.lit(concept).alias("concept"), F.lit(place).alias("place"),
+            F.array(*[F.lit(x.lower()) for x in bounds[kind] if x.lower() != label.lower()]).alias("bounds"),
+        ) for kind, found in LABELS.items() for n, (label, concept, place) in enumerate(found)
+    ])
+    met = low.select("doc_id", "page_number", "flat", "low", F.explode(F.filter(known, lambda x: F.contains(F.col("low"), x["needle"]))).alias("k")).select("doc_id", "page_number", "flat", "low", "k.*")
     met = met.withColumn("snippet", F.expr(f"substring(flat, locate(needle, low), {SNIPPET})"))
-    bounds = {k: [label for label, _, _ in v] + (list(INCOME_BOUNDS) if k == "income" else []) for k, v in LABELS.items()}
-    of_kind = F.lit(None).cast("array<string>")
-    for kind, labels in bounds.items():
-        of_kind = F.when(F.col("statement_type") == kind, F.array(*[F.lit(x.lower()) for x in labels])).otherwise(of_kind)
-    ends = F.transform(F.filter(of_kind, lambda b: b != F.col("needle")), lambda b: F.call_function("locate", b, F.lower("snippet"), F.length("label") + 1))
+    ends = text.let(F.lower("snippet"), lambda s: F.transform("bounds", lambda b: F.call_function("locate", b, s, F.length("label") + 1)))
     met = met.withColumn("cut", F.array_min(F.filter(ends, lambda p: p > 0)))
     segment = F.when(F.col("cut").isNull(), F.col("snippet")).otherwise(F.rtrim(F.expr("left(snippet, cut - 1)")))
-    met = met.withColumn("segment", segment).withColumn("values", numbers.parse_numbers(F.col("segment"))).where("size(values) > 0")
+    met = met.withColumn("segment", segment).withColumn("values", numbers.parse_numbers(F.col("segment")))
     chosen = F.when((F.col("place") <= 0) | (F.size("values") <= 2), F.get("values", F.lit(0))).otherwise(F.get("values", F.least(F.col("place"), F.size("values") - 1)))
-    met = met.withColumn("value", chosen)
-    first = met.groupBy("doc_id", "statement_type", "concept").agg(F.min_by(F.struct("label_ord", "label", "value", "page_number", "segment"), F.struct("label_ord", "page_number")).alias("m"))
+    # Labels without a number are passed over by the aggregate, which no filter is pushed through.
+    told = lambda x: F.when(F.size("values") > 0, x)
+    first = met.groupBy("doc_id", "statement_type", "concept").agg(F.min_by(told(F.struct("label_ord", "label", chosen.alias("value"), "page_number", "segment")), told(F.struct("label_ord", "page_number"))).alias("m")).where("m is not null")
     said = first.select("doc_id", "statement_type", F.col("m.label_ord").alias("item_ord"), F.col("m.label").alias("name_raw"), F.col("concept").alias("name_norm"), F.col("m.value").alias("value_current"), F.col("m.page_number").alias("page"), text.quote(F.col("m.segment")).alias("quote"), F.lit(0.7).alias("confidence"))
     return said.withColumn("notes", F.lit("text_extracted"))
 
