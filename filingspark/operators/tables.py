@@ -143,21 +143,31 @@ def span_grid(cells: DataFrame) -> DataFrame:
     key = ["doc_id", "table_ord"]
     span = lambda c: F.greatest(F.coalesce(F.nullif(c, F.lit(0)), F.lit(1)), F.lit(1)).alias(c)
     c = cells.select(*key, "cell_ord", "row", "col", "text", span("rowspan"), span("colspan"))
-    rows = lambda first, n: F.sequence(first, first + n - 1)
-    # A table's first cell lays its free places too, so that cells are read and dealt once.
-    of = Window.partitionBy(*key)
-    c = c.withColumns({"n_rows": F.max(F.col("row") + F.col("rowspan")).over(of), "n_cols": F.max(F.col("col") + F.col("colspan")).over(of), "n": F.row_number().over(of.orderBy("cell_ord", "row", "col"))})
-    lays = F.array_compact(F.array(F.lit(False), F.when(F.col("n") == 1, True)))
-    c = c.withColumn("free", F.explode(lays))
-    own = F.struct("cell_ord", "text", "rowspan", "colspan")
-    laid = c.withColumn("at_row", F.explode(F.when(F.col("free"), rows(F.lit(0), F.col("n_rows"))).otherwise(rows(F.col("row"), F.col("rowspan")))))
-    laid = laid.withColumn("at_col", F.explode(F.when(F.col("free"), rows(F.lit(0), F.col("n_cols"))).otherwise(rows(F.col("col"), F.col("colspan")))))
-    here = (F.col("at_row") == F.col("row")) & (F.col("at_col") == F.col("col"))
-    laid = laid.select(*key, F.col("at_row").alias("row"), F.col("at_col").alias("col"), F.when(~F.col("free") & here, own).alias("own"), F.when(~F.col("free") & ~here, F.col("cell_ord")).alias("over"))
-    place = laid.groupBy(*key, "row", "col").agg(F.max_by("own", "own.cell_ord").alias("own"), F.max("over").alias("over"))
-    covered = F.coalesce(F.col("over") > F.col("own.cell_ord"), F.col("over").isNotNull())
-    one = F.lit(1)
-    return place.select(*key, "row", "col", F.coalesce("own.text", F.lit("")).alias("text"), F.coalesce("own.rowspan", one).alias("rowspan"), F.coalesce("own.colspan", one).alias("colspan"), covered.alias("covered"))
+    upto = lambda first, n: F.sequence(first, first + n - 1)
+    laid = c.select("*", F.explode(upto(F.col("row"), F.col("rowspan"))).alias("at_row"))
+    laid = laid.select("*", F.explode(upto(F.col("col"), F.col("colspan"))).alias("at_col"))
+    here, own = (F.col("at_row") == F.col("row")) & (F.col("at_col") == F.col("col")), lambda x: F.when(F.col("here"), F.col(x)).alias(x)
+    laid = laid.withColumn("here", here).select(*key, F.col("at_row").alias("row"), F.col("at_col").alias("col"), own("text"), own("rowspan"), own("colspan"), F.when(F.col("here"), F.col("cell_ord")).alias("ord"), F.when(~F.col("here"), F.col("cell_ord")).alias("over"))
+    # What a table's cells lay is sorted once, by place; every window has this order. The first row of a place is its
+    # own latest cell.
+    latest = F.desc_nulls_last("ord")
+    whole = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    of_table, of_place = Window.partitionBy(*key).orderBy("row", "col", latest), Window.partitionBy(*key, "row", "col").orderBy(latest)
+    laid = laid.withColumns({"n_rows": F.max("row").over(whole(of_table)) + 1, "n_cols": F.max("col").over(whole(of_table)) + 1, "over": F.max("over").over(whole(of_place)), "n": F.row_number().over(of_place)})
+    inside = (F.col("row") >= 0) & (F.col("col") >= 0)
+    place = laid.where("n = 1").withColumn("at", F.when(inside, F.col("row").cast("long") * F.col("n_cols") + F.col("col")))
+    place = place.withColumns({"before": F.coalesce(F.max("at").over(of_table.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)), "last": F.max("at").over(whole(of_table))})
+    # Places that nothing lies on come with the next one that is taken, those behind the last with the last.
+    no = F.array().cast("array<bigint>")
+    gap = lambda first, end: F.when(end > first, F.sequence(first, end - 1)).otherwise(no)
+    ahead = F.when(F.col("at").isNull(), no).otherwise(gap(F.col("before") + 1, F.col("at")))
+    behind = F.when(F.col("at") == F.col("last"), gap(F.col("at") + 1, F.col("n_rows").cast("long") * F.col("n_cols"))).otherwise(no)
+    place = place.withColumn("free", F.explode(F.concat(F.array(F.lit(None).cast("bigint")), ahead, behind)))
+    taken, one = F.col("free").isNull(), F.lit(1)
+    at = lambda x, free: F.when(taken, F.col(x)).otherwise(free.cast("int")).alias(x)
+    said = lambda x, none: F.coalesce(F.when(taken, F.col(x)), none).alias(x)
+    covered = taken & F.coalesce(F.col("over") > F.col("ord"), F.col("over").isNotNull())
+    return place.select(*key, at("row", F.floor(F.col("free") / F.col("n_cols"))), at("col", F.col("free") % F.col("n_cols")), said("text", F.lit("")), said("rowspan", one), said("colspan", one), covered.alias("covered"))
 
 
 def best_engine(tables: DataFrame) -> DataFrame:
