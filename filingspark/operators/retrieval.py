@@ -30,19 +30,21 @@ def token_search(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     d = corpus.select("doc_id", tokens.alias("t")).select("doc_id", F.size("t").alias("n"), F.explode(F.array_distinct("t")).alias("token"))
     hits = d.join(q, "token").groupBy("query_id", "doc_id").agg(F.sum("times").alias("overlap"), F.first("n").alias("n"))
     scored = hits.select("query_id", "doc_id", (F.col("overlap") / F.greatest(F.log10(F.col("n") + 1), F.lit(1.0))).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    # The first passages stand behind every query's hits, and count where there are none, so that hits are made once.
     first = corpus.select("doc_id").orderBy("doc_id").limit(k).agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).scalar()
-    lost = queries.select("query_id").join(top.select("query_id").distinct(), "query_id", "left_anti").withColumn("ids", first)
-    lost = lost.select("query_id", F.posexplode("ids").alias("pos", "doc_id")).withColumn("rank", F.col("pos") + 1)
-    return top.select("query_id", "rank", "doc_id", "score").unionByName(lost.select("query_id", "rank", "doc_id", F.lit(0.0).alias("score")))
+    last = queries.select("query_id").distinct().select("query_id", F.explode(first).alias("doc_id"), F.lit(0.0).alias("score"), F.lit(1).alias("lost"))
+    order = Window.partitionBy("query_id").orderBy("lost", F.desc("score"), "doc_id")
+    top = scored.withColumn("lost", F.lit(0)).unionByName(last).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = F.first("lost").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return top.withColumn("best", best).where("lost = best").select("query_id", "rank", "doc_id", "score")
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, doc_id, score): inner product of L2-normalised vectors,
     exact; the query set meets every row in blocks, one array each."""
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.greatest(norm(c), F.lit(1e-12)))
+    # A vector's length is made once, not for each of its components.
+    unit = lambda c: text.let(F.greatest(norm(c), F.lit(1e-12)), lambda n: F.transform(c, lambda x: x.cast("double") / n))
     n_blocks = queries.agg(F.greatest(F.ceil(F.count("*") / QUERY_BLOCK), F.lit(1)).alias("n")).scalar()
     q = queries.select("query_id", unit(F.col("embedding")).alias("v"), F.pmod(F.xxhash64("query_id"), n_blocks).alias("block"))
     q = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "v")).alias("q"))
