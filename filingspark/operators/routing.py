@@ -3,8 +3,8 @@
 Candidates are (doc_id, engine, engine_ord, table_ord, fallback, page, grid, bbox, page_width, page_height, accuracy):
 ``grid`` holds rows of texts, ``bbox`` the table's box in units of the page or null, ``accuracy`` is null where an
 engine gives none, ``fallback`` marks what an engine's second way found. Choice, overlaps and chains need sizes and
-first rows only; they are decided in one fold per document, and grids join what was decided, by document. Boxes of cells
-are made last, of the tables that are left.
+first rows only; they are decided in one fold per document, beside its grids. Boxes of cells are made last, of the
+tables that are left.
 """
 
 from __future__ import annotations
