@@ -50,6 +50,9 @@ SPACE = "▁"
 PACK_ROWS = 20_000
 PACK_BYTES = 1 << 25
 PACK_LEVEL = 6
+#: Rows of a column, and bytes of texts, that are Python objects at once.
+STEP_ROWS = 256
+STEP_BYTES = 1 << 21
 #: Units up to this length go through the lattice; a mask of ends fits a long.
 LONGEST_UNIT = 60
 UNKNOWN = (1 << 31) - 1
@@ -400,6 +403,22 @@ def _frozen(rows) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _values(column) -> Iterator:
+    """The values of a column; only a few are Python objects at once."""
+    for lo in range(0, len(column), STEP_ROWS):
+        yield from column.slice(lo, STEP_ROWS).to_pylist()
+
+
+def _steps(table, at: int) -> Iterator:
+    """A table in slices of some ``STEP_BYTES`` of texts each, those of column ``at``."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(table.column(at)), 0).to_numpy(), dtype="i8")
+    cuts = [0, *(np.flatnonzero(np.diff(ends // STEP_BYTES)) + 1).tolist(), table.num_rows]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        yield table.slice(lo, hi - lo)
+
+
 def _packs(batches: Iterator, own: list[str]) -> Iterator:
     """(number, table): bounded packs of rows, numbered by their content, so that
     every pass over the table numbers them alike."""
@@ -409,7 +428,7 @@ def _packs(batches: Iterator, own: list[str]) -> Iterator:
     def numbered(parts):
         table, digest = pa.Table.from_batches(parts), xxhash.xxh64()
         for name in table.column_names:
-            for value in table.column(name).to_pylist():
+            for value in _values(table.column(name)):
                 digest.update(b"\0" if value is None else value.encode("utf-8", "surrogatepass") if isinstance(value, str) else repr(value).encode())
         return digest.intdigest() - (1 << 63), table.select(own)
 
@@ -449,7 +468,7 @@ def encode(docs: DataFrame, text_col: str = "text", *, model: str = MODEL, fold:
     def asked(batches: Iterator) -> Iterator:
         """The distinct units of every pack."""
         for g, pack in _packs(batches, places):
-            found = [u for u in _units_of(pack.column(at).to_pylist()) if len(u) <= LONGEST_UNIT]
+            found = [u for u in _units_of(_values(pack.column(at))) if len(u) <= LONGEST_UNIT]
             for lo in range(0, len(found), 50_000):
                 part = found[lo : lo + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), g), pa.int64())], ["unit", "g"])
@@ -497,19 +516,22 @@ def encode(docs: DataFrame, text_col: str = "text", *, model: str = MODEL, fold:
         for frozen in answers.column("answers"):
             known_units.learn(pa.ipc.open_stream(frozen.as_buffer()).read_all())
         words, tables = _Words(known_units), []
-        for payload in payloads.column("payload"):
-            table = pa.ipc.open_stream(payload.as_buffer()).read_all()
+
+        def coded(table):
             texts = table.column(at).to_pylist()
-            coded = [b"" if t is None else words.ids(t) for t in texts]
-            ends = np.cumsum([0] + [len(x) // 4 for x in coded])
-            values = np.frombuffer(b"".join(coded), "<i4")
-            del coded
+            ids = [b"" if t is None else words.ids(t) for t in texts]
+            ends = np.cumsum([0] + [len(x) // 4 for x in ids])
+            values = np.frombuffer(b"".join(ids), "<i4")
             none = pa.array([t is None for t in texts], pa.bool_())
             columns = [*table.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values), mask=none)]
             if restored_col:
                 back = coder.texts(values, ends)
                 columns.append(pa.array([t is None or b == t.encode("utf-8", "surrogatepass") for b, t in zip(back, texts, strict=True)]))
-            tables.append(pa.Table.from_arrays(columns, names=out_names))
+            return pa.Table.from_arrays(columns, names=out_names)
+
+        for payload in payloads.column("payload"):
+            # A pack whole would be its texts, ids and decoded texts in memory many times over.
+            tables += map(coded, _steps(pa.ipc.open_stream(payload.as_buffer()).read_all(), at))
         return pa.concat_tables(tables) if tables else target.empty_table()
 
     out_names = [*places, "ids", *(["restored"] if restored_col else [])]
