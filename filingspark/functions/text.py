@@ -48,7 +48,7 @@ def first_word(text: Column, needles) -> Column:
 
 def stripped(x: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
 
 
 def is_heading(line: Column) -> Column:

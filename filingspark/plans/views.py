@@ -133,10 +133,10 @@ from (select doc_id, posexplode(regexp_extract_all(text, '(?s).{{1,700}}', 0)) a
 _TABLES = ("lineitem", "orders", "documents", "events")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view over the tables of ``sf_dir``; only the tables it names are read."""
+def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
+    """A view over the tables of ``sf_dir``, or over those ``given`` in their place; only the tables it names are read."""
     sql = _SPARK_VIEWS[name]
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if f"{{{t}}}" in sql}
+    used = {t: given[t] if t in given else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if f"{{{t}}}" in sql}
     return spark.sql(sql, **used)
 
 

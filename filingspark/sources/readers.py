@@ -130,7 +130,8 @@ def of_keys(table: DataFrame, wanted: DataFrame) -> DataFrame:
     buckets, key = _buckets(table)
     shared = [c for c in wanted.columns if c in table.columns]
     asked = wanted.withColumn("bucket", sinks.bucket(F.col(key).cast(table.schema[key].dataType), buckets)).where("bucket >= 0")
-    return table.join(asked, ["bucket", *shared]).drop("bucket")
+    # Buckets are few: they come last, so that sorts look at the key first.
+    return table.join(asked, [*shared, "bucket"]).drop("bucket")
 
 
 def register_page_source(name: str, make) -> None:

@@ -79,3 +79,34 @@ def test_the_index_is_sized_without_making_it(spark, tmp_path, monkeypatch):
     document_index.write_index(corpus, str(tmp_path))
     assert asked == [16] and corpus.count() == 1
     assert {r.token for r in document_index.read_index(spark, str(tmp_path)).collect()} == {"net", "income", "rose", ""}
+
+
+def test_the_index_is_stored_by_passage(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, i, f"c{i}", 1, None, t) for i, t in enumerate(["net income rose", "income fell", " \n"])], CHUNKS.replace("doc_id string", "doc_id int"))
+    corpus = document_index.corpus(chunks, spark.createDataFrame([], TABLES.replace("doc_id string", "doc_id int")))
+    document_index.write_index(corpus, str(tmp_path))
+    # A row for each passage's tokens and for its place, not for each token.
+    assert readers.read_artifact(spark, str(tmp_path), "postings").count() == 4
+    rows = document_index.read_index(spark, str(tmp_path)).collect()
+    assert sorted((r.token, r.ord) for r in rows) == [("", 0), ("", 1), ("fell", 1), ("income", 0), ("income", 1), ("net", 0), ("rose", 0)]
+
+
+def test_queries_of_many_tokens_find_the_same(spark, tmp_path, monkeypatch):
+    chunks = spark.createDataFrame([("a", i, f"a{i}", 1, None, t) for i, t in enumerate(["net income rose", "cash fell", "income and cash"])], CHUNKS)
+    document_index.write_index(document_index.corpus(chunks, spark.createDataFrame([], TABLES)), str(tmp_path))
+    index = document_index.read_index(spark, str(tmp_path))
+    asked = spark.createDataFrame([("a", 1, "income cash cash"), ("a", 2, "none")], "doc_id string, query_id int, query string")
+    found = lambda: sorted((r.query_id, r.rank, r.ord, r.score) for r in document_index.search(index, asked, 2).collect())
+    few = found()
+    monkeypatch.setattr(document_index, "SAID", 1)
+    assert few == found() == [(1, 1, 2, 3.0), (1, 2, 1, 2.0), (2, 1, 0, 0.0), (2, 2, 1, 0.0)]
+
+
+def test_only_orders_of_documents_are_laid_out(spark, monkeypatch):
+    laid = []
+    for name in ("grids", "row_grids"):
+        plain_one = getattr(documents.tables, name)
+        monkeypatch.setattr(documents.tables, name, lambda rows, f=plain_one: (laid.append(rows), f(rows))[1])
+    documents._document_corpus(spark, SF)
+    known = spark.read.parquet(f"{SF}/documents.parquet").where("text <> ''").select(F.col("doc_id").cast("string").alias("doc_id"))
+    assert len(laid) == 1 and laid[0].count() > 0 and laid[0].join(known, "doc_id", "left_anti").count() == 0

@@ -24,6 +24,11 @@ def test_parse_number(spark):
         assert have == (None if want is None else pytest.approx(want)), raw
 
 
+def test_stripped_ends_where_the_text_ends(spark):
+    # A line separator at the end is no end of the text.
+    assert column(spark, [" \x0b\f\r\n a b\t\n ", "a \u2028", "a \x85", " \t", "", None], text.stripped) == ["a b", "a \u2028", "a \x85", "", "", None]
+
+
 def test_parse_numbers_drops_footnotes(spark):
     assert column(spark, ["Revenue (1) $ 1,000 (60,000) 3.5 (500)"], numbers.parse_numbers) == [[1000.0, -60000.0, 3.5]]
 
