@@ -318,6 +318,8 @@ def _by_counts(n: np.ndarray, raw: list[bytes], label: np.ndarray, share: int) -
     for classes in np.unique(least).tolist():
         a, b = i[least == classes], j[least == classes]
         told = np.stack([np.frombuffer(r, "u1").reshape(-1, classes).sum(axis=0, dtype="i4") if len(r) >= classes else np.zeros(classes, "i4") for r in raw])
+        # Up to 255 of a joined class count too, or what one set tells the other would hide.
+        told = np.minimum(told, 255)
         hidden = n - told.sum(axis=1)
         both = np.minimum(told[a], told[b]).sum(axis=1) + np.minimum(hidden[a], hidden[b])
         able = (100 + share) * np.minimum(both, np.minimum(n[a], n[b])) >= share * (n[a] + n[b])

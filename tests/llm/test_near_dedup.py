@@ -100,3 +100,17 @@ def test_hot_keys_and_blocks_change_nothing(spark, monkeypatch):
         monkeypatch.setattr(setjoin, name, value)
     kept = sorted(int(r.doc_id) for r in near.deduplicate(df).collect())
     assert kept == sorted(set(groups(texts)))
+
+
+def test_counts_of_full_classes_hide_no_pair():
+    import numpy as np
+
+    from filingspark.llm import setjoin
+
+    # Hashes that agree in six bits: one set's counts are twice as many classes as the other's, and all full.
+    a = np.arange(1_024, dtype="u8") * np.uint64(64)
+    found = [a, a[:-1]]
+    raw = [setjoin.counts(f).tobytes() for f in found]
+    assert len(raw[0]) == 2 * len(raw[1])
+    i, j, _ = setjoin.candidates(np.array([len(f) for f in found]), raw, np.array([0, 1]), 80, few=True)
+    assert (i.tolist(), j.tolist()) == ([0], [1])
